@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirestone.llm.leaks import leaked_spans
+from quirestone.llm.looks import consistent, look_alike_pairs
 from quirestone.llm.neardup import groups_of_records, near_duplicates, pairs_of_records
+from quirestone.llm.topn import top_n
 from quirestone.sources.tables import table
 
 QUERIES = {}
@@ -33,3 +36,57 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every paragraph and reference of 20 or more words."""
     return groups_of_records(*_alike(spark, folder)).select(F.col("space").alias("source_table"), "key", "group_key", "links")
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best candidates of every query and the 3 best references of every section and type of a proposal."""
+    ranked = top_n(table(spark, folder, "rerank_scores"), groups=["query_id"], score="relevance_score", item="candidate_index", n=5)
+    refs = top_n(table(spark, folder, "retrieved_refs"), groups=["proposal_id", "section_id", "reference_type"], score="score", item="reference_id", n=3)
+    return ranked.select(F.lit("rerank_scores").alias("source_table"), F.col("query_id").alias("group_key"), F.col("candidate_index").cast("string").alias("item_key")).unionByName(
+        refs.select(F.lit("retrieved_refs").alias("source_table"), F.concat_ws("/", "proposal_id", "section_id", "reference_type").alias("group_key"), F.col("reference_id").alias("item_key"))
+    )
+
+
+ORACLE_SQL["p3_found"] = """
+WITH a AS (
+  SELECT query_id, candidate_index, max(relevance_score) AS s FROM rerank_scores
+  WHERE query_id IS NOT NULL AND candidate_index IS NOT NULL AND isfinite(relevance_score) GROUP BY ALL
+), b AS (
+  SELECT proposal_id || '/' || section_id || '/' || reference_type AS g, reference_id, max(score) AS s FROM retrieved_refs
+  WHERE isfinite(score) GROUP BY ALL
+)
+SELECT 'rerank_scores' AS source_table, query_id AS group_key, CAST(candidate_index AS VARCHAR) AS item_key
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, candidate_index) AS r FROM a) WHERE r <= 5
+UNION ALL
+SELECT 'retrieved_refs', g, reference_id
+FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, reference_id) AS r FROM b) WHERE r <= 3
+"""
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"), key="doc_id", text="text", item_key="item_id", item_text="text", k=12)
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 12 or more consecutive words of a test item, and the items."""
+    return _leaks(spark, folder).select("doc_id", F.explode("item_ids").alias("item_id")).distinct()
+
+
+@query
+def p6_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of words to remove from each such document."""
+    return _leaks(spark, folder).select("doc_id", "start_word", "end_word", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that look the same and differ."""
+    return look_alike_pairs(table(spark, folder, "documents"), key="doc_id", text="text").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+@query
+def p7_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return consistent(table(spark, folder, "documents"), key="doc_id", text="text")
