@@ -27,15 +27,14 @@ SAMPLING = 8
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in ascending order, by doubling the length that is sorted by."""
-    n = len(codes)
-    bits = max(int(codes.max()), 1).bit_length()
-    k = max(1, 62 // bits)
+    n, codes = len(codes), codes + 1  # 0 is the end
+    bits = int(codes.max()).bit_length()
+    k = 62 // bits
     key = np.zeros(n, np.int64)
     for i in range(k):  # as many symbols as fit into one number
         key <<= bits
-        key[: n - i] |= codes[i:]
-    length = np.minimum(n - np.arange(n), k) if n < k else None
-    order = np.argsort(key if length is None else key, kind="stable")
+        key[: max(n - i, 0)] |= codes[i:]
+    order = np.argsort(key)
     while True:
         ordered = key[order]
         place = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])

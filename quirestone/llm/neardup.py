@@ -23,8 +23,8 @@ from quirestone.session import written
 #: Counters of the shingle statistics, 4 bytes each: a fixed size, whatever the corpus.
 SKETCH_BITS = 21
 _SLICE = 1 << 16
-#: Cells of a set's parity sketch, from which the Hamming distance of two sets is bounded below.
-CELLS = 256
+#: Fewest cells of a set's parity sketch, from which the Hamming distance of two sets is bounded below.
+LEAST_CELLS = 256
 #: Sets with one shingle in their prefixes beyond which that shingle's pairs are spread over tasks.
 HOT_SETS = 20_000
 #: Pairs looked at in one numpy step.
@@ -75,6 +75,40 @@ def _least_overlap(p: int, q: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -((-p * (a + b)) // (p + q))
 
 
+def _cells(size: np.ndarray) -> np.ndarray:
+    """Cells of the sketches of sets of these sizes: a power of two, 1.5 a shingle or more."""
+    return np.maximum(LEAST_CELLS, 1 << np.ceil(np.log2(np.maximum(1.5 * size, 1))).astype(np.int64))
+
+
+class _Sketches:
+    """Sketches of sets of any size; two of them are compared in the cells of the smaller."""
+
+    def __init__(self, words: np.ndarray, cells: np.ndarray):
+        self.wide, self.matrix, self.index = cells // 64, {}, {}
+        begin = np.cumsum(self.wide) - self.wide
+        for wide in np.unique(self.wide)[::-1].tolist():
+            rows = np.flatnonzero(self.wide == wide)
+            own = words[begin[rows][:, None] + np.arange(wide)]
+            index = np.full(len(cells), -1)
+            if wide * 2 in self.matrix:  # a cell of the half as wide sketch is the parity of two
+                larger = np.flatnonzero(self.index[wide * 2] >= 0)
+                folded = self.matrix[wide * 2][self.index[wide * 2][larger]]
+                rows, own = np.concatenate([rows, larger]), np.concatenate([own, folded[:, :wide] ^ folded[:, wide:]])
+            index[rows] = np.arange(len(rows))
+            self.matrix[wide], self.index[wide] = own, index
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Least Hamming distance of the sets of these rows."""
+        both, out = np.minimum(self.wide[left], self.wide[right]), np.zeros(len(left), np.int64)
+        for wide in np.unique(both).tolist():
+            at = np.flatnonzero(both == wide)
+            index, matrix = self.index[wide], self.matrix[wide]
+            x, y = index[left[at]], index[right[at]]
+            known = (x >= 0) & (y >= 0)
+            out[at[known]] = np.bitwise_count(matrix[x[known]] ^ matrix[y[known]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """One binary of ``lengths[i]`` values each, cut from ``values`` in order."""
     offsets = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
@@ -100,10 +134,12 @@ def _postings(sets: DataFrame, counts, k: int, sim: Fraction, parts: int) -> Dat
             size = np.bincount(owner, minlength=n)
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             place = np.arange(len(run)) - start[owner]
-            # parity of the number of shingles in each cell
-            cell = (run >> np.uint64(40)).astype(np.int64) % CELLS
-            odd = (np.bincount(owner * CELLS + cell, minlength=n * CELLS) & 1).astype(np.uint8).reshape(n, CELLS)
-            sketch = np.packbits(odd, axis=1)
+            # parity of the number of shingles in each cell, as 64-bit words
+            wide = _cells(size) // 64
+            begin = np.concatenate([[0], np.cumsum(wide)])
+            cell = (run >> np.uint64(40)).astype(np.int64) % (wide[owner] * 64)
+            sketch = np.zeros(begin[-1], np.uint64)
+            np.bitwise_xor.at(sketch, begin[owner] + (cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
             # a shingle that no other set has can't lead to a pair
             used = (place <= size[owner] - -(-p * size[owner] // q)) & (often > 1)
             run, owner, place, often = run[used], owner[used], place[used], often[used]
@@ -127,12 +163,14 @@ def _postings(sets: DataFrame, counts, k: int, sim: Fraction, parts: int) -> Dat
             begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
             lengths = np.diff(np.concatenate([begins, [len(group)]]))
             who = group[begins] // parts
+            words_ = wide[who]
+            of_who = np.repeat(begin[who] - (np.cumsum(words_) - words_), words_) + np.arange(words_.sum())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((group[begins] % parts).astype(np.int32)),
                     pa.array(rid[who]),
                     pa.array(size[who].astype(np.int32)),
-                    _binaries(sketch[who].reshape(-1), np.full(len(who), CELLS // 8)).cast(pa.binary()),
+                    _binaries(sketch[of_who], words_).cast(pa.binary()),
                     _binaries(run, lengths).cast(pa.binary()),
                     _binaries(place.astype(np.int32), lengths).cast(pa.binary()),
                 ],
@@ -152,7 +190,7 @@ def _candidates(sim: Fraction):
         table = table.combine_chunks()
         rids, sizes = table.column("rid").to_numpy(), table.column("size").to_numpy().astype(np.int64)
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        sketch = joined("sketch", np.uint64).reshape(-1, CELLS // 64)
+        sketches = _Sketches(joined("sketch", np.uint64), _cells(sizes))
         run, place = joined("shingles", np.uint64), joined("places", np.int32).astype(np.int64)
         row = np.repeat(np.arange(len(rids)), [len(x) // 8 for x in table.column("shingles").to_pylist()])
         del table
@@ -179,8 +217,7 @@ def _candidates(sim: Fraction):
             need = _least_overlap(p, q, size[left], size[right])
             ok = 1 + np.minimum(size[left] - place[left], size[right] - place[right]) - 1 >= need
             left, right, need = left[ok], right[ok], need[ok]
-            apart = np.bitwise_count(sketch[row[left]] ^ sketch[row[right]]).sum(axis=1, dtype=np.int64)
-            ok = apart <= size[left] + size[right] - 2 * need
+            ok = sketches.apart(row[left], row[right]) <= size[left] + size[right] - 2 * need
             a, b = rids[row[left[ok]]], rids[row[right[ok]]]
             found = np.empty(len(a), seen.dtype)
             found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
@@ -239,11 +276,11 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = _postings(sets, counts, k, sim, parts).repartitionById(parts, F.col("part"))
     pairs = written(postings.mapInArrow(_candidates(sim), "a long, b long").distinct(), "pairs")
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("rid"), "a", "b").join(sets.select("rid", "text"), "rid")
-    both = sides.groupBy("a", "b").agg(F.max(F.when(F.col("rid") == F.col("a"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("rid") == F.col("b"), F.col("text"))).alias("text_b"))
-    links = both.mapInArrow(_verified(k, sim), "a long, b long, common int, all int")
+    full = sets.select("rid", "text")
+    both = pairs.join(full.withColumnsRenamed({"rid": "a", "text": "text_a"}), "a").join(full.withColumnsRenamed({"rid": "b", "text": "text_b"}), "b")
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, sim), "a long, b long, common int, all int")
     classes = rows.select("space", "key", "mark").distinct().join(sets.select("space", "mark", F.col("rid").alias("class_id")), ["space", "mark"]).drop("mark")
-    return classes, links
+    return written(classes, "classes"), links
 
 
 def pairs_of_records(classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirestone.functions.text import token_count
 from quirestone.llm.leaks import leaked_spans
 from quirestone.llm.looks import consistent, look_alike_pairs
 from quirestone.llm.neardup import groups_of_records, near_duplicates, pairs_of_records
+from quirestone.llm.pack import packed, token_sizes
+from quirestone.llm.split import split_oversized
 from quirestone.llm.topn import top_n
+from quirestone.operators.skew import hot_keys, repeat, spread
 from quirestone.sources.tables import table
 
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("QUIRESTONE_TOKENIZERS", "/opt/tokenizers")
+#: Tokens of a piece, and tokens that it repeats of the one before.
+LIMIT, OVERLAP = 500, 50
+
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -90,3 +101,52 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_normalized(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text in its consistent form."""
     return consistent(table(spark, folder, "documents"), key="doc_id", text="text")
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of oversized paragraphs, and of cited paragraphs together with their header path."""
+    paragraphs = table(spark, folder, "elements").filter("element_type = 'paragraph'").select("element_id", "content")
+    header = F.array_join("header_path", "\n")
+    cited = table(spark, folder, "citations").select("query_id", "citation_id", "chunk_id", header.alias("header")).filter("chunk_id is not null").distinct()
+    most = cited.agg(F.max(token_count(F.col("header")))).first()[0] or 0
+    # no shorter paragraph can exceed the limit, whichever header it has
+    long_ = paragraphs.filter(token_count(F.col("content")) > LIMIT - most).groupBy(F.col("element_id").alias("chunk_id")).agg(F.min("content").alias("content"))
+    hot = hot_keys(cited, ["chunk_id"])
+    joined = spread(cited, hot, ["chunk_id"], ["query_id", "citation_id"]).join(repeat(long_, hot, ["chunk_id"]), ["chunk_id", "__salt"])
+    items = joined.select(
+        F.lit("citations").alias("source_table"), F.concat_ws("/", "query_id", "citation_id").alias("item_key"), F.concat_ws("\n\n", F.nullif("header", F.lit("")), "content").alias("text")
+    ).unionByName(
+        paragraphs.filter(token_count(F.col("content")) > LIMIT).groupBy("element_id").agg(F.min("content").alias("text")).select(F.lit("elements").alias("source_table"), F.col("element_id").alias("item_key"), "text")
+    )
+    return split_oversized(items, keys=["source_table", "item_key"], text="text", limit=LIMIT, overlap=OVERLAP)
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs and citations that had to be split."""
+    return _pieces(spark, folder).filter("pieces > 1").select("source_table", "item_key").distinct()
+
+
+@query
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of all oversized paragraphs and citations."""
+    return _pieces(spark, folder)
+
+
+_WS = r"[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+ORACLE_SQL["p2_found"] = f"""
+WITH e AS (
+  SELECT element_id, coalesce(max(len(regexp_extract_all(content, '{_WS}'))), 0) AS n FROM elements WHERE element_type = 'paragraph' GROUP BY element_id
+)
+SELECT DISTINCT 'elements' AS source_table, element_id AS item_key FROM e WHERE n > 500
+UNION ALL
+SELECT DISTINCT 'citations', query_id || '/' || citation_id FROM citations JOIN e ON chunk_id = element_id
+WHERE n + coalesce(list_sum(list_transform(header_path, lambda x: len(regexp_extract_all(x, '{_WS}')))), 0) > 500
+"""
+
+
+@query
+def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in containers of 2,048 tokens of the multilingual byte-level BPE vocabulary."""
+    sizes = token_sizes(table(spark, folder, "documents"), key="doc_id", text="text", ranks_file=f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    return packed(sizes, key="doc_id", size="size", capacity=2048)
