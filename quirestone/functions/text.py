@@ -37,6 +37,11 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_WS_CLASS + "+")), F.lit(0))
 
 
+def has_more_tokens(text: Column, n: int) -> Column:
+    """Whether ``text`` has more than ``n`` tokens; most texts are too short for that and aren't searched."""
+    return (F.length(text) > 2 * n) & (token_count(text) > n)
+
+
 def first_tokens(text: Column, n: Column) -> Column:
     """``text`` up to the end of its n-th token, the white space inside kept as it is."""
     pieces = F.regexp_extract_all(text, F.lit(f"({WS_CLASS}*{NOT_WS_CLASS}+)"), F.lit(1))
