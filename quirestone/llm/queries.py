@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestone.functions.text import token_count
+from quirestone.functions.text import has_more_tokens, token_count
 from quirestone.llm.leaks import leaked_spans
 from quirestone.llm.looks import consistent, look_alike_pairs
 from quirestone.llm.neardup import groups_of_records, near_duplicates, pairs_of_records
@@ -110,13 +110,13 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     cited = table(spark, folder, "citations").select("query_id", "citation_id", "chunk_id", header.alias("header")).filter("chunk_id is not null").distinct()
     most = cited.agg(F.max(token_count(F.col("header")))).first()[0] or 0
     # no shorter paragraph can exceed the limit, whichever header it has
-    long_ = paragraphs.filter(token_count(F.col("content")) > LIMIT - most).groupBy(F.col("element_id").alias("chunk_id")).agg(F.min("content").alias("content"))
+    long_ = paragraphs.filter(has_more_tokens(F.col("content"), LIMIT - most)).groupBy(F.col("element_id").alias("chunk_id")).agg(F.min("content").alias("content"))
     hot = hot_keys(cited, ["chunk_id"])
     joined = spread(cited, hot, ["chunk_id"], ["query_id", "citation_id"]).join(repeat(long_, hot, ["chunk_id"]), ["chunk_id", "__salt"])
     items = joined.select(
         F.lit("citations").alias("source_table"), F.concat_ws("/", "query_id", "citation_id").alias("item_key"), F.concat_ws("\n\n", F.nullif("header", F.lit("")), "content").alias("text")
     ).unionByName(
-        paragraphs.filter(token_count(F.col("content")) > LIMIT).groupBy("element_id").agg(F.min("content").alias("text")).select(F.lit("elements").alias("source_table"), F.col("element_id").alias("item_key"), "text")
+        paragraphs.filter(has_more_tokens(F.col("content"), LIMIT)).groupBy("element_id").agg(F.min("content").alias("text")).select(F.lit("elements").alias("source_table"), F.col("element_id").alias("item_key"), "text")
     )
     return split_oversized(items, keys=["source_table", "item_key"], text="text", limit=LIMIT, overlap=OVERLAP)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirestone.functions.text import token_count
+from quirestone.functions.text import has_more_tokens
 
 _TOKEN = re.compile(r"\S+")
 _SENTENCE_END = re.compile(r"""[.!?…。！？][)\]"'»”’]*$""")
@@ -114,7 +114,7 @@ def split_oversized(df: DataFrame, *, keys: list[str], text: str, limit: int = 5
             taken = [batch.column(k).take(pa.array(row, pa.int64())) for k in names]
             yield pa.RecordBatch.from_arrays([*taken, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], [*names, "piece", "pieces", "first_token", "end_token", "repeated", "piece_text"])
 
-    taken = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("text")).filter(token_count(F.col("text")) > limit)
+    taken = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("text")).filter(has_more_tokens(F.col("text"), limit))
     fields = [taken.schema[n] for n in names] + [T.StructField(n, T.IntegerType()) for n in ("piece", "pieces", "first_token", "end_token", "repeated")] + [T.StructField("piece_text", T.StringType())]
     found = taken.mapInArrow(cut, T.StructType(fields))
     return found.withColumnsRenamed(dict(zip(names, keys)))
