@@ -35,3 +35,16 @@ def repeat(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``__salt``: each row once for every part of its key."""
     last = F.coalesce(F.col("__parts"), F.lit(1)) - 1
     return df.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__parts")
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], over: Sequence[str], how: str = "inner", rows: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    """Join on ``keys``; a key that very many rows of ``left`` have is spread by the columns ``over``.
+
+    ``right`` should have few rows a key: those of a hot key go to each of its parts. ``how`` is
+    ``inner``, ``left`` or ``left_semi``. The hot keys are counted in ``left``, unless they are given;
+    so ``left`` should be cheap to read.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"can't spread a join of type {how}")
+    hot = hot_keys(left, keys, rows) if hot is None else hot
+    return spread(left, hot, keys, over).join(repeat(right, hot, keys), [*keys, "__salt"], how).drop("__salt")

@@ -54,14 +54,29 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of any executor. Each call writes to a path of its own;
-    the folder is the session's checkpoint folder, which is cleared with the application's other
-    checkpoints.
+    Cuts the lineage and survives the loss of any executor. Each call writes to a path of its own,
+    which stays until ``clear_written`` is called, as results that aren't computed yet may read it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quirestone-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(spark)}/quirestone-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete all tables that ``written`` has made; DataFrames made from them can't be computed any more.
+
+    Returns the number of tables.
+    """
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
