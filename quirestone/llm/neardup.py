@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirestone.llm.words import mix, shingles, words
+from quirestone.operators.skew import hot_keys, join_spread
 from quirestone.session import written
 
 #: Counters of the shingle statistics, 4 bytes each: a fixed size, whatever the corpus.
@@ -260,7 +261,7 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     * links: ``a`` < ``b`` (class ids), ``common`` and ``all``: numbers of distinct shingles that
       both or any of them have. Every pair of classes that reaches the similarity, once.
 
-    Class ids hold within one call only. Only records with the same ``space`` are compared. A record
+    A class id is the digest of the text and the space. Only records with the same ``space`` are compared. A record
     may come repeatedly; if a key has several texts, it is in several classes. Other columns are
     ignored. Nothing is left out: a shingle in the prefixes of more than ``HOT_SETS`` sets is
     spread over pairs of blocks of these.
@@ -269,17 +270,18 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     if not 0 < sim <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     rows = records.select((F.col(space) if space else F.lit("")).cast("string").alias("space"), F.col(key).alias("key"), F.col(text).alias("text")).dropna()
-    rows = rows.withColumn("mark", F.unhex(F.md5("text")))
     longer = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")) >= max(min_words or k, k)
-    sets = written(rows.groupBy("space", "mark").agg(F.first("text").alias("text")).filter(longer).withColumn("rid", F.monotonically_increasing_id()), "sets")
+    rows = rows.filter(longer).withColumn("mark", F.md5("text"))
+    sets = written(rows.groupBy("space", "mark").agg(F.first("text").alias("text")).withColumn("rid", F.monotonically_increasing_id()), "sets")
     counts = spark.sparkContext.broadcast(shingle_counts(sets, k))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = _postings(sets, counts, k, sim, parts).repartitionById(parts, F.col("part"))
-    pairs = written(postings.mapInArrow(_candidates(sim), "a long, b long").distinct(), "pairs")
-    full = sets.select("rid", "text")
-    both = pairs.join(full.withColumnsRenamed({"rid": "a", "text": "text_a"}), "a").join(full.withColumnsRenamed({"rid": "b", "text": "text_b"}), "b")
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, sim), "a long, b long, common int, all int")
-    classes = rows.select("space", "key", "mark").distinct().join(sets.select("space", "mark", F.col("rid").alias("class_id")), ["space", "mark"]).drop("mark")
+    pairs = written(postings.mapInArrow(_candidates(sim), "x long, y long").distinct(), "pairs")
+    side = lambda c, v: sets.select(F.col("rid").alias(c), F.concat_ws(":", "mark", "space").alias(v), F.col("text").alias(f"text_{v}"))
+    both = join_spread(join_spread(pairs, side("x", "a"), ["x"], ["y"]), side("y", "b"), ["y"], ["x"], hot=hot_keys(pairs, ["y"]))
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, sim), "a string, b string, common int, all int")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "all")
+    classes = rows.select("space", "key", F.concat_ws(":", "mark", "space").alias("class_id")).distinct()
     return written(classes, "classes"), links
 
 
@@ -290,8 +292,9 @@ def pairs_of_records(classes: DataFrame, links: DataFrame) -> DataFrame:
     """
     copied = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     linked = links.select("a", "b").unionByName(copied)
-    left, right = (classes.select(F.col("class_id").alias(c), "space", F.col("key").alias(f"_{c}")) for c in "ab")
-    both = linked.join(left, "a").join(right.drop("space"), "b").filter((F.col("a") != F.col("b")) & (F.col("_a") != F.col("_b")) | (F.col("_a") < F.col("_b")))
+    side = lambda c: classes.select(F.col("class_id").alias(c), F.col("key").alias(f"_{c}"), *["space"][: c == "a"])
+    some = written(join_spread(side("a"), linked, ["a"], ["_a"]), "some")
+    both = join_spread(some, side("b"), ["b"], ["_a", "a"]).filter((F.col("a") != F.col("b")) & (F.col("_a") != F.col("_b")) | (F.col("_a") < F.col("_b")))
     return both.select("space", F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
 
 
@@ -307,9 +310,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = join_spread(both.filter("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = join_spread(large, least, ["u"], ["v"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         now = written(small, "edges")
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if sums == before:
@@ -328,7 +331,9 @@ def groups_of_records(classes: DataFrame, links: DataFrame) -> DataFrame:
     """
     links = written(links, "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    rooted = classes.join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "class_id"))
-    named = rooted.groupBy("space", "root").agg(F.min("key").alias("group_key"))
-    return rooted.join(named, ["space", "root"]).select("space", "key", "group_key", F.coalesce("links", F.lit(0)).alias("links"))
+    each = classes.groupBy("space", "class_id").agg(F.min("key").alias("least_key"))
+    rooted = each.join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
+    rooted = written(rooted.select("space", "class_id", "least_key", F.coalesce("root", "class_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "roots")
+    named = rooted.groupBy("root").agg(F.min("least_key").alias("group_key"))
+    of_class = join_spread(rooted, named, ["root"], ["class_id"]).select("class_id", "group_key", "links")
+    return join_spread(classes, of_class, ["class_id"], ["key"]).select("space", "key", "group_key", "links")
