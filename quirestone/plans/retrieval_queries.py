@@ -9,6 +9,7 @@ from quirestone.operators.candidates import drop_reasons, drop_summary, exact_du
 from quirestone.operators.context import SYSTEM_PROMPT, budgeted, citation_line, context_statistics, prompts, routed
 from quirestone.operators.elements import once, rendered
 from quirestone.operators.search import nearest
+from quirestone.operators.skew import join_spread
 from quirestone.plans import sql
 from quirestone.plans.document_queries import _ONCE, _RENDERED
 from quirestone.sources.tables import table
@@ -119,7 +120,7 @@ SELECT query_id, min(rank) AS first_rank, count(*) AS merged, min(chunk_index) A
 def adjacent_merge(spark, folder):
     """Citations of a query that follow each other in their document, as one."""
     texts = table(spark, folder, "elements").groupBy(F.col("element_id").alias("chunk_id")).agg(F.min("content").alias("text"))
-    c = _cited(spark, folder).join(texts, "chunk_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("score", F.lit(0.0))
+    c = join_spread(_cited(spark, folder), texts, ["chunk_id"], ["query_id"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("score", F.lit(0.0))
     m = merged_neighbours(c, group=["query_id"], rank="rank", document="document_id", path="header_path", index="chunk_index", text="text", score="score")
     return m.select("query_id", "first_rank", "merged", "first_index", "last_index", F.sha2("text", 256).alias("text_hash"))
 
@@ -153,7 +154,7 @@ context AS (SELECT query_id, rank, 'c' || rank AS citation_id, document_id, page
 
 def _context(spark: SparkSession, folder: str) -> DataFrame:
     texts = once(table(spark, folder, "elements")).select(F.col("element_id").alias("chunk_id"), rendered().alias("text")).groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return budgeted(_cited(spark, folder).drop("citation_id").join(texts, "chunk_id"), query="query_id", rank="rank", text="text", budget=400)
+    return budgeted(join_spread(_cited(spark, folder).drop("citation_id"), texts, ["chunk_id"], ["query_id"]), query="query_id", rank="rank", text="text", budget=400)
 
 
 @query(f"{_CONTEXT} SELECT query_id, citation_id, tokens_before, tokens, truncated, text FROM context")
