@@ -89,7 +89,8 @@ def qualified(queries: DataFrame, *, text: str, parameters: tuple[str, ...] = PA
 def clarifications(qualified_queries: DataFrame, key: str) -> DataFrame:
     """One row for each thing to ask back: ``kind`` and ``parameter``, in the order ``ord``."""
     kinds = ("missing", "ambiguous", "conflicting")
-    asked = F.concat(*[F.transform(k, lambda p, k=k: F.struct(F.lit(k).alias("kind"), p.alias("parameter"))) for k in kinds])
+    of = lambda kind: F.transform(kind, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("parameter")))
+    asked = F.concat(*map(of, kinds))
     return qualified_queries.select(key, F.posexplode(asked).alias("ord", "x")).select(key, "ord", "x.kind", "x.parameter")
 
 

@@ -37,6 +37,8 @@ def _scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
 def _searched(shared, metric: str, k: int, threshold: float | None):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, filters = shared.value
+        if not len(ids):
+            return
         best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             if not batch.num_rows:
@@ -87,7 +89,7 @@ def nearest(
         if not block and found is not None:
             continue
         ids = np.array([r["id"] for r in block], np.int64)
-        matrix = np.array([r["vector"] for r in block], np.float64).reshape(len(block), -1)
+        matrix = np.array([r["vector"] for r in block], np.float64)
         shared = spark.sparkContext.broadcast((ids, matrix, np.array([r["filter"] for r in block], object) if match else None))
         one = taken.mapInArrow(_searched(shared, metric, k, threshold if metric != "euclid" else None), "query_id long, id long, score double")
         found = one if found is None else found.unionByName(one)
