@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 # The 29 white-space characters, once as a regular-expression class, once as characters.
 WS_CLASS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS_CLASS = WS_CLASS.replace("[", "[^", 1)
+_OTHER_WS_CLASS = WS_CLASS.replace(r"\x{20}", r"\x{1f}")
 WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
+# For Java's engine, which tests the parts of a class in order: first what most characters are, then the rest.
+_TOKEN = f"[!-~{NOT_WS_CLASS}]++"
+_RUN = f"[[^!-~]&&{WS_CLASS}]"
+_RUN_BUT_ONE_SPACE = f" {_RUN}++|[[^ -~]&&{_OTHER_WS_CLASS}]{_RUN}*+"
+
 
 def trim_ws(text: Column) -> Column:
     """``text`` without white space at both ends."""
@@ -29,12 +35,12 @@ def is_blank(text: Column) -> Column:
 
 def normalize_ws(text: Column) -> Column:
     """Every run of white space becomes one space; none at the ends."""
-    return F.btrim(F.regexp_replace(text, WS_CLASS + "+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, _RUN_BUT_ONE_SPACE, " "), F.lit(" "))
 
 
 def token_count(text: Column) -> Column:
     """Number of maximal runs of other characters than white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(NOT_WS_CLASS + "+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(_TOKEN)), F.lit(0))
 
 
 def has_more_tokens(text: Column, n: int) -> Column:
@@ -44,7 +50,7 @@ def has_more_tokens(text: Column, n: int) -> Column:
 
 def first_tokens(text: Column, n: Column) -> Column:
     """``text`` up to the end of its n-th token, the white space inside kept as it is."""
-    pieces = F.regexp_extract_all(text, F.lit(f"({WS_CLASS}*{NOT_WS_CLASS}+)"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(f"({_RUN}*+{_TOKEN})"), F.lit(1))
     return F.array_join(F.slice(pieces, F.lit(1), F.greatest(n, F.lit(0))), "")
 
 

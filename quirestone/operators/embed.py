@@ -23,10 +23,12 @@ class EmbeddingProvider(Protocol):
 
 def mock_embedding(text: Column, dimensions: int) -> Column:
     """A deterministic vector: bytes of sha256("text:counter") over 255, as many blocks as needed."""
-    norm = normalize_ws(text)
-    blocks = F.array(*[F.sha2(F.concat(norm, F.lit(f":{i}")), 256) for i in range(-(-dimensions // 32))])
-    byte = lambda i: F.conv(F.substr(F.element_at(blocks, (F.floor(i / 32) + 1).cast("int")), (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), byte)
+    # a lambda's variable is computed once, where an expression in its place would be for every byte
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    digits = lambda norm: F.concat(*[F.sha2(F.concat(norm, F.lit(f":{i}")), 256) for i in range(-(-dimensions // 32))])
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    byte = lambda hexed, i: F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0
+    return let(let(normalize_ws(text), digits), lambda hexed: F.when(hexed.isNotNull(), F.transform(places, lambda i: byte(hexed, i))))
 
 
 def is_valid_vector(vector: Column, dimensions: int) -> Column:
