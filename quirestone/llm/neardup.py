@@ -14,7 +14,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirestone.llm.words import mix, shingles, words
@@ -250,6 +250,14 @@ def _verified(k: int, sim: Fraction):
     return verify
 
 
+def _has_words(text: Column, n: int) -> Column:
+    """Whether a text has ``n`` words; nothing is read behind the n-th."""
+    word = r"[a-z0-9[\p{L}\p{N}]]++"
+    if n > 100:
+        return F.regexp_count(F.lower(text), F.lit(word)) >= n
+    return F.lower(text).rlike(rf"^[^\p{{L}}\p{{N}}]*+(?:{word}[^\p{{L}}\p{{N}}]*+){{{n}}}")
+
+
 def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | None = None, k: int = 5, similarity: float | str = "0.8", min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of texts whose shingles of ``k`` words have a Jaccard similarity of ``similarity`` or more.
 
@@ -270,8 +278,7 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     if not 0 < sim <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     rows = records.select((F.col(space) if space else F.lit("")).cast("string").alias("space"), F.col(key).alias("key"), F.col(text).alias("text")).dropna()
-    longer = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")) >= max(min_words or k, k)
-    rows = rows.filter(longer).withColumn("mark", F.md5("text"))
+    rows = rows.filter(_has_words(F.col("text"), max(min_words or k, k))).withColumn("mark", F.md5("text"))
     sets = written(rows.groupBy("space", "mark").agg(F.first("text").alias("text")).withColumn("rid", F.monotonically_increasing_id()), "sets")
     counts = spark.sparkContext.broadcast(shingle_counts(sets, k))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
