@@ -87,13 +87,12 @@ def section_sequences(blocks: DataFrame) -> DataFrame:
 def grouped_references(references: DataFrame) -> DataFrame:
     """References of each section by type, each once, in the order in which they were first retrieved.
 
-    ``proposal_id``, ``section_id`` and the arrays ``authoring``, ``technical``, ``blueprint``.
+    ``proposal_id``, ``section_id``, ``reference_type``, ``place`` (from 1) and ``reference_id``; rows, as
+    a group may be of any size.
     """
     first = references.groupBy("proposal_id", "section_id", "reference_type", "reference_id").agg(F.min(F.struct("query_ord", "retrieved_at")).alias("at"))
-    row = F.struct("at", "reference_id")
-    types = ("authoring", "technical", "blueprint")
-    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("reference_type") == t, row))), lambda x: x["reference_id"]).alias(t) for t in types]
-    return first.groupBy("proposal_id", "section_id").agg(*lists)
+    order = Window.partitionBy("proposal_id", "section_id", "reference_type").orderBy("at", "reference_id")
+    return first.select("proposal_id", "section_id", "reference_type", F.row_number().over(order).alias("place"), "reference_id")
 
 
 def component_ids(blocks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from quirestone.functions.text import uuid5
 from quirestone.operators.candidates import drop_reasons, merged_neighbours, without_near_duplicates
 from quirestone.operators.chunk import chunk_elements, chunks
 from quirestone.operators.context import budgeted, prompts
+from quirestone.operators.elements import once as unique
 from quirestone.operators.embed import EmbeddingProvider, embedded, mock_embedding
 from quirestone.operators.enrich import enriched, payload
 from quirestone.operators.index import not_yet_indexed
@@ -32,7 +33,9 @@ def index(
 
     Without a provider vectors are made of hashes, the same on every run.
     """
-    prints = elements.groupBy("doc_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("element_id")), ","), 256).alias("document_fingerprint"), F.min("source_document").alias("title"))
+    elements = unique(elements)
+    total = F.sum(F.xxhash64("element_id", "content").cast("decimal(38,0)"))  # whatever the order of the elements
+    prints = elements.groupBy("doc_id").agg(F.sha2(F.concat_ws(":", "doc_id", total.cast("string"), F.count(F.lit(1)).cast("string")), 256).alias("document_fingerprint"), F.min("source_document").alias("title"))
     if indexed is not None:
         prints = not_yet_indexed(prints, indexed, fingerprint="document_fingerprint")
         elements = elements.join(prints.select("doc_id"), "doc_id", "left_semi")

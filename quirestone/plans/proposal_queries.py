@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirestone.operators.planning import answers, assembly_errors, generation_strategy, review_findings, section_queries
 from quirestone.operators.transport import (
     block_errors,
     component_ids,
@@ -90,14 +91,11 @@ def plan_differences(spark, folder):
 
 @query(
     """WITH f AS (SELECT proposal_id, section_id, reference_type, reference_id, min({'o': query_ord, 't': retrieved_at}) AS seen FROM retrieved_refs GROUP BY ALL)
-SELECT proposal_id, section_id, coalesce(string_agg(reference_id, ',' ORDER BY seen, reference_id) FILTER (WHERE reference_type = 'authoring'), '') AS authoring,
-coalesce(string_agg(reference_id, ',' ORDER BY seen, reference_id) FILTER (WHERE reference_type = 'technical'), '') AS technical, coalesce(string_agg(reference_id, ',' ORDER BY seen, reference_id) FILTER (WHERE reference_type = 'blueprint'), '') AS blueprint
-FROM f GROUP BY 1, 2"""
+SELECT proposal_id, section_id, reference_type, reference_id, row_number() OVER (PARTITION BY proposal_id, section_id, reference_type ORDER BY seen, reference_id) AS place FROM f"""
 )
 def reference_groups(spark, folder):
     """References of every section by type, in the order in which they came."""
-    g = grouped_references(table(spark, folder, "retrieved_refs"))
-    return g.select("proposal_id", "section_id", *[F.array_join(t, ",").alias(t) for t in ("authoring", "technical", "blueprint")])
+    return grouped_references(table(spark, folder, "retrieved_refs")).withColumn("place", F.col("place").cast("long"))
 
 
 def _uuid5_sql(name: str) -> str:
@@ -151,3 +149,82 @@ def slot_spread(spark, folder):
 def block_statistics(spark, folder):
     """Blocks by proposal and type, with subtotals."""
     return _blocks(spark, folder).cube("proposal_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("section_id").alias("sections"))
+
+
+_NEEDS = """needs AS (SELECT proposal_id, section_id, min(query_ord) AS ord, bool_or(reference_type = 'authoring') AS authoring, bool_or(reference_type = 'technical') AS technical, bool_or(reference_type = 'blueprint') AS blueprint
+FROM retrieved_refs GROUP BY ALL)"""
+
+
+def _needs(spark: SparkSession, folder: str) -> DataFrame:
+    flags = [F.max(F.col("reference_type") == t).alias(t) for t in ("authoring", "technical", "blueprint")]
+    return table(spark, folder, "retrieved_refs").groupBy("proposal_id", "section_id").agg(F.min("query_ord").alias("ord"), *flags)
+
+
+@query(
+    f"""WITH {_NEEDS}, q AS (SELECT proposal_id, ord, section_id, 1 AS i, 'authoring' AS t FROM needs WHERE authoring UNION ALL SELECT proposal_id, ord, section_id, 2, 'technical' FROM needs WHERE technical
+UNION ALL SELECT proposal_id, ord, section_id, 3, 'blueprint' FROM needs WHERE blueprint)
+SELECT proposal_id, row_number() OVER (PARTITION BY proposal_id ORDER BY ord, i) AS query_ord, section_id, t AS reference_type,
+replace(section_id, '_', ' ') || ' | ' || t || ' | general' || CASE WHEN t = 'technical' THEN ' | ' || proposal_id ELSE '' END AS query FROM q"""
+)
+def section_searches(spark, folder):
+    """The searches of every proposal's sections."""
+    plan = _needs(spark, folder).select("*", F.translate("section_id", "_", " ").alias("title"), F.lit("general").alias("kind"), F.array("proposal_id").alias("requirements"))
+    return section_queries(plan, key="proposal_id").select("proposal_id", F.col("query_ord").cast("long").alias("query_ord"), "section_id", "reference_type", "query")
+
+
+@query(
+    """WITH n AS (SELECT proposal_id, section_id, count(DISTINCT reference_id) FILTER (WHERE reference_type = 'authoring') AS a, count(DISTINCT reference_id) FILTER (WHERE reference_type = 'technical') AS t,
+count(DISTINCT reference_id) FILTER (WHERE reference_type = 'blueprint') AS b FROM retrieved_refs GROUP BY ALL)
+SELECT proposal_id, section_id, CASE WHEN a > 0 AND t > 0 THEN 'combined' WHEN t > 0 THEN 'technical' WHEN a > 0 OR b > 0 THEN 'reference_based' ELSE 'user_input_only' END AS strategy FROM n"""
+)
+def generation_strategies(spark, folder):
+    """How every section is written."""
+    types = [F.count_if(F.col("reference_type") == t).alias(t) for t in ("authoring", "technical", "blueprint")]
+    g = table(spark, folder, "retrieved_refs").groupBy("proposal_id", "section_id").agg(*types)
+    return g.select("proposal_id", "section_id", generation_strategy(F.col("authoring"), F.col("technical"), F.col("blueprint")).alias("strategy"))
+
+
+_PLAN_AND_PARTS = f"""{_ONCE}, {_NEEDS}, c AS (SELECT proposal_id, section_id, path, ord, coalesce(text, '') AS text, reference_ids FROM once WHERE type = 'paragraph'),
+p AS (SELECT proposal_id, section_id, count(*) AS planned FROM needs GROUP BY ALL), g AS (SELECT proposal_id, section_id, count(*) AS given FROM c GROUP BY ALL),
+e AS (SELECT coalesce(p.proposal_id, g.proposal_id) AS proposal_id, coalesce(p.section_id, g.section_id) AS section_id, coalesce(planned, 0) AS planned, coalesce(given, 0) AS given
+  FROM p FULL JOIN g ON p.proposal_id = g.proposal_id AND p.section_id = g.section_id),
+errors AS (SELECT proposal_id, section_id, 'duplicate_content' AS error FROM e WHERE given > 1 UNION ALL SELECT proposal_id, section_id, 'missing_content' FROM e WHERE given = 0
+  UNION ALL SELECT proposal_id, section_id, 'unplanned_content' FROM e WHERE planned = 0)"""
+
+
+def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return _blocks(spark, folder).filter("type = 'paragraph'").select("proposal_id", "section_id", "block_id", "ord", F.coalesce("text", F.lit("")).alias("text"), "reference_ids")
+
+
+@query(f"WITH {_PLAN_AND_PARTS} SELECT * FROM errors")
+def assembly_problems(spark, folder):
+    """Sections with no paragraph, more than one, or none planned."""
+    return assembly_errors(_needs(spark, folder), _paragraphs(spark, folder), key="proposal_id", part="section_id")
+
+
+@query(
+    f"""WITH {_PLAN_AND_PARTS}, f AS (SELECT proposal_id, section_id, error AS finding, NULL AS detail FROM errors
+UNION ALL SELECT proposal_id, section_id, 'empty_content', NULL FROM c WHERE {sql.blank('text')}
+UNION ALL SELECT DISTINCT proposal_id, section_id, 'unknown_reference', r FROM (SELECT proposal_id, section_id, unnest(reference_ids) AS r FROM c) WHERE r IS NULL OR (proposal_id, r) NOT IN (SELECT (proposal_id, reference_id) FROM knowledge_refs))
+SELECT finding, count(*) AS n, count(DISTINCT proposal_id) AS proposals, count(DISTINCT detail) AS details FROM f GROUP BY 1"""
+)
+def review_summary(spark, folder):
+    """What a review of all paragraphs finds, counted."""
+    f = review_findings(_needs(spark, folder), _paragraphs(spark, folder), table(spark, folder, "knowledge_refs"), key="proposal_id", part="section_id").filter("finding <> 'out_of_order'")
+    return f.groupBy("finding").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("proposal_id").alias("proposals"), F.count_distinct("detail").alias("details"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT query_id, citation_id, document_id, header_path FROM citations),
+r AS (SELECT query_id, list_distinct(list(candidate_index)) AS cited FROM rerank_scores WHERE query_id IN (SELECT query_id FROM citations) AND relevance_score > 0.8 AND isfinite(relevance_score) AND candidate_index < 20 GROUP BY 1)
+SELECT r.query_id, (SELECT count(DISTINCT citation_id) FROM d WHERE d.query_id = r.query_id AND list_contains(r.cited, CAST(substr(citation_id, 2) AS INTEGER))) AS supported,
+(SELECT count(*) FROM (SELECT unnest(r.cited) AS i) WHERE 'c' || i NOT IN (SELECT citation_id FROM d WHERE d.query_id = r.query_id)) AS unsupported FROM r"""
+)
+def answer_support(spark, folder):
+    """Of the first 20 candidates with a score above 0.8, how many each query's context has."""
+    context = table(spark, folder, "citations").select("query_id", "citation_id", "document_id", "header_path").groupBy("query_id", "citation_id").agg(F.min("document_id").alias("document_id"), F.min("header_path").alias("header_path"))
+    scores = table(spark, folder, "rerank_scores").filter((F.col("candidate_index") < 20) & (F.col("relevance_score") > 0.8) & ~F.isnan("relevance_score") & (F.col("relevance_score") < float("inf")))
+    # of a query, at most the candidates of its budget come together
+    cited = scores.join(context.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.transform(F.collect_set("candidate_index"), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("cited"))
+    a = answers(cited.withColumn("text", F.lit("")), context, query="query_id")
+    return a.select("query_id", F.coalesce(F.size("citations"), F.lit(0)).cast("long").alias("supported"), F.size("unsupported").cast("long").alias("unsupported"))

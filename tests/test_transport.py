@@ -70,8 +70,8 @@ def test_plan(spark):
 
 def test_reference_groups(spark):
     rows = [("p", 2, "s", "technical", "t2", T), ("p", 1, "s", "technical", "t1", T), ("p", 3, "s", "technical", "t1", T), ("p", 1, "s", "authoring", "a", T)]
-    g = grouped_references(spark.createDataFrame(rows, "proposal_id string, query_ord int, section_id string, reference_type string, reference_id string, retrieved_at timestamp")).first()
-    assert (g.authoring, g.technical, g.blueprint) == (["a"], ["t1", "t2"], [])
+    g = grouped_references(spark.createDataFrame(rows, "proposal_id string, query_ord int, section_id string, reference_type string, reference_id string, retrieved_at timestamp"))
+    assert sorted((r.reference_type, r.place, r.reference_id) for r in g.collect()) == [("authoring", 1, "a"), ("technical", 1, "t1"), ("technical", 2, "t2")]
 
 
 def test_component_ids(spark):
