@@ -176,10 +176,42 @@ def validation_statistics(spark, folder):
     return statistics(_elements(spark, folder), _sections(spark, folder))
 
 
-@query()
+_CHUNKS = f"""WITH RECURSIVE {_TREE}, {_ONCE}, ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY okey, section_id) AS section_order FROM tree),
+j AS (SELECT o.doc_id, o.containing_section_id AS section_id, o.element_id, o.order_index, o.element_type, {_RENDERED} AS text, coalesce(t.path, []) AS path, coalesce(t.section_order, 0) AS section_order
+  FROM once o LEFT JOIN ordered t ON o.doc_id = t.doc_id AND o.containing_section_id = t.section_id),
+k AS (SELECT *, length({sql.trim("array_to_string(path, chr(10))")}) AS head, {sql.tokens('text')} AS n FROM j),
+l AS (SELECT *, CASE WHEN head > 0 THEN head + 2 ELSE 0 END + coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id, section_id ORDER BY order_index, element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM k),
+g AS (SELECT doc_id, section_id, any_value(section_order) AS section_order, any_value(path) AS path, {sql.tokens("array_to_string(any_value(path), chr(10))")} AS h, count(*) AS c, list(n ORDER BY order_index, element_id) AS ns,
+  list(element_type ORDER BY order_index, element_id) AS kinds, list(text ORDER BY order_index, element_id) AS texts, list(order_index ORDER BY order_index, element_id) AS places,
+  list(s ORDER BY order_index, element_id) AS starts, list(s + length(text) ORDER BY order_index, element_id) AS ends FROM l GROUP BY doc_id, section_id),
+f AS (SELECT doc_id, section_id, 0::BIGINT AS i, 1::BIGINT AS a, FALSE AS fresh, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS done FROM g
+  UNION ALL
+  SELECT doc_id, section_id, i + 1, CASE WHEN is_table THEN i + 2 WHEN is_full THEN coalesce(list_max(list_filter(range(a, i + 1), lambda x: list_sum(ns[x:i]) >= 50)), a) ELSE a END, NOT is_table,
+    CASE WHEN is_table THEN list_concat(CASE WHEN fresh AND i >= a THEN [{{'a': a, 'b': i}}] ELSE [] END, [{{'a': i + 1, 'b': i + 1}}]) WHEN is_full THEN [{{'a': a, 'b': i}}] ELSE [] END
+  FROM (SELECT g.doc_id, g.section_id, i, a, fresh, ns, kinds[i + 1] = 'table' AS is_table, i >= a AND h + coalesce(list_sum(ns[a:i]), 0) + ns[i + 1] > 500 AS is_full
+    FROM f JOIN g ON f.doc_id = g.doc_id AND f.section_id IS NOT DISTINCT FROM g.section_id AND i < c)),
+ranges AS (SELECT doc_id, section_id, unnest(done) AS x FROM f UNION ALL SELECT f.doc_id, f.section_id, {{'a': a, 'b': i}} FROM f JOIN g ON f.doc_id = g.doc_id AND f.section_id IS NOT DISTINCT FROM g.section_id AND i = c WHERE fresh AND a <= i),
+chunks AS (SELECT g.doc_id, g.section_id, section_order, path, x.a, x.b, places[x.a] AS order_start, places[x.b] AS order_end, starts[x.a] AS char_start, ends[x.b] AS char_end,
+  CASE WHEN len(list_distinct(kinds[x.a:x.b])) = 1 THEN kinds[x.a] ELSE 'mixed' END AS element_type,
+  array_to_string(list_concat(CASE WHEN len(path) > 0 THEN [array_to_string(path, chr(10))] ELSE [] END, list_filter(texts[x.a:x.b], lambda t: NOT {sql.blank('t')})), chr(10) || chr(10)) AS text
+  FROM ranges r JOIN g ON r.doc_id = g.doc_id AND r.section_id IS NOT DISTINCT FROM g.section_id)"""
+
+
+_NUMBERED = f"""{_CHUNKS}, titles AS (SELECT doc_id, min(source_document) AS title FROM elements GROUP BY 1),
+points AS (SELECT c.*, title, row_number() OVER (PARTITION BY c.doc_id ORDER BY section_order, section_id NULLS FIRST, a, b) - 1 AS chunk_index FROM chunks c LEFT JOIN titles t ON c.doc_id = t.doc_id),
+ids AS (SELECT *, sha256(doc_id || coalesce(section_id, '') || chunk_index || {sql.norm('text')}) AS chunk_id, array_to_string(path, chr(10)) AS head FROM points)"""
+POINTS_SQL = f"{_NUMBERED} SELECT chunk_id, doc_id, chunk_index FROM ids"
+
+
+@query(
+    f"""{_CHUNKS} SELECT doc_id, section_id, order_start, order_end, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, element_type, {sql.tokens('text')} AS token_count, sha256(text) AS text_hash,
+row_number() OVER (PARTITION BY doc_id ORDER BY section_order, section_id NULLS FIRST, a, b) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM chunks"""
+)
 def section_chunks(spark, folder):
     """Chunks of 500 tokens with a tenth of overlap, of all library documents."""
-    return chunks(chunk_elements(_elements(spark, folder), _sections(spark, folder)))
+    c = chunks(chunk_elements(_elements(spark, folder), _sections(spark, folder)))
+    whole = {n: F.col(n).cast("long").alias(n) for n in ("char_start", "char_end", "token_count", "chunk_index")}
+    return c.select("doc_id", "section_id", "order_start", "order_end", whole["char_start"], whole["char_end"], "element_type", whole["token_count"], F.sha2("text", 256).alias("text_hash"), whole["chunk_index"], "total_chunks")
 
 
 @query(
@@ -214,12 +246,18 @@ def embedding_texts(spark, folder):
     return joined.select("element_id", embedding_text(F.col("source_document"), F.col("section_path"), F.col("element_type"), F.col("text")).alias("embedding_text"))
 
 
-@query()
+@query(
+    f"""{_NUMBERED} SELECT chunk_id, doc_id AS document_id, title AS document_title, section_id, coalesce(path[-1], '') AS section_title, element_type, chunk_index, sha256({sql.norm('text')}) AS content_hash,
+sha256(concat_ws(chr(10), CASE WHEN coalesce({sql.trim('title')}, '') <> '' THEN 'Document: ' || title END, CASE WHEN len(path) > 0 THEN 'Section Path: ' || array_to_string(path, ' > ') END, 'Element Type: ' || element_type) || chr(10) || chr(10)
+|| CASE WHEN head <> '' AND starts_with(text, head) THEN {sql.trim('substr(text, length(head) + 1)')} ELSE text END) AS embedding_hash FROM ids"""
+)
 def index_payloads(spark, folder):
-    """Enriched chunks as they are written to an index."""
+    """Enriched chunks as they are written to an index, the embedding text as its hash."""
     e = _elements(spark, folder)
     docs = e.groupBy("doc_id").agg(F.min("source_document").alias("title"))
-    return payload(enriched(chunks(chunk_elements(e, _sections(spark, folder))), docs))
+    p = payload(enriched(chunks(chunk_elements(e, _sections(spark, folder))), docs))
+    columns = ["chunk_id", "document_id", "document_title", "section_id", "section_title", "element_type"]
+    return p.select(*columns, F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash", F.sha2("embedding_text", 256).alias("embedding_hash"))
 
 
 @query(

@@ -20,6 +20,8 @@ from quirestone.operators.qualify import processed, qualified, rejection
 from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
 from quirestone.operators.transport import block_errors, once, render_operations, undeclared_references
+from quirestone.plans import proposal_queries
+from quirestone.plans.document_queries import POINTS_SQL
 from quirestone.session import written
 from quirestone.sources.tables import table
 
@@ -92,13 +94,17 @@ def _ask_eval_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _published_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the proposals that break no rule."""
-    return publish(table(spark, folder, "transport_blocks"), table(spark, folder, "knowledge_refs"))[1]
+    return publish(table(spark, folder, "transport_blocks"), table(spark, folder, "knowledge_refs"))[1].withColumn("op_ord", F.col("op_ord").cast("long"))
 
 
 def _index_points(spark: SparkSession, folder: str) -> DataFrame:
     """Points of all library documents, without their vectors."""
-    return index(table(spark, folder, "elements"), table(spark, folder, "sections")).select("chunk_id", "document_id", "chunk_index", uuid5(NAMESPACE_URL, F.col("chunk_id")).alias("point_uuid"), F.size("vector").alias("dimensions"))
+    return index(table(spark, folder, "elements"), table(spark, folder, "sections")).select("chunk_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), uuid5(NAMESPACE_URL, F.col("chunk_id")).alias("point_uuid"), F.size("vector").alias("dimensions"))
 
 
 QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points}
-ORACLE_SQL: dict[str, str] = {}
+_BROKEN = f"""SELECT proposal_id FROM transport_blocks JOIN ({proposal_queries.ORACLE_SQL['transport_errors']}) USING (block_id) UNION ALL SELECT proposal_id FROM ({proposal_queries.ORACLE_SQL['unknown_references']})"""
+ORACLE_SQL = {
+    "published_lines": f"SELECT * FROM ({proposal_queries.ORACLE_SQL['render_ops']}) WHERE proposal_id NOT IN ({_BROKEN})",
+    "indexed_points": f"SELECT chunk_id, doc_id AS document_id, chunk_index, {proposal_queries._uuid5_sql('chunk_id')} AS point_uuid, {DIMENSIONS} AS dimensions FROM ({POINTS_SQL})",
+}

@@ -104,7 +104,14 @@ def _cited(spark: SparkSession, folder: str) -> DataFrame:
     return c.withColumn("rank", F.substr("citation_id", F.lit(2)).cast("int"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CITED}, n AS (SELECT query_id, citation_id, chunk_id, place, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id, place) AS r
+  FROM (SELECT *, document_id || '/' || chunk_index AS place FROM cited)),
+f AS (SELECT DISTINCT query_id, 0::BIGINT AS r, CAST(NULL AS VARCHAR) AS citation_id, CAST(NULL AS VARCHAR) AS chunk_id, FALSE AS kept, CAST([] AS VARCHAR[]) AS chunks, CAST([] AS VARCHAR[]) AS places FROM n
+  UNION ALL SELECT query_id, r, citation_id, chunk_id, ok, CASE WHEN ok THEN list_append(chunks, chunk_id) ELSE chunks END, CASE WHEN ok THEN list_append(places, place) ELSE places END
+  FROM (SELECT n.*, f.chunks, f.places, NOT list_contains(chunks, n.chunk_id) AND NOT list_contains(places, n.place) AS ok FROM f JOIN n ON n.query_id = f.query_id AND n.r = f.r + 1 AND n.r <= 20))
+SELECT query_id, citation_id, chunk_id FROM f WHERE kept"""
+)
 def near_candidate_duplicates(spark, folder):
     """Candidates that are left when those with the chunk or the place of an accepted one are dropped."""
     c = _cited(spark, folder).withColumn("place", F.concat_ws("/", "document_id", "chunk_index"))

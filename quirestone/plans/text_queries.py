@@ -179,13 +179,25 @@ def query_parameters(spark, folder):
     return q.select("doc_id", "question", "document", "department", "version", F.size("ambiguous").cast("long").alias("ambiguous"), F.size("conflicting").cast("long").alias("conflicting"), "confidence")
 
 
-@query()
+@query(
+    _QUALIFIED_SQL[: _QUALIFIED_SQL.rindex("SELECT *, round")].replace("SELECT doc_id, question, per[1][1]", "SELECT doc_id, question, per, per[1][1]")
+    + """, a AS (SELECT doc_id, 0 AS k, 0 AS p, 'missing' AS kind, 'question' AS parameter FROM z WHERE question = ''
+UNION ALL SELECT doc_id, 1, i, 'ambiguous', ['document', 'department', 'version'][i] FROM z, (SELECT unnest([1, 2, 3]) AS i) WHERE len(list_filter(per[i], lambda w: regexp_matches(w, '(?i)\\s(or|and/or)\\s|/'))) > 0
+UNION ALL SELECT doc_id, 2, i, 'conflicting', ['document', 'department', 'version'][i] FROM z, (SELECT unnest([1, 2, 3]) AS i) WHERE len(list_distinct(per[i])) > 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, p) - 1 AS ord, kind, parameter FROM a"""
+)
 def query_clarifications(spark, folder):
     """What has to be asked back."""
-    return clarifications(qualified(_questions(spark, folder), text="q"), "doc_id")
+    return clarifications(qualified(_questions(spark, folder), text="q"), "doc_id").withColumn("ord", F.col("ord").cast("long"))
+
 
+_FILTER = " , ".join(f"CASE WHEN {p} IS NOT NULL THEN '\"{p}\":' || to_json({p}) END" for p in ("document", "department", "version"))
 
-@query()
+
+@query(
+    _QUALIFIED_SQL[: _QUALIFIED_SQL.rindex("SELECT *, round")]
+    + f"""SELECT doc_id, question, '{{' || concat_ws(',', {_FILTER}) || '}}' AS filters, 5 AS top_k, 20 AS candidate_budget, 0.0::DOUBLE AS score_threshold FROM z"""
+)
 def query_requests(spark, folder):
     """The search request of every question, its filters as JSON."""
     return retrieval_requests(qualified(_questions(spark, folder), text="q"), "doc_id").withColumn("filters", F.to_json("filters"))
