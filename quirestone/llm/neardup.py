@@ -9,15 +9,17 @@ nearly all pairs; what is left is verified once, on the words themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirestone.llm.words import mix, shingles, words
+from quirestone.llm.words import mix, shingles, slices, words
 from quirestone.operators.skew import hot_keys, join_spread
 from quirestone.session import written
 
@@ -28,6 +30,8 @@ _SLICE = 1 << 16
 LEAST_CELLS = 256
 #: Sets with one shingle in their prefixes beyond which that shingle's pairs are spread over tasks.
 HOT_SETS = 20_000
+#: Shingles in prefixes that a task gets, about; more partitions are made if need be.
+TASK_SHINGLES = 2_000_000
 #: Pairs looked at in one numpy step.
 _PAIRS = 1 << 20
 
@@ -51,7 +55,7 @@ def shingle_counts(sets: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
             run, owner, _ = shingles(_texts(batch), k)
             run = _salted(run, owner, batch.column("space"))
             total += np.bincount((run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
@@ -122,7 +126,7 @@ def _postings(sets: DataFrame, counts, k: int, sim: Fraction, parts: int) -> Dat
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = counts.value
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, "text") for b in batches):
             run, owner, _ = shingles(_texts(batch), k)
             run = _salted(run, owner, batch.column("space"))
             often = number[(run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
@@ -280,8 +284,10 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     rows = records.select((F.col(space) if space else F.lit("")).cast("string").alias("space"), F.col(key).alias("key"), F.col(text).alias("text")).dropna()
     rows = rows.filter(_has_words(F.col("text"), max(min_words or k, k))).withColumn("mark", F.md5("text"))
     sets = written(rows.groupBy("space", "mark").agg(F.first("text").alias("text")).withColumn("rid", F.monotonically_increasing_id()), "sets")
-    counts = spark.sparkContext.broadcast(shingle_counts(sets, k))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = shingle_counts(sets, k)
+    in_prefixes = float(number.sum(dtype=np.float64) * (1 - sim))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(in_prefixes / TASK_SHINGLES))
+    counts = spark.sparkContext.broadcast(number)
     postings = _postings(sets, counts, k, sim, parts).repartitionById(parts, F.col("part"))
     pairs = written(postings.mapInArrow(_candidates(sim), "x long, y long").distinct(), "pairs")
     side = lambda c, v: sets.select(F.col("rid").alias(c), F.concat_ws(":", "mark", "space").alias(v), F.col("text").alias(f"text_{v}"))

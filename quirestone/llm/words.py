@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,20 @@ _NOT_WORD = r"[^\p{L}\p{N}]+"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 16_000_000
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in parts of at most ``SLICE_BYTES`` of text, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words(texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
     """All words of the lower-cased texts in one array, and the number of the text of each.
 
