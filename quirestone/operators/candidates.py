@@ -14,6 +14,14 @@ def drop_reasons(candidates: DataFrame, *, score: str, text: str, threshold: flo
     return candidates.withColumn("drop_reason", F.when(low, "below_threshold").when(is_blank(F.col(text)), "blank_text"))
 
 
+def contradictory(candidates: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """Candidates of which a column says otherwise than the payload's: ``pairs`` of columns, the payload's nulls agree."""
+    wrong = F.lit(False)
+    for column, of_payload in pairs.items():
+        wrong = wrong | (F.col(of_payload).isNotNull() & ~F.col(of_payload).eqNullSafe(F.col(column)))
+    return candidates.filter(wrong)
+
+
 def drop_summary(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Counts of ``drop_reasons`` for each group: ``total``, ``below_threshold``, ``blank_text``, ``kept``."""
     return candidates.groupBy(*by).agg(

@@ -86,6 +86,20 @@ def qualified(queries: DataFrame, *, text: str, parameters: tuple[str, ...] = PA
     return rows.withColumn("needs_clarification", unclear).drop("__pairs")
 
 
+def with_profile(queries: DataFrame, *, text: str, profiles: dict[str, str], default: str | None = None) -> DataFrame:
+    """Add ``profile``: the first one whose pattern occurs in the question, in any case, else ``default``."""
+    chosen = F.lit(default).cast("string")
+    for name, pattern in reversed(profiles.items()):
+        chosen = F.when(F.col(text).rlike(f"(?i){pattern}"), name).otherwise(chosen)
+    return queries.withColumn("profile", chosen)
+
+
+def rule_errors(queries: DataFrame, *, key: str, rules: dict[str, str]) -> DataFrame:
+    """``key`` and ``parameter`` of values that don't match the whole of their rule; nulls aren't checked."""
+    broken = F.filter(F.array(*[F.when(F.col(p).isNotNull() & ~F.col(p).rlike(rf"\A(?:{r})\z"), F.lit(p)) for p, r in rules.items()]), lambda p: p.isNotNull())
+    return queries.select(key, F.explode(broken).alias("parameter"))
+
+
 def clarifications(qualified_queries: DataFrame, key: str) -> DataFrame:
     """One row for each thing to ask back: ``kind`` and ``parameter``, in the order ``ord``."""
     kinds = ("missing", "ambiguous", "conflicting")

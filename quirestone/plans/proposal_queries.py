@@ -18,6 +18,7 @@ from quirestone.operators.transport import (
     undeclared_references,
 )
 from quirestone.plans import sql
+from quirestone.sources.proposals import as_json, parse_json
 from quirestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -228,3 +229,18 @@ def answer_support(spark, folder):
     cited = scores.join(context.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.transform(F.collect_set("candidate_index"), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("cited"))
     a = answers(cited.withColumn("text", F.lit("")), context, query="query_id")
     return a.select("query_id", F.coalesce(F.size("citations"), F.lit(0)).cast("long").alias("supported"), F.size("unsupported").cast("long").alias("unsupported"))
+
+
+@query(
+    f"""WITH {_ONCE}, s AS (SELECT *, CAST(regexp_extract(path, '^sections\\[(\\d+)\\]', 1) AS INTEGER) AS section_at FROM once),
+d AS (SELECT DISTINCT proposal_id, section_at, section_id FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY section_at, section_id) - 1 AS i FROM d)
+SELECT s.proposal_id, s.section_id, block_id, 'sections[' || i || '].blocks[' || (row_number() OVER (PARTITION BY s.proposal_id, s.section_at, s.section_id ORDER BY ord, block_id) - 1) || ']' AS path,
+type, text, coalesce(len(items), -1) AS items, coalesce(len(rows), -1) AS rows, coalesce(len(entries), -1) AS entries, array_to_string(list_transform(reference_ids, lambda r: coalesce(r, '?')), ',') AS reference_ids
+FROM s JOIN n ON s.proposal_id = n.proposal_id AND s.section_at = n.section_at AND s.section_id = n.section_id"""
+)
+def json_round_trip(spark, folder):
+    """Blocks of every proposal, written as a JSON document and read again."""
+    blocks, _ = parse_json(as_json(_blocks(spark, folder)), key="proposal_id", json="json")
+    size = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.size(c)).cast("long").alias(c)
+    ids = F.array_join("reference_ids", ",", "?").alias("reference_ids")
+    return blocks.select("proposal_id", "section_id", "block_id", "path", "type", "text", size("items"), size("rows"), size("entries"), ids)

@@ -57,6 +57,13 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses, until ``clear_written``."""
+    path = f"{shared_folder(spark)}/quirestone-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -64,10 +71,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     which stays until ``clear_written`` is called, as results that aren't computed yet may read it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quirestone-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    path = f"{new_path(spark)}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_written(spark: SparkSession) -> int:

@@ -25,6 +25,20 @@ def discover(spark: SparkSession, folder: str, suffixes: Iterable[str] = (".docx
     return files.filter(suffix.isin([s.lower() for s in suffixes])).withColumn("fingerprint", F.sha2("content", 256))
 
 
+def authorized(files: DataFrame, root: str, *, role: str, allowed: str = "REFERENCE_KNOWLEDGE") -> DataFrame:
+    """``files``, if they may be indexed: the role is the allowed one and every path lies below ``root``.
+
+    All or nothing, before any file is parsed.
+    """
+    if role != allowed:
+        raise PermissionError(f"documents of role {role} may not be indexed")
+    path = F.regexp_replace("path", "^file:/*", "/")
+    outside = files.filter(~path.startswith(root.rstrip("/") + "/") | path.contains("/../")).select("path").limit(1).collect()
+    if outside:
+        raise PermissionError(f"{outside[0]['path']} isn't below {root}")
+    return files
+
+
 def _text(node: ElementTree.Element) -> str:
     parts = []
     for x in node.iter():

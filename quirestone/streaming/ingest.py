@@ -37,9 +37,9 @@ def sessions(stream: DataFrame, *, at: str, user: str, gap: str = "30 minutes",
     return grouped.select(user, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
 
-def index_stream(stream: DataFrame, *, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Start a query that hands each batch to ``write``, once.
+def index_stream(stream: DataFrame, *, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Start a query that hands each batch of what is there to ``write``, once; it ends when all is read.
 
     ``write`` gets a batch and its number; a batch that is repeated after a failure has the same number.
     """
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
