@@ -110,7 +110,10 @@ def chunks(rows: DataFrame, *, chunk_size: int = 500, overlap_ratio: float = 0.1
     """
     budget = max(1, int(chunk_size * overlap_ratio))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartition(parts, "doc_id", "section_id").sortWithinPartitions("doc_id", "section_id", "order_index", "element_id")
+    # Named partitions: a plain repartition by the keys that the rows were joined on is planned away, and the
+    # join may then be changed at run time to one that doesn't keep them together.
+    part = F.pmod(F.xxhash64("doc_id", "section_id"), F.lit(parts)).cast("int")
+    sorted_ = rows.repartitionById(parts, part).sortWithinPartitions("doc_id", "section_id", "order_index", "element_id")
     packed = sorted_.mapInArrow(_pack(chunk_size, budget), _CHUNK)
     doc, section = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "section_id")
     order = doc.orderBy("section_order", "section_id", "no")

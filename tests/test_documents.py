@@ -190,3 +190,22 @@ def test_section_rules(spark):
     v = {r.doc_id: (r.errors, r.warnings, r.is_valid) for r in verdicts(section_findings(sections, e), spark.createDataFrame([("d",), ("clean",)], "doc_id string")).collect()}
     assert v == {"d": (5, 4, False), "clean": (0, 0, True)}
     assert statistics(e, sections).first().asDict() == {"doc_id": "d", "elements": 3, "element_ids": 3, "order_indices": 3, "paragraphs": 3, "tables": 0, "images": 0, "lists": 0, "sections": 9, "deepest_level": 9}
+
+
+def test_sections_stay_together_whatever_join_is_chosen(spark, tmp_path):
+    """Tables of several files, of which the smaller turns out small enough to be sent to all tasks."""
+    rng = random.Random(7)
+    e = [element(d * 1000 + s * 100 + i, section=f"s{d}-{s}", doc=f"d{d}", content=" ".join(["w"] * rng.randrange(1, 40))) for d in range(30) for s in range(4) for i in range(12)]
+    sections = [(f"d{d}", f"s{d}-{s}", None, "H", 1, s) for d in range(30) for s in range(4)]
+    rng.shuffle(e)
+    frame, tree = frames(spark, e, sections)
+    frame.repartition(7).write.parquet(str(tmp_path / "e"))
+    tree.repartition(3).write.parquet(str(tmp_path / "s"))
+    got = chunks(chunk_elements(spark.read.parquet(str(tmp_path / "e")), spark.read.parquet(str(tmp_path / "s"))), chunk_size=50)
+    seen = {}
+    for r in got.orderBy("doc_id", "chunk_index").collect():
+        seen.setdefault((r.doc_id, r.section_id), []).append((r.order_start % 100, r.order_end % 100))
+    by = {}
+    for x in sorted(e, key=lambda x: x["element_id"]):
+        by.setdefault((x["doc_id"], x["section_id"]), []).append((len(x["content"].split()), False))
+    assert seen == {k: packed(v, 1, 50, 5) for k, v in by.items()}
