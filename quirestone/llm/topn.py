@@ -159,5 +159,6 @@ def top_n(df: DataFrame, *, groups: Sequence[str], score: str, item: str, n: int
     schema = usable.schema
     reduced = usable.mapInArrow(local, schema)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = reduced.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(sorted_groups, schema)
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    met = reduced.repartitionById(parts, part).sortWithinPartitions(*keys).mapInArrow(sorted_groups, schema)
     return met.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("item").cast(kind).alias(item), F.col("score").alias(score))
