@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import NAMESPACE_URL
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import uuid5
@@ -66,7 +66,9 @@ def ask(questions: DataFrame, points: DataFrame, *, top_k: int = 5, candidate_bu
     hits = hits.withColumn("place", F.concat_ws("/", "document_id", "chunk_index"))
     kept = without_near_duplicates(hits, group=["query_id"], rank="rank", identities=["chunk_id", "place", "content_hash"], budget=candidate_budget)
     merged = merged_neighbours(kept, group=["query_id"], rank="rank", document="document_id", path="section_path", index="chunk_index", text="original_text", score="score")
-    best = merged.withColumnsRenamed({"first_rank": "rank", "original_text": "text", "section_path": "header_path"}).withColumn("page", F.lit(None).cast("int"))
+    # places after folding and merging, so that candidates beyond the first hits take the places of those that are gone
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank")).alias("rank")
+    best = merged.select("*", place).withColumnsRenamed({"original_text": "text", "section_path": "header_path"}).withColumn("page", F.lit(None).cast("int"))
     context = budgeted(best.filter(F.col("rank") <= top_k), query="query_id", rank="rank", text="text", budget=context_tokens)
     ready = prompts(context, good.select("query_id", F.col("normalized").alias("question")), query="query_id")
     answers = ready.withColumn("answer", F.concat(F.lit("[stub] "), "user_prompt", F.lit(" | context tokens: "), F.col("context_tokens").cast("string")))
