@@ -53,16 +53,18 @@ def assembled(plan: DataFrame, contents: DataFrame, *, key: str, part: str, orde
 def review_findings(plan: DataFrame, contents: DataFrame, references: DataFrame, *, key: str, part: str) -> DataFrame:
     """What a review finds: ``key``, ``part``, ``finding``, ``detail``.
 
-    ``plan`` has ``ord``, ``contents`` have ``ord``, ``text`` and ``reference_ids``, ``references`` have
-    ``reference_id``. Findings: those of ``assembly_errors``, ``empty_content``, ``unknown_reference``, and
-    ``out_of_order`` for a content whose place among the planned ones isn't the plan's.
+    ``plan`` has ``ord``, ``contents`` have ``ord`` (the part's place in the whole), ``text`` and ``reference_ids``,
+    ``references`` have ``reference_id``. Findings: those of ``assembly_errors``, ``empty_content``, ``unknown_reference``,
+    and ``out_of_order``, once a part, if its first content's place among the planned ones isn't the plan's (equal
+    ``ord``: by part).
     """
     found = assembly_errors(plan, contents, key=key, part=part).select(key, part, F.col("error").alias("finding"), F.lit(None).cast("string").alias("detail"))
     empty = contents.filter(is_blank(F.col("text"))).select(key, part, F.lit("empty_content").alias("finding"), F.lit(None).cast("string").alias("detail"))
     cited = contents.select(key, part, F.explode("reference_ids").alias("reference_id")).distinct()
     unknown = cited.join(references.select(key, "reference_id").distinct(), [key, "reference_id"], "left_anti").select(key, part, F.lit("unknown_reference").alias("finding"), F.col("reference_id").alias("detail"))
-    both = contents.select(key, part, F.col("ord").alias("__has")).join(plan.select(key, part, F.col("ord").alias("__plan")), [key, part])
-    places = both.withColumns({n: F.rank().over(Window.partitionBy(key).orderBy(c)) for n, c in (("__a", "__has"), ("__b", "__plan"))})
+    first = lambda df, n: df.groupBy(key, part).agg(F.min("ord").alias(n))
+    both = first(contents, "__has").join(first(plan, "__plan"), [key, part])
+    places = both.withColumns({n: F.row_number().over(Window.partitionBy(key).orderBy(c, part)) for n, c in (("__a", "__has"), ("__b", "__plan"))})
     moved = places.filter("__a <> __b").select(key, part, F.lit("out_of_order").alias("finding"), F.col("__a").cast("string").alias("detail"))
     return reduce(DataFrame.unionByName, [found, empty, unknown, moved])
 

@@ -194,7 +194,9 @@ errors AS (SELECT proposal_id, section_id, 'duplicate_content' AS error FROM e W
 
 
 def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return _blocks(spark, folder).filter("type = 'paragraph'").select("proposal_id", "section_id", "block_id", "ord", F.coalesce("text", F.lit("")).alias("text"), "reference_ids")
+    """Paragraphs with their section's index as ``ord``."""
+    section = F.regexp_extract("path", r"^sections\[(\d+)\]", 1).cast("int")
+    return _blocks(spark, folder).filter("type = 'paragraph'").select("proposal_id", "section_id", "block_id", section.alias("ord"), F.coalesce("text", F.lit("")).alias("text"), "reference_ids")
 
 
 @query(f"WITH {_PLAN_AND_PARTS} SELECT * FROM errors")
@@ -211,7 +213,7 @@ SELECT finding, count(*) AS n, count(DISTINCT proposal_id) AS proposals, count(D
 )
 def review_summary(spark, folder):
     """What a review of all paragraphs finds, counted."""
-    f = review_findings(_needs(spark, folder), _paragraphs(spark, folder), table(spark, folder, "knowledge_refs"), key="proposal_id", part="section_id").filter("finding <> 'out_of_order'")
+    f = review_findings(_needs(spark, folder), _paragraphs(spark, folder), table(spark, folder, "knowledge_refs"), key="proposal_id", part="section_id")
     return f.groupBy("finding").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("proposal_id").alias("proposals"), F.count_distinct("detail").alias("details"))
 
 
