@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestone.operators.planning import answers, assembly_errors, generation_strategy, review_findings, section_queries
+from quirestone.operators.planning import assembly_errors, generation_strategy, review_findings, section_queries
 from quirestone.operators.transport import (
     block_errors,
     component_ids,
@@ -224,13 +224,14 @@ SELECT r.query_id, (SELECT count(DISTINCT citation_id) FROM d WHERE d.query_id =
 (SELECT count(*) FROM (SELECT unnest(r.cited) AS i) WHERE 'c' || i NOT IN (SELECT citation_id FROM d WHERE d.query_id = r.query_id)) AS unsupported FROM r"""
 )
 def answer_support(spark, folder):
-    """Of the first 20 candidates with a score above 0.8, how many each query's context has."""
-    context = table(spark, folder, "citations").select("query_id", "citation_id", "document_id", "header_path").groupBy("query_id", "citation_id").agg(F.min("document_id").alias("document_id"), F.min("header_path").alias("header_path"))
-    scores = table(spark, folder, "rerank_scores").filter((F.col("candidate_index") < 20) & (F.col("relevance_score") > 0.8) & ~F.isnan("relevance_score") & (F.col("relevance_score") < float("inf")))
-    # of a query, at most the candidates of its budget come together
-    cited = scores.join(context.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.transform(F.collect_set("candidate_index"), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("cited"))
-    a = answers(cited.withColumn("text", F.lit("")), context, query="query_id")
-    return a.select("query_id", F.coalesce(F.size("citations"), F.lit(0)).cast("long").alias("supported"), F.size("unsupported").cast("long").alias("unsupported"))
+    """Of all candidates with a score above 0.8, how many each query's context has."""
+    context = table(spark, folder, "citations").select("query_id", "citation_id").distinct()
+    scores = table(spark, folder, "rerank_scores").filter((F.col("relevance_score") > 0.8) & ~F.isnan("relevance_score") & (F.col("relevance_score") < float("inf")) & F.col("candidate_index").isNotNull())
+    cited = scores.select("query_id", F.concat(F.lit("c"), F.col("candidate_index").cast("string")).alias("citation_id")).distinct()
+    # both sides have a pair once, and queries meet only when counted, so that none is hot
+    found = cited.join(context.withColumn("known", F.lit(True)), ["query_id", "citation_id"], "left")
+    counts = found.groupBy("query_id").agg(F.count_if(F.col("known").isNotNull()).alias("supported"), F.count_if(F.col("known").isNull()).alias("unsupported"))
+    return counts.join(context.select("query_id").distinct(), "query_id", "left_semi")
 
 
 @query(

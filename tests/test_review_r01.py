@@ -59,3 +59,11 @@ def test_order_findings_once_a_part(spark):
     moved = lambda *rows: sorted((r.part, r.detail) for r in review_findings(plan, spark.createDataFrame([("p", *r, "x", []) for r in rows], schema), refs, key="k", part="part").filter(F.col("finding") == "out_of_order").collect())
     assert moved(("a", 0), ("a", 0), ("b", 1), ("c", 2)) == []
     assert moved(("b", 0), ("b", 0), ("a", 1), ("c", 2)) == [("a", "2"), ("b", "1")]
+
+
+@pytest.mark.parametrize("folder", FOLDERS, ids=lambda p: p.name)
+def test_answer_support_of_all_candidates(spark, folder):
+    if not folder.exists():
+        pytest.skip("no test data")
+    whole = ORACLE_SQL["answer_support"].replace(" AND candidate_index < 20", "")
+    assert Counter(map(tuple, QUERIES["answer_support"](spark, str(folder)).collect())) == Counter(rows_of(folder, whole))
