@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirestone.operators.embed import is_valid_vector
+from quirestone.operators.skew import join_spread
 
 
 def not_yet_indexed(documents: DataFrame, indexed: DataFrame, *, fingerprint: str) -> DataFrame:
@@ -37,3 +38,23 @@ def package_diff(before: DataFrame, after: DataFrame, *, part: str, content: str
     joined = digest(before, "old").join(digest(after, "new"), part, "full")
     change = F.when(F.col("has_old").isNull(), "added").when(F.col("has_new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return joined.select(part, change.alias("change")).filter("change is not null")
+
+
+def version_changes(parts: DataFrame, *, version: str, part: str, content: str) -> DataFrame:
+    """Every version compared with the next one: ``before``, ``after``, the part, and ``change``.
+
+    A part may come more than once in a version; it is ``changed`` if the sets of its contents' digests differ.
+    Only the distinct versions are sorted at once.
+    """
+    rows = parts.select(version, part, F.sha2(F.col(content).cast("binary"), 256).alias("__digest"))
+    order = Window.orderBy(version)
+    versions = rows.filter(F.col(version).isNotNull()).select(version).distinct().select(version, F.lag(version).over(order).alias("__last"), F.lead(version).over(order).alias("__next"))
+    sides = F.array(
+        F.struct(F.col("__last").alias("before"), F.col(version).alias("after"), F.lit(False).alias("old"), F.lit(True).alias("new")),
+        F.struct(F.col(version).alias("before"), F.col("__next").alias("after"), F.lit(True).alias("old"), F.lit(False).alias("new")),
+    )
+    placed = join_spread(rows, versions, [version], ["__digest"]).select(part, "__digest", F.explode(sides).alias("__s")).select(part, "__digest", "__s.*")
+    digests = placed.filter("before is not null and after is not null").groupBy("before", "after", part, "__digest").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    both = digests.groupBy("before", "after", part).agg(F.max("old").alias("old"), F.max("new").alias("new"), F.max(F.col("old") != F.col("new")).alias("differ"))
+    change = F.when(~F.col("old"), "added").when(~F.col("new"), "removed").when(F.col("differ"), "changed")
+    return both.select("before", "after", part, change.alias("change")).filter("change is not null")

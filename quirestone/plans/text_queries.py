@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirestone.functions.text import content_hash, first_tokens, normalize_ws, token_count
 from quirestone.operators.embed import embedded, is_valid_vector, mock_embedding
-from quirestone.operators.index import invalid_points, not_yet_indexed, package_diff, upsert_counts, upserted
+from quirestone.operators.index import invalid_points, not_yet_indexed, upsert_counts, upserted, version_changes
 from quirestone.operators.qualify import clarifications, language, processed, qualified, rejection, retrieval_requests
 from quirestone.operators.structure import looks_upper, outline, text_blocks, titles
 from quirestone.operators.transport import has_markdown, markdown_tables
@@ -144,11 +144,8 @@ SELECT coalesce(a.title, b.title) AS title, CASE WHEN a.title IS NULL THEN 'adde
 FROM a FULL JOIN b ON a.title = b.title WHERE a.title IS NULL OR b.title IS NULL OR a.text IS DISTINCT FROM b.text"""
 )
 def package_changes(spark, folder):
-    """Titles that the first and the last source have alone, or with another text."""
-    docs = _documents(spark, folder).filter("title is not null")
-    ends = docs.agg(F.min("source").alias("a"), F.max("source").alias("b")).first()
-    side = lambda s: docs.filter(F.col("source") == s).groupBy("title").agg(F.max("text").alias("text"))
-    return package_diff(side(ends["a"]), side(ends["b"]), part="title", content="text")
+    """Titles that a source or the next one has alone, or with other texts."""
+    return version_changes(_documents(spark, folder).filter("title is not null"), version="source", part="title", content="text")
 
 
 # --- questions -------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quirestone.operators.index import version_changes
 from quirestone.operators.planning import review_findings
 from quirestone.plans.registry import ORACLE_SQL, QUERIES
 
@@ -67,3 +68,24 @@ def test_answer_support_of_all_candidates(spark, folder):
         pytest.skip("no test data")
     whole = ORACLE_SQL["answer_support"].replace(" AND candidate_index < 20", "")
     assert Counter(map(tuple, QUERIES["answer_support"](spark, str(folder)).collect())) == Counter(rows_of(folder, whole))
+
+
+_ALL_CHANGES = """WITH s AS (SELECT source AS before, lead(source) OVER (ORDER BY source) AS after FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND title IS NOT NULL)),
+t AS (SELECT source, title, list_sort(list(DISTINCT coalesce('=' || text, ''))) AS texts FROM documents WHERE source IS NOT NULL AND title IS NOT NULL GROUP BY ALL),
+o AS (SELECT before, after, title, texts FROM s JOIN t ON source = before WHERE after IS NOT NULL), n AS (SELECT before, after, title, texts FROM s JOIN t ON source = after)
+SELECT coalesce(o.before, n.before), coalesce(o.after, n.after), coalesce(o.title, n.title), CASE WHEN o.title IS NULL THEN 'added' WHEN n.title IS NULL THEN 'removed' ELSE 'changed' END
+FROM o FULL JOIN n ON o.before = n.before AND o.title = n.title WHERE o.title IS NULL OR n.title IS NULL OR o.texts <> n.texts"""
+
+
+@pytest.mark.parametrize("folder", FOLDERS, ids=lambda p: p.name)
+def test_package_changes_of_all_sources(spark, folder):
+    if not folder.exists():
+        pytest.skip("no test data")
+    assert Counter(map(tuple, QUERIES["package_changes"](spark, str(folder)).collect())) == Counter(rows_of(folder, _ALL_CHANGES))
+
+
+def test_version_changes(spark):
+    rows = [("1", "x", "a"), ("1", "x", "z"), ("1", "y", None), ("1", "w", "w"), ("2", "x", "b"), ("2", "x", "z"), ("2", "y", None), ("3", "x", "z"), ("3", "x", "b"), ("3", "x", "b"), ("3", "y", ""), (None, "x", "n")]
+    df = spark.createDataFrame(rows, "v string, p string, t string")
+    got = sorted(map(tuple, version_changes(df, version="v", part="p", content="t").collect()))
+    assert got == [("1", "2", "w", "removed"), ("1", "2", "x", "changed"), ("2", "3", "y", "changed")]
