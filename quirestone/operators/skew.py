@@ -7,22 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: No more keys than this are ever treated as hot. Of R rows, a key that isn't among the first
-#: thousand holds fewer than R/1000, so a table of a thousand rows is all that must be broadcast.
-MOST_HOT_KEYS = 1000
-#: Rows of a key beyond which its rows are spread.
+#: Rows of a key up to which its rows are never spread.
 HOT_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``rows`` rows and the number of parts each is to be cut into.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
+    """The keys that are too large for one task, and the number of parts each is to be cut into.
 
-    Columns: the keys and ``__parts``. The count is combined on the map side, so that a hot key
-    reaches the shuffle as one row a task. At most ``MOST_HOT_KEYS`` rows come back.
+    Columns: the keys and ``__parts``. A key is hot if it has more than ``rows`` rows and more than an
+    even share, all rows over ``tasks`` (default: the session's shuffle partitions); each part is
+    then as large as the larger of the two. As the shares of all keys add up to ``tasks``, fewer keys
+    than ``tasks`` can be hot, so the result can always be broadcast. The counts are combined on the map
+    side: a hot key reaches the shuffle as one row a task.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
-    top = counted.orderBy(F.desc("__n"), *keys).limit(MOST_HOT_KEYS)
-    return top.select(*keys, F.least(F.ceil(F.col("__n") / rows), F.lit(MOST_HOT_KEYS)).cast("int").alias("__parts"))
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.greatest(F.lit(float(rows)), counted.agg(F.sum("__n").alias("__all")).scalar() / tasks)
+    return counted.filter(F.col("__n") > rows).withColumn("__share", share).filter("__n > __share").select(*keys, F.ceil(F.col("__n") / F.col("__share")).cast("int").alias("__parts"))
 
 
 def spread(df: DataFrame, hot: DataFrame, keys: Sequence[str], over: Sequence[str]) -> DataFrame:

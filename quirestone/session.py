@@ -45,16 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
     Only where neither that setting nor a checkpoint folder exists, as in tests on one machine, a
-    temporary folder is made and set.
+    temporary folder is made and set; on a cluster that is refused, as each executor would have its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quirestone-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def new_path(spark: SparkSession) -> str:
@@ -76,11 +79,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Like ``written``, the rows in ``buckets`` by the hash of ``by``: grouping or joining on it needs no shuffle afterwards.
+
+    The catalog of the session knows the table, as Spark keeps buckets there only.
+    """
+    spark = df.sparkSession
+    path = f"{new_path(spark)}/{name}"
+    table = f"{name}_{path.split('/')[-2].split('-')[-1]}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+    _TABLES.append(table)
+    return spark.table(table)
+
+
 def clear_written(spark: SparkSession) -> int:
-    """Delete all tables that ``written`` has made; DataFrames made from them can't be computed any more.
+    """Delete all tables that ``written`` and ``bucketed`` have made; DataFrames made from them can't be computed any more.
 
     Returns the number of tables.
     """
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     done = 0
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -4,14 +4,25 @@ from urllib.parse import urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from quirestone.operators.skew import MOST_HOT_KEYS, hot_keys, join_spread
+from quirestone.operators.skew import hot_keys, join_spread
 from quirestone.session import clear_written, shared_folder, written
 
 
-def test_hot_keys_are_few(spark):
+def test_hot_keys_have_more_than_an_even_share(spark):
     df = spark.range(30_000).select((F.col("id") % 3000).alias("k")).unionByName(spark.range(500).select(F.lit(-1).cast("long").alias("k")))
-    assert {(r.k, r["__parts"]) for r in hot_keys(df, ["k"], 100).collect()} == {(-1, 5)}
-    assert hot_keys(df, ["k"], 5).count() == MOST_HOT_KEYS
+    assert {(r.k, r["__parts"]) for r in hot_keys(df, ["k"], 100, tasks=1000).collect()} == {(-1, 5)}
+    assert hot_keys(df, ["k"], 5, tasks=10).count() == 0  # 500 rows are less than a tenth
+    assert {(r.k, r["__parts"]) for r in hot_keys(df, ["k"], 5, tasks=100).collect()} == {(-1, 2)}
+    assert hot_keys(df.limit(0), ["k"]).count() == 0
+
+
+def test_five_thousand_hot_keys(spark):
+    rows = spark.range(40_000).select("id", (F.col("id") % 5000).alias("k"))
+    hot = hot_keys(rows, ["k"], 2, tasks=20_000)
+    assert hot.count() == 5000 and {r["__parts"] for r in hot.collect()} == {4}
+    right = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = join_spread(rows, right, ["k"], ["id"], hot=hot)
+    assert out.count() == 40_000 and out.filter("v <> 2 * k").count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
