@@ -1,10 +1,15 @@
 """Near-duplicate texts: an exact set-similarity join on word shingles.
 
 Equal texts are first made one class, so that copies cost nothing. Each class is a set of shingles in
-one global order, rare ones first. Two sets can only be alike if they share a shingle in a short
-prefix of that order, so only prefixes are shuffled, by shingle. Where two meet, bounds from their
-lengths, from the places of the shared shingle, and from the Hamming distance of the rest discard
-nearly all pairs; what is left is verified once, on the words themselves.
+one global order, rare ones first: by the number of sets that have the shingle, counted over all of them.
+Two sets can only be alike if they share a shingle in a short prefix of that order, so only prefixes are
+shuffled, by shingle. Where two meet, bounds from their lengths, from the places of the shared shingle,
+and from the Hamming distance of the rest discard nearly all pairs; what is left is verified once, on the
+words themselves.
+
+The counts are looked up by blocks of sets: a block asks for each shingle that it has once, the tasks
+that hold a range of shingles add up what all blocks have, and answer in the order of the question. So
+no table of counts is sent to all, and a shingle costs a few bytes a block.
 """
 
 from __future__ import annotations
@@ -21,23 +26,45 @@ from pyspark.sql import functions as F
 
 from quirestone.llm.words import mix, shingles, slices, words
 from quirestone.operators.skew import hot_keys, join_spread
-from quirestone.session import written
+from quirestone.session import bucketed, written
 
-#: Counters of the shingle statistics, 4 bytes each: a fixed size, whatever the corpus.
-SKETCH_BITS = 21
-_SLICE = 1 << 16
-#: Fewest cells of a set's parity sketch, from which the Hamming distance of two sets is bounded below.
-LEAST_CELLS = 256
+#: Bytes of text in a block of sets, about, and with it what one task holds of the shingles.
+BLOCK_BYTES = 16_000_000
+#: Bits of a shingle's hash by which it is counted; the counts of shingles that share them are added up.
+CODE_BITS = 48
 #: Sets with one shingle in their prefixes beyond which that shingle's pairs are spread over tasks.
 HOT_SETS = 20_000
-#: Shingles in prefixes that a task gets, about; more partitions are made if need be.
-TASK_SHINGLES = 2_000_000
-#: Pairs looked at in one numpy step.
+#: 64-bit words of the parity sketch that goes with every place of a prefix.
+NARROW = 2
+#: Fewest cells of the sketch of a whole set, by which pairs are tested again.
+LEAST_CELLS = 256
+#: Pairs looked at in one numpy step, and rows of hot shingles.
 _PAIRS = 1 << 20
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return batch.column("text").to_pylist()
+def _pack(values: np.ndarray, kind: type) -> bytes:
+    """Numbers as bytes, the first bytes of all, the second bytes, and so on, compressed."""
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * size, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _rising(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=values.dtype.type(0)), np.uint64)
+
+
+def _risen(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64, n), dtype=np.uint64)
+
+
+def _part(codes: np.ndarray, parts: int) -> np.ndarray:
+    """The range of codes, of ``parts`` equal ones, in which each code lies."""
+    return ((codes >> np.uint64(CODE_BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _salted(run: np.ndarray, owner: np.ndarray, spaces: pa.Array) -> np.ndarray:
@@ -47,32 +74,71 @@ def _salted(run: np.ndarray, owner: np.ndarray, spaces: pa.Array) -> np.ndarray:
     return mix(run ^ mix(salt)[coded.indices.to_numpy(zero_copy_only=False)][owner]) if len(run) else run
 
 
-def shingle_counts(sets: DataFrame, k: int) -> np.ndarray:
-    """How often shingles occur in all of ``sets`` (columns space, text), in 2**SKETCH_BITS counters.
-
-    Never less than the true number; more only where two shingles share a counter.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in chain.from_iterable(slices(b, "text") for b in batches):
-            run, owner, _ = shingles(_texts(batch), k)
-            run = _salted(run, owner, batch.column("space"))
-            total += np.bincount((run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        parts = total.reshape(-1, _SLICE)
-        codec = pa.Codec("zstd", 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([codec.compress(p.tobytes(), asbytes=True) for p in parts], pa.binary())], ["slice", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        codec, total = pa.Codec("zstd"), np.zeros(_SLICE, np.uint64)
-        for part in group.column("counts").to_pylist():
-            total += np.frombuffer(codec.decompress(part, _SLICE * 4, asbytes=True), np.uint32)
-        capped = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
-        return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([capped.tobytes()], pa.binary())})
-
-    schema = "slice int, counts binary"
-    rows = sets.select("space", "text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(rows, key=lambda r: r["slice"])])
+def _sets_of(block: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each set of a block, ordered by shingle: shingle, number of the set, and sizes."""
+    runs, owners, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for batch in chain.from_iterable(slices(b, "text") for b in block.to_batches()):
+        run, owner, _ = shingles(batch.column("text").to_pylist(), k)
+        run, owner = _salted(run, owner, batch.column("space")), owner.astype(np.int64)
+        order = np.lexsort((owner, run))
+        run, owner = run[order], owner[order]
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
+        runs.append(run[new])
+        owners.append(owner[new] + before)
+        before += batch.num_rows
+    run, owner = np.concatenate(runs), np.concatenate(owners)
+    if len(runs) > 2:
+        order = np.lexsort((owner, run))
+        run, owner = run[order], owner[order]
+    return run, owner, np.bincount(owner, minlength=block.num_rows)
+
+
+def _codes(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of ordered shingles, and where each begins."""
+    code = run >> np.uint64(64 - CODE_BITS)
+    begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[begins], begins
+
+
+def _counted(sets: DataFrame, k: int, parts: int) -> DataFrame:
+    """For every block of ``sets`` (block, rid, space, text) how many sets of all have its shingles: block, part, n, counts."""
+
+    def ask(block: pa.Table) -> pa.Table:
+        run, _, _ = _sets_of(block, k)
+        code, begins = _codes(run)
+        own = np.diff(np.append(begins, len(run)))
+        at = np.append(np.searchsorted(_part(code, parts), np.arange(parts)), len(code))
+        some = np.flatnonzero(np.diff(at)).tolist()
+        return pa.table(
+            [
+                pa.array(some, pa.int32()),
+                pa.array([block.column("block")[0].as_py()] * len(some), pa.int32()),
+                pa.array([int(at[p + 1] - at[p]) for p in some], pa.int32()),
+                pa.array([_rising(code[at[p] : at[p + 1]]) for p in some], pa.binary()),
+                pa.array([_pack(own[at[p] : at[p + 1]], np.uint32) for p in some], pa.binary()),
+            ],
+            ["part", "block", "n", "codes", "counts"],
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        ends = np.cumsum([r["n"] for r in rows])
+        code = np.concatenate([_risen(r["codes"], r["n"]) for r in rows])
+        own = np.concatenate([_unpack(r["counts"], np.uint32, r["n"]) for r in rows]).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        total = np.empty(len(code), np.int64)
+        total[order] = np.repeat(np.add.reduceat(own[order], begins), np.diff(np.append(begins, len(code))))
+        for r, end in zip(rows, ends.tolist()):
+            counts = _pack(np.minimum(total[end - r["n"] : end], 2**32 - 1), np.uint32)
+            yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": r["part"], "n": r["n"], "counts": counts}], pa.schema({"block": pa.int32(), "part": pa.int32(), "n": pa.int32(), "counts": pa.binary()}))
+
+    asked = sets.groupBy("block").applyInArrow(ask, "part int, block int, n int, codes binary, counts binary")
+    return asked.repartitionById(parts, F.col("part")).mapInArrow(add, "block int, part int, n int, counts binary")
 
 
 def _least_overlap(p: int, q: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,10 +147,183 @@ def _least_overlap(p: int, q: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cells(size: np.ndarray) -> np.ndarray:
-    """Cells of the sketches of sets of these sizes: a power of two, 1.5 a shingle or more."""
+    """Cells of the sketches of whole sets of these sizes: a power of two, 1.5 a shingle or more."""
     return np.maximum(LEAST_CELLS, 1 << np.ceil(np.log2(np.maximum(1.5 * size, 1))).astype(np.int64))
 
 
+def _sketched(run: np.ndarray, owner: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each cell, ``wide[i]`` 64-bit words for set i, one after the other."""
+    begin = np.concatenate([[0], np.cumsum(wide)])
+    cell = (run >> np.uint64(8)).astype(np.int64) % (wide[owner] * 64)
+    sketch = np.zeros(begin[-1], np.uint64)
+    np.bitwise_xor.at(sketch, begin[owner] + (cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+    return sketch
+
+
+#: What a block sends on. kind 0: places of prefixes by the range of their shingles, to meet there; 1: the same of shingles
+#: that may be hot; 2: sketches of whole sets.
+_SENT = "kind int, part int, sets int, n int, rids binary, sizes binary, sketches binary, codes binary, owners binary, places binary"
+
+
+def _prefixes(k: int, sim: Fraction, parts: int):
+    p, q = sim.numerator, sim.denominator
+    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _SENT.split(", ")])
+
+    def send(block: pa.Table, replies: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return schema.empty_table()
+        block = block.sort_by("rid")
+        number = block.column("block")[0].as_py()
+        rids = block.column("rid").to_numpy().astype(np.uint64)
+        run, owner, size = _sets_of(block, k)
+        del block
+        code, begins = _codes(run)
+        answers = sorted(replies.select(["part", "n", "counts"]).to_pylist(), key=lambda r: r["part"])
+        counts = np.concatenate([np.zeros(0, np.uint32), *[_unpack(r["counts"], np.uint32, r["n"]) for r in answers]])
+        often = np.repeat(counts, np.diff(np.append(begins, len(run)))).astype(np.int64)
+        wide = _cells(size) // 64
+        whole, narrow = _sketched(run, owner, wide), _sketched(run, owner, np.full(len(size), NARROW)).reshape(-1, NARROW)
+        order = np.lexsort((often, owner))  # shingles are in order already
+        run, owner, often = run[order], owner[order], often[order]
+        place = np.arange(len(run)) - (np.cumsum(size) - size)[owner]
+        # a shingle that no other set has can't lead to a pair
+        used = (place <= size[owner] - -(-p * size[owner] // q)) & (often > 1)
+        code, owner, place, often = run[used] >> np.uint64(64 - CODE_BITS), owner[used], place[used], often[used]
+        part = np.where(often > HOT_SETS, parts, _part(code, parts))
+        order = np.lexsort((owner, code, part))
+        code, owner, place, part = code[order], owner[order], place[order], part[order]
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(part))
+        rows = []
+        for b, e in zip(at.tolist(), ends.tolist()):
+            who, index = np.unique(owner[b:e], return_inverse=True)
+            hot = part[b] == parts
+            rows.append((int(hot), number % parts if hot else int(part[b]), len(who), e - b, _rising(rids[who]), _pack(size[who], np.uint32), _pack(narrow[who].reshape(-1), np.uint64), _rising(code[b:e]), _pack(index, np.uint32), _pack(place[b:e], np.uint32)))
+        some = np.flatnonzero(size)
+        sent = np.repeat(size > 0, wide)
+        rows.append((2, number % parts, len(some), int(sent.sum()), _rising(rids[some]), _pack(size[some], np.uint32), _pack(whole[sent], np.uint64), b"", b"", b""))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return send
+
+
+def _met(run, place, rids, sizes, sketches, sim: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that share one of ``run`` and pass the filters, distinct in each result; rows are places of prefixes."""
+    p, q = sim.numerator, sim.denominator
+    # within a shingle by size, so that a set meets only those before it, which are no larger
+    order = np.lexsort((rids, sizes, run))
+    run, place, rids, size, sketches = run[order], place[order], rids[order], sizes[order], sketches[order]
+    group = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]])) if len(run) else run.astype(np.int64)
+    del run, order
+    # of the smaller of two sets, only a shorter prefix can hold the first shared shingle
+    indexed = np.flatnonzero(place <= size - _least_overlap(p, q, size, size))
+    key = (group[indexed] << 32) | size[indexed]
+    low = np.searchsorted(key, (group << 32) | (-(-p * size // q)))
+    high = np.searchsorted(indexed, np.arange(len(group)))
+    many = np.maximum(high - low, 0)
+    ends = np.cumsum(many)
+    seen = np.zeros(0, dtype=[("a", np.int64), ("b", np.int64)])
+    at = 0
+    while at < len(group):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        n = many[at:to]
+        left = np.repeat(np.arange(at, to), n)
+        right = indexed[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)]
+        need = _least_overlap(p, q, size[left], size[right])
+        ok = np.minimum(size[left] - place[left], size[right] - place[right]) >= need
+        left, right, need = left[ok], right[ok], need[ok]
+        apart = np.bitwise_count(sketches[left] ^ sketches[right]).sum(axis=1, dtype=np.int64)
+        ok = apart <= size[left] + size[right] - 2 * need
+        a, b = rids[left[ok]], rids[right[ok]]
+        found = np.empty(len(a), seen.dtype)
+        found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
+        seen = np.unique(np.concatenate([seen, found[found["a"] != found["b"]]]))
+        if len(seen) > _PAIRS:
+            yield seen["a"], seen["b"]
+            seen = seen[:0]
+        at = to
+    yield seen["a"], seen["b"]
+
+
+#: What comes of that. kind 0: a and b are sets that may be alike; 1: a is a shingle and b a set; 2: a is a set.
+_FOUND = "kind int, a long, b long, size int, place int, sketch binary"
+
+
+def _words(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary of ``lengths[i]`` 64-bit words each, cut from ``values`` in order."""
+    offsets = (np.concatenate([[0], np.cumsum(lengths)]) * 8).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(np.uint64).tobytes())]).cast(pa.binary())
+
+
+def _meeting(sim: Fraction):
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def rows(kind, a, b=None, size=None, place=None, sketch=None) -> pa.RecordBatch:
+        column = lambda x, t: pa.nulls(len(a), t) if x is None else x if isinstance(x, pa.Array) else pa.array(x.astype(t.to_pandas_dtype()), t)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([column(x, t) for x, t in zip((np.full(len(a), kind), a, b, size, place, sketch), types)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = []
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            rids, sizes = _risen(r["rids"], r["sets"]).astype(np.int64), _unpack(r["sizes"], np.uint32, r["sets"]).astype(np.int64)
+            if r["kind"] == 2:
+                yield rows(2, rids, size=sizes, sketch=_words(_unpack(r["sketches"], np.uint64, r["n"]), _cells(sizes) // 64))
+                continue
+            owner, sketches = _unpack(r["owners"], np.uint32, r["n"]).astype(np.int64), _unpack(r["sketches"], np.uint64, r["sets"] * NARROW).reshape(-1, NARROW)
+            one = (_risen(r["codes"], r["n"]), _unpack(r["places"], np.uint32, r["n"]).astype(np.int64), rids[owner], sizes[owner], sketches[owner])
+            if r["kind"] == 0:
+                places.append(one)
+            elif r["n"]:
+                yield rows(1, one[0].astype(np.int64), one[2], one[3], one[1], _words(one[4].reshape(-1), np.full(r["n"], NARROW)))
+        if places:
+            columns = [np.concatenate(c) for c in zip(*places)]
+            del places
+            for a, b in _met(*columns, sim):
+                yield rows(0, a, b)
+
+    return meet
+
+
+def _meeting_in_cells(sim: Fraction):
+    """The same for rows of hot shingles, which come by ``cell`` (cell, rid, size, place, sketch)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, NARROW)
+            number = lambda c: table.column(c).to_numpy().astype(np.int64)
+            for a, b in _met(number("cell").view(np.uint64), number("place"), number("rid"), number("size"), sketches, sim):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["x", "y"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > _PAIRS:  # all cells but the last, which may go on, are whole
+                table = pa.Table.from_batches(held)
+                cells = table.column("cell").to_numpy()
+                whole = int(np.flatnonzero(cells != cells[-1])[-1]) + 1 if cells[0] != cells[-1] else 0
+                if whole:
+                    yield from pairs(table.slice(0, whole))
+                    held = table.slice(whole).to_batches()
+                    n -= whole
+        if n:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return meet
+
+
+def _of_hot(places: DataFrame, sim: Fraction) -> DataFrame:
+    """Pairs ``x``, ``y`` that meet in shingles which very many sets have, counted in prefixes: each cell of two blocks of sets is a task's."""
+    named = places.select(F.col("a").alias("code"), F.col("b").alias("rid"), "size", "place", "sketch")
+    counted = named.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / HOT_SETS).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).alias("mine")
+    each = join_spread(named, counted, ["code"], ["rid"]).select("*", mine, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("code", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell")
+    cells = each.select(cell, "rid", "size", "place", "sketch").repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(_meeting_in_cells(sim), "x long, y long")
+
+
 class _Sketches:
     """Sketches of sets of any size; two of them are compared in the cells of the smaller."""
 
@@ -114,126 +353,21 @@ class _Sketches:
         return out
 
 
-def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """One binary of ``lengths[i]`` values each, cut from ``values`` in order."""
-    offsets = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())])
-
-
-def _postings(sets: DataFrame, counts, k: int, sim: Fraction, parts: int) -> DataFrame:
-    """Of each set, for each part that gets any of its prefix: its size, its sketch, and those shingles."""
-    p, q = sim.numerator, sim.denominator
+def _near_enough(sim: Fraction):
+    """Pairs whose sketches of whole sets allow the similarity."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = counts.value
-        for batch in chain.from_iterable(slices(b, "text") for b in batches):
-            run, owner, _ = shingles(_texts(batch), k)
-            run = _salted(run, owner, batch.column("space"))
-            often = number[(run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-            order = np.lexsort((run, often, owner))
-            run, owner, often = run[order], owner[order], often[order]
-            first = np.ones(len(run), bool)
-            first[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
-            run, owner, often = run[first], owner[first].astype(np.int64), often[first]
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(slices(b, "sketch_y") for b in batches):
             n = batch.num_rows
-            size = np.bincount(owner, minlength=n)
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            place = np.arange(len(run)) - start[owner]
-            # parity of the number of shingles in each cell, as 64-bit words
-            wide = _cells(size) // 64
-            begin = np.concatenate([[0], np.cumsum(wide)])
-            cell = (run >> np.uint64(40)).astype(np.int64) % (wide[owner] * 64)
-            sketch = np.zeros(begin[-1], np.uint64)
-            np.bitwise_xor.at(sketch, begin[owner] + (cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
-            # a shingle that no other set has can't lead to a pair
-            used = (place <= size[owner] - -(-p * size[owner] // q)) & (often > 1)
-            run, owner, place, often = run[used], owner[used], place[used], often[used]
-            rid = batch.column("rid").to_numpy()
-            hot = np.flatnonzero(often > HOT_SETS)
-            if len(hot):  # one shingle becomes one for each pair of blocks of sets
-                blocks = -(-often[hot].astype(np.int64) // HOT_SETS)
-                mine = (mix(rid[owner[hot]].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                again = np.repeat(np.arange(len(hot)), blocks)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                pair = np.minimum(mine[again], other) * (1 << 32) + np.maximum(mine[again], other)
-                cold = np.ones(len(run), bool)
-                cold[hot] = False
-                run = np.concatenate([run[cold], mix(run[hot][again] ^ mix(pair.astype(np.uint64)))])
-                owner = np.concatenate([owner[cold], owner[hot][again]])
-                place = np.concatenate([place[cold], place[hot][again]])
-            part = ((run >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            group = owner * parts + part
-            order = np.argsort(group, kind="stable")
-            group, run, place = group[order], run[order], place[order]
-            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-            lengths = np.diff(np.concatenate([begins, [len(group)]]))
-            who = group[begins] // parts
-            words_ = wide[who]
-            of_who = np.repeat(begin[who] - (np.cumsum(words_) - words_), words_) + np.arange(words_.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((group[begins] % parts).astype(np.int32)),
-                    pa.array(rid[who]),
-                    pa.array(size[who].astype(np.int32)),
-                    _binaries(sketch[of_who], words_).cast(pa.binary()),
-                    _binaries(run, lengths).cast(pa.binary()),
-                    _binaries(place.astype(np.int32), lengths).cast(pa.binary()),
-                ],
-                ["part", "rid", "size", "sketch", "shingles", "places"],
-            )
-
-    return sets.select("rid", "space", "text").mapInArrow(prefixes, "part int, rid long, size int, sketch binary, shingles binary, places binary")
-
-
-def _candidates(sim: Fraction):
-    p, q = sim.numerator, sim.denominator
+            if not n:
+                continue
+            size = np.concatenate([batch.column(c).to_numpy().astype(np.int64) for c in ("size_x", "size_y")])
+            sketches = np.frombuffer(b"".join(x for c in ("sketch_x", "sketch_y") for x in batch.column(c).to_pylist()), np.uint64)
+            apart = _Sketches(sketches, _cells(size)).apart(np.arange(n), np.arange(n, 2 * n))
+            ok = apart <= size[:n] + size[n:] - 2 * _least_overlap(sim.numerator, sim.denominator, size[:n], size[n:])
+            yield batch.select(["x", "y"]).filter(pa.array(ok))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        table = table.combine_chunks()
-        rids, sizes = table.column("rid").to_numpy(), table.column("size").to_numpy().astype(np.int64)
-        joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        sketches = _Sketches(joined("sketch", np.uint64), _cells(sizes))
-        run, place = joined("shingles", np.uint64), joined("places", np.int32).astype(np.int64)
-        row = np.repeat(np.arange(len(rids)), [len(x) // 8 for x in table.column("shingles").to_pylist()])
-        del table
-        # within a shingle by size, so that a set meets only those before it, which are no larger
-        order = np.lexsort((rids[row], sizes[row], run))
-        run, place, row = run[order], place[order], row[order]
-        group = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]])) if len(run) else run.astype(np.int64)
-        size = sizes[row]
-        del run, order
-        # of the smaller of two sets, only a shorter prefix can hold the first shared shingle
-        indexed = np.flatnonzero(place <= size - _least_overlap(p, q, size, size))
-        key = (group[indexed] << 32) | size[indexed]
-        low = np.searchsorted(key, (group << 32) | (-(-p * size // q)))
-        high = np.searchsorted(indexed, np.arange(len(row)))
-        many = np.maximum(high - low, 0)
-        ends = np.cumsum(many)
-        seen = np.zeros(0, dtype=[("a", np.int64), ("b", np.int64)])
-        at = 0
-        while at < len(row):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
-            n = many[at:to]
-            left = np.repeat(np.arange(at, to), n)
-            right = indexed[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)]
-            need = _least_overlap(p, q, size[left], size[right])
-            ok = 1 + np.minimum(size[left] - place[left], size[right] - place[right]) - 1 >= need
-            left, right, need = left[ok], right[ok], need[ok]
-            ok = sketches.apart(row[left], row[right]) <= size[left] + size[right] - 2 * need
-            a, b = rids[row[left[ok]]], rids[row[right[ok]]]
-            found = np.empty(len(a), seen.dtype)
-            found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
-            seen = np.unique(np.concatenate([seen, found[found["a"] != found["b"]]]))
-            if len(seen) > _PAIRS:
-                yield pa.RecordBatch.from_arrays([pa.array(seen["a"]), pa.array(seen["b"])], ["a", "b"])
-                seen = seen[:0]
-            at = to
-        yield pa.RecordBatch.from_arrays([pa.array(seen["a"]), pa.array(seen["b"])], ["a", "b"])
-
-    return meet
+    return test
 
 
 def _verified(k: int, sim: Fraction):
@@ -276,22 +410,29 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     A class id is the digest of the text and the space. Only records with the same ``space`` are compared. A record
     may come repeatedly; if a key has several texts, it is in several classes. Other columns are
     ignored. Nothing is left out: a shingle in the prefixes of more than ``HOT_SETS`` sets is
-    spread over pairs of blocks of these.
+    spread over pairs of blocks of these. Blocks of sets and ranges of shingles are as many as the texts
+    need, so that a task holds about as much whatever the corpus.
     """
     sim, spark = Fraction(str(similarity)), records.sparkSession
     if not 0 < sim <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     rows = records.select((F.col(space) if space else F.lit("")).cast("string").alias("space"), F.col(key).alias("key"), F.col(text).alias("text")).dropna()
     rows = rows.filter(_has_words(F.col("text"), max(min_words or k, k))).withColumn("mark", F.md5("text"))
-    sets = written(rows.groupBy("space", "mark").agg(F.first("text").alias("text")).withColumn("rid", F.monotonically_increasing_id()), "sets")
-    number = shingle_counts(sets, k)
-    in_prefixes = float(number.sum(dtype=np.float64) * (1 - sim))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(in_prefixes / TASK_SHINGLES))
-    counts = spark.sparkContext.broadcast(number)
-    postings = _postings(sets, counts, k, sim, parts).repartitionById(parts, F.col("part"))
-    pairs = written(postings.mapInArrow(_candidates(sim), "x long, y long").distinct(), "pairs")
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("mark", "space"), F.lit(parts)).cast("int").alias("block")
+    once = rows.select(block, "space", "mark", "text").repartition(parts, "block").groupBy("block", "space", "mark").agg(F.first("text").alias("text"))
+    sets = bucketed(once.withColumn("rid", F.monotonically_increasing_id()), "sets", "block", parts)
+    numbers = _counted(sets.select("block", "rid", "space", "text"), k, parts)
+    sent = sets.select("block", "rid", "space", "text").groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_prefixes(k, sim, parts), _SENT)
+    found = written(sent.repartitionById(parts, F.col("part")).mapInArrow(_meeting(sim), _FOUND), "found")
+    met = found.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(_of_hot(found.filter("kind = 1"), sim))
+    pairs = written(met.distinct(), "pairs")
+    sketch = lambda c: found.filter("kind = 2").select(F.col("a").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    tested = join_spread(join_spread(pairs, sketch("x"), ["x"], ["y"]), sketch("y"), ["y"], ["x"], hot=hot_keys(pairs, ["y"]))
+    near = written(tested.mapInArrow(_near_enough(sim), "x long, y long"), "near")
     side = lambda c, v: sets.select(F.col("rid").alias(c), F.concat_ws(":", "mark", "space").alias(v), F.col("text").alias(f"text_{v}"))
-    both = join_spread(join_spread(pairs, side("x", "a"), ["x"], ["y"]), side("y", "b"), ["y"], ["x"], hot=hot_keys(pairs, ["y"]))
+    both = join_spread(join_spread(near, side("x", "a"), ["x"], ["y"]), side("y", "b"), ["y"], ["x"], hot=hot_keys(near, ["y"]))
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, sim), "a string, b string, common int, all int")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "all")
     classes = rows.select("space", "key", F.concat_ws(":", "mark", "space").alias("class_id")).distinct()

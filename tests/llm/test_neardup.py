@@ -54,7 +54,7 @@ def test_against_all_pairs(spark, monkeypatch):
         assert sorted(map(tuple, pairs_of_records(*run(spark, rows, k=k, similarity=s, min_words=10)).collect())) == want
     monkeypatch.setattr(neardup, "HOT_SETS", 3)
     monkeypatch.setattr(neardup, "_PAIRS", 64)
-    monkeypatch.setattr(neardup, "TASK_SHINGLES", 1000)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
     monkeypatch.setattr("quirestone.llm.words.SLICE_BYTES", 5000)
     assert sorted(map(tuple, pairs_of_records(*run(spark, rows, k=3, similarity="0.6")).collect())) == brute(rows, 3, 3, 5, 3)
 
