@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirestone.functions.text import is_blank
 
@@ -60,11 +66,11 @@ def without_near_duplicates(candidates: DataFrame, *, group: list[str], rank: st
     return ranked.join(places, [*group, "__r"]).drop("__r")
 
 
-def merged_neighbours(candidates: DataFrame, *, group: list[str], rank: str, document: str, path: str, index: str, text: str, score: str) -> DataFrame:
+def merged_neighbours(candidates: DataFrame, *, group: list[str], rank: str, document: str, path: str, index: str, text: str, score: str, id: str | None = None) -> DataFrame:
     """Candidates that follow each other in rank and in their document become one.
 
     Same document and path, and the index goes on by one. Returns the group, ``first_rank``, document,
-    path, ``first_index``, ``last_index``, ``merged`` (how many), the text joined by blank lines, and the first's score.
+    path, ``first_index``, ``last_index``, ``merged`` (how many), the text joined by blank lines, the first's score, and with ``id`` ``merged_ids``.
     """
     order = Window.partitionBy(*group).orderBy(rank, index)
     goes_on = (
@@ -73,6 +79,7 @@ def merged_neighbours(candidates: DataFrame, *, group: list[str], rank: str, doc
     island = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = candidates.withColumn("__island", island)
     part = F.struct(F.col(rank).alias("r"), F.col(index).alias("i"), F.col(text).alias("t"))
+    ids = [F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(index).alias("i"), F.col(c).alias("id")))), lambda p: p["id"]).alias("merged_ids") for c in ([id] if id else [])]
     return rows.groupBy(*group, "__island").agg(
         F.min(rank).alias("first_rank"),
         F.first(document).alias(document),
@@ -82,18 +89,49 @@ def merged_neighbours(candidates: DataFrame, *, group: list[str], rank: str, doc
         F.count(F.lit(1)).alias("merged"),
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n").alias(text),
         F.min_by(score, F.struct(rank, index)).alias(score),
+        *ids,
     ).drop("__island")
 
 
-def reranked(candidates: DataFrame, *, group: str, index: str, score: str, budget: int, top_k: int) -> DataFrame:
-    """The ``top_k`` best of the first ``budget`` candidates of each query, by score, then index, as ``rank``.
+def reranked(candidates: DataFrame, *, group: str, index: str, score: str, budget: int, top_k: int, place: str = "rank") -> DataFrame:
+    """The ``top_k`` best of the first ``budget`` candidates of each query, by score, then index, as ``place``.
 
     A candidate that was scored more than once has its highest score; those without a finite score are left out.
     """
     finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
     scored = candidates.filter(finite & F.col(group).isNotNull() & (F.col(index) < budget)).groupBy(group, index).agg(F.max(score).alias(score))
     order = Window.partitionBy(group).orderBy(F.desc(score), index)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    return scored.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= top_k)
+
+
+class Reranker(Protocol):
+    """What a reranking service must offer; it is created in each task."""
+
+    def rerank(self, question: str, texts: list[str]) -> list[float]: ...
+
+
+def scored_by(candidates: DataFrame, questions: DataFrame, *, group: str, index: str, text: str, budget: int, provider: Callable[[], Reranker]) -> DataFrame:
+    """``group``, ``index`` and ``score`` by a provider, which sees the first ``budget`` candidates of a query at once.
+
+    ``questions`` has ``group`` and ``question``. A provider that doesn't score each of them with a finite number is refused.
+    """
+    kind = questions.schema[group].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service = provider()
+        for batch in batches:
+            scores = [[float(x) for x in service.rerank(q, t)] for q, t in zip(batch.column("question").to_pylist(), batch.column("texts").to_pylist())]
+            for s, t in zip(scores, batch.column("texts").to_pylist()):
+                if len(s) != len(t) or not all(map(math.isfinite, s)):
+                    raise ValueError("the reranking provider must score every candidate")
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("places"), pa.array(scores, pa.list_(pa.float64()))], ["query", "places", "scores"])
+
+    # of a query no more than its budget
+    pool = candidates.filter(F.col(index) <= budget).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("long").alias("i"), F.col(text).alias("t")))).alias("__c"))
+    asked = questions.join(pool, group).select(F.col(group).alias("query"), "question", F.transform("__c", lambda c: c["i"]).alias("places"), F.transform("__c", lambda c: c["t"]).alias("texts"))
+    schema = T.StructType([T.StructField("query", kind), T.StructField("places", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    zipped = asked.mapInArrow(run, schema).select(F.col("query").alias(group), F.explode(F.arrays_zip("places", "scores")).alias("x"))
+    return zipped.select(group, F.col("x.places").alias(index), F.col("x.scores").alias("score"))
 
 
 def score_gaps(candidates: DataFrame, *, group: str, index: str) -> DataFrame:

@@ -89,13 +89,13 @@ class CollectionStore:
 def run_statistics(discovered: DataFrame, indexed: DataFrame, points: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """One row on an indexing run: documents discovered, indexed, skipped and failed, chunks, distinct embedded texts.
 
-    ``discovered`` and ``indexed`` have ``doc_id``, ``points`` has ``content_hash``, ``errors`` has ``path``.
+    ``discovered``, ``indexed`` and ``errors`` have ``doc_id``, ``points`` has ``content_hash``.
     """
     one = lambda df, *c: df.agg(*c)
     found = one(discovered, F.count_distinct("doc_id").alias("discovered"))
     done = one(indexed, F.count_distinct("doc_id").alias("indexed"))
     made = one(points, F.count(F.lit(1)).alias("chunks"), F.count_distinct("content_hash").alias("embedded_texts"))
-    failed = one(errors, F.count_distinct("path").alias("failed")) if errors is not None else found.select(F.lit(0).cast("long").alias("failed"))
+    failed = one(errors, F.count_distinct("doc_id").alias("failed")) if errors is not None else found.select(F.lit(0).cast("long").alias("failed"))
     # four tables of one row each
     joined = found.crossJoin(done).crossJoin(made).crossJoin(failed)
     return joined.withColumn("skipped", F.col("discovered") - F.col("indexed") - F.col("failed"))

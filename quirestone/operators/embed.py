@@ -37,30 +37,43 @@ def is_valid_vector(vector: Column, dimensions: int) -> Column:
     return F.coalesce((F.size(vector) == dimensions) & finite, F.lit(False))
 
 
-def _provided(provider: Callable[[], EmbeddingProvider], batch_size: int):
+def _provided(provider: Callable[[], EmbeddingProvider], batch_size: int, isolate: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         service = provider()
+
+        def vectors_of(texts: list[str]) -> list:
+            vectors = service.embed(texts)
+            if len(vectors) != len(texts) or any(len(v) != service.dimensions or not np.isfinite(v).all() for v in vectors):
+                raise ValueError("the embedding provider returned invalid vectors")
+            return vectors
+
         for batch in batches:
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
-                vectors = service.embed(part.column("text").to_pylist())
-                if len(vectors) != part.num_rows or any(len(v) != service.dimensions or not np.isfinite(v).all() for v in vectors):
-                    raise ValueError("the embedding provider returned invalid vectors")
-                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(vectors, pa.list_(pa.float64()))], ["hash", "vector"])
+                error = None
+                try:
+                    vectors = vectors_of(part.column("text").to_pylist())
+                except Exception as e:  # whatever a service raises
+                    if not isolate:
+                        raise
+                    vectors, error = [None] * part.num_rows, f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(vectors, pa.list_(pa.float64())), pa.array([error] * part.num_rows, pa.string())], ["hash", "vector", "error"])
 
     return run
 
 
-def embedded(texts: DataFrame, *, text: str, provider: Callable[[], EmbeddingProvider], cache: DataFrame | None = None, batch_size: int = 64) -> DataFrame:
+def embedded(texts: DataFrame, *, text: str, provider: Callable[[], EmbeddingProvider], cache: DataFrame | None = None, batch_size: int = 64, isolate: bool = False) -> DataFrame:
     """``texts`` with ``hash``, ``vector`` and ``cache_hit``.
 
     A text is known by the hash of its normalized form. Those in ``cache`` (``hash``, ``vector``) aren't
-    embedded again; of the others, each is embedded once, however often it comes.
+    embedded again; of the others, each is embedded once, however often it comes. A provider that fails stops the
+    job, unless ``isolate``: then the texts of that batch have a null vector and ``error``, a further column.
     """
     hashed = texts.withColumn("hash", content_hash(F.col(text)))
     wanted = hashed.filter("hash is not null").groupBy("hash").agg(F.min(text).alias("text"))
     if cache is not None:
         wanted = wanted.join(cache.select("hash"), "hash", "left_anti")
-    new = wanted.select("hash", "text").mapInArrow(_provided(provider, batch_size), "hash string, vector array<double>").withColumn("cache_hit", F.lit(False))
-    known = new if cache is None else new.unionByName(cache.select("hash", "vector", F.lit(True).alias("cache_hit")))
+    columns = ["hash", "vector", *["error"] * isolate]
+    new = wanted.select("hash", "text").mapInArrow(_provided(provider, batch_size, isolate), "hash string, vector array<double>, error string").select(*columns, F.lit(False).alias("cache_hit"))
+    known = new if cache is None else new.unionByName(cache.select("hash", "vector", F.lit(True).alias("cache_hit")), allowMissingColumns=True)
     return hashed.join(known, "hash", "left")

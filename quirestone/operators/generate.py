@@ -33,7 +33,8 @@ class StubModel:
 def generated(prompts: DataFrame, *, key: str, models: list[Callable[[], LanguageModel]]) -> DataFrame:
     """``key``, ``text``, ``model``, ``attempts``, ``error`` and token counts for every prompt.
 
-    ``prompts`` has ``system_prompt``, ``context_block`` and ``user_prompt``. Models are tried in order until one
+    ``prompts`` has ``system_prompt``, ``context_block`` and ``user_prompt``, and may have ``history_block``; blank ones are left
+    out. An empty answer counts as a failure. Models are tried in order until one
     answers; a prompt that none answers keeps the last error and a null text, and doesn't stop the others.
     """
 
@@ -47,7 +48,10 @@ def generated(prompts: DataFrame, *, key: str, models: list[Callable[[], Languag
                 for service in services:
                     attempts += 1
                     try:
-                        text, name, error = service.generate(system, prompt), service.name, None
+                        said = service.generate(system, prompt)
+                        if not said or said.isspace():
+                            raise ValueError("empty answer")
+                        text, name, error = said, service.name, None
                         break
                     except Exception as e:  # whatever a service raises, the next one is tried
                         error = f"{type(e).__name__}: {e}"
@@ -56,7 +60,7 @@ def generated(prompts: DataFrame, *, key: str, models: list[Callable[[], Languag
             kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(columns, kinds))], [*batch.schema.names, "text", "model", "attempts", "error"])
 
-    asked = prompts.select(F.col(key).alias("key"), F.coalesce("system_prompt", F.lit("")).alias("system"), F.concat_ws("\n\n", F.nullif("context_block", F.lit("")), "user_prompt").alias("prompt"))
+    asked = prompts.select(F.col(key).alias("key"), F.coalesce("system_prompt", F.lit("")).alias("system"), F.concat_ws("\n\n", *[F.nullif(c, F.lit("")) for c in ("history_block", "context_block") if c in prompts.columns], "user_prompt").alias("prompt"))
     schema = T.StructType([*asked.schema.fields, *(T.StructField(n, T.IntegerType() if n == "attempts" else T.StringType()) for n in ("text", "model", "attempts", "error"))])
     out = asked.mapInArrow(run, schema)
     return out.select(F.col("key").alias(key), "text", "model", "attempts", "error", (token_count(F.col("system")) + token_count(F.col("prompt"))).alias("prompt_tokens"), token_count(F.col("text")).alias("completion_tokens"))

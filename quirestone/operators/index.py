@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,35 @@ def not_yet_indexed(documents: DataFrame, indexed: DataFrame, *, fingerprint: st
     return documents.join(indexed.select(fingerprint).distinct(), fingerprint, "left_anti")
 
 
-def invalid_points(points: DataFrame, *, id: str, vector: str, dimensions: int) -> DataFrame:
-    """Ids that a batch may not have, and ``reason``: ``duplicate_id`` or ``invalid_vector``."""
+_UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+#: Fields without which a point can't become a candidate.
+REQUIRED_FIELDS = ("chunk_id", "document_id", "original_text", "source_document")
+
+
+def fingerprints(elements: DataFrame, sections: DataFrame) -> DataFrame:
+    """``doc_id`` and ``document_fingerprint`` of every document: of all that reaches its chunks, in whatever order it comes."""
+    total = lambda columns: F.sum(F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).cast("decimal(20,0)"))
+    of_elements = ("element_id", "containing_section_id", "order_index", "element_type", "content", "rows", "caption", "alt_text", "list_type", "items", "source_document")
+    of_sections = ("section_id", "parent_section_id", "heading", "section_level", "sibling_ord")
+    made = elements.groupBy("doc_id").agg(total(of_elements).alias("__e"), F.count(F.lit(1)).alias("__n"))
+    placed = sections.groupBy("doc_id").agg(total(of_sections).alias("__s"), F.count(F.lit(1)).alias("__m"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("__e", "__n", "__s", "__m")]
+    return made.join(placed, "doc_id", "left").select("doc_id", F.sha2(F.concat_ws(":", "doc_id", *parts), 256).alias("document_fingerprint"))
+
+
+def invalid_points(points: DataFrame, *, id: str, vector: str, dimensions: int, uuids: bool = False, fields: Sequence[str] = ()) -> DataFrame:
+    """Ids that a batch may not have, and ``reason``.
+
+    ``duplicate_id``, ``invalid_vector``, with ``uuids`` ``invalid_id`` for ids that aren't UUIDs, and for each of
+    ``fields`` that is null or lacks ``missing_`` and its name.
+    """
     repeated = points.groupBy(id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id, F.lit("duplicate_id").alias("reason"))
-    wrong = points.filter(~is_valid_vector(F.col(vector), dimensions)).select(id, F.lit("invalid_vector").alias("reason"))
-    return repeated.unionByName(wrong)
+    rules = [("invalid_vector", ~is_valid_vector(F.col(vector), dimensions))]
+    if uuids:
+        rules.append(("invalid_id", ~F.coalesce(F.col(id).rlike(_UUID), F.lit(False))))
+    rules += [(f"missing_{c}", F.col(c).isNull() if c in points.columns else F.lit(True)) for c in fields]
+    broken = F.filter(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in rules]), lambda r: r.isNotNull())
+    return repeated.unionByName(points.select(id, F.explode(broken).alias("reason")))
 
 
 def upserted(existing: DataFrame, points: DataFrame, *, id: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query vectors that go to all tasks at once; more queries take more passes over the rows.
 QUERIES_A_PASS = 4096
+_QUERIES_A_STEP = 256
 METRICS = ("cosine", "dot", "euclid")
 
 
@@ -34,64 +37,93 @@ def _scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None] - 2 * queries @ rows.T, 0))
 
 
-def _searched(shared, metric: str, k: int, threshold: float | None):
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest of each row, of equal ones the first, in any order; infinite ones are left out."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.nonzero(np.isfinite(scores))
+    least = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
+    more, equal = scores > least, scores == least
+    room = k - more.sum(axis=1, keepdims=True)
+    return np.nonzero((more | (equal & (np.cumsum(equal, axis=1) <= room))) & np.isfinite(scores))
+
+
+def _searched(shared, metric: str, k: int, threshold: float | None, match: Sequence[str]):
+    kept_schema = {"query": np.int64, "score": np.float64}
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, filters = shared.value
-        if not len(ids):
-            return
-        best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        asked = shared.value
+        queries, wanted = asked["vectors"], asked["filters"]
+        kept, ids = {c: np.zeros(0, t) for c, t in kept_schema.items()}, None
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(queries):
                 continue
+            # rows by id, so that of equal scores the smaller id comes first
+            batch = batch.take(pc.sort_indices(batch.column("id")))
             vectors = batch.column("vector")
             matrix = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()].reshape(batch.num_rows, -1)
-            scores = _scores(matrix, queries, metric)
-            if filters is not None:
-                group = np.array(batch.column("filter").to_pylist(), object)
-                scores = np.where(filters[:, None] == group[None, :], scores, -np.inf)
-            row_ids = np.broadcast_to(batch.column("id").to_numpy(), scores.shape)
-            best_score, best_id = np.concatenate([best_score, scores], axis=1), np.concatenate([best_id, row_ids], axis=1)
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        score = best_score.reshape(-1)
-        keep = np.isfinite(score)
-        if threshold is not None:
-            keep &= score >= threshold
-        query = np.repeat(ids, best_score.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(best_id.reshape(-1)[keep]), pa.array(score[keep])], ["query_id", "id", "score"])
+            codes = []
+            for c in match:
+                coded = batch.column(f"filter_{c}").dictionary_encode()
+                place = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+                given = np.array([-2 if v is None else place.get(v, -1) for v in wanted[c]], np.int64)
+                codes.append((given, pc.fill_null(coded.indices, -3).to_numpy(zero_copy_only=False)))
+            found = []
+            for at in range(0, len(queries), _QUERIES_A_STEP):
+                some = slice(at, at + _QUERIES_A_STEP)
+                scores = np.round(_scores(matrix, queries[some], metric), 12)
+                for given, has in codes:
+                    scores[(given[some, None] != -2) & (given[some, None] != has[None, :])] = -np.inf
+                if threshold is not None:
+                    scores[scores < threshold] = -np.inf
+                q, r = _best(scores, k)
+                found.append((q + at, scores[q, r], r))
+            query, score, row = (np.concatenate(x) for x in zip(*found))
+            new = batch.column("id").take(pa.array(row))
+            ids = new if ids is None else pa.concat_arrays([ids, new])
+            kept = {"query": np.concatenate([kept["query"], query]), "score": np.concatenate([kept["score"], score])}
+            order = pc.sort_indices(pa.table([pa.array(kept["query"]), pa.array(-kept["score"]), ids], ["q", "s", "i"]), [("q", "ascending"), ("s", "ascending"), ("i", "ascending")]).to_numpy()
+            q = kept["query"][order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+            kept, ids = {c: v[order] for c, v in kept.items()}, ids.take(pa.array(order))
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([asked["ids"].take(pa.array(kept["query"])), ids, pa.array(kept["score"])], ["query_id", "id", "score"])
 
     return search
 
 
 def nearest(
-    rows: DataFrame, queries: DataFrame, *, id: str, vector: str, query_id: str, query_vector: str, k: int = 20, metric: str = "cosine", threshold: float | None = None, match: str | None = None
+    rows: DataFrame, queries: DataFrame, *, id: str, vector: str, query_id: str, query_vector: str, k: int = 20, metric: str = "cosine", threshold: float | None = None, match: str | Sequence[str] | None = None
 ) -> DataFrame:
     """The ``k`` rows with the best score for each query: ``query_id``, ``id``, ``score``, ``rank``.
 
-    Every row is compared with every query, exactly. ``match`` is a column of both sides that must
-    be equal. Rows whose score is below ``threshold`` are left out (cosine and dot). Equal scores: the
-    smaller id. For ``euclid`` the score is the distance, and less is better.
+    Every row is compared with every query, exactly. ``match`` are columns of both sides that must all be
+    equal; where a query has null, its column doesn't matter. Rows whose score is below ``threshold`` are left out
+    (cosine and dot). Scores are rounded to 12 decimals, so that equal vectors tie; of those the smaller id comes first. For ``euclid`` the score is the distance, and less is better.
 
     Queries are sent to the tasks in blocks of ``QUERIES_A_PASS``; each task multiplies its rows with the
-    block and keeps ``k`` a query, so that only ``k`` rows a query and partition are shuffled. Null ids
+    block and keeps ``k`` a query, so that only ``k`` rows a query and partition are shuffled. Ids are numbers or strings. Null ids
     and vectors are left out; all vectors need the same length.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    match = [match] if isinstance(match, str) else list(match or ())
     spark = rows.sparkSession
-    extra = [F.col(match).cast("string").alias("filter")] if match else []
-    taken = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *extra).dropna(subset=["id", "vector"])
-    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("vector"), *extra).dropna(subset=["id", "vector"])
+    extra = [F.col(c).cast("string").alias(f"filter_{c}") for c in match]
+    taken = rows.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"), *extra).dropna(subset=["id", "vector"])
+    asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vector"), *extra).dropna(subset=["id", "vector"])
+    schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("id", taken.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     passes = max(1, -(-asked.count() // QUERIES_A_PASS))
     found = None
     for i in range(passes):
-        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).collect()
-        if not block and found is not None:
+        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).toArrow()
+        if not block.num_rows and found is not None:
             continue
-        ids = np.array([r["id"] for r in block], np.int64)
-        matrix = np.array([r["vector"] for r in block], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix, np.array([r["filter"] for r in block], object) if match else None))
-        one = taken.mapInArrow(_searched(shared, metric, k, threshold if metric != "euclid" else None), "query_id long, id long, score double")
+        vectors = block.column("vector").to_pylist()
+        shared = spark.sparkContext.broadcast(
+            {"ids": block.column("id").combine_chunks(), "vectors": np.array(vectors, np.float64).reshape(len(vectors), len(vectors[0]) if vectors else 0), "filters": {c: block.column(f"filter_{c}").to_pylist() for c in match}}
+        )
+        one = taken.mapInArrow(_searched(shared, metric, k, threshold if metric != "euclid" else None, match), schema)
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import is_blank, trim_ws
+from quirestone.session import written
 
 LEVELS = range(1, 7)
 
@@ -93,25 +94,41 @@ def titles(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.coalesce(first, F.lit("Untitled Document")).alias("title"))
 
 
-def section_tree(sections: DataFrame, depth: int = 6) -> DataFrame:
-    """Path, depth-first order key and depth of every section of at most ``depth`` ancestors.
+def section_tree(sections: DataFrame) -> DataFrame:
+    """Path and depth-first order key of every section, however deep.
 
     Input: ``doc_id``, ``section_id``, ``parent_section_id``, ``heading``, ``section_level``,
-    ``sibling_ord``. Adds ``section_path`` (headings from the top, blank ones left out) and
-    ``order_key`` (sibling numbers from the top). A parent that doesn't exist counts as none. One
-    join a level; the looked-up side is shuffled once.
+    ``sibling_ord``. Adds ``section_path`` (headings from the top, blank ones left out), ``order_key``
+    (sibling numbers from the top) and ``cyclic``. A parent that doesn't exist counts as none. A section whose
+    ancestors come round in a circle is ``cyclic`` and stands at the top, with its own heading only.
+
+    As many joins as there are usual levels; where ancestors are left, each further join doubles the
+    number of levels that are known.
     """
     own = F.when(is_blank(F.col("heading")), F.array().cast("array<string>")).otherwise(F.array(F.col("heading")))
-    nodes = sections.withColumn("section_path", own).withColumn("order_key", F.array("sibling_ord")).withColumn("__up", F.col("parent_section_id"))
-    above = sections.select(F.col("doc_id"), F.col("section_id").alias("__up"), own.alias("__path"), F.array("sibling_ord").alias("__key"), F.col("parent_section_id").alias("__next"))
-    for _ in range(depth - 1):
-        nodes = nodes.join(above, ["doc_id", "__up"], "left").select(
+    nodes = sections.select("*", own.alias("section_path"), F.array("sibling_ord").alias("order_key"), F.array("section_id").alias("__ids"), F.lit(False).alias("cyclic"), F.col("parent_section_id").alias("__up"))
+
+    def higher(nodes: DataFrame, above: DataFrame) -> DataFrame:
+        joined = nodes.join(above, ["doc_id", "__up"], "left").withColumn("__round", F.coalesce(F.arrays_overlap("__ids", "__more"), F.lit(False)))
+        longer = lambda new, old: F.when(F.col("__round") | F.col(new).isNull(), F.col(old)).otherwise(F.concat(new, old)).alias(old)
+        return joined.select(
             *sections.columns,
-            F.when(F.col("__path").isNull(), F.col("section_path")).otherwise(F.concat("__path", "section_path")).alias("section_path"),
-            F.when(F.col("__key").isNull(), F.col("order_key")).otherwise(F.concat("__key", "order_key")).alias("order_key"),
-            F.col("__next").alias("__up"),
+            longer("__path", "section_path"),
+            longer("__key", "order_key"),
+            longer("__more", "__ids"),
+            (F.col("cyclic") | F.col("__round") | F.coalesce(F.col("__cyclic"), F.lit(False))).alias("cyclic"),
+            F.when(~F.col("__round"), F.col("__next")).alias("__up"),
         )
-    return nodes.drop("__up")
+
+    as_above = lambda n: n.select("doc_id", F.col("section_id").alias("__up"), F.col("section_path").alias("__path"), F.col("order_key").alias("__key"), F.col("__ids").alias("__more"), F.col("cyclic").alias("__cyclic"), F.col("__up").alias("__next"))
+    parents = as_above(nodes)
+    for _ in LEVELS[1:]:
+        nodes = higher(nodes, parents)
+    nodes = written(nodes, "tree")
+    while not nodes.filter("__up is not null").isEmpty():
+        nodes = written(higher(nodes, as_above(nodes)), "tree")
+    alone = lambda c, column: F.when(F.col("cyclic"), c).otherwise(F.col(column)).alias(column)
+    return nodes.select(*sections.columns, alone(own, "section_path"), alone(F.array("sibling_ord"), "order_key"), "cyclic")
 
 
 def reading_order(tree: DataFrame) -> DataFrame:
@@ -143,15 +160,16 @@ def classify_sections(sections: DataFrame, elements: DataFrame) -> DataFrame:
     h = F.coalesce(F.lower(trim_ws(F.col("heading"))), F.lit(""))
     first = F.col("parent_section_id").isNull() & (F.col("sibling_ord") == F.col("first_ord"))
     cover = first & ((h == "") | h.contains("title") | h.contains("cover")) & (F.coalesce("chars", F.lit(0)) < 300) & F.col("subsections").isNull()
+    # The names of the types.
     kind = (
-        F.when(h.rlike(r"table\s*of\s*contents|^contents$"), "TOC")
+        F.when(h.rlike(r"table\s*of\s*contents|^contents$"), "TABLE_OF_CONTENTS")
         .when(cover, "COVER_PAGE")
         .when(h.rlike(r"^form\b|^form\s*\d+[a-z]?"), "TEMPLATE_FORM")
         .when(h.contains("signature"), "SIGNATURE_PAGE")
         .when(h.rlike("signed by|signatory|certificate"), "CERTIFICATE")
         .when(h.rlike("left blank|to be completed|tbd|placeholder"), "PLACEHOLDER_SECTION")
-        .when(h.rlike("^appendi|^annex"), "CONTAINER")
-        .when(F.col("subsections").isNotNull(), "CONTAINER")
+        .when(h.rlike("^appendi|^annex"), "CONTAINER_SECTION")
+        .when(F.col("subsections").isNotNull(), "CONTAINER_SECTION")
         .when((F.coalesce("tables", F.lit(0)) == 1) & (F.coalesce("paragraphs", F.lit(0)) == 0), "TEMPLATE_FORM")
         .otherwise("CONTENT_SECTION")
     )

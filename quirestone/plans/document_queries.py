@@ -85,13 +85,13 @@ full_ AS (SELECT s.*, h.held, h.chars, h.tables, h.paragraphs, b.subsections, t.
 
 @query(
     f"""WITH {_HELD} SELECT doc_id, section_id, CASE
-  WHEN regexp_matches(h, 'table\\s*of\\s*contents|^contents$') THEN 'TOC'
+  WHEN regexp_matches(h, 'table\\s*of\\s*contents|^contents$') THEN 'TABLE_OF_CONTENTS'
   WHEN parent_section_id IS NULL AND sibling_ord = first_ord AND (h = '' OR contains(h, 'title') OR contains(h, 'cover')) AND coalesce(chars, 0) < 300 AND subsections IS NULL THEN 'COVER_PAGE'
   WHEN regexp_matches(h, '^form\\b|^form\\s*\\d+[a-z]?') THEN 'TEMPLATE_FORM'
   WHEN contains(h, 'signature') THEN 'SIGNATURE_PAGE'
   WHEN regexp_matches(h, 'signed by|signatory|certificate') THEN 'CERTIFICATE'
   WHEN regexp_matches(h, 'left blank|to be completed|tbd|placeholder') THEN 'PLACEHOLDER_SECTION'
-  WHEN regexp_matches(h, '^appendi|^annex') OR subsections IS NOT NULL THEN 'CONTAINER'
+  WHEN regexp_matches(h, '^appendi|^annex') OR subsections IS NOT NULL THEN 'CONTAINER_SECTION'
   WHEN coalesce(tables, 0) = 1 AND coalesce(paragraphs, 0) = 0 THEN 'TEMPLATE_FORM'
   ELSE 'CONTENT_SECTION' END AS section_type FROM full_"""
 )
@@ -144,6 +144,10 @@ _FINDINGS += " UNION ALL ".join(
 _FINDINGS += ")"
 
 
+#: Findings on elements and sections, each element once.
+LIBRARY_FINDINGS_SQL = f"WITH {_FINDINGS} SELECT * FROM findings WHERE code NOT IN ('MISSING_DOCUMENT_TITLE', 'MISSING_METADATA', 'MISSING_SOURCE', 'MISSING_LANGUAGE')".replace("good AS (SELECT * FROM elements", "good AS (SELECT * FROM once").replace("FROM elements WHERE NOT", "FROM once WHERE NOT")
+
+
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
     e, s = _elements(spark, folder), _sections(spark, folder)
     return document_findings(table(spark, folder, "documents")).unionByName(element_findings(e, s)).unionByName(section_findings(s, e))
@@ -200,7 +204,7 @@ chunks AS (SELECT g.doc_id, g.section_id, section_order, path, x.a, x.b, places[
 _NUMBERED = f"""{_CHUNKS}, titles AS (SELECT doc_id, min(source_document) AS title FROM elements GROUP BY 1),
 points AS (SELECT c.*, title, row_number() OVER (PARTITION BY c.doc_id ORDER BY section_order, section_id NULLS FIRST, a, b) - 1 AS chunk_index FROM chunks c LEFT JOIN titles t ON c.doc_id = t.doc_id),
 ids AS (SELECT *, sha256(doc_id || coalesce(section_id, '') || chunk_index || {sql.norm('text')}) AS chunk_id, array_to_string(path, chr(10)) AS head FROM points)"""
-POINTS_SQL = f"{_NUMBERED} SELECT chunk_id, doc_id, chunk_index FROM ids"
+POINTS_SQL = f"{_NUMBERED} SELECT chunk_id, doc_id, chunk_index, path, text, element_type, head, title, sha256({sql.norm('text')}) AS content_hash FROM ids"
 
 
 @query(

@@ -2,76 +2,170 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from uuid import NAMESPACE_URL
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import uuid5
-from quirestone.operators.candidates import drop_reasons, merged_neighbours, without_near_duplicates
+from quirestone.operators.candidates import Reranker, drop_reasons, merged_neighbours, reranked, scored_by, without_near_duplicates
 from quirestone.operators.chunk import chunk_elements, chunks
+from quirestone.operators.collections import run_statistics
 from quirestone.operators.context import budgeted, prompts
 from quirestone.operators.elements import once as unique
 from quirestone.operators.embed import EmbeddingProvider, embedded, mock_embedding
 from quirestone.operators.enrich import enriched, payload
-from quirestone.operators.index import not_yet_indexed
+from quirestone.operators.generate import LanguageModel, StubModel, generated
+from quirestone.operators.index import fingerprints, not_yet_indexed
 from quirestone.operators.qualify import processed, qualified, rejection
 from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
+from quirestone.operators.validate import ERROR, element_findings, section_findings
 from quirestone.operators.transport import block_errors, once, render_operations, undeclared_references
 from quirestone.plans import proposal_queries
-from quirestone.plans.document_queries import POINTS_SQL
+from quirestone.plans.document_queries import LIBRARY_FINDINGS_SQL, POINTS_SQL
 from quirestone.session import written
 from quirestone.sources.tables import table
 
 DIMENSIONS = 32
-
-
-def index(
-    elements: DataFrame, sections: DataFrame, *, provider: Callable[[], EmbeddingProvider] | None = None, indexed: DataFrame | None = None, dimensions: int = DIMENSIONS, chunk_size: int = 500, overlap_ratio: float = 0.1
-) -> DataFrame:
-    """Points of all documents that ``indexed`` (``document_fingerprint``) doesn't have: payload, ``point_id`` and ``vector``.
-
-    Without a provider vectors are made of hashes, the same on every run.
+#: Points that are broadcast by their ids at most.
+FEW_POINTS = 200_000
+
+
+@dataclass(frozen=True)
+class IndexRun:
+    """What a run has made: ``points``, ``errors`` (``doc_id``, ``stage``, ``detail``) of documents that it left out, and ``statistics``, one row."""
+
+    points: DataFrame
+    errors: DataFrame
+    statistics: DataFrame
+
+
+def index_run(
+    elements: DataFrame,
+    sections: DataFrame,
+    *,
+    documents: DataFrame | None = None,
+    provider: Callable[[], EmbeddingProvider] | None = None,
+    cache: DataFrame | None = None,
+    indexed: DataFrame | None = None,
+    dimensions: int = DIMENSIONS,
+    chunk_size: int = 500,
+    overlap_ratio: float = 0.1,
+) -> IndexRun:
+    """Validate, chunk, enrich and embed all documents that ``indexed`` (``document_fingerprint``) doesn't have.
+
+    A document with an error of validation (stage ``validation``), without a chunk (``chunking``), or with a text that the
+    provider failed on (``embedding``) is left out whole and reported; it doesn't stop the others. ``documents`` may give
+    ``doc_id``, ``title``, ``source_document`` and ``version``; without it the title is the source document. ``cache`` has known vectors
+    (``hash``, ``vector``). Without a provider vectors are made of hashes, the same on every run.
     """
     elements = unique(elements)
-    total = F.sum(F.xxhash64("element_id", "content").cast("decimal(38,0)"))  # whatever the order of the elements
-    prints = elements.groupBy("doc_id").agg(F.sha2(F.concat_ws(":", "doc_id", total.cast("string"), F.count(F.lit(1)).cast("string")), 256).alias("document_fingerprint"), F.min("source_document").alias("title"))
-    if indexed is not None:
-        prints = not_yet_indexed(prints, indexed, fingerprint="document_fingerprint")
-        elements = elements.join(prints.select("doc_id"), "doc_id", "left_semi")
-    points = payload(enriched(chunks(chunk_elements(elements, sections), chunk_size=chunk_size, overlap_ratio=overlap_ratio), prints.select("doc_id", "title")))
-    points = points.join(prints.select(F.col("doc_id").alias("document_id"), "document_fingerprint"), "document_id").withColumn("point_id", F.xxhash64("chunk_id"))
+    known = elements.groupBy("doc_id").agg(F.min("source_document").alias("source_document"))
+    if documents is None:
+        named = known.select("doc_id", F.col("source_document").alias("title"), "source_document", F.lit(None).cast("string").alias("version"))
+    else:
+        given = documents.select("doc_id", "title", F.col("source_document").alias("__given"), "version")
+        named = known.join(given, "doc_id", "left").select("doc_id", "title", F.coalesce("__given", "source_document").alias("source_document"), "version")
+    prints = written(fingerprints(elements, sections).join(named, "doc_id"), "documents")
+    due = prints if indexed is None else not_yet_indexed(prints, indexed, fingerprint="document_fingerprint")
+    ours = lambda df: df if indexed is None else df.join(due.select("doc_id"), "doc_id", "left_semi")
+    findings = element_findings(ours(elements), ours(sections)).unionByName(section_findings(ours(sections), ours(elements))).filter(F.col("severity") == ERROR)
+    broken = findings.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("detail")).select("doc_id", F.lit("validation").alias("stage"), "detail")
+    broken = written(broken.join(due.select("doc_id"), "doc_id", "left_semi"), "broken")
+    valid = written(due.join(broken, "doc_id", "left_anti"), "valid")
+
+    rows = chunk_elements(elements.join(valid.select("doc_id"), "doc_id", "left_semi"), sections)
+    flat = payload(enriched(chunks(rows, chunk_size=chunk_size, overlap_ratio=overlap_ratio), valid.select("doc_id", "title")))
+    runtime = valid.select(F.col("doc_id").alias("document_id"), "source_document", "version", "document_fingerprint")
+    points = flat.join(runtime, "document_id").withColumns({"page_number": F.lit(None).cast("int"), "point_id": uuid5(NAMESPACE_URL, F.col("chunk_id"))})
     if provider is None:
-        return points.withColumn("vector", mock_embedding(F.col("embedding_text"), dimensions))
-    return embedded(points, text="embedding_text", provider=provider).drop("hash", "cache_hit")
-
-
-def search(queries: DataFrame, points: DataFrame, *, k: int = 20, threshold: float | None = None) -> DataFrame:
-    """Candidates of each query (``query_id`` long, ``vector``): the points with the largest cosine, with their payload, ``score`` and ``rank``."""
-    found = nearest(points, queries, id="point_id", vector="vector", query_id="query_id", query_vector="vector", k=k, threshold=threshold)
-    return join_spread(found.withColumnRenamed("id", "point_id"), points.drop("vector", "embedding_text").dropDuplicates(["point_id"]), ["point_id"], ["query_id"])
-
-
-def ask(questions: DataFrame, points: DataFrame, *, top_k: int = 5, candidate_budget: int = 20, threshold: float = 0.0, context_tokens: int = 4000, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The prompt of every question (``query_id``, ``question``) with its context, and ``answer`` of a stub model.
+        points = points.withColumns({"vector": mock_embedding(F.col("embedding_text"), dimensions), "__error": F.lit(None).cast("string")})
+    else:
+        points = embedded(points, text="embedding_text", provider=provider, cache=cache, isolate=True).withColumnRenamed("error", "__error").drop("hash", "cache_hit")
+    made = written(points, "points")
+    failed = made.filter("__error is not null").groupBy(F.col("document_id").alias("doc_id")).agg(F.min("__error").alias("detail")).select("doc_id", F.lit("embedding").alias("stage"), "detail")
+    empty = valid.join(made.select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", F.lit("chunking").alias("stage"), F.lit("no chunks").alias("detail"))
+    errors = broken.unionByName(failed).unionByName(empty)
+    points = made.drop("__error")
+    if provider is not None:
+        points = points.join(failed.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti")
+    done = points.select(F.col("document_id").alias("doc_id"))
+    return IndexRun(points, errors, run_statistics(prints.select("doc_id"), done, points, errors))
+
+
+def index(elements: DataFrame, sections: DataFrame, **more) -> DataFrame:
+    """Only the points of ``index_run``."""
+    return index_run(elements, sections, **more).points
+
+
+def search(queries: DataFrame, points: DataFrame, *, k: int = 20, threshold: float | None = None, match: Sequence[str] = ()) -> DataFrame:
+    """Candidates of each query (``query_id``, ``vector``): the points with the largest cosine, with their payload, ``score`` and ``rank``.
+
+    ``match`` are columns of ``queries`` that a point must have alike, all of them; null doesn't matter. Columns that points
+    lack match nothing. Of the collection, the payload of the points that were found is read, and nothing else is shuffled
+    if they are few.
+    """
+    lacking = {c: F.lit(None).cast("string") for c in match if c not in points.columns}
+    found = written(nearest(points.withColumns(lacking), queries, id="point_id", vector="vector", query_id="query_id", query_vector="vector", k=k, threshold=threshold, match=match).withColumnRenamed("id", "point_id"), "found")
+    wanted = found.select("point_id").distinct()
+    if wanted.limit(FEW_POINTS + 1).count() <= FEW_POINTS:
+        wanted = F.broadcast(wanted)
+    payloads = points.drop("vector", "embedding_text").join(wanted, "point_id", "left_semi").dropDuplicates(["point_id"])
+    return join_spread(found, payloads, ["point_id"], ["query_id"])
+
+
+#: Parameters of a question and the field of a point that each must equal.
+FILTERS = {"document": "source_document", "department": "department", "version": "version"}
+
+
+def ask(
+    questions: DataFrame,
+    points: DataFrame,
+    *,
+    top_k: int = 5,
+    candidate_budget: int = 20,
+    threshold: float = 0.0,
+    context_tokens: int = 4000,
+    provider: Callable[[], EmbeddingProvider] | None = None,
+    cache: DataFrame | None = None,
+    reranker: Callable[[], Reranker] | None = None,
+    models: Sequence[Callable[[], LanguageModel]] = (StubModel,),
+    dimensions: int = DIMENSIONS,
+) -> DataFrame:
+    """The prompt of every question (``query_id``, ``question``, and ``history`` if there is one) and the answer to it.
 
-    Refused questions come back with ``rejection`` and without a prompt.
+    Parameters in a question (``document: x``) restrict the points, all at once. Candidates below ``threshold``, blank, or like an
+    accepted one are dropped, neighbours are merged, and of what is left the first ``top_k``, or with a reranker its best, are the
+    context. Refused questions come back with ``rejection`` and without a prompt; those without a context are still asked.
+    ``text``, ``model``, ``attempts`` and ``error`` are of the models, which are tried in order. Without a provider vectors are made of hashes.
     """
-    asked = questions.select("query_id", F.col("question").alias("raw")).withColumn("rejection", rejection(F.col("raw")))
-    good = processed(qualified(asked.filter("rejection is null"), text="raw"), text="question")
-    vectors = good.select("query_id", mock_embedding(F.col("normalized"), dimensions).alias("vector"))
-    hits = written(drop_reasons(search(vectors, points, k=candidate_budget), score="score", text="original_text", threshold=threshold).filter("drop_reason is null"), "hits")
+    history = ["history"] if "history" in questions.columns else []
+    asked = questions.select("query_id", F.col("question").alias("raw"), *history).withColumn("rejection", rejection(F.col("raw")))
+    good = written(processed(qualified(asked.filter("rejection is null"), text="raw"), text="raw").withColumnsRenamed({a: f"__{a}" for a in FILTERS}).withColumnsRenamed({f"__{a}": b for a, b in FILTERS.items()}), "questions")
+    if provider is None:
+        vectors = good.withColumn("vector", mock_embedding(F.col("normalized"), dimensions))
+    else:
+        vectors = embedded(good, text="normalized", provider=provider, cache=cache)
+    found = search(vectors.select("query_id", "vector", *FILTERS.values()), points, k=candidate_budget, match=list(FILTERS.values()))
+    hits = written(drop_reasons(found, score="score", text="original_text", threshold=threshold).filter("drop_reason is null"), "hits")
     hits = hits.withColumn("place", F.concat_ws("/", "document_id", "chunk_index"))
     kept = without_near_duplicates(hits, group=["query_id"], rank="rank", identities=["chunk_id", "place", "content_hash"], budget=candidate_budget)
-    merged = merged_neighbours(kept, group=["query_id"], rank="rank", document="document_id", path="section_path", index="chunk_index", text="original_text", score="score")
+    merged = merged_neighbours(kept, group=["query_id"], rank="rank", document="document_id", path="section_path", index="chunk_index", text="original_text", score="score", id="chunk_id")
     # places after folding and merging, so that candidates beyond the first hits take the places of those that are gone
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank")).alias("rank")
-    best = merged.select("*", place).withColumnsRenamed({"original_text": "text", "section_path": "header_path"}).withColumn("page", F.lit(None).cast("int"))
-    context = budgeted(best.filter(F.col("rank") <= top_k), query="query_id", rank="rank", text="text", budget=context_tokens)
-    ready = prompts(context, good.select("query_id", F.col("normalized").alias("question")), query="query_id")
-    answers = ready.withColumn("answer", F.concat(F.lit("[stub] "), "user_prompt", F.lit(" | context tokens: "), F.col("context_tokens").cast("string")))
+    ranked = merged.select("*", place).withColumnsRenamed({"original_text": "text", "section_path": "header_path"}).withColumn("page", F.lit(None).cast("int"))
+    to_ask = good.select("query_id", F.col("normalized").alias("question"), *history)
+    if reranker is not None:
+        ranked = written(ranked, "ranked")
+        scores = scored_by(ranked, to_ask, group="query_id", index="rank", text="text", budget=candidate_budget, provider=reranker)
+        order = reranked(scores, group="query_id", index="rank", score="score", budget=candidate_budget + 1, top_k=top_k, place="new_rank").select("query_id", "rank", "new_rank")
+        ranked = ranked.join(order, ["query_id", "rank"]).drop("rank").withColumnRenamed("new_rank", "rank")
+    context = budgeted(ranked.filter(F.col("rank") <= top_k), query="query_id", rank="rank", text="text", budget=context_tokens)
+    ready = written(prompts(context, to_ask, query="query_id"), "prompts")
+    answers = ready.join(generated(ready, key="query_id", models=list(models)).drop("prompt_tokens"), "query_id")
     return asked.select("query_id", "rejection").join(answers, "query_id", "left")
 
 
@@ -89,7 +183,7 @@ def publish(blocks: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFram
 
 def _ask_eval_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every held-out passage asked against the index of all library documents."""
-    points = written(index(table(spark, folder, "elements"), table(spark, folder, "sections")), "points")
+    points = index(table(spark, folder, "elements"), table(spark, folder, "sections"))
     questions = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return ask(questions, points).select("query_id", "rejection", "context_tokens", "prompt_tokens", F.sha2("context_block", 256).alias("context_hash"))
 
@@ -101,12 +195,32 @@ def _published_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index_points(spark: SparkSession, folder: str) -> DataFrame:
     """Points of all library documents, without their vectors."""
-    return index(table(spark, folder, "elements"), table(spark, folder, "sections")).select("chunk_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), uuid5(NAMESPACE_URL, F.col("chunk_id")).alias("point_uuid"), F.size("vector").alias("dimensions"))
+    return index(table(spark, folder, "elements"), table(spark, folder, "sections")).select("chunk_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("point_id").alias("point_uuid"), F.size("vector").alias("dimensions"))
+
+
+def _index_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Library documents that can't be indexed, and why."""
+    return index_run(table(spark, folder, "elements"), table(spark, folder, "sections")).errors
+
+
+def _index_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of a run over all library documents, of which those that came before July 2024 were indexed already."""
+    elements, sections = table(spark, folder, "elements"), table(spark, folder, "sections")
+    first = elements.groupBy("doc_id").agg(F.min("ingested_at").alias("at")).filter(F.col("at") < F.lit("2024-07-01").cast("timestamp"))
+    before = fingerprints(unique(elements), sections).join(first, "doc_id", "left_semi").select("document_fingerprint")
+    return index_run(elements, sections, indexed=before).statistics
 
 
-QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points}
+QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points, "index_errors": _index_errors, "index_run_statistics": _index_statistics}
 _BROKEN = f"""SELECT proposal_id FROM transport_blocks JOIN ({proposal_queries.ORACLE_SQL['transport_errors']}) USING (block_id) UNION ALL SELECT proposal_id FROM ({proposal_queries.ORACLE_SQL['unknown_references']})"""
+_INDEX_ERRORS = f"""SELECT doc_id, 'validation' AS stage, string_agg(DISTINCT code, ',' ORDER BY code) AS detail FROM ({LIBRARY_FINDINGS_SQL}) WHERE severity = 'error' GROUP BY 1"""
+_VALID = f"(SELECT * FROM ({POINTS_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_INDEX_ERRORS})))"
+_DUE = "(SELECT doc_id FROM elements GROUP BY 1 HAVING min(ingested_at) >= TIMESTAMPTZ '2024-07-01 00:00:00+00')"
 ORACLE_SQL = {
     "published_lines": f"SELECT * FROM ({proposal_queries.ORACLE_SQL['render_ops']}) WHERE proposal_id NOT IN ({_BROKEN})",
-    "indexed_points": f"SELECT chunk_id, doc_id AS document_id, chunk_index, {proposal_queries._uuid5_sql('chunk_id')} AS point_uuid, {DIMENSIONS} AS dimensions FROM ({POINTS_SQL})",
+    "indexed_points": f"SELECT chunk_id, doc_id AS document_id, chunk_index, {proposal_queries._uuid5_sql('chunk_id')} AS point_uuid, {DIMENSIONS} AS dimensions FROM {_VALID}",
+    "index_errors": _INDEX_ERRORS,
+    "index_run_statistics": f"""WITH p AS (SELECT * FROM {_VALID} WHERE doc_id IN {_DUE}), e AS (SELECT doc_id FROM ({_INDEX_ERRORS}) WHERE doc_id IN {_DUE}), d AS (SELECT count(DISTINCT doc_id) AS discovered FROM elements)
+SELECT discovered, (SELECT count(DISTINCT doc_id) FROM p) AS indexed, (SELECT count(*) FROM p) AS chunks, (SELECT count(DISTINCT content_hash) FROM p) AS embedded_texts, (SELECT count(*) FROM e) AS failed,
+discovered - (SELECT count(DISTINCT doc_id) FROM p) - (SELECT count(*) FROM e) AS skipped FROM d""",
 }

@@ -186,9 +186,9 @@ def citation_lines(spark, folder):
 
 
 @query(
-    f"""{_CONTEXT}, b AS (SELECT query_id, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Citations:' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY rank) AS block FROM context GROUP BY 1),
+    f"""{_CONTEXT}, b AS (SELECT query_id, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Citations:' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY rank) AS block, sum(tokens) AS n FROM context GROUP BY 1),
 q AS (SELECT DISTINCT query_id FROM citations)
-SELECT q.query_id, sha256(coalesce(block, '')) AS context_hash, CAST({sql.tokens('block')} AS INTEGER) AS context_tokens, CAST({sql.tokens('block')} + {len(SYSTEM_PROMPT.split())} + 3 AS INTEGER) AS prompt_tokens FROM q LEFT JOIN b ON q.query_id = b.query_id"""
+SELECT q.query_id, sha256(coalesce(block, '')) AS context_hash, CAST(coalesce(n, 0) AS INTEGER) AS context_tokens, CAST(coalesce(n, 0) + {len(SYSTEM_PROMPT.split())} + 3 AS INTEGER) AS prompt_tokens FROM q LEFT JOIN b ON q.query_id = b.query_id"""
 )
 def prompt_statistics(spark, folder):
     """The prompt of every query: hash of its context, and tokens."""

@@ -1,6 +1,8 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirestone.operators.orphans import orphan_references, orphan_report
 
@@ -52,6 +54,34 @@ def test_hot_key_gives_the_same(spark):
     assert len([o for o, s in plain if s == "late"]) == 60
 
 
+def test_hot_parents_against_brute_force(spark):
+    rng = random.Random(4)
+    lives = lambda k, n: [(k, day(1) + timedelta(minutes=rng.randrange(20000)), None, "p") for _ in range(n)]
+    parents = [(k, f, f + timedelta(minutes=rng.randrange(1, 90)) if rng.random() < 0.99 else f + timedelta(days=2), p) for k, f, _, p in lives("a", 900) + lives("b", 700) + lives("c", 3)]
+    refs = [(rng.choice("aabc"), day(1) + timedelta(minutes=rng.randrange(-50, 21000)), str(i), None) for i in range(900)]
+    refs += [("a", day(3), f"same{i}", None) for i in range(300)] + [("b", None, "none", None)]
+    want = []
+    for k, at, owner, _ in refs:
+        mine = [(f, u) for p, f, u, _ in parents if p == k]
+        if at is None:
+            want.append((owner, "undated"))
+        elif min(f for f, _ in mine) > at:
+            want.append((owner, "late"))
+        elif not any(f <= at < u for f, u in mine):
+            want.append((owner, "deleted"))
+    assert run(spark, refs, parents) == sorted(want)
+    assert run(spark, refs, parents, hot_rows=50) == sorted(want)
+
+
+def test_a_parent_of_a_million_intervals(spark):
+    at = F.timestamp_seconds(F.col("id") * 10)
+    parents = spark.range(1_000_000).select(F.lit("a").alias("k"), at.alias("f"), F.timestamp_seconds(F.col("id") * 10 + 5).alias("u"))
+    refs = spark.range(1000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 9973 + 4).alias("at"), "id")
+    found = orphan_references(refs, parents, keys=["k"], at="at", valid_from="f", valid_to="u", keep=["id"])
+    assert sorted(r.id for r in found.collect()) == [i for i in range(1000) if (i * 9973 + 4) % 10 >= 5]
+    assert orphan_references(refs, parents, keys=["k"], at="at", valid_from="f", keep=["id"]).count() == 0
+
+
 def test_status_column_clash_is_refused(spark):
     with pytest.raises(ValueError):
         orphan_references(spark.createDataFrame([], "k string, at timestamp, status string"), spark.createDataFrame([], PARENTS), keys=["k"], at="at", valid_from="f", keep=["status"])

@@ -76,9 +76,19 @@ def test_tree(spark):
     assert got == {("d", "a"): (["A"], 1), ("d", "f"): (["A", "F"], 2), ("d", "b"): (["A"], 3), ("d", "c"): (["A", "C"], 4), ("d", "e"): (["E"], 5), ("d", "g"): (["G"], 6), ("x", "a"): (["other"], 1)}
 
 
+def test_a_chain_of_twelve_and_circles(spark):
+    chain = [("d", f"s{i}", f"s{i - 1}" if i else None, f"H{i}", i + 1, 0) for i in range(12)]
+    circle = [("d", "x", "z", "X", 1, 3), ("d", "y", "x", "Y", 2, 0), ("d", "z", "y", "Z", 3, 0), ("d", "below", "x", "B", 2, 1), ("d", "self", "self", "S", 1, 4)]
+    long_circle = [("e", f"s{i}", f"s{(i + 1) % 9}", f"H{i}", 1, i) for i in range(9)] + [("e", "under", "s0", "U", 2, 0)]
+    got = {(r.doc_id, r.section_id): (r.section_path, r.cyclic) for r in section_tree(spark.createDataFrame(chain + circle + long_circle, SECTION)).collect()}
+    assert all(got["d", f"s{i}"] == ([f"H{j}" for j in range(i + 1)], False) for i in range(12))
+    assert all(got["d", x] == ([h], True) for x, h in (("x", "X"), ("y", "Y"), ("z", "Z"), ("below", "B"), ("self", "S")))
+    assert all(got["e", f"s{i}"] == ([f"H{i}"], True) for i in range(9)) and got["e", "under"] == (["U"], True)
+
+
 def test_section_types(spark):
     names = ["", "Table of Contents", "Form 3", "Signature page", "Certificate", "To be completed", "Annex B", "Parent", "Figures", "Text", "Child"]
-    kinds = ["COVER_PAGE", "TOC", "TEMPLATE_FORM", "SIGNATURE_PAGE", "CERTIFICATE", "PLACEHOLDER_SECTION", "CONTAINER", "CONTAINER", "TEMPLATE_FORM", "CONTENT_SECTION", "CONTENT_SECTION"]
+    kinds = ["COVER_PAGE", "TABLE_OF_CONTENTS", "TEMPLATE_FORM", "SIGNATURE_PAGE", "CERTIFICATE", "PLACEHOLDER_SECTION", "CONTAINER_SECTION", "CONTAINER_SECTION", "TEMPLATE_FORM", "CONTENT_SECTION", "CONTENT_SECTION"]
     s = spark.createDataFrame([("d", str(i), "7" if n == "Child" else None, n, 1, i) for i, n in enumerate(names)], SECTION)
     e = spark.createDataFrame([("d", "8", "table", None), ("d", "9", "table", None), ("d", "9", "paragraph", "x")], ELEMENT)
     got = {int(r.section_id): r.section_type for r in classify_sections(s, e).collect()}
