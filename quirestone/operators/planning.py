@@ -50,13 +50,31 @@ def assembled(plan: DataFrame, contents: DataFrame, *, key: str, part: str, orde
     return contents.join(plan.select(key, part, order), [key, part]).join(bad, key, "left_anti")
 
 
-def review_findings(plan: DataFrame, contents: DataFrame, references: DataFrame, *, key: str, part: str) -> DataFrame:
+def reference_findings(references: DataFrame, *, key: str, part: str, metadata: str | None = None) -> DataFrame:
+    """What is wrong with retrieved references: ``key``, ``part``, ``finding`` and ``detail``, each once a part and reference.
+
+    ``invalid_reference`` with the field: a blank text field, or a score that is null, not finite or negative. With ``metadata``, a
+    column of maps to numbers, ``invalid_metadata`` with the key: a blank key (detail ``key``) or a number that isn't finite.
+    """
+    fields = ("reference_id", "reference_type", "chunk_id", "source_document", "content")
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    score = F.col("score").cast("double")
+    wrong = F.array(*[F.when(is_blank(F.col(c)), F.lit(c)) for c in fields], F.when(~F.coalesce(finite(score) & (score >= 0), F.lit(False)), F.lit("score")))
+    found = F.transform(F.filter(wrong, lambda x: x.isNotNull()), lambda x: F.struct(F.lit("invalid_reference").alias("finding"), x.alias("detail")))
+    if metadata:
+        entries = F.filter(F.map_entries(metadata), lambda e: is_blank(e["key"]) | (e["value"].isNotNull() & ~finite(e["value"].cast("double"))))
+        more = F.transform(entries, lambda e: F.struct(F.lit("invalid_metadata").alias("finding"), F.when(is_blank(e["key"]), "key").otherwise(e["key"]).alias("detail")))
+        found = F.concat(found, F.coalesce(more, F.array().cast("array<struct<finding:string,detail:string>>")))
+    return references.select(key, part, "reference_id", F.explode(found).alias("f")).select(key, part, "reference_id", "f.*").distinct().drop("reference_id")
+
+
+def review_findings(plan: DataFrame, contents: DataFrame, references: DataFrame, *, key: str, part: str, retrieved: DataFrame | None = None, metadata: str | None = None) -> DataFrame:
     """What a review finds: ``key``, ``part``, ``finding``, ``detail``.
 
     ``plan`` has ``ord``, ``contents`` have ``ord`` (the part's place in the whole), ``text`` and ``reference_ids``,
     ``references`` have ``reference_id``. Findings: those of ``assembly_errors``, ``empty_content``, ``unknown_reference``,
-    and ``out_of_order``, once a part, if its first content's place among the planned ones isn't the plan's (equal
-    ``ord``: by part).
+    ``out_of_order``, once a part, if its first content's place among the planned ones isn't the plan's (equal
+    ``ord``: by part), and those of ``reference_findings`` on ``retrieved``.
     """
     found = assembly_errors(plan, contents, key=key, part=part).select(key, part, F.col("error").alias("finding"), F.lit(None).cast("string").alias("detail"))
     empty = contents.filter(is_blank(F.col("text"))).select(key, part, F.lit("empty_content").alias("finding"), F.lit(None).cast("string").alias("detail"))
@@ -66,7 +84,8 @@ def review_findings(plan: DataFrame, contents: DataFrame, references: DataFrame,
     both = first(contents, "__has").join(first(plan, "__plan"), [key, part])
     places = both.withColumns({n: F.row_number().over(Window.partitionBy(key).orderBy(c, part)) for n, c in (("__a", "__has"), ("__b", "__plan"))})
     moved = places.filter("__a <> __b").select(key, part, F.lit("out_of_order").alias("finding"), F.col("__a").cast("string").alias("detail"))
-    return reduce(DataFrame.unionByName, [found, empty, unknown, moved])
+    more = [] if retrieved is None else [reference_findings(retrieved, key=key, part=part, metadata=metadata)]
+    return reduce(DataFrame.unionByName, [found, empty, unknown, moved, *more])
 
 
 def answers(responses: DataFrame, context: DataFrame, *, query: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import is_blank, uuid5
+from quirestone.operators.structure import section_tree
 
 KINDS = ("paragraph", "callout", "requirement_matrix", "bullet_list", "table", "visual_placeholder")
 
@@ -37,11 +39,15 @@ def block_errors(blocks: DataFrame) -> DataFrame:
     rules: list[tuple[str, Column]] = [
         ("UNKNOWN_BLOCK_TYPE", ~F.coalesce(is_(*KINDS), F.lit(False))),
         ("MISSING_TEXT", is_("paragraph", "callout") & is_blank(F.col("text"))),
+        ("MISSING_LABEL", is_("callout") & is_blank(F.col("label"))),
         ("EMPTY_LIST", is_("bullet_list") & none("items")),
         ("BLANK_LIST_ITEM", is_("bullet_list") & any_blank("items")),
         ("MISSING_TABLE_HEADERS", is_("table") & none("headers")),
+        ("BLANK_TABLE_HEADER", is_("table") & any_blank("headers")),
+        ("MISSING_TABLE_ROWS", is_("table") & none("rows")),
         ("RAGGED_TABLE", is_("table") & F.coalesce(F.exists("rows", lambda r: F.coalesce(F.size(r), F.lit(0)) != width), F.lit(False))),
         ("MISSING_VISUAL_ID", is_("visual_placeholder") & is_blank(F.col("visual_id"))),
+        ("MISSING_DESCRIPTION", is_("visual_placeholder") & is_blank(F.col("description"))),
         ("EMPTY_MATRIX", is_("requirement_matrix") & none("entries")),
         ("BLANK_MATRIX_FIELD", is_("requirement_matrix") & (entry("requirement_id") | entry("requirement") | entry("response"))),
         ("DUPLICATE_REQUIREMENT", is_("requirement_matrix") & F.coalesce(F.size(F.array_distinct(ids)) < F.size(ids), F.lit(False))),
@@ -51,6 +57,68 @@ def block_errors(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", F.explode(codes).alias("error"))
 
 
+def section_key(path: Column) -> Column:
+    """The place of a block's section as an array of numbers, one a level: it sorts sections depth first."""
+    return F.transform(F.regexp_extract_all(F.substring_index(path, ".blocks[", 1), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def transport_sections(blocks: DataFrame) -> DataFrame:
+    """The sections that blocks stand in: ``proposal_id``, ``place``, ``section_id``, ``parent_id`` and ``level``, its depth from 1."""
+    place = section_key(F.col("path"))
+    own = blocks.select("proposal_id", place.alias("place"), "section_id").distinct()
+    above = own.select("proposal_id", F.col("place").alias("__up"), F.col("section_id").alias("parent_id"))
+    return own.withColumn("__up", F.slice("place", F.lit(1), F.size("place") - 1)).join(above, ["proposal_id", "__up"], "left").select("proposal_id", "place", "section_id", "parent_id", F.size("place").alias("level"))
+
+
+def hierarchy_errors(sections: DataFrame, *, key: str) -> DataFrame:
+    """What is wrong with sections (``section_id``, ``parent_id``, ``heading``, ``level``) below each other: ``key``, ``error``, ``subject``.
+
+    ``BLANK_SECTION_ID``, ``BLANK_HEADING``, ``INVALID_HEADING_LEVEL`` (below 1), ``INVALID_HIERARCHY`` (not deeper than its parent),
+    ``DUPLICATE_SECTION`` (once an id), ``CIRCULAR_HIERARCHY`` (a section below itself).
+    """
+    parents = sections.groupBy(key, F.col("section_id").alias("parent_id")).agg(F.max("level").alias("__above"))
+    rows = sections.join(parents, [key, "parent_id"], "left")
+    rules = {
+        "BLANK_SECTION_ID": is_blank(F.col("section_id")),
+        "BLANK_HEADING": is_blank(F.col("heading")),
+        "INVALID_HEADING_LEVEL": F.col("level") < 1,
+        "INVALID_HIERARCHY": F.col("level") <= F.col("__above"),
+    }
+    codes = F.filter(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]), lambda c: c.isNotNull())
+    broken = rows.select(key, F.explode(codes).alias("error"), F.col("section_id").alias("subject"))
+    twice = sections.filter(~is_blank(F.col("section_id"))).groupBy(key, "section_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.lit("DUPLICATE_SECTION").alias("error"), F.col("section_id").alias("subject"))
+    tree = section_tree(sections.select(F.col(key).alias("doc_id"), "section_id", F.col("parent_id").alias("parent_section_id"), "heading", F.col("level").alias("section_level"), F.lit(0).alias("sibling_ord")).dropDuplicates(["doc_id", "section_id"]))
+    round_ = tree.filter("cyclic").select(F.col("doc_id").alias(key), F.lit("CIRCULAR_HIERARCHY").alias("error"), F.col("section_id").alias("subject"))
+    return broken.unionByName(twice).unionByName(round_)
+
+
+def reference_errors(declared: DataFrame) -> DataFrame:
+    """What is wrong with the references that a document declares: ``proposal_id``, ``error``, ``subject``.
+
+    ``BLANK_REFERENCE_ID``, ``BLANK_REFERENCE_TITLE``, ``BLANK_REFERENCE_SOURCE``, and ``DUPLICATE_REFERENCE`` if an id is declared at
+    several times and not deleted (a row that was delivered twice is one). Deleted references don't count.
+    """
+    rows = declared.filter("deleted_at is null").select("proposal_id", "reference_id", "title", "source", "declared_at").distinct()
+    rules = {"BLANK_REFERENCE_ID": "reference_id", "BLANK_REFERENCE_TITLE": "title", "BLANK_REFERENCE_SOURCE": "source"}
+    codes = F.filter(F.array(*[F.when(is_blank(F.col(c)), F.lit(code)) for code, c in rules.items()]), lambda c: c.isNotNull())
+    broken = rows.select("proposal_id", F.explode(codes).alias("error"), F.col("reference_id").alias("subject")).distinct()
+    twice = rows.filter(~is_blank(F.col("reference_id"))).groupBy("proposal_id", "reference_id").agg(F.count_distinct("declared_at").alias("n")).filter("n > 1")
+    return broken.unionByName(twice.select("proposal_id", F.lit("DUPLICATE_REFERENCE").alias("error"), F.col("reference_id").alias("subject")))
+
+
+def document_errors(blocks: DataFrame, declared: DataFrame) -> DataFrame:
+    """Rules on a whole document: ``proposal_id``, ``error``, ``subject``.
+
+    A ``DUPLICATE_VISUAL_ID``, cited references that aren't declared (``UNKNOWN_REFERENCE``), and the errors of its declared
+    references and of its sections (``reference_errors``, ``hierarchy_errors``; a section's heading is its id). Blocks come once each.
+    """
+    visuals = blocks.filter((F.col("type") == "visual_placeholder") & ~is_blank(F.col("visual_id"))).groupBy("proposal_id", "visual_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    of_visuals = visuals.select("proposal_id", F.lit("DUPLICATE_VISUAL_ID").alias("error"), F.col("visual_id").alias("subject"))
+    unknown = undeclared_references(blocks, declared).select("proposal_id", F.lit("UNKNOWN_REFERENCE").alias("error"), F.col("reference_id").alias("subject"))
+    sections = transport_sections(blocks).withColumn("heading", F.col("section_id"))
+    return reduce(DataFrame.unionByName, [of_visuals, unknown, reference_errors(declared), hierarchy_errors(sections, key="proposal_id")])
+
+
 def undeclared_references(blocks: DataFrame, declared: DataFrame) -> DataFrame:
     """Distinct ``proposal_id`` and ``reference_id`` that blocks cite and that were never declared, as written."""
     return cited_references(blocks).filter(~is_blank(F.col("reference_id"))).select("proposal_id", "reference_id").distinct().join(declared.select("proposal_id", "reference_id").distinct(), ["proposal_id", "reference_id"], "left_anti")
@@ -78,10 +146,9 @@ def plan_conformance(expected: DataFrame, actual: DataFrame, key: str) -> DataFr
 
 
 def section_sequences(blocks: DataFrame) -> DataFrame:
-    """``proposal_id`` and ``sections``: the sections of a document in the order of their first block's path."""
-    at = F.regexp_extract("path", r"^sections\[(\d+)\]", 1).cast("int")
-    first = blocks.groupBy("proposal_id", "section_id").agg(F.min(at).alias("at"))
-    return first.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "section_id"))), lambda x: x["section_id"]).alias("sections"))
+    """``proposal_id`` and ``sections``: the sections of a document, those below others too, depth first; one that comes again is there again."""
+    rows = transport_sections(blocks)
+    return rows.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "section_id"))), lambda x: x["section_id"]).alias("sections"))
 
 
 def grouped_references(references: DataFrame) -> DataFrame:
@@ -106,30 +173,52 @@ def component_ids(blocks: DataFrame) -> DataFrame:
     )
 
 
-def render_operations(blocks: DataFrame) -> DataFrame:
+def render_operations(blocks: DataFrame, *, titles: DataFrame | None = None, references: DataFrame | None = None, cover: str = "cover", listed_in: str = "references", breaks: Sequence[str] = ()) -> DataFrame:
     """Lines of a document in order: ``proposal_id``, ``op_ord``, ``kind``, ``style``, ``text``.
 
-    Each section begins with its heading; tables give a line a row, lists a line an item, matrices a
-    line an entry.
+    Each section begins with its heading, of the style of its depth, those below others after the blocks of these; tables give a
+    line a row, lists a line an item, matrices a line an entry. Sections named in ``breaks`` begin on a new page. ``titles``
+    (``proposal_id``, ``title``) are printed above the section ``cover``, ``references`` (``proposal_id``, ``reference_id``, ``title``, ``source``,
+    ``locator``) after the blocks of the section ``listed_in``.
     """
     cells = lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")
-    one = lambda kind, style, text: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(style).alias("style"), text.alias("text")))
-    many = lambda kind, style, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), F.lit(style).alias("style"), t.alias("text")))
+    line = lambda kind, style, text: F.struct(F.lit(kind).alias("kind"), (style if isinstance(style, Column) else F.lit(style)).alias("style"), text.alias("text"))
+    one = lambda kind, style, text: F.array(line(kind, style, text))
+    many = lambda kind, style, texts: F.transform(texts, lambda t: line(kind, style, t))
+    evidence = lambda e: F.array_join(e["evidence_reference_ids"], ", ")
     lines = (
         F.when(F.col("type") == "paragraph", one("paragraph", "body", F.col("text")))
-        .when(F.col("type") == "callout", one("paragraph", "callout", F.concat_ws(": ", "label", "text")))
+        .when(F.col("type") == "callout", F.array(line("paragraph", "callout", F.col("label")), line("paragraph", "callout", F.col("text"))))
         .when(F.col("type") == "bullet_list", many("list_item", "bullet", F.col("items")))
-        .when(F.col("type") == "table", F.concat(one("table_row", "table_header", cells(F.col("headers"))), many("table_row", "table_body", F.transform("rows", cells))))
-        .when(F.col("type") == "requirement_matrix", many("table_row", "matrix", F.transform("entries", lambda e: F.concat_ws(" | ", e["requirement_id"], e["requirement"], e["response"]))))
-        .when(F.col("type") == "visual_placeholder", one("paragraph", "visual", F.concat_ws(": ", "visual_id", "description")))
+        .when(F.col("type") == "table", F.concat(one("table_row", "table_header", cells(F.col("headers"))), many("table_row", "table_cell", F.transform("rows", cells))))
+        .when(F.col("type") == "requirement_matrix", many("table_row", "requirement_matrix", F.transform("entries", lambda e: F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in (e["requirement_id"], e["requirement"], e["response"], evidence(e))]))))
+        .when(F.col("type") == "visual_placeholder", one("paragraph", "body", F.col("description")))
     )
-    at = F.regexp_extract("path", r"^sections\[(\d+)\]", 1).cast("int")
-    rows = blocks.select("proposal_id", at.alias("section_at"), "section_id", F.col("ord").alias("block_at"), "block_id", F.posexplode(lines).alias("line_at", "line"))
-    headings = blocks.select("proposal_id", at.alias("section_at"), "section_id").distinct().select(
-        "*", F.lit(-1).alias("block_at"), F.lit(-1).cast("long").alias("block_id"), F.lit(0).alias("line_at"), F.struct(F.lit("heading").alias("kind"), F.lit("heading").alias("style"), F.initcap(F.translate("section_id", "_", " ")).alias("text")).alias("line")
+    at = section_key(F.col("path")).alias("section_at")
+    placed = blocks.select("proposal_id", at, "section_id", F.col("ord").alias("block_at"), "block_id", lines.alias("lines"))
+    rows = placed.select("proposal_id", "section_at", "section_id", F.lit(1).alias("part"), "block_at", "block_id", F.posexplode("lines").alias("line_at", "line"))
+    own = blocks.select("proposal_id", at, "section_id").distinct()
+    opening = F.concat(
+        F.when(F.col("section_id").isin(*breaks), one("page_break", "page_break", F.lit(""))).otherwise(F.array().cast(_LINES)) if breaks else F.array().cast(_LINES),
+        one("heading", F.concat(F.lit("heading_"), F.size("section_at").cast("string")), F.initcap(F.translate("section_id", "_", " "))),
     )
-    order = Window.partitionBy("proposal_id").orderBy("section_at", "section_id", "block_at", "block_id", "line_at")
-    return reduce(DataFrame.unionByName, [headings, rows]).select("proposal_id", F.row_number().over(order).alias("op_ord"), "line.kind", "line.style", F.coalesce("line.text", F.lit("")).alias("text"))
+    if titles is not None:
+        own = own.join(titles.select("proposal_id", "title"), "proposal_id", "left")
+        opening = F.concat(F.when((F.col("section_id") == cover) & F.col("title").isNotNull(), one("paragraph", "proposal_title", F.col("title"))).otherwise(F.array().cast(_LINES)), opening)
+    placeless = lambda part: (F.lit(part).alias("part"), F.lit(0).alias("block_at"), F.lit(0).cast("long").alias("block_id"))
+    all_ = [rows, own.select("proposal_id", "section_at", "section_id", *placeless(0), F.posexplode(opening).alias("line_at", "line"))]
+    if references is not None:
+        full = lambda c: F.nullif(F.col(c), F.lit(""))
+        text = F.concat_ws(" \u2014 ", *map(full, ("reference_id", "title", "source", "locator")))
+        place = F.row_number().over(Window.partitionBy("proposal_id").orderBy("reference_id", "text"))
+        printed = references.select("proposal_id", "reference_id", text.alias("text")).withColumn("line_at", place)
+        ends = own.filter(F.col("section_id") == listed_in).select("proposal_id", "section_at", "section_id")
+        all_.append(ends.join(printed, "proposal_id").select("proposal_id", "section_at", "section_id", *placeless(2), "line_at", line("paragraph", "body", F.col("text")).alias("line")))
+    order = Window.partitionBy("proposal_id").orderBy("section_at", "section_id", "part", "block_at", "block_id", "line_at")
+    return reduce(DataFrame.unionByName, all_).select("proposal_id", F.row_number().over(order).alias("op_ord"), "line.kind", "line.style", F.coalesce("line.text", F.lit("")).alias("text"))
+
+
+_LINES = "array<struct<kind:string,style:string,text:string>>"
 
 
 def markdown_tables(documents: DataFrame) -> DataFrame:

@@ -1,123 +1,157 @@
-"""Structural validation: each rule is a query, and their union the findings."""
+"""Structural validation: all rules on a row in one pass, and rules on ids by one grouping of all of them."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import is_blank, trim_ws
 from quirestone.operators.structure import is_container_heading
+from quirestone.session import written
 
 _UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 ERROR, WARNING = "error", "warning"
 
 
-def _found(df: DataFrame, where: Column, code: str, severity: str, subject: str | None, detail: Column | None = None) -> DataFrame:
-    return df.filter(where).select(
-        F.col("doc_id").cast("string").alias("doc_id"),
-        F.lit(code).alias("code"),
-        F.lit(severity).alias("severity"),
-        (F.col(subject) if subject else F.lit(None)).cast("string").alias("subject_id"),
-        (detail if detail is not None else F.lit(None)).cast("string").alias("detail"),
-    )
+_FINDING = "array<struct<code:string,severity:string,subject_id:string,detail:string>>"
+
 
+def _one(code: str, severity: str, subject: Column | None, detail: Column | None = None) -> Column:
+    text = lambda c: (c if c is not None else F.lit(None)).cast("string")
+    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), text(subject).alias("subject_id"), text(detail).alias("detail"))
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+
+def _findings(df: DataFrame, rules: list[tuple], more: Column | None = None) -> DataFrame:
+    """All rules on each row in one pass; ``rules`` are of where, code, severity, subject and detail, ``more`` an array of findings."""
+    found = F.filter(F.array(*[F.when(where, _one(*what)) for where, *what in rules]), lambda f: f.isNotNull())
+    if more is not None:
+        found = F.concat(found, F.coalesce(more, F.array().cast(_FINDING)))
+    return df.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(found).alias("f")).select("doc_id", "f.*")
 
 
 def document_findings(documents: DataFrame) -> DataFrame:
     """Rules on ``doc_id``, ``title``, ``source`` and ``lang``."""
     none = F.col("title").isNull() & F.col("source").isNull() & F.col("lang").isNull()
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    return _union(
+    id_ = F.col("doc_id")
+    return _findings(
+        documents,
         [
-            _found(documents, is_blank(F.col("title")), "MISSING_DOCUMENT_TITLE", ERROR, "doc_id"),
-            _found(documents, none, "MISSING_METADATA", ERROR, "doc_id"),
-            _found(documents, ~none & empty("source"), "MISSING_SOURCE", WARNING, "doc_id"),
-            _found(documents, ~none & empty("lang"), "MISSING_LANGUAGE", WARNING, "doc_id"),
-        ]
+            (is_blank(F.col("title")), "MISSING_DOCUMENT_TITLE", ERROR, id_),
+            (none, "MISSING_METADATA", ERROR, id_),
+            (~none & empty("source"), "MISSING_SOURCE", WARNING, id_),
+            (~none & empty("lang"), "MISSING_LANGUAGE", WARNING, id_),
+        ],
+    )
+
+
+def _is_uuid(c: Column) -> Column:
+    return F.coalesce(c.rlike(_UUID), F.lit(False))
+
+
+def id_facts(elements: DataFrame, sections: DataFrame) -> DataFrame:
+    """What is known of each id and each place of a document, written as a table.
+
+    ``doc_id``, ``kind`` (``id`` or ``place``), ``key``, and how many ``elements`` with a UUID and ``sections`` have it, how many
+    elements it ``holds``, how many sections stand ``below`` it, and its section's ``level``. One pass over either table, and
+    one shuffle, combined before.
+    """
+    mark = lambda kind, key, **n: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), *[n.get(c, F.lit(0)).cast("int").alias(c) for c in ("elements", "sections", "holds", "below", "level")])
+    one, good = F.lit(1), _is_uuid(F.col("element_id"))
+    of_elements = F.array(
+        F.when(good, mark("id", F.col("element_id"), elements=one)),
+        F.when(good & (F.col("order_index") >= 0), mark("place", F.col("order_index"), elements=one)),
+        F.when(F.col("containing_section_id").isNotNull(), mark("id", F.col("containing_section_id"), holds=one)),
+    )
+    of_sections = F.array(
+        mark("id", F.col("section_id"), sections=one, level=F.col("section_level")),
+        F.when(F.col("parent_section_id").isNotNull(), mark("id", F.col("parent_section_id"), below=one)),
     )
+    each = lambda df, marks: df.select("doc_id", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("doc_id", "m.*")
+    all_ = each(elements, of_elements).unionByName(each(sections, of_sections)).dropna(subset=["key"])
+    sums = [F.sum(c).alias(c) for c in ("elements", "sections", "holds", "below")]
+    return written(all_.groupBy("doc_id", "kind", "key").agg(*sums, F.max("level").alias("level")), "facts")
 
 
-def element_findings(elements: DataFrame, sections: DataFrame) -> DataFrame:
+def element_findings(elements: DataFrame, sections: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Rules on elements and on where they say they stand.
 
     An element stands in ``containing_section_id`` (null: in the root) and names ``section_id``. Rows
     whose id is no UUID get that finding only. ``declared_doc_id``, if there is one, is the document that
-    an element names; ``doc_id`` the one that holds it.
+    an element names; ``doc_id`` the one that holds it. ``facts`` are those of ``id_facts``.
     """
-    bad = ~F.coalesce(F.col("element_id").rlike(_UUID), F.lit(False))
-    good = elements.filter(~bad)
-    inside, names = F.col("containing_section_id").isNotNull(), F.col("section_id")
+    facts = id_facts(elements, sections) if facts is None else facts
+    id_, names, inside = F.col("element_id"), F.col("section_id"), F.col("containing_section_id").isNotNull()
+    good = _is_uuid(id_)
     paragraph, table, image, list_ = (F.col("element_type") == t for t in ("paragraph", "table", "image", "list"))
-    size = F.size(F.coalesce("rows", F.array().cast(elements.schema["rows"].dataType)))
-    width = F.col("rows")[0]["cells"]
-    parts = [
-        _found(elements, bad, "INVALID_ELEMENT_ID", ERROR, "element_id"),
-        _found(good, F.col("order_index").isNull() | (F.col("order_index") < 0), "INVALID_ORDER_INDEX", ERROR, "element_id"),
-        _found(good, is_blank(F.col("source_file")), "MISSING_SOURCE_FILE", WARNING, "element_id"),
-        _found(good, inside & names.isNull(), "MISSING_SECTION_ID", ERROR, "element_id"),
-        _found(good, inside & (names != F.col("containing_section_id")), "MISMATCHED_SECTION_ID", ERROR, "element_id", names),
-        _found(good, ~inside & names.isNotNull(), "UNEXPECTED_SECTION_ID", ERROR, "element_id", names),
-        _found(good, paragraph & is_blank(F.col("content")), "EMPTY_PARAGRAPH", WARNING, "element_id"),
-        _found(good, table & (size == 0), "EMPTY_TABLE", ERROR, "element_id"),
-        _found(good, image & is_blank(F.col("alt_text")), "MISSING_ALT_TEXT", WARNING, "element_id"),
-        _found(good, list_ & (F.coalesce(F.size("items"), F.lit(0)) <= 0), "EMPTY_LIST", ERROR, "element_id"),
-        _found(good, inside & ~names.eqNullSafe(F.col("containing_section_id")), "ORPHAN_SECTION_REFERENCE", ERROR, "element_id", names),
+    rules = [
+        (F.col("order_index").isNull() | (F.col("order_index") < 0), "INVALID_ORDER_INDEX", ERROR, id_),
+        (is_blank(F.col("source_file")), "MISSING_SOURCE_FILE", WARNING, id_),
+        (inside & names.isNull(), "MISSING_SECTION_ID", ERROR, id_),
+        (inside & (names != F.col("containing_section_id")), "MISMATCHED_SECTION_ID", ERROR, id_, names),
+        (~inside & names.isNotNull(), "UNEXPECTED_SECTION_ID", ERROR, id_, names),
+        (paragraph & is_blank(F.col("content")), "EMPTY_PARAGRAPH", WARNING, id_),
+        (table & (F.coalesce(F.size("rows"), F.lit(0)) <= 0), "EMPTY_TABLE", ERROR, id_),
+        (image & is_blank(F.col("alt_text")), "MISSING_ALT_TEXT", WARNING, id_),
+        (list_ & (F.coalesce(F.size("items"), F.lit(0)) <= 0), "EMPTY_LIST", ERROR, id_),
+        (inside & ~names.eqNullSafe(F.col("containing_section_id")), "ORPHAN_SECTION_REFERENCE", ERROR, id_, names),
     ]
     if "declared_doc_id" in elements.columns:
-        parts.append(_found(good, ~F.col("declared_doc_id").eqNullSafe(F.col("doc_id")), "MISMATCHED_DOCUMENT_ID", ERROR, "element_id"))
-    ragged = good.filter(table).select("doc_id", "element_id", F.size(width).alias("wide"), F.posexplode("rows").alias("at", "row")).filter("at > 0")
-    parts.append(_found(ragged, F.size("row.cells") != F.col("wide"), "TABLE_INCONSISTENT_COLUMNS", WARNING, "element_id", F.col("at")))
-    known = sections.select("doc_id", "section_id").distinct()
-    rooted = good.filter(~inside & names.isNotNull()).join(known, ["doc_id", "section_id"], "left_anti")
-    parts.append(_found(rooted, F.lit(True), "ORPHAN_SECTION_REFERENCE", ERROR, "element_id", names))
-    repeated = good.groupBy("doc_id", "element_id").agg(F.count(F.lit(1)).alias("n"))
-    parts.append(_found(repeated, F.col("n") > 1, "DUPLICATE_ELEMENT_UUID", ERROR, "element_id"))
-    places = good.filter("order_index >= 0").groupBy("doc_id", "order_index").agg(F.count(F.lit(1)).alias("n"))
-    parts.append(_found(places, F.col("n") > 1, "DUPLICATE_ORDER_INDEX", ERROR, None, F.col("order_index")))
-    shared = sections.filter(F.col("section_id").rlike(_UUID)).select("doc_id", "section_id").distinct().join(good.select("doc_id", F.col("element_id").alias("section_id")), ["doc_id", "section_id"], "left_semi")
-    parts.append(_found(shared, F.lit(True), "CONFLICTING_UUID", ERROR, "section_id"))
-    return _union(parts)
-
-
-def section_findings(sections: DataFrame, elements: DataFrame) -> DataFrame:
-    """Rules on sections and their order below each other."""
-    bad = ~F.coalesce(F.col("section_id").rlike(_UUID), F.lit(False))
-    good = sections.filter(~bad)
-    child, level = F.col("parent_section_id").isNotNull(), F.col("section_level")
-    above = sections.select("doc_id", F.col("section_id").alias("parent_section_id"), F.col("section_level").alias("parent_level"))
-    nested = good.filter(child).join(above, ["doc_id", "parent_section_id"])
-    text = F.when(F.col("element_type") == "paragraph", F.length(F.coalesce("content", F.lit("")))).when(
-        F.col("element_type") == "list", F.coalesce(F.aggregate("items", F.lit(0), lambda n, x: n + F.coalesce(F.length(x["content"]), F.lit(0))), F.lit(0))
-    )
-    held = elements.filter("containing_section_id is not null").groupBy("doc_id", F.col("containing_section_id").alias("section_id")).agg(F.count(F.lit(1)).alias("held"), F.sum(text).alias("chars"))
-    parents = sections.filter(child).select("doc_id", F.col("parent_section_id").alias("section_id"), F.lit(1).alias("subsections")).distinct()
-    top = sections.filter(~child).groupBy("doc_id").agg(F.min("sibling_ord").alias("first_ord"))
-    empty = good.join(held, ["doc_id", "section_id"], "left").join(parents, ["doc_id", "section_id"], "left").join(top, "doc_id", "left").filter("held is null and subsections is null")
-    h = F.coalesce(F.lower(trim_ws(F.col("heading"))), F.lit(""))
-    cover = ~child & (F.col("sibling_ord") == F.col("first_ord")) & ((h == "") | h.contains("title") | h.contains("cover"))
-    return _union(
+        rules.append((~F.col("declared_doc_id").eqNullSafe(F.col("doc_id")), "MISMATCHED_DOCUMENT_ID", ERROR, id_))
+    width = F.size(F.col("rows")[0]["cells"])
+    uneven = F.transform("rows", lambda row, i: F.when((i > 0) & (F.size(row["cells"]) != width), _one("TABLE_INCONSISTENT_COLUMNS", WARNING, id_, i)))
+    of_rows = _findings(elements, [(good & where, *what) for where, *what in rules] + [(~good, "INVALID_ELEMENT_ID", ERROR, id_)], F.when(good & table, F.filter(uneven, lambda f: f.isNotNull())))
+    key, of_ids = F.col("key"), F.col("kind") == "id"
+    of_facts = _findings(
+        facts,
         [
-            _found(sections, bad, "INVALID_SECTION_ID", ERROR, "section_id"),
-            _found(good, is_blank(F.col("heading")), "EMPTY_SECTION_HEADING", ERROR, "section_id"),
-            _found(good, (level < 1) | (level > 6), "INVALID_SECTION_LEVEL", ERROR, "section_id", level),
-            _found(nested, level <= F.col("parent_level"), "BROKEN_SECTION_HIERARCHY", ERROR, "section_id", level),
-            _found(good, ~child & (level != 1), "TOP_LEVEL_SECTION_NOT_LEVEL_1", WARNING, "section_id", level),
-            _found(nested, level > F.col("parent_level") + 2, "SECTION_LEVEL_GAP", WARNING, "section_id", level),
-            _found(empty, ~cover & ~is_container_heading(F.col("heading")), "EMPTY_SECTION", WARNING, "section_id"),
-        ]
+            (of_ids & (F.col("elements") > 1), "DUPLICATE_ELEMENT_UUID", ERROR, key),
+            (~of_ids & (F.col("elements") > 1), "DUPLICATE_ORDER_INDEX", ERROR, None, key),
+            (of_ids & (F.col("elements") > 0) & (F.col("sections") > 0), "CONFLICTING_UUID", ERROR, key),
+        ],
     )
+    known = facts.filter("kind = 'id' and sections > 0").select("doc_id", F.col("key").alias("section_id"))
+    rooted = elements.filter(~inside & names.isNotNull() & good).join(known, ["doc_id", "section_id"], "left_anti")
+    return of_rows.unionByName(of_facts).unionByName(_findings(rooted, [(F.lit(True), "ORPHAN_SECTION_REFERENCE", ERROR, id_, names)]))
+
+
+def section_findings(sections: DataFrame, elements: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Rules on sections and their order below each other; ``facts`` are those of ``id_facts``."""
+    facts = id_facts(elements, sections) if facts is None else facts
+    ids = facts.filter("kind = 'id'")
+    own = ids.select("doc_id", F.col("key").alias("section_id"), F.col("holds").alias("__holds"), F.col("below").alias("__below"))
+    above = ids.filter("sections > 0").select("doc_id", F.col("key").alias("parent_section_id"), F.col("level").alias("__above"))
+    first = F.min(F.when(F.col("parent_section_id").isNull(), F.col("sibling_ord"))).over(Window.partitionBy("doc_id"))
+    rows = sections.join(own, ["doc_id", "section_id"], "left").join(above, ["doc_id", "parent_section_id"], "left").withColumn("__first", first)
+    id_, level, over = F.col("section_id"), F.col("section_level"), F.col("__above")
+    good, child = _is_uuid(id_), F.col("parent_section_id").isNotNull()
+    h = F.coalesce(F.lower(trim_ws(F.col("heading"))), F.lit(""))
+    cover = ~child & (F.col("sibling_ord") == F.col("__first")) & ((h == "") | h.contains("title") | h.contains("cover"))
+    empty = (F.coalesce("__holds", F.lit(0)) == 0) & (F.coalesce("__below", F.lit(0)) == 0)
+    rules = [
+        (is_blank(F.col("heading")), "EMPTY_SECTION_HEADING", ERROR, id_),
+        ((level < 1) | (level > 6), "INVALID_SECTION_LEVEL", ERROR, id_, level),
+        (child & (level <= over), "BROKEN_SECTION_HIERARCHY", ERROR, id_, level),
+        (~child & (level != 1), "TOP_LEVEL_SECTION_NOT_LEVEL_1", WARNING, id_, level),
+        (child & (level > over + 2), "SECTION_LEVEL_GAP", WARNING, id_, level),
+        (empty & ~F.coalesce(cover, F.lit(False)) & ~is_container_heading(F.col("heading")), "EMPTY_SECTION", WARNING, id_),
+    ]
+    return _findings(rows, [(good & where, *what) for where, *what in rules] + [(~good, "INVALID_SECTION_ID", ERROR, id_)])
+
+
+def library_findings(elements: DataFrame, sections: DataFrame) -> DataFrame:
+    """Rules on elements and on sections, which share the pass over ids."""
+    facts = id_facts(elements, sections)
+    return element_findings(elements, sections, facts).unionByName(section_findings(sections, elements, facts))
 
 
 def verdicts(findings: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """``doc_id``, ``errors``, ``warnings`` and ``is_valid`` of every document, with findings or not."""
+    """``doc_id``, ``errors``, ``warnings``, ``is_valid`` and ``verdict`` (PASS, WARNINGS or FAIL) of every document, with findings or not."""
     counted = findings.groupBy("doc_id").agg(F.count_if(F.col("severity") == ERROR).alias("errors"), F.count_if(F.col("severity") == WARNING).alias("warnings"))
     joined = doc_ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(counted, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"), (F.coalesce("errors", F.lit(0)) == 0).alias("is_valid"))
+    errors, warnings = F.coalesce("errors", F.lit(0)), F.coalesce("warnings", F.lit(0))
+    verdict = F.when(errors > 0, "FAIL").when(warnings > 0, "WARNINGS").otherwise("PASS")
+    return joined.select("doc_id", errors.alias("errors"), warnings.alias("warnings"), (errors == 0).alias("is_valid"), verdict.alias("verdict"))
 
 
 def statistics(elements: DataFrame, sections: DataFrame) -> DataFrame:

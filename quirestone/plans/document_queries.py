@@ -10,7 +10,7 @@ from quirestone.operators.chunk import char_spans, chunk_elements, chunks
 from quirestone.operators.elements import once, rendered
 from quirestone.operators.enrich import chunk_id, embedding_text, enriched, payload
 from quirestone.operators.structure import classify_sections, is_container_heading, reading_order, section_tree
-from quirestone.operators.validate import document_findings, element_findings, section_findings, statistics, verdicts
+from quirestone.operators.validate import document_findings, library_findings, statistics, verdicts
 from quirestone.plans import sql
 from quirestone.sources.tables import table
 
@@ -117,6 +117,7 @@ _FINDINGS += " UNION ALL ".join(
         _rule("documents", "NOT (title IS NULL AND source IS NULL AND lang IS NULL) AND coalesce(source, '') = ''", "MISSING_SOURCE", "warning", "doc_id"),
         _rule("documents", "NOT (title IS NULL AND source IS NULL AND lang IS NULL) AND coalesce(lang, '') = ''", "MISSING_LANGUAGE", "warning", "doc_id"),
         _rule("elements", f"NOT coalesce({_GOOD}, FALSE)", "INVALID_ELEMENT_ID", "error", "element_id"),
+        _rule("good", "'doc-' || lpad(CAST(try_cast(regexp_extract(source_document, '(\\d+)$', 1) AS INTEGER) - 1 AS VARCHAR), 8, '0') IS DISTINCT FROM doc_id", "MISMATCHED_DOCUMENT_ID", "error", "element_id"),
         _rule("good", "order_index IS NULL OR order_index < 0", "INVALID_ORDER_INDEX", "error", "element_id"),
         _rule("good", sql.blank("source_file"), "MISSING_SOURCE_FILE", "warning", "element_id"),
         _rule("good", "containing_section_id IS NOT NULL AND section_id IS NULL", "MISSING_SECTION_ID", "error", "element_id"),
@@ -145,12 +146,14 @@ _FINDINGS += ")"
 
 
 #: Findings on elements and sections, each element once.
-LIBRARY_FINDINGS_SQL = f"WITH {_FINDINGS} SELECT * FROM findings WHERE code NOT IN ('MISSING_DOCUMENT_TITLE', 'MISSING_METADATA', 'MISSING_SOURCE', 'MISSING_LANGUAGE')".replace("good AS (SELECT * FROM elements", "good AS (SELECT * FROM once").replace("FROM elements WHERE NOT", "FROM once WHERE NOT")
+LIBRARY_FINDINGS_SQL = f"WITH {_FINDINGS} SELECT * FROM findings WHERE code NOT IN ('MISSING_DOCUMENT_TITLE', 'MISSING_METADATA', 'MISSING_SOURCE', 'MISSING_LANGUAGE', 'MISMATCHED_DOCUMENT_ID')".replace("good AS (SELECT * FROM elements", "good AS (SELECT * FROM once").replace("FROM elements WHERE NOT", "FROM once WHERE NOT")
 
 
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
-    e, s = _elements(spark, folder), _sections(spark, folder)
-    return document_findings(table(spark, folder, "documents")).unionByName(element_findings(e, s)).unionByName(section_findings(s, e))
+    # the document that an element names: the number of its source document, counted from 1
+    number = F.regexp_extract("source_document", r"(\d+)$", 1).try_cast("int") - 1
+    e = _elements(spark, folder).withColumn("declared_doc_id", F.concat(F.lit("doc-"), F.lpad(number.cast("string"), 8, "0")))
+    return document_findings(table(spark, folder, "documents")).unionByName(library_findings(e, _sections(spark, folder)))
 
 
 @query(f"WITH {_FINDINGS} SELECT * FROM findings")
@@ -161,7 +164,7 @@ def validation_findings(spark, folder):
 
 @query(
     f"""WITH {_FINDINGS}, n AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM findings GROUP BY 1)
-SELECT d.doc_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) = 0 AS is_valid FROM (SELECT DISTINCT doc_id FROM elements) d LEFT JOIN n ON d.doc_id = n.doc_id"""
+SELECT d.doc_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) = 0 AS is_valid, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARNINGS' ELSE 'PASS' END AS verdict FROM (SELECT DISTINCT doc_id FROM elements) d LEFT JOIN n ON d.doc_id = n.doc_id"""
 )
 def validation_verdicts(spark, folder):
     """Errors and warnings of every library document."""

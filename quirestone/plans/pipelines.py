@@ -22,8 +22,8 @@ from quirestone.operators.index import fingerprints, not_yet_indexed
 from quirestone.operators.qualify import processed, qualified, rejection
 from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
-from quirestone.operators.validate import ERROR, element_findings, section_findings
-from quirestone.operators.transport import block_errors, once, render_operations, undeclared_references
+from quirestone.operators.validate import ERROR, library_findings
+from quirestone.operators.transport import block_errors, document_errors, once
 from quirestone.plans import proposal_queries
 from quirestone.plans.document_queries import LIBRARY_FINDINGS_SQL, POINTS_SQL
 from quirestone.session import written
@@ -72,7 +72,7 @@ def index_run(
     prints = written(fingerprints(elements, sections).join(named, "doc_id"), "documents")
     due = prints if indexed is None else not_yet_indexed(prints, indexed, fingerprint="document_fingerprint")
     ours = lambda df: df if indexed is None else df.join(due.select("doc_id"), "doc_id", "left_semi")
-    findings = element_findings(ours(elements), ours(sections)).unionByName(section_findings(ours(sections), ours(elements))).filter(F.col("severity") == ERROR)
+    findings = library_findings(ours(elements), ours(sections)).filter(F.col("severity") == ERROR)
     broken = findings.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("detail")).select("doc_id", F.lit("validation").alias("stage"), "detail")
     broken = written(broken.join(due.select("doc_id"), "doc_id", "left_semi"), "broken")
     valid = written(due.join(broken, "doc_id", "left_anti"), "valid")
@@ -176,9 +176,8 @@ def publish(blocks: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFram
     """
     blocks = written(once(blocks), "blocks")
     broken = block_errors(blocks).join(blocks.select("block_id", "proposal_id"), "block_id").select("proposal_id", "error", F.col("block_id").cast("string").alias("subject"))
-    unknown = undeclared_references(blocks, declared).select("proposal_id", F.lit("UNKNOWN_REFERENCE").alias("error"), F.col("reference_id").alias("subject"))
-    errors = broken.unionByName(unknown)
-    return errors, render_operations(blocks.join(errors.select("proposal_id").distinct(), "proposal_id", "left_anti"))
+    errors = written(broken.unionByName(document_errors(blocks, declared)), "errors")
+    return errors, proposal_queries.printed(blocks.join(errors.select("proposal_id").distinct(), "proposal_id", "left_anti"), declared)
 
 
 def _ask_eval_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +211,7 @@ def _index_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points, "index_errors": _index_errors, "index_run_statistics": _index_statistics}
-_BROKEN = f"""SELECT proposal_id FROM transport_blocks JOIN ({proposal_queries.ORACLE_SQL['transport_errors']}) USING (block_id) UNION ALL SELECT proposal_id FROM ({proposal_queries.ORACLE_SQL['unknown_references']})"""
+_BROKEN = f"""SELECT proposal_id FROM transport_blocks JOIN ({proposal_queries.ORACLE_SQL['transport_errors']}) USING (block_id) UNION ALL SELECT proposal_id FROM ({proposal_queries.ORACLE_SQL['transport_document_errors']})"""
 _INDEX_ERRORS = f"""SELECT doc_id, 'validation' AS stage, string_agg(DISTINCT code, ',' ORDER BY code) AS detail FROM ({LIBRARY_FINDINGS_SQL}) WHERE severity = 'error' GROUP BY 1"""
 _VALID = f"(SELECT * FROM ({POINTS_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_INDEX_ERRORS})))"
 _DUE = "(SELECT doc_id FROM elements GROUP BY 1 HAVING min(ingested_at) >= TIMESTAMPTZ '2024-07-01 00:00:00+00')"

@@ -9,7 +9,9 @@ from quirestone.operators.planning import assembly_errors, generation_strategy,
 from quirestone.operators.transport import (
     block_errors,
     component_ids,
+    document_errors,
     grouped_references,
+    hierarchy_errors,
     once,
     plan_conformance,
     render_operations,
@@ -44,6 +46,10 @@ _ANY_BLANK = lambda c, x="x": f"coalesce(len(list_filter({c}, lambda x: {sql.bla
 _RULES = {
     "UNKNOWN_BLOCK_TYPE": "coalesce(type NOT IN ('paragraph', 'callout', 'requirement_matrix', 'bullet_list', 'table', 'visual_placeholder'), TRUE)",
     "MISSING_TEXT": f"type IN ('paragraph', 'callout') AND {sql.blank('text')}",
+    "MISSING_LABEL": f"type = 'callout' AND {sql.blank('label')}",
+    "BLANK_TABLE_HEADER": f"type = 'table' AND {_ANY_BLANK('headers')}",
+    "MISSING_TABLE_ROWS": "type = 'table' AND coalesce(len(rows), 0) = 0",
+    "MISSING_DESCRIPTION": f"type = 'visual_placeholder' AND {sql.blank('description')}",
     "EMPTY_LIST": "type = 'bullet_list' AND coalesce(len(items), 0) = 0",
     "BLANK_LIST_ITEM": f"type = 'bullet_list' AND {_ANY_BLANK('items')}",
     "MISSING_TABLE_HEADERS": "type = 'table' AND coalesce(len(headers), 0) = 0",
@@ -71,23 +77,54 @@ def unknown_references(spark, folder):
     return undeclared_references(_blocks(spark, folder), table(spark, folder, "knowledge_refs"))
 
 
+_DOCUMENT_ERRORS = f"""d AS (SELECT DISTINCT proposal_id, reference_id, title, source, declared_at FROM knowledge_refs WHERE deleted_at IS NULL),
+s AS (SELECT DISTINCT proposal_id, section_id, CAST(regexp_extract(path, '^sections\\[(\\d+)\\]', 1) AS INTEGER) AS section_at FROM once)
+SELECT proposal_id, 'DUPLICATE_VISUAL_ID' AS error, visual_id AS subject FROM once WHERE type = 'visual_placeholder' AND NOT {sql.blank('visual_id')} GROUP BY 1, 3 HAVING count(*) > 1
+UNION ALL SELECT DISTINCT proposal_id, 'BLANK_REFERENCE_ID', reference_id FROM d WHERE {sql.blank('reference_id')} UNION ALL SELECT DISTINCT proposal_id, 'BLANK_REFERENCE_TITLE', reference_id FROM d WHERE {sql.blank('title')}
+UNION ALL SELECT DISTINCT proposal_id, 'BLANK_REFERENCE_SOURCE', reference_id FROM d WHERE {sql.blank('source')}
+UNION ALL SELECT proposal_id, 'DUPLICATE_REFERENCE', reference_id FROM d WHERE NOT {sql.blank('reference_id')} GROUP BY 1, 3 HAVING count(DISTINCT declared_at) > 1
+UNION ALL SELECT proposal_id, unnest(['BLANK_SECTION_ID', 'BLANK_HEADING']), section_id FROM s WHERE {sql.blank('section_id')}
+UNION ALL SELECT proposal_id, 'DUPLICATE_SECTION', section_id FROM s WHERE NOT {sql.blank('section_id')} GROUP BY 1, 3 HAVING count(*) > 1"""
+
+
+@query(f"WITH {_ONCE}, {_DOCUMENT_ERRORS} UNION ALL SELECT proposal_id, 'UNKNOWN_REFERENCE', reference_id FROM ({ORACLE_SQL['unknown_references']})")
+def transport_document_errors(spark, folder):
+    """Rules on whole proposals: visual ids, references and sections."""
+    return document_errors(_blocks(spark, folder), table(spark, folder, "knowledge_refs"))
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT doc_id, section_id, parent_section_id, heading, section_level FROM sections), p AS (SELECT doc_id, section_id, max(section_level) AS above FROM s GROUP BY ALL)
+SELECT doc_id, 'BLANK_HEADING' AS error, section_id AS subject FROM s WHERE {sql.blank('heading')} UNION ALL SELECT doc_id, 'BLANK_SECTION_ID', section_id FROM s WHERE {sql.blank('section_id')}
+UNION ALL SELECT doc_id, 'INVALID_HEADING_LEVEL', section_id FROM s WHERE section_level < 1
+UNION ALL SELECT s.doc_id, 'INVALID_HIERARCHY', s.section_id FROM s JOIN p ON s.doc_id = p.doc_id AND s.parent_section_id = p.section_id WHERE section_level <= above
+UNION ALL SELECT doc_id, 'DUPLICATE_SECTION', section_id FROM s WHERE NOT {sql.blank('section_id')} GROUP BY 1, 3 HAVING count(*) > 1"""
+)
+def hierarchy_problems(spark, folder):
+    """What is wrong with the sections of library documents below each other; none stands below itself."""
+    s = table(spark, folder, "sections").select("doc_id", "section_id", F.col("parent_section_id").alias("parent_id"), "heading", F.col("section_level").alias("level")).distinct()
+    return hierarchy_errors(s, key="doc_id")
+
+
 _PLAN = """plan AS (SELECT proposal_id, list(section_id ORDER BY o, section_id) AS plan FROM (SELECT proposal_id, section_id, min(query_ord) AS o FROM retrieved_refs GROUP BY ALL) GROUP BY 1)"""
 
 
 @query(
     f"""WITH {_ONCE}, {_PLAN}, has AS (SELECT proposal_id, list(section_id ORDER BY o, section_id) AS has FROM (
-  SELECT proposal_id, section_id, min(CAST(regexp_extract(path, '^sections\\[(\\d+)\\]', 1) AS INTEGER)) AS o FROM once GROUP BY ALL) GROUP BY 1),
+  SELECT DISTINCT proposal_id, section_id, CAST(regexp_extract(path, '^sections\\[(\\d+)\\]', 1) AS INTEGER) AS o FROM once) GROUP BY 1),
 b AS (SELECT coalesce(p.proposal_id, h.proposal_id) AS proposal_id, coalesce(plan, []) AS plan, coalesce(has, []) AS has FROM plan p FULL JOIN has h ON p.proposal_id = h.proposal_id),
 d AS (SELECT proposal_id, list_filter(plan, lambda s: NOT list_contains(has, s)) AS missing, list_filter(has, lambda s: NOT list_contains(plan, s)) AS unexpected,
-  list_filter(plan, lambda s: list_contains(has, s)) = list_filter(has, lambda s: list_contains(plan, s)) AS in_order FROM b)
-SELECT proposal_id, array_to_string(list_sort(missing), ',') AS missing, array_to_string(list_sort(unexpected), ',') AS unexpected, in_order, len(missing) + len(unexpected) = 0 AND in_order AS conforms FROM d"""
+  list_distinct(list_filter(has, lambda s: len(list_filter(has, lambda x: x = s)) > 1)) AS repeated, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(has, lambda s: [s])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) AS once_each, plan, has FROM b),
+e AS (SELECT *, list_filter(plan, lambda s: list_contains(has, s)) = list_filter(once_each, lambda s: list_contains(plan, s)) AS in_order FROM d)
+SELECT proposal_id, array_to_string(list_sort(missing), ',') AS missing, array_to_string(list_sort(unexpected), ',') AS unexpected, array_to_string(list_sort(repeated), ',') AS repeated, in_order,
+len(missing) + len(unexpected) + len(repeated) = 0 AND in_order AS conforms FROM e"""
 )
 def plan_differences(spark, folder):
     """How the sections of every proposal differ from those that were searched for."""
     refs = table(spark, folder, "retrieved_refs").groupBy("proposal_id", "section_id").agg(F.min("query_ord").alias("o"))
     plan = refs.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "section_id"))), lambda x: x["section_id"]).alias("sections"))
     d = plan_conformance(plan, section_sequences(_blocks(spark, folder)), "proposal_id")
-    return d.select("proposal_id", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), "in_order", "conforms")
+    return d.select("proposal_id", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), F.array_join("repeated", ",").alias("repeated"), "in_order", "conforms")
 
 
 @query(
@@ -120,19 +157,31 @@ _CELLS = "array_to_string(list_transform({}, lambda c: coalesce(c, '')), ' | ')"
 @query(
     f"""WITH {_ONCE}, s AS (SELECT *, CAST(regexp_extract(path, '^sections\\[(\\d+)\\]', 1) AS INTEGER) AS section_at FROM once),
 l AS (SELECT proposal_id, section_at, section_id, ord AS block_at, block_id, type, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_at FROM (SELECT *, CASE type
-  WHEN 'paragraph' THEN [text] WHEN 'callout' THEN [concat_ws(': ', label, text)] WHEN 'bullet_list' THEN items
+  WHEN 'paragraph' THEN [text] WHEN 'callout' THEN [label, text] WHEN 'bullet_list' THEN items
   WHEN 'table' THEN list_concat([{_CELLS.format('headers')}], list_transform(rows, lambda r: {_CELLS.format('r')}))
-  WHEN 'requirement_matrix' THEN list_transform(entries, lambda e: concat_ws(' | ', e.requirement_id, e.requirement, e.response))
-  WHEN 'visual_placeholder' THEN [concat_ws(': ', visual_id, description)] END AS ls FROM s)
+  WHEN 'requirement_matrix' THEN list_transform(entries, lambda e: concat_ws(' | ', coalesce(e.requirement_id, ''), coalesce(e.requirement, ''), coalesce(e.response, ''), coalesce(array_to_string(e.evidence_reference_ids, ', '), '')))
+  WHEN 'visual_placeholder' THEN [description] END AS ls FROM s)
+UNION ALL SELECT proposal_id, section_at, section_id, 2147483647, 0, 'reference', concat_ws(' \u2014 ', nullif(reference_id, ''), nullif(title, ''), nullif(source, ''), nullif(locator, '')), row_number() OVER (PARTITION BY proposal_id
+  ORDER BY reference_id, concat_ws(' \u2014 ', nullif(reference_id, ''), nullif(title, ''), nullif(source, ''), nullif(locator, ''))) FROM (SELECT DISTINCT proposal_id, section_at, section_id FROM s WHERE section_id = 'references')
+  JOIN (SELECT DISTINCT proposal_id, reference_id, title, source, locator FROM knowledge_refs WHERE deleted_at IS NULL) USING (proposal_id)
+UNION ALL SELECT DISTINCT proposal_id, section_at, section_id, -2, -2, 'page_break', '', 0 FROM s WHERE section_id = 'references'
+UNION ALL SELECT DISTINCT proposal_id, section_at, section_id, -3, -3, 'title', proposal_id, 0 FROM s WHERE section_id = 'cover'
 UNION ALL SELECT DISTINCT proposal_id, section_at, section_id, -1, -1, 'heading', array_to_string(list_transform(string_split(section_id, '_'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' '), 0 FROM s)
 SELECT proposal_id, row_number() OVER (PARTITION BY proposal_id ORDER BY section_at, section_id, block_at, block_id, line_at) AS op_ord,
-CASE type WHEN 'heading' THEN 'heading' WHEN 'bullet_list' THEN 'list_item' WHEN 'table' THEN 'table_row' WHEN 'requirement_matrix' THEN 'table_row' ELSE 'paragraph' END AS kind,
-CASE type WHEN 'heading' THEN 'heading' WHEN 'paragraph' THEN 'body' WHEN 'callout' THEN 'callout' WHEN 'bullet_list' THEN 'bullet' WHEN 'requirement_matrix' THEN 'matrix' WHEN 'visual_placeholder' THEN 'visual'
-  ELSE CASE WHEN line_at = 0 THEN 'table_header' ELSE 'table_body' END END AS style, coalesce(line, '') AS text FROM l"""
+CASE type WHEN 'heading' THEN 'heading' WHEN 'page_break' THEN 'page_break' WHEN 'bullet_list' THEN 'list_item' WHEN 'table' THEN 'table_row' WHEN 'requirement_matrix' THEN 'table_row' ELSE 'paragraph' END AS kind,
+CASE WHEN type = 'heading' THEN 'heading_1' WHEN type = 'title' THEN 'proposal_title' WHEN type IN ('paragraph', 'reference', 'visual_placeholder') THEN 'body' WHEN type = 'bullet_list' THEN 'bullet' WHEN type = 'table' THEN
+  CASE WHEN line_at = 0 THEN 'table_header' ELSE 'table_cell' END ELSE type END AS style, coalesce(line, '') AS text FROM l"""
 )
 def render_ops(spark, folder):
     """Every proposal as a sequence of lines to print."""
-    return render_operations(_blocks(spark, folder)).withColumn("op_ord", F.col("op_ord").cast("long"))
+    return printed(_blocks(spark, folder), table(spark, folder, "knowledge_refs")).withColumn("op_ord", F.col("op_ord").cast("long"))
+
+
+def printed(blocks: DataFrame, declared: DataFrame) -> DataFrame:
+    """Lines of proposals with their id as the title and the references that they declare on a page of their own."""
+    references = declared.filter("deleted_at is null").select("proposal_id", "reference_id", "title", "source", "locator").distinct()
+    titles = blocks.select("proposal_id", F.col("proposal_id").alias("title")).distinct()
+    return render_operations(blocks, titles=titles, references=references, breaks=("references",))
 
 
 @query(
@@ -208,18 +257,26 @@ def assembly_problems(spark, folder):
 @query(
     f"""WITH {_PLAN_AND_PARTS}, f AS (SELECT proposal_id, section_id, error AS finding, NULL AS detail FROM errors
 UNION ALL SELECT proposal_id, section_id, 'empty_content', NULL FROM c WHERE {sql.blank('text')}
-UNION ALL SELECT DISTINCT proposal_id, section_id, 'unknown_reference', r FROM (SELECT proposal_id, section_id, unnest(reference_ids) AS r FROM c) WHERE r IS NULL OR (proposal_id, r) NOT IN (SELECT (proposal_id, reference_id) FROM knowledge_refs))
+UNION ALL SELECT DISTINCT proposal_id, section_id, 'unknown_reference', r FROM (SELECT proposal_id, section_id, unnest(reference_ids) AS r FROM c) WHERE r IS NULL OR (proposal_id, r) NOT IN (SELECT (proposal_id, reference_id) FROM knowledge_refs)
+UNION ALL SELECT proposal_id, section_id, 'out_of_order', CAST(a AS VARCHAR) FROM (SELECT proposal_id, section_id, row_number() OVER (PARTITION BY proposal_id ORDER BY o, section_id) AS a, row_number() OVER (PARTITION BY proposal_id ORDER BY n.ord, section_id) AS b
+  FROM (SELECT proposal_id, section_id, min(CAST(regexp_extract(path, '^sections\\[(\\d+)\\]', 1) AS INTEGER)) AS o FROM c GROUP BY ALL) JOIN needs n USING (proposal_id, section_id)) WHERE a <> b
+UNION ALL SELECT proposal_id, section_id, finding, detail FROM (SELECT DISTINCT proposal_id, section_id, reference_id, x.f AS finding, x.d AS detail FROM (SELECT *, unnest([
+  CASE WHEN {sql.blank('reference_id')} THEN {{'f': 'invalid_reference', 'd': 'reference_id'}} END, CASE WHEN {sql.blank('reference_type')} THEN {{'f': 'invalid_reference', 'd': 'reference_type'}} END,
+  CASE WHEN {sql.blank('chunk_id')} THEN {{'f': 'invalid_reference', 'd': 'chunk_id'}} END, CASE WHEN {sql.blank('source_document')} THEN {{'f': 'invalid_reference', 'd': 'source_document'}} END,
+  CASE WHEN {sql.blank('content')} THEN {{'f': 'invalid_reference', 'd': 'content'}} END, CASE WHEN NOT coalesce(isfinite(score) AND score >= 0, FALSE) THEN {{'f': 'invalid_reference', 'd': 'score'}} END,
+  CASE WHEN NOT coalesce(isfinite(score), TRUE) THEN {{'f': 'invalid_metadata', 'd': 'score'}} END]) AS x FROM retrieved_refs) WHERE x IS NOT NULL))
 SELECT finding, count(*) AS n, count(DISTINCT proposal_id) AS proposals, count(DISTINCT detail) AS details FROM f GROUP BY 1"""
 )
 def review_summary(spark, folder):
     """What a review of all paragraphs finds, counted."""
-    f = review_findings(_needs(spark, folder), _paragraphs(spark, folder), table(spark, folder, "knowledge_refs"), key="proposal_id", part="section_id")
+    retrieved = table(spark, folder, "retrieved_refs").withColumn("metadata", F.create_map(F.lit("score"), F.col("score")))
+    f = review_findings(_needs(spark, folder), _paragraphs(spark, folder), table(spark, folder, "knowledge_refs"), key="proposal_id", part="section_id", retrieved=retrieved, metadata="metadata")
     return f.groupBy("finding").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("proposal_id").alias("proposals"), F.count_distinct("detail").alias("details"))
 
 
 @query(
     """WITH d AS (SELECT DISTINCT query_id, citation_id, document_id, header_path FROM citations),
-r AS (SELECT query_id, list_distinct(list(candidate_index)) AS cited FROM rerank_scores WHERE query_id IN (SELECT query_id FROM citations) AND relevance_score > 0.8 AND isfinite(relevance_score) AND candidate_index < 20 GROUP BY 1)
+r AS (SELECT query_id, list_distinct(list(candidate_index)) AS cited FROM rerank_scores WHERE query_id IN (SELECT query_id FROM citations) AND relevance_score > 0.8 AND isfinite(relevance_score) GROUP BY 1)
 SELECT r.query_id, (SELECT count(DISTINCT citation_id) FROM d WHERE d.query_id = r.query_id AND list_contains(r.cited, CAST(substr(citation_id, 2) AS INTEGER))) AS supported,
 (SELECT count(*) FROM (SELECT unnest(r.cited) AS i) WHERE 'c' || i NOT IN (SELECT citation_id FROM d WHERE d.query_id = r.query_id)) AS unsupported FROM r"""
 )

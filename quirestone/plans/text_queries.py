@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirestone.functions.text import content_hash, first_tokens, normalize_ws, token_count
 from quirestone.operators.embed import embedded, is_valid_vector, mock_embedding
 from quirestone.operators.index import invalid_points, not_yet_indexed, upsert_counts, upserted, version_changes
-from quirestone.operators.qualify import clarifications, language, processed, qualified, rejection, retrieval_requests
+from quirestone.operators.qualify import SCRIPTS, clarifications, language, processed, qualified, rejection, retrieval_requests
 from quirestone.operators.structure import looks_upper, outline, text_blocks, titles
 from quirestone.operators.transport import has_markdown, markdown_tables
 from quirestone.plans import sql
@@ -111,23 +111,28 @@ def incremental_skip(spark, folder):
 
 
 @query(
-    """WITH p AS (SELECT chunk_id AS id FROM citations WHERE query_id < 'qry-00005000'), n AS (SELECT DISTINCT chunk_id AS id FROM citations WHERE query_id >= 'qry-00005000')
+    """WITH m AS (SELECT quantile_disc(ingested_at, 0.5) AS t FROM elements), p AS (SELECT element_id AS id FROM elements, m WHERE ingested_at <= t), n AS (SELECT DISTINCT element_id AS id FROM elements, m WHERE ingested_at > t)
 SELECT count(*) FILTER (WHERE id NOT IN (SELECT id FROM p)) AS inserted, count(*) FILTER (WHERE id IN (SELECT id FROM p)) AS updated FROM n"""
 )
 def upsert_statistics(spark, folder):
-    """Points of later queries that the collection of earlier ones lacks or has."""
-    c = table(spark, folder, "citations").select(F.col("chunk_id").alias("id"), "query_id")
-    return upsert_counts(c.filter("query_id < 'qry-00005000'"), c.filter("query_id >= 'qry-00005000'"), id="id")
+    """Elements of the later half of all deliveries that the collection of the earlier half lacks or has."""
+    e = table(spark, folder, "elements").select(F.col("element_id").alias("id"), "ingested_at")
+    half = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(ingested_at))")).first()[0]
+    old = F.unix_micros("ingested_at") <= F.lit(half)
+    return upsert_counts(e.filter(old), e.filter(~old), id="id")
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0), n AS (SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 2 = 0)
-SELECT vec_id, label FROM e WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n"""
+    """WITH n AS (SELECT vec_id, label + 100 AS label, embedding FROM embeddings WHERE label >= (SELECT avg(label) FROM embeddings)),
+c AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n)
+SELECT vec_id, label, round(CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE), 4) AS total FROM c"""
 )
 def upserted_collection(spark, folder):
-    """A collection after points with even ids have been written again with another label."""
-    e = table(spark, folder, "embeddings").select("vec_id", "label")
-    return upserted(e.filter("vec_id % 3 <> 0"), e.filter("vec_id % 2 = 0").select("vec_id", (F.col("label") + 100).alias("label")), id="vec_id")
+    """The collection of all embeddings after those with a label of the mean or above have been written again with another one."""
+    e = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    again = e.filter(F.col("label") >= e.agg(F.avg("label")).scalar()).withColumn("label", F.col("label") + 100)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return upserted(e, again, id="vec_id").select("vec_id", "label", F.round(total, 4).alias("total"))
 
 
 @query("SELECT element_id AS id, 'duplicate_id' AS reason FROM elements GROUP BY 1 HAVING count(*) > 1")
@@ -138,10 +143,11 @@ def point_errors(spark, folder):
 
 
 @query(
-    """WITH a AS (SELECT title, max(text) AS text FROM documents WHERE source = (SELECT min(source) FROM documents) AND title IS NOT NULL GROUP BY 1),
-b AS (SELECT title, max(text) AS text FROM documents WHERE source = (SELECT max(source) FROM documents) AND title IS NOT NULL GROUP BY 1)
-SELECT coalesce(a.title, b.title) AS title, CASE WHEN a.title IS NULL THEN 'added' WHEN b.title IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM a FULL JOIN b ON a.title = b.title WHERE a.title IS NULL OR b.title IS NULL OR a.text IS DISTINCT FROM b.text"""
+    """WITH v AS (SELECT source, lead(source) OVER (ORDER BY source) AS next FROM (SELECT DISTINCT source FROM documents WHERE title IS NOT NULL AND source IS NOT NULL)),
+t AS (SELECT source, title, list_sort(list(DISTINCT coalesce(sha256(text), '-'))) AS texts FROM documents WHERE title IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+o AS (SELECT source AS before, next AS after, title, texts FROM v JOIN t USING (source) WHERE next IS NOT NULL), n AS (SELECT v.source AS before, next AS after, title, texts FROM v JOIN t ON t.source = v.next)
+SELECT coalesce(o.before, n.before) AS before, coalesce(o.after, n.after) AS after, coalesce(o.title, n.title) AS title, CASE WHEN o.title IS NULL THEN 'added' WHEN n.title IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.before = n.before AND o.title = n.title WHERE o.title IS NULL OR n.title IS NULL OR o.texts <> n.texts"""
 )
 def package_changes(spark, folder):
     """Titles that a source or the next one has alone, or with other texts."""
@@ -210,7 +216,7 @@ def query_normalization(spark, folder):
     return p.select("doc_id", "normalized", F.col("char_count").cast("long").alias("char_count"), F.col("word_count").cast("long").alias("word_count"), "estimated_tokens", "cache_key")
 
 
-_HITS = "{" + ", ".join(f"'{k}': len(regexp_extract_all(text, '[{v}]'))" for k, v in __import__("quirestone.operators.qualify", fromlist=["SCRIPTS"]).SCRIPTS.items()) + "}"
+_HITS = "{" + ", ".join(f"'{k}': len(regexp_extract_all(text, '[{v}]'))" for k, v in SCRIPTS.items()) + "}"
 
 
 @query(

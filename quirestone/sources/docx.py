@@ -19,10 +19,16 @@ BLOCKS = f"path string, fingerprint string, pos int, kind string, style string,
 
 
 def discover(spark: SparkSession, folder: str, suffixes: Iterable[str] = (".docx", ".pdf")) -> DataFrame:
-    """Files below ``folder`` with one of the suffixes, in any case: the columns of Spark's binaryFile source and ``fingerprint``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
-    return files.filter(suffix.isin([s.lower() for s in suffixes])).withColumn("fingerprint", F.sha2("content", 256))
+    """Files below ``folder``, or the one file it names, with one of the suffixes, in any case: the columns of Spark's binaryFile source and ``fingerprint``.
+
+    Other files aren't read. A folder that doesn't exist or has no such file is refused.
+    """
+    letters = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    names = "*{" + ",".join(letters(s) for s in suffixes) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder)
+    if not files.inputFiles():
+        raise FileNotFoundError(f"no documents in {folder}")
+    return files.withColumn("fingerprint", F.sha2("content", 256))
 
 
 def authorized(files: DataFrame, root: str, *, role: str, allowed: str = "REFERENCE_KNOWLEDGE") -> DataFrame:
@@ -46,7 +52,7 @@ def _text(node: ElementTree.Element) -> str:
             parts.append(x.text or "")
         elif x.tag == _W + "tab":
             parts.append("\t")
-        elif x.tag in (_W + "br", _W + "cr"):
+        elif x.tag == _W + "cr" or (x.tag == _W + "br" and x.get(_W + "type", "textWrapping") == "textWrapping"):
             parts.append("\n")
     return "".join(parts)
 
@@ -115,7 +121,10 @@ def _xml(kind: str, text: str, style: str) -> str:
     if kind == "table_row":
         cells = "".join(f"<w:tc><w:p><w:r><w:t>{escape(c)}</w:t></w:r></w:p></w:tc>" for c in text.split(" | "))
         return f"<w:tr>{cells}</w:tr>"
-    return f'<w:p><w:pPr><w:pStyle w:val="{"Heading1" if kind == "heading" else escape(style)}"/></w:pPr>{run}</w:p>'
+    if kind == "page_break":
+        return '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
+    name = f"Heading{style.removeprefix('heading_')}" if kind == "heading" else style
+    return f'<w:p><w:pPr><w:pStyle w:val="{escape(name)}"/></w:pPr>{run}</w:p>'
 
 
 def compose_docx(lines: Iterable[tuple[str, str, str]]) -> bytes:
@@ -140,7 +149,7 @@ def compose_docx(lines: Iterable[tuple[str, str, str]]) -> bytes:
         '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>'
         '<Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>',
         "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/styles.xml": f'<w:styles xmlns:w="{ns}"><w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="heading 1"/></w:style></w:styles>',
+        "word/styles.xml": f'<w:styles xmlns:w="{ns}">' + "".join(f'<w:style w:type="paragraph" w:styleId="Heading{i}"><w:name w:val="heading {i}"/></w:style>' for i in range(1, 7)) + "</w:styles>",
         "word/document.xml": f'<w:document xmlns:w="{ns}"><w:body>{"".join(body)}</w:body></w:document>',
     }
     out = io.BytesIO()
@@ -166,22 +175,28 @@ def composed_documents(operations: DataFrame) -> DataFrame:
 
 
 def package_parts(files: DataFrame) -> DataFrame:
-    """Parts of the packages in ``files`` (``path``, ``content``): ``path``, ``part``, ``content``."""
+    """Parts of the packages in ``files`` (``path``, ``content``): ``path``, ``part``, ``content``, ``error``.
+
+    A package that can't be read gives one row with ``error`` and no part.
+    """
 
     def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as package:
-                    rows += [(path, name, package.read(name)) for name in package.namelist()]
-            yield pd.DataFrame(rows, columns=["path", "part", "content"])
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as package:
+                        rows += [(path, name, package.read(name), None) for name in package.namelist()]
+                except Exception as e:  # any broken package
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "part", "content", "error"])
 
-    return files.select("path", "content").mapInPandas(unzip, "path string, part string, content binary")
+    return files.select("path", "content").mapInPandas(unzip, "path string, part string, content binary, error string")
 
 
 def package_inventory(parts: DataFrame) -> DataFrame:
-    """Counts of each package: parts, paragraphs, tables, rows, cells, drawings, fields, styles."""
+    """Counts of each package: parts, sections, paragraphs, tables, rows, cells, drawings, fields, styles."""
     text = F.decode("content", "UTF-8")
     count = lambda tag: F.sum(F.when(F.col("part").endswith(".xml"), F.regexp_count(text, F.lit(rf"<w:{tag}[ />]"))).otherwise(0))
-    tags = {"paragraphs": "p", "tables": "tbl", "table_rows": "tr", "cells": "tc", "drawings": "drawing", "fields": "fldSimple", "styles": "style"}
-    return parts.groupBy("path").agg(F.count(F.lit(1)).alias("parts"), *[count(t).alias(n) for n, t in tags.items()])
+    tags = {"paragraphs": "p", "tables": "tbl", "table_rows": "tr", "cells": "tc", "drawings": "drawing", "fields": "fldSimple", "styles": "style", "sections": "sectPr"}
+    return parts.groupBy("path").agg(F.count("part").alias("parts"), *[count(t).alias(n) for n, t in tags.items()])

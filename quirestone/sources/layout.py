@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import WS_CLASS, is_blank, trim_ws
 from quirestone.operators.structure import body_sizes, layout_heading_level
+from quirestone.session import written
 
 SPANS = "doc_id string, page_number int, kind string, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean"
 
@@ -35,6 +36,7 @@ def page_blocks(spans: DataFrame) -> DataFrame:
     Text that lies in a table of its page is left out, lines are stripped, blank ones dropped;
     blocks are ordered by page, then from top to bottom and left to right.
     """
+    spans = written(spans, "spans")  # the extractor runs once
     tables = spans.filter("kind = 'table'").select("doc_id", "page_number", *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])
     texts = spans.filter("kind = 'text'")
     overlap = (
@@ -45,7 +47,7 @@ def page_blocks(spans: DataFrame) -> DataFrame:
     kept = free.withColumn("text", F.array_join(lines, "\n")).unionByName(spans.filter("kind = 'table'")).filter(~is_blank(F.col("text")))
     sized = kept.join(body_sizes(texts), ["doc_id", "page_number"], "left")
     level = F.when(F.col("kind") == "text", layout_heading_level(F.col("text"), F.col("size"), F.col("body_size"), F.coalesce("bold", F.lit(False))))
-    pos = (F.col("page_number") * 1_000_000 + F.col("y0") * 100).cast("long") * 10_000 + F.col("x0").cast("long")
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "y0", "x0", "y1", "x1", "kind", "text")) - 1
     return sized.select("doc_id", pos.alias("pos"), level.alias("level"), "text", "kind", "page_number")
 
 

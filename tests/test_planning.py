@@ -67,6 +67,6 @@ def test_collections(spark, tmp_path):
 def test_run_statistics(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id string")
     points = spark.createDataFrame([("h",), ("h",), ("i",)], "content_hash string")
-    errors = spark.createDataFrame([("/x",)], "path string")
+    errors = spark.createDataFrame([("/x",)], "doc_id string")
     r = run_statistics(ids("a", "b", "c", "d"), ids("a", "b"), points, errors).first()
     assert (r.discovered, r.indexed, r.skipped, r.failed, r.chunks, r.embedded_texts) == (4, 2, 1, 1, 3, 2)

@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quirestone.operators.transport import (
-    block_errors, component_ids, grouped_references, has_markdown, markdown_tables, once, plan_conformance, render_operations, section_sequences, spread_slots, undeclared_references,
+    block_errors, component_ids, document_errors, grouped_references, has_markdown, hierarchy_errors, markdown_tables, once, plan_conformance, render_operations, section_sequences, spread_slots, undeclared_references,
 )
 from quirestone.plans.pipelines import publish
 from quirestone.sources.docx import compose_docx, composed_documents, discover, package_inventory, package_parts, parse_docx, read_docx
@@ -14,6 +14,7 @@ BLOCK = (
     "entries array<struct<requirement_id:string,requirement:string,response:string,evidence_reference_ids:array<string>>>, reference_ids array<string>, generated_at timestamp, ingested_at timestamp, error string"
 )
 T = datetime(2024, 1, 1)
+DECLARED = "proposal_id string, reference_id string, title string, source string, locator string, declared_at timestamp, deleted_at timestamp"
 
 
 def block(n, kind, path="sections[0].blocks[0]", section="cover", **more):
@@ -35,11 +36,12 @@ def test_block_rules(spark):
         block(1, "paragraph", text="ok", reference_ids=["a", None]), block(2, "paragraph", text=" "), block(3, "callout"), block(4, "bullet_list", items=[]), block(5, "bullet_list", items=["a", " "]),
         block(6, "table", headers=["a", "b"], rows=[["1", "2"], ["1"]]), block(7, "table", headers=None, rows=[]), block(8, "visual_placeholder"), block(9, "requirement_matrix", entries=[]),
         block(10, "requirement_matrix", entries=[entry("1"), entry("1", response=" ")]), block(11, "poem"), block(12, None), block(13, "requirement_matrix", entries=[entry("1", "x"), entry("2")]),
+        block(14, "table", headers=["a", " "], rows=[["1", "2"]]), block(15, "callout", label="l", text="t"), block(16, "visual_placeholder", visual_id="v", description="d"),
     )
     got = sorted((r.block_id, r.error) for r in block_errors(df).collect())
     assert got == [
-        (1, "BLANK_REFERENCE"), (2, "MISSING_TEXT"), (3, "MISSING_TEXT"), (4, "EMPTY_LIST"), (5, "BLANK_LIST_ITEM"), (6, "RAGGED_TABLE"), (7, "MISSING_TABLE_HEADERS"), (8, "MISSING_VISUAL_ID"), (9, "EMPTY_MATRIX"),
-        (10, "BLANK_MATRIX_FIELD"), (10, "DUPLICATE_REQUIREMENT"), (11, "UNKNOWN_BLOCK_TYPE"), (12, "UNKNOWN_BLOCK_TYPE"),
+        (1, "BLANK_REFERENCE"), (2, "MISSING_TEXT"), (3, "MISSING_LABEL"), (3, "MISSING_TEXT"), (4, "EMPTY_LIST"), (5, "BLANK_LIST_ITEM"), (6, "RAGGED_TABLE"), (7, "MISSING_TABLE_HEADERS"), (7, "MISSING_TABLE_ROWS"), (8, "MISSING_DESCRIPTION"), (8, "MISSING_VISUAL_ID"), (9, "EMPTY_MATRIX"),
+        (10, "BLANK_MATRIX_FIELD"), (10, "DUPLICATE_REQUIREMENT"), (11, "UNKNOWN_BLOCK_TYPE"), (12, "UNKNOWN_BLOCK_TYPE"), (14, "BLANK_TABLE_HEADER"),
     ]
 
 
@@ -50,12 +52,51 @@ def test_references_and_publishing(spark):
         block(1, "paragraph", text="x", reference_ids=["a", "b", " "]), block(1, "paragraph", text="y", reference_ids=["a"], ingested_at=later), block(2, "requirement_matrix", entries=[entry("1", "a", "z")]),
         block(3, "paragraph", text="fine", proposal_id="q", reference_ids=["c"]),
     )
-    declared = spark.createDataFrame([("p", "a"), ("q", "c"), ("q", "z")], "proposal_id string, reference_id string")
+    declared = spark.createDataFrame([(p, r, "title", "source", None, T, None) for p, r in (("p", "a"), ("q", "c"), ("q", "z"))], DECLARED)
     assert [r.text for r in once(df).filter("block_id = 1").collect()] == ["y"]
     assert sorted(map(tuple, undeclared_references(df, declared).collect())) == [("p", "b"), ("p", "z")]
     errors, lines = publish(df, declared)
     assert sorted(map(tuple, errors.collect())) == [("p", "UNKNOWN_REFERENCE", "z")]
-    assert [(r.proposal_id, r.kind, r.text) for r in lines.orderBy("op_ord").collect()] == [("q", "heading", "Cover"), ("q", "paragraph", "fine")]
+    assert [(r.proposal_id, r.kind, r.text) for r in lines.orderBy("op_ord").collect()] == [("q", "paragraph", "q"), ("q", "heading", "Cover"), ("q", "paragraph", "fine")]
+
+
+def test_document_rules(spark):
+    later = datetime(2024, 2, 1)
+    df = frame(
+        spark,
+        block(1, "visual_placeholder", "sections[0].blocks[0]", "a", visual_id="v", description="d"), block(2, "visual_placeholder", "sections[1].blocks[0]", "b", visual_id="v", description="d"),
+        block(3, "paragraph", "sections[2].blocks[0]", "a", text="x", reference_ids=["gone", "lost"]), block(4, "paragraph", "sections[1].children[0].blocks[0]", " ", text="x"),
+        block(5, "visual_placeholder", "sections[0].blocks[0]", "a", proposal_id="q", visual_id="v", description="d"),
+    )
+    declared = spark.createDataFrame(
+        [("p", "r", "t", "s", None, T, None), ("p", "r", "t", "s", None, T, None), ("p", "two", "t", "s", None, T, None), ("p", "two", "t", "s", None, later, None), ("p", "again", "t", "s", None, T, later), ("p", "again", "t", "s", None, later, None),
+         ("p", "bare", " ", None, None, T, None), ("p", None, "t", "s", None, T, None), ("p", "gone", "t", "s", None, T, later)], DECLARED,
+    )
+    got = sorted((r.error, r.subject) for r in document_errors(df, declared).filter("proposal_id = 'p'").collect() if r.subject is not None)
+    assert got == sorted([("DUPLICATE_VISUAL_ID", "v"), ("UNKNOWN_REFERENCE", "lost"), ("BLANK_REFERENCE_TITLE", "bare"), ("BLANK_REFERENCE_SOURCE", "bare"), ("DUPLICATE_REFERENCE", "two"), ("DUPLICATE_SECTION", "a"), ("BLANK_SECTION_ID", " "), ("BLANK_HEADING", " ")])
+    assert [tuple(r) for r in document_errors(df, declared).filter("subject is null").collect()] == [("p", "BLANK_REFERENCE_ID", None)]
+    assert document_errors(df.limit(0), declared.limit(0)).count() == 0
+
+
+def test_hierarchy(spark):
+    rows = [("p", "a", None, "A", 1), ("p", "b", "a", "B", 1), ("p", "c", "b", " ", 3), ("p", "d", None, "D", 0), ("p", "x", "y", "X", 2), ("p", "y", "x", "Y", 3), ("q", "a", None, "A", 1)]
+    got = hierarchy_errors(spark.createDataFrame(rows, "k string, section_id string, parent_id string, heading string, level int"), key="k").collect()
+    assert sorted((r.error, r.subject) for r in got) == [("BLANK_HEADING", "c"), ("CIRCULAR_HIERARCHY", "x"), ("CIRCULAR_HIERARCHY", "y"), ("INVALID_HEADING_LEVEL", "d"), ("INVALID_HIERARCHY", "b"), ("INVALID_HIERARCHY", "x")]
+
+
+def test_nested_sections_in_order(spark):
+    df = frame(
+        spark,
+        block(1, "paragraph", "sections[1].children[10].blocks[0]", "late", text="4"), block(2, "paragraph", "sections[1].blocks[0]", "top", text="2"), block(3, "paragraph", "sections[1].children[2].blocks[0]", "inner", text="3"), block(4, "paragraph", "sections[0].blocks[0]", "cover", text="1"),
+    )
+    assert section_sequences(df).first().sections == ["cover", "top", "inner", "late"]
+    titles = spark.createDataFrame([("p", "Our offer")], "proposal_id string, title string")
+    references = spark.createDataFrame([("p", "r2", "Two", "s", None), ("p", "r1", "One", "", "page 3")], "proposal_id string, reference_id string, title string, source string, locator string")
+    lines = render_operations(df, titles=titles, references=references, listed_in="late", breaks=("top",)).orderBy("op_ord").collect()
+    assert [(r.style, r.text) for r in lines] == [
+        ("proposal_title", "Our offer"), ("heading_1", "Cover"), ("body", "1"), ("page_break", ""), ("heading_1", "Top"), ("body", "2"), ("heading_2", "Inner"), ("body", "3"), ("heading_2", "Late"), ("body", "4"),
+        ("body", "r1 \u2014 One \u2014 page 3"), ("body", "r2 \u2014 Two \u2014 s"),
+    ]
 
 
 def test_plan(spark):
@@ -87,7 +128,7 @@ def test_render_to_word_and_back(spark, tmp_path):
     )
     lines = render_operations(df)
     assert [(r.kind, r.text) for r in lines.orderBy("op_ord").collect()] == [
-        ("heading", "Cover"), ("paragraph", "A & B"), ("table_row", "h | k"), ("table_row", "1 | "), ("heading", "Key Points"), ("list_item", "x"), ("list_item", "y"), ("paragraph", "Note: t"), ("table_row", "1 | r | a"), ("paragraph", "v: d"),
+        ("heading", "Cover"), ("paragraph", "A & B"), ("table_row", "h | k"), ("table_row", "1 | "), ("heading", "Key Points"), ("list_item", "x"), ("list_item", "y"), ("paragraph", "Note"), ("paragraph", "t"), ("table_row", "1 | r | a | "), ("paragraph", "d"),
     ]
     content = composed_documents(lines).first().content
     (tmp_path / "sub").mkdir()
@@ -103,7 +144,7 @@ def test_render_to_word_and_back(spark, tmp_path):
     assert [[c.content for c in r.cells] for r in good[2].rows] == [["h", "k"], ["1", ""]] and good[2].rows[0].cells[0].cell_type == "header"
     parts = package_parts(files.filter("path like '%One%'"))
     counts = package_inventory(parts).first()
-    assert counts.parts == 4 and counts.tables == 2 and counts.table_rows == 3 and counts.styles == 1
+    assert counts.parts == 4 and counts.tables == 2 and counts.table_rows == 3 and counts.styles == 6
 
 
 def test_equal_lines_give_equal_bytes():
