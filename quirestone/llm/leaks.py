@@ -21,6 +21,8 @@ from quirestone.llm.words import words
 SHARD_CHARS = 12_000_000
 #: Test items that are searched for in one pass over the corpus.
 ITEMS_A_PASS = 20_000
+#: Items of spans that are put together in one step.
+ITEMS_A_STEP = 2_000_000
 #: Every so many-th position of the text is kept for locating.
 SAMPLING = 8
 
@@ -134,40 +136,53 @@ def _phrases(item_ids: list[int], texts: list[str], k: int) -> dict:
 
 
 def _searched(shared, k: int):
-    def shard(keys: list, texts: list[str]) -> pa.RecordBatch | None:
+    def shard(keys: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         flat, owner = words(texts)
         ids = pc.fill_null(pc.add(pc.index_in(flat, value_set=known["vocabulary"]), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         places, stretch = _stretches(ids, owner, k)
         if not len(places):
-            return None
+            return
         new = np.concatenate([[0], np.cumsum(stretch[1:] != stretch[:-1])])
         codes = np.zeros(len(places) + int(new[-1]) + 1, np.int64)
         codes[np.arange(len(places)) + new] = ids[places]
         phrase, at = FMIndex(codes).search(known["phrases"])
         if not len(phrase):
-            return None
+            return
         word = places[at - np.searchsorted(np.flatnonzero(codes == 0), at)]
         doc = owner[word].astype(np.int64)
         start = word - np.searchsorted(owner, doc)
-        # spans of a document that touch become one, with the items of all of them
-        first, last = np.searchsorted(known["phrase"], phrase), np.searchsorted(known["phrase"], phrase, side="right")
-        hit = np.repeat(np.arange(len(phrase)), last - first)
-        item = known["item"][np.arange(len(hit)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + np.repeat(first, last - first)]
-        order = np.lexsort((start[hit], doc[hit]))
-        d, s, item = doc[hit][order], start[hit][order], item[order]
+        # spans of a document that touch become one, whatever items they are of
+        order = np.lexsort((start, doc))
+        d, s, phrase = doc[order], start[order], phrase[order]
         apart = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + k)])
         begins = np.flatnonzero(apart)
         ends = np.concatenate([begins[1:], [len(d)]])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[i] for i in d[begins]]),
-                pa.array(s[begins].astype(np.int32)),
-                pa.array((s[ends - 1] + k).astype(np.int32)),
-                pa.array([sorted({*item[a:b].tolist()}) for a, b in zip(begins, ends)], pa.list_(pa.int64())),
-            ],
-            ["key", "start_word", "end_word", "item_ids"],
-        )
+        # each phrase once a span, and then the items that have it
+        once = np.unique(np.stack([np.cumsum(apart) - 1, phrase], axis=1), axis=0)
+        span, phrase = once[:, 0], once[:, 1]
+        first, last = np.searchsorted(known["phrase"], phrase), np.searchsorted(known["phrase"], phrase, side="right")
+        at, total = 0, np.concatenate([[0], np.cumsum(last - first)])
+        while at < len(begins):  # spans whose items fit into memory together, or one
+            row = int(np.searchsorted(span, at))
+            to = max(at + 1, int(span[min(np.searchsorted(total, total[row] + ITEMS_A_STEP, side="right") - 1, len(span) - 1)]))
+            to = len(begins) if total[-1] - total[row] <= ITEMS_A_STEP else to
+            r = slice(row, int(np.searchsorted(span, to)))
+            n = (last - first)[r]
+            which = np.repeat(np.arange(r.start, r.stop), n)
+            item = known["item"][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[r], n)]
+            pairs = np.unique(np.stack([span[which], item], axis=1), axis=0)
+            offsets = np.searchsorted(pairs[:, 0], np.arange(at, to + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([keys[i] for i in d[begins[at:to]]]),
+                    pa.array(s[begins[at:to]].astype(np.int32)),
+                    pa.array((s[ends[at:to] - 1] + k).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs[:, 1])),
+                ],
+                ["key", "start_word", "end_word", "item_ids"],
+            )
+            at = to
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, chars = [], [], 0
@@ -177,11 +192,10 @@ def _searched(shared, k: int):
                 texts.append(text)
                 chars += len(text)
                 if chars >= SHARD_CHARS:
-                    if (found := shard(keys, texts)) is not None:
-                        yield found
+                    yield from shard(keys, texts)
                     keys, texts, chars = [], [], 0
-        if texts and (found := shard(keys, texts)) is not None:
-            yield found
+        if texts:
+            yield from shard(keys, texts)
 
     return search
 

@@ -1,23 +1,28 @@
 """One form for texts that look the same.
 
-A transducer is compiled once in each worker from Unicode's own tables and a list of look-alikes:
-for every grapheme cluster that changes, its output, in a word with Latin letters and elsewhere. It
-takes the longest cluster at each place of a text, in one pass.
+A transducer is compiled once in each worker from Unicode's own tables and a list of look-alikes. Its table
+has every cluster of a character and the marks on it that changes, in a word with Latin letters and elsewhere:
+characters of other widths, all ways in which an accented letter or a syllable can be written, look-alikes with
+and without accents, and characters that are dropped. It reads a text once, takes the longest cluster at each place,
+and looks it up; a run of white space is one space. What no table can list, any number of marks in any order, is
+put into order by the same tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import product
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirestone.operators.skew import hot_keys, repeat, spread
+from quirestone.operators.skew import hot_keys, join_spread, repeat, spread
 from quirestone.session import written
 
 # Cyrillic and Greek letters printed like a Latin letter, each before its Latin one.
@@ -27,26 +32,14 @@ LOOK_ALIKES = """
 Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X  ο o  ϲ c  Ϲ C  ϳ j  Ϳ J
 """
 
+#: White space, a run of ASCII up to the next, or any other run.
+_SCAN = re.compile(r"\s+|[!-~]+(?=\s|\Z)|\S+")
 #: A character with all marks, format characters and half-width sound marks that follow it, and Hangul letters that join.
 _CLUSTER = regex.compile(r"[ᄀ-ᅟꥠ-ꥼ]+[ᅠ-ᇿힰ-ퟻ\p{M}\p{Cf}]*|.[\p{M}\p{Cf}ﾞﾟᅠ-ᇿힰ-ퟻ]*", regex.DOTALL)
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}\p{Cf}]")
 _LATIN = regex.compile(r"[\p{Script=Latin}&&\p{L}]", regex.V1)
-#: Longest token and cluster whose output is kept.
-_KEPT_TOKEN, _KEPT_CLUSTER, _KEPT = 24, 4, 200_000
-
-
-class _Outputs(dict):
-    """Cluster -> output; clusters that were not compiled are folded when they first come."""
-
-    def __init__(self, transducer: Transducer, latin: bool):
-        super().__init__()
-        self.transducer, self.latin = transducer, latin
-
-    def __missing__(self, cluster: str) -> str:
-        out = self.transducer.fold(cluster, self.latin)
-        if len(cluster) <= _KEPT_CLUSTER and len(self) < _KEPT:
-            self[cluster] = out
-        return out
+#: Longest token whose output is kept, and how many are.
+_KEPT_TOKEN, _KEPT = 24, 200_000
 
 
 class Transducer:
@@ -54,38 +47,133 @@ class Transducer:
 
     def __init__(self) -> None:
         pairs = LOOK_ALIKES.split()
-        self.look = str.maketrans(dict(zip(pairs[::2], pairs[1::2])))
-        self.single: dict[int, str | None] = {}
-        changed = []
+        if len(set(pairs[::2])) != len(pairs) // 2 or set(pairs[::2]) & set(pairs[1::2]):
+            raise ValueError("a letter has two look-alikes, or a look-alike has one itself")
+        self.look = dict(zip(pairs[::2], pairs[1::2]))
+        self._read_unicode()
+        self.latin, self.plain = self._compiled(True), self._compiled(False)
+        self.tokens: dict[str, str] = {}
+
+    def _read_unicode(self) -> None:
+        """Tables by character: what it stands for, fully taken apart; classes of marks; pairs that become one character."""
+        self.apart: dict[str, str] = {}
+        self.mark: dict[str, int] = {}
+        self.pair: dict[tuple[str, str], str] = {}
+        self.widths: dict[str, list[str]] = {}
+        direct: dict[str, str] = {}
         for code in range(0x110000):
             c = chr(code)
             if unicodedata.category(c) == "Cf":
-                self.single[code] = None
-            elif (d := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>")):
-                self.single[code] = "".join(chr(int(x, 16)) for x in d.split()[1:])
-            elif not d or d[0] == "<":
+                direct[c] = ""
                 continue
-            changed.append(c)
-        changed += pairs[::2]
-        self.latin, self.plain = _Outputs(self, True), _Outputs(self, False)
-        for c in changed:
-            self.latin[c], self.plain[c] = self.fold(c, True), self.fold(c, False)
-        self._check(pairs)
-        self.tokens: dict[str, str] = {}
-
-    def _check(self, pairs: list[str]) -> None:
-        """No letter has two look-alikes, each is itself the end of its chain, and no output changes again."""
-        if len(set(pairs[::2])) != len(pairs) // 2:
-            raise ValueError("a letter has two look-alikes")
-        for outputs, latin in ((self.latin, True), (self.plain, False)):
-            for c, out in outputs.items():
-                if out != self.fold(out, latin):
-                    raise ValueError(f"the output for {c!r} changes again")
-
-    def fold(self, cluster: str, latin: bool) -> str:
-        """The output for one cluster by the rules: widths, format characters, look-alikes, composed form."""
-        out = unicodedata.normalize("NFD", cluster.translate(self.single))
-        return unicodedata.normalize("NFC", out.translate(self.look) if latin else out)
+            if m := unicodedata.combining(c):
+                self.mark[c] = m
+            d = unicodedata.decomposition(c).split()
+            if not d:
+                continue
+            if d[0] in ("<wide>", "<narrow>"):
+                direct[c] = "".join(chr(int(x, 16)) for x in d[1:])
+                self.widths.setdefault(direct[c], []).append(c)
+            elif d[0][0] != "<":
+                direct[c] = "".join(chr(int(x, 16)) for x in d)
+                if len(d) == 2 and unicodedata.normalize("NFC", c) == c:
+                    self.pair[direct[c][0], direct[c][1]] = c
+        for lead, vowel in product(range(19), range(21)):  # Hangul syllables follow a rule
+            two = chr(0xAC00 + (lead * 21 + vowel) * 28)
+            self.pair[chr(0x1100 + lead), chr(0x1161 + vowel)] = two
+            direct[two] = chr(0x1100 + lead) + chr(0x1161 + vowel)
+            for tail in range(1, 28):
+                three = chr(ord(two) + tail)
+                self.pair[two, chr(0x11A7 + tail)] = three
+                direct[three] = two + chr(0x11A7 + tail)
+
+        def whole(c: str) -> str:
+            return "".join(map(whole, direct[c])) if c in direct else c
+
+        self.apart = {c: whole(c) for c in direct}
+
+    def ordered(self, cluster: str, latin: bool) -> str:
+        """The output for any cluster by the tables: taken apart, look-alikes replaced, marks in order, put together."""
+        apart = "".join([self.apart.get(c, c) for c in cluster])
+        if latin:
+            apart = "".join([self.look.get(c, c) for c in apart])
+        mark, held, run = self.mark, [], []
+        for c in apart:  # marks of different classes have one order, those of the same class keep theirs
+            if c in mark:
+                run.append(c)
+            else:
+                held += sorted(run, key=mark.__getitem__)
+                run = []
+                held.append(c)
+        held += sorted(run, key=mark.__getitem__)
+        out, base, last = [], -1, 0
+        for c in held:
+            m = mark.get(c, 0)
+            free = base >= 0 and (last < m if last else base == len(out) - 1)
+            if free and (one := self.pair.get((out[base], c))):
+                out[base] = one
+                continue
+            if not m:
+                base, last = len(out), 0
+            else:
+                last = m
+            out.append(c)
+        return "".join(out)
+
+    def _spellings(self, c: str) -> set[str]:
+        """All ways of writing a character that Unicode holds equivalent."""
+        forms, new = set(), [self.apart[c]]
+        while new:
+            form = new.pop()
+            if form in forms:
+                continue
+            forms.add(form)
+            for i in range(len(form) - 1):
+                x, y = form[i], form[i + 1]
+                if self.mark.get(x) and self.mark.get(y) and self.mark[x] != self.mark[y]:
+                    new.append(form[:i] + y + x + form[i + 2 :])
+                if (x, y) in self.pair:
+                    new.append(form[:i] + self.pair[x, y] + form[i + 2 :])
+        return forms
+
+    def _compiled(self, latin: bool) -> dict[str, str]:
+        """The table of one context, every entry checked: no cluster has two outputs, and no output changes again."""
+        alike: dict[str, list[str]] = {}
+        if latin:
+            for odd, plain in self.look.items():
+                alike.setdefault(plain, []).append(odd)
+        variants = lambda x: [x, *self.widths.get(x, ()), *alike.get(x, ())]
+        table: dict[str, str] = {}
+
+        def enter(cluster: str, out: str) -> None:
+            if table.setdefault(cluster, out) != out:
+                raise ValueError(f"{cluster!r} has two outputs")
+
+        for c in [*self.apart, *(self.look if latin else ())]:
+            enter(c, self.ordered(c, latin))
+        composed = {v for v in self.pair.values()}
+        for c in composed:
+            if latin and self.apart[c][0] in self.look:
+                continue  # it isn't an output in a word with Latin letters; its spellings come with the one it becomes
+            for form in self._spellings(c):
+                for spelling in product(*map(variants, form)):
+                    enter("".join(spelling), c)
+        if latin:
+            for c in composed:
+                if self.apart[c][0] in self.look:
+                    for form in self._spellings(c):
+                        enter(form, self.ordered(c, True))
+        for cluster, out in table.items():
+            if self.ordered(cluster, latin) != out or self.ordered(out, latin) != out:
+                raise ValueError(f"the output for {cluster!r} isn't settled")
+        return table
+
+    def cluster(self, cluster: str, latin: bool) -> str:
+        """The output for one cluster."""
+        table = self.latin if latin else self.plain
+        if (out := table.get(cluster)) is not None:
+            return out
+        return cluster if len(cluster) == 1 else self.ordered(cluster, latin)
 
     def token(self, token: str) -> str:
         """A text without white space."""
@@ -97,17 +185,34 @@ class Transducer:
                 word.append(cluster)
                 latin = latin or _LATIN.search(cluster) is not None
             else:
-                parts += map((self.latin if latin else self.plain).__getitem__, word)
-                parts.append(self.plain[cluster])
+                parts += [self.cluster(c, latin) for c in word]
+                parts.append(self.cluster(cluster, False))
                 word, latin = [], False
-        parts += map((self.latin if latin else self.plain).__getitem__, word)
+        parts += [self.cluster(c, latin) for c in word]
         out = "".join(parts)
         if len(token) <= _KEPT_TOKEN and len(self.tokens) < _KEPT:
             self.tokens[token] = out
         return out
 
     def __call__(self, text: str) -> str:
-        return " ".join([x for w in text.split() if (x := w if w.isascii() else self.token(w))])
+        out, space = [], False
+        for piece in _SCAN.findall(text):
+            if piece.isascii():
+                if piece.isspace():
+                    space = True
+                    continue
+            elif piece.isspace():
+                space = True
+                continue
+            else:
+                piece = self.token(piece)
+                if not piece:
+                    continue
+            if space and out:
+                out.append(" ")
+            out.append(piece)
+            space = False
+        return "".join(out)
 
 
 @cache
@@ -155,6 +260,17 @@ def look_classes(df: DataFrame, *, key: str, text: str) -> DataFrame:
     return taken.mapInArrow(map_texts, schema).distinct()
 
 
+def look_alike_groups(df: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The texts that look the same in groups: ``key``, ``form``, ``raw``, ``texts`` and ``members``.
+
+    A row for each key whose text looks like a different one: digests of the consistent form (the group) and of the text, and how many
+    different texts and how many keys the group has. As many rows as keys, where pairs may be as many as their square.
+    """
+    classes = written(look_classes(df, key=key, text=text), "forms")
+    counted = classes.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("members"))
+    return join_spread(classes, counted.filter("texts > 1"), ["form"], ["key"]).select(F.col("key").alias(key), F.hex("form").alias("form"), F.hex("raw").alias("raw"), "texts", "members")
+
+
 def look_alike_pairs(df: DataFrame, *, key: str, text: str) -> DataFrame:
     """``a`` < ``b``: keys of every two texts that look the same and differ.
 

@@ -12,9 +12,10 @@ import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from quirestone.session import written
 OPEN = 64
 #: Partitions whose leftovers one task of the next round gets.
 FAN_IN = 32
+#: Empty items that wait for a container to be closed.
+MOST_EMPTY = 10_000
 _SCHEMA = "container_id string, closed boolean, used int, key long, piece int, start_token int, tokens int"
 # Fixed value: how GPT-2's tokenizer cuts a text before it merges bytes, as the vocabulary's README names it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,10 +43,12 @@ def tokenizer(ranks_file: str):
 
 
 def token_sizes(df: DataFrame, *, key: str, text: str, ranks_file: str) -> DataFrame:
-    """``key`` and ``size``, the number of tokens of the text; 0 for null or empty text."""
+    """``key`` and ``size``, the number of tokens of the text; 0 for null or empty text. The file is sent to all executors."""
+    df.sparkSession.sparkContext.addFile(ranks_file)
+    name = Path(ranks_file).name
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_file).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64())], ["key", "size"])
@@ -97,16 +102,28 @@ def _first(capacity: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = f"0-{TaskContext.get().partitionId()}"
         windows, whole = _Windows(capacity, label), 0
+        last, empty = None, []  # a closed container, which can still take what is empty, and what waits for one
         for batch in batches:
             done = []
             for key, size in zip(batch.column("key").to_pylist(), batch.column("size").to_pylist()):
+                if not size:
+                    empty.append((key, 0, 0, 0))
+                    continue
                 piece = start = 0
                 while size - start > capacity:  # only a longer item is cut; its full pieces fill containers alone
                     done.append([f"{label}-w{whole}", capacity, [(key, piece, start, capacity)]])
                     whole, piece, start = whole + 1, piece + 1, start + capacity
                 if out := windows.place(size - start, [(key, piece, start, size - start)]):
                     done.append(out)
+            last = done[-1][:2] if done else last
+            if empty and last is None and len(empty) > MOST_EMPTY:
+                last = [f"{label}-e", 0]
+            if empty and last:
+                done.append([*last, empty])
+                empty = []
             yield _rows(True, done)
+        if empty:
+            windows.place(0, empty)
         yield _rows(False, list(windows.rest()))
 
     return pack

@@ -29,17 +29,16 @@ def score_code(scores: np.ndarray) -> np.ndarray:
     return np.where(bits & _TOP, ~bits, bits | _TOP)
 
 
-def item_codes(items: pa.Array) -> list[np.ndarray]:
-    """Words of codes that are the larger, the smaller the item: numbers by value, strings by their bytes in UTF-8."""
+def item_codes(items: pa.Array) -> np.ndarray:
+    """Codes that are the larger, the smaller the item: numbers by value, strings by their bytes in UTF-8 among those that are here."""
     if pa.types.is_integer(items.type):
-        return [~(items.cast(pa.int64()).to_numpy().view(np.uint64) ^ _TOP)]
+        return ~(items.cast(pa.int64()).to_numpy().view(np.uint64) ^ _TOP)
+    if pa.types.is_floating(items.type):
+        return ~score_code(items.cast(pa.float64()).to_numpy())
     coded = items.dictionary_encode()
-    values = [v.encode() for v in coded.dictionary.to_pylist()]
-    index = coded.indices.to_numpy()
-    width = -(-max(map(len, values), default=0) // 8)
-    padded = np.frombuffer(b"".join(v.ljust(8 * width, b"\0") for v in values), ">u8").reshape(len(values), width).astype(np.uint64)
-    lengths = np.array([len(v) for v in values], np.uint64)
-    return [*(~padded[index, i] for i in range(width)), ~lengths[index]]
+    rank = np.empty(len(coded.dictionary), np.uint64)
+    rank[pc.sort_indices(coded.dictionary.cast(pa.large_binary())).to_numpy()] = np.arange(len(rank), dtype=np.uint64)
+    return ~rank[coded.indices.to_numpy()]
 
 
 def best(group: np.ndarray, codes: Sequence[np.ndarray], n: int) -> np.ndarray:
@@ -100,7 +99,7 @@ def _numbered(columns: Sequence[pa.ChunkedArray]) -> np.ndarray:
 def _reduced(table: pa.Table, keys: list[str], n: int) -> pa.Table:
     """The best ``n`` distinct items of each group, each with its highest score."""
     table = table.group_by([*keys, "item"], use_threads=False).aggregate([("score", "max")]).rename_columns([*keys, "item", "score"])
-    codes = [score_code(table.column("score").to_numpy()), *item_codes(table.column("item").combine_chunks())]
+    codes = [score_code(table.column("score").to_numpy()), item_codes(table.column("item").combine_chunks())]
     return table.filter(pa.array(best(_numbered([table.column(k) for k in keys]), codes, n)))
 
 
@@ -108,7 +107,7 @@ def top_n(df: DataFrame, *, groups: Sequence[str], score: str, item: str, n: int
     """The ``n`` items of each group with the highest scores; equal scores: the smaller item.
 
     Returns ``groups``, ``item`` and ``score`` under their names in ``df``; a smaller group gives
-    all it has. Items are integers, ordered by value, or strings, ordered by bytes. An item that
+    all it has. Items are numbers other than decimals, ordered by value, or strings, ordered by bytes; other types are refused. An item that
     comes more than once in a group counts once, with its highest score. Rows with a null group,
     item or score, or a NaN or infinite score, don't take part. Other columns are ignored; an empty
     input gives an empty result.
@@ -122,8 +121,12 @@ def top_n(df: DataFrame, *, groups: Sequence[str], score: str, item: str, n: int
     keys = [f"g{i}" for i in range(len(groups))]
     taken = df.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(item).alias("item"), F.col(score).cast("double").alias("score"))
     kind = taken.schema["item"].dataType
-    if not isinstance(kind, T.StringType):
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        taken = taken.withColumn("item", F.col("item").cast("double"))
+    elif isinstance(kind, T.IntegralType):
         taken = taken.withColumn("item", F.col("item").cast("long"))
+    elif not isinstance(kind, T.StringType):
+        raise ValueError(f"items of type {kind.simpleString()} have no order here; cast them to a number or a string")
     usable = taken.dropna().filter(~F.isnan("score") & (F.abs("score") < float("inf")))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
