@@ -13,7 +13,7 @@ from quirestone.functions.text import uuid5
 from quirestone.operators.candidates import Reranker, drop_reasons, merged_neighbours, reranked, scored_by, without_near_duplicates
 from quirestone.operators.chunk import chunk_elements, chunks
 from quirestone.operators.collections import run_statistics
-from quirestone.operators.context import budgeted, prompts
+from quirestone.operators.context import SYSTEM_PROMPT, budgeted, prompts
 from quirestone.operators.elements import once as unique
 from quirestone.operators.embed import EmbeddingProvider, embedded, mock_embedding
 from quirestone.operators.enrich import enriched, payload
@@ -24,7 +24,7 @@ from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
 from quirestone.operators.validate import ERROR, library_findings
 from quirestone.operators.transport import block_errors, document_errors, once
-from quirestone.plans import proposal_queries
+from quirestone.plans import proposal_queries, sql
 from quirestone.plans.document_queries import LIBRARY_FINDINGS_SQL, POINTS_SQL
 from quirestone.session import written
 from quirestone.sources.tables import table
@@ -223,3 +223,29 @@ ORACLE_SQL = {
 SELECT discovered, (SELECT count(DISTINCT doc_id) FROM p) AS indexed, (SELECT count(*) FROM p) AS chunks, (SELECT count(DISTINCT content_hash) FROM p) AS embedded_texts, (SELECT count(*) FROM e) AS failed,
 discovered - (SELECT count(DISTINCT doc_id) FROM p) - (SELECT count(*) FROM e) AS skipped FROM d""",
 }
+
+
+_VECTOR = lambda text: f"list_transform(range(32), lambda i: CAST(('0x' || substr(sha256({text} || ':0'), CAST(i * 2 + 1 AS INTEGER), 2)) AS INTEGER) / 255.0::DOUBLE)"
+_PARAMETER = lambda name: sql.trim(f"nullif(regexp_extract(raw, '(?i)\\\\b{name}\\\\s*[:=]\\\\s*([^,;]+)', 1), '')").replace("\\\\\\\\", "\\\\")
+_EMBEDDED = f"""concat_ws(chr(10), CASE WHEN coalesce({sql.trim('title')}, '') <> '' THEN 'Document: ' || title END, CASE WHEN len(path) > 0 THEN 'Section Path: ' || array_to_string(path, ' > ') END, 'Element Type: ' || element_type) || chr(10) || chr(10)
+|| CASE WHEN head <> '' AND starts_with(text, head) THEN {sql.trim('substr(text, length(head) + 1)')} ELSE text END"""
+ORACLE_SQL["ask_pipeline"] = f"""WITH RECURSIVE points AS MATERIALIZED (SELECT chunk_id, {proposal_queries._uuid5_sql('chunk_id')} AS point_id, doc_id, title, chunk_index, path, text, content_hash, {_VECTOR(sql.norm(f"({_EMBEDDED})"))} AS v FROM {_VALID}),
+asked AS (SELECT item_id AS query_id, text AS raw, {sql.norm('nfc_normalize(text)')} AS question, CASE WHEN {sql.blank('text')} THEN 'empty' WHEN length(text) > 10000 THEN 'too_long'
+  WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]') THEN 'control_character' END AS rejection FROM eval_items),
+good AS (SELECT *, {_VECTOR('question')} AS v, {_PARAMETER('document')} AS document, {_PARAMETER('department')} AS department, {_PARAMETER('version')} AS version FROM asked WHERE rejection IS NULL),
+scored AS (SELECT query_id, p.*, round(list_cosine_similarity(p.v, g.v), 12) AS score FROM good g JOIN points p ON (document IS NULL OR document = title) AND department IS NULL AND version IS NULL),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 20 AND score >= 0 AND NOT {sql.blank('text')}),
+n AS MATERIALIZED (SELECT query_id, rank, chunk_id, doc_id || '/' || chunk_index AS place, content_hash, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits),
+f AS (SELECT DISTINCT query_id, 0::BIGINT AS r, CAST(NULL AS BIGINT) AS rank, FALSE AS kept, CAST([] AS VARCHAR[]) AS seen FROM n
+  UNION ALL SELECT query_id, r, rank, ok, CASE WHEN ok THEN list_concat(seen, mine) ELSE seen END FROM (SELECT n.query_id, n.r, n.rank, f.seen, ['k' || chunk_id, 'p' || place, 'h' || content_hash] AS mine,
+    NOT list_has_any(seen, ['k' || chunk_id, 'p' || place, 'h' || content_hash]) AS ok FROM f JOIN n ON n.query_id = f.query_id AND n.r = f.r + 1)),
+k AS (SELECT h.* FROM hits h JOIN f ON f.query_id = h.query_id AND f.rank = h.rank WHERE kept),
+a AS (SELECT *, CASE WHEN lag(doc_id) OVER w = doc_id AND lag(path) OVER w = path AND chunk_index = lag(chunk_index) OVER w + 1 THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS island FROM a),
+m AS (SELECT query_id, island AS rank, any_value(doc_id) AS doc_id, any_value(path) AS path, string_agg(text, chr(10) || chr(10) ORDER BY b.rank) AS text FROM b GROUP BY query_id, island HAVING island <= 5),
+t AS (SELECT *, {sql.tokens('text')} AS n FROM m), u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+c AS (SELECT query_id, rank, concat_ws(' ', '[c' || rank || ']', doc_id, nullif(array_to_string(path, ' > '), '')) AS line, least(n, 4000 - before) AS tokens,
+  CASE WHEN n > 4000 - before THEN {sql.first_tokens('text', 'CAST(4000 - before AS BIGINT)')} ELSE text END AS text FROM u WHERE before < 4000),
+x AS (SELECT query_id, sum(tokens) AS tokens, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Citations:' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS block FROM c GROUP BY 1)
+SELECT asked.query_id, rejection, CASE WHEN rejection IS NULL THEN CAST(coalesce(tokens, 0) AS INTEGER) END AS context_tokens, CASE WHEN rejection IS NULL THEN CAST(coalesce(tokens, 0) + {len(SYSTEM_PROMPT.split())} + 1 + {sql.tokens('question')} AS INTEGER) END AS prompt_tokens,
+CASE WHEN rejection IS NULL THEN sha256(coalesce(block, '')) END AS context_hash FROM asked LEFT JOIN x USING (query_id)"""
