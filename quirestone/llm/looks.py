@@ -32,14 +32,39 @@ LOOK_ALIKES = """
 Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X  ο o  ϲ c  Ϲ C  ϳ j  Ϳ J
 """
 
-#: White space, a run of ASCII up to the next, or any other run.
-_SCAN = re.compile(r"\s+|[!-~]+(?=\s|\Z)|\S+")
+#: A run of white space or of anything else.
+_SCAN = re.compile(r"\s+|\S+")
 #: A character with all marks, format characters and half-width sound marks that follow it, and Hangul letters that join.
 _CLUSTER = regex.compile(r"[ᄀ-ᅟꥠ-ꥼ]+[ᅠ-ᇿힰ-ퟻ\p{M}\p{Cf}]*|.[\p{M}\p{Cf}ﾞﾟᅠ-ᇿힰ-ퟻ]*", regex.DOTALL)
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}\p{Cf}]")
 _LATIN = regex.compile(r"[\p{Script=Latin}&&\p{L}]", regex.V1)
-#: Longest token whose output is kept, and how many are.
-_KEPT_TOKEN, _KEPT = 24, 200_000
+#: Longest run whose output is kept, and how many are.
+_KEPT_RUN, _KEPT = 24, 200_000
+
+
+class _Clusters(dict):
+    """The table of one context; a cluster that isn't in it is put into order, if it is more than one character."""
+
+    def __init__(self, table: dict[str, str], transducer: Transducer, latin: bool):
+        super().__init__(table)
+        self.transducer, self.latin = transducer, latin
+
+    def __missing__(self, cluster: str) -> str:
+        return cluster if len(cluster) == 1 else self.transducer.ordered(cluster, self.latin)
+
+
+class _Runs(dict):
+    """Outputs of whole runs of a text; short ones are kept."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, run: str) -> str:
+        out = " " if run.isspace() else run if run.isascii() else self.transducer.token(run)
+        if len(run) <= _KEPT_RUN and len(self) < _KEPT:
+            self[run] = out
+        return out
 
 
 class Transducer:
@@ -51,8 +76,13 @@ class Transducer:
             raise ValueError("a letter has two look-alikes, or a look-alike has one itself")
         self.look = dict(zip(pairs[::2], pairs[1::2]))
         self._read_unicode()
-        self.latin, self.plain = self._compiled(True), self._compiled(False)
-        self.tokens: dict[str, str] = {}
+        self.latin, self.plain = _Clusters(self._compiled(True), self, True), _Clusters(self._compiled(False), self, False)
+        # characters that change by themselves or what is before them, and those that change beside a Latin letter
+        active = {c for c in self.apart if self.plain[c] != c} | {y for _, y in self.pair} | set(self.mark)
+        odd = {c for c in self.latin if len(c) == 1 and self.latin[c] != self.plain[c]}
+        some = lambda chars: re.compile("[" + "".join(map(re.escape, sorted(chars))) + "]")
+        self.active, self.odd = some(active), some(odd)
+        self.runs = _Runs(self)
 
     def _read_unicode(self) -> None:
         """Tables by character: what it stands for, fully taken apart; classes of marks; pairs that become one character."""
@@ -168,51 +198,31 @@ class Transducer:
                 raise ValueError(f"the output for {cluster!r} isn't settled")
         return table
 
-    def cluster(self, cluster: str, latin: bool) -> str:
-        """The output for one cluster."""
-        table = self.latin if latin else self.plain
-        if (out := table.get(cluster)) is not None:
-            return out
-        return cluster if len(cluster) == 1 else self.ordered(cluster, latin)
-
     def token(self, token: str) -> str:
-        """A text without white space."""
-        if (out := self.tokens.get(token)) is not None:
-            return out
+        """A text without white space; most have nothing that could change."""
+        if not self.active.search(token) and not (self.odd.search(token) and _LATIN.search(token)):
+            return token
         parts, word, latin = [], [], False
         for cluster in _CLUSTER.findall(token):
             if _WORD.match(cluster):
                 word.append(cluster)
                 latin = latin or _LATIN.search(cluster) is not None
             else:
-                parts += [self.cluster(c, latin) for c in word]
-                parts.append(self.cluster(cluster, False))
+                table = self.latin if latin else self.plain
+                parts += [table[c] for c in word]
+                parts.append(self.plain[cluster])
                 word, latin = [], False
-        parts += [self.cluster(c, latin) for c in word]
-        out = "".join(parts)
-        if len(token) <= _KEPT_TOKEN and len(self.tokens) < _KEPT:
-            self.tokens[token] = out
-        return out
+        table = self.latin if latin else self.plain
+        parts += [table[c] for c in word]
+        return "".join(parts)
 
     def __call__(self, text: str) -> str:
-        out, space = [], False
-        for piece in _SCAN.findall(text):
-            if piece.isascii():
-                if piece.isspace():
-                    space = True
-                    continue
-            elif piece.isspace():
-                space = True
-                continue
-            else:
-                piece = self.token(piece)
-                if not piece:
-                    continue
-            if space and out:
-                out.append(" ")
-            out.append(piece)
-            space = False
-        return "".join(out)
+        runs = self.runs
+        out = [runs[r] for r in _SCAN.findall(text)]
+        if "" in out:  # what is dropped doesn't part white space
+            out = [x for x in out if x]
+            out = [x for x, y in zip(out, ["", *out]) if x != " " or y != " "]
+        return "".join(out).strip(" ")
 
 
 @cache
