@@ -50,14 +50,21 @@ def _provided(provider: Callable[[], EmbeddingProvider], batch_size: int, isolat
         for batch in batches:
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
-                error = None
+                texts = part.column("text").to_pylist()
                 try:
-                    vectors = vectors_of(part.column("text").to_pylist())
-                except Exception as e:  # whatever a service raises
+                    vectors, errors = vectors_of(texts), [None] * len(texts)
+                except Exception:  # whatever a service raises
                     if not isolate:
                         raise
-                    vectors, error = [None] * part.num_rows, f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(vectors, pa.list_(pa.float64())), pa.array([error] * part.num_rows, pa.string())], ["hash", "vector", "error"])
+                    vectors, errors = [], []
+                    for text in texts:  # to tell the texts that it fails on from the others
+                        try:
+                            vectors += vectors_of([text])
+                            errors.append(None)
+                        except Exception as e:
+                            vectors.append(None)
+                            errors.append(f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], ["hash", "vector", "error"])
 
     return run
 
@@ -67,7 +74,8 @@ def embedded(texts: DataFrame, *, text: str, provider: Callable[[], EmbeddingPro
 
     A text is known by the hash of its normalized form. Those in ``cache`` (``hash``, ``vector``) aren't
     embedded again; of the others, each is embedded once, however often it comes. A provider that fails stops the
-    job, unless ``isolate``: then the texts of that batch have a null vector and ``error``, a further column.
+    job, unless ``isolate``: then the texts of that batch are tried one by one, and those that it fails on have a null vector and
+    ``error``, a further column.
     """
     hashed = texts.withColumn("hash", content_hash(F.col(text)))
     wanted = hashed.filter("hash is not null").groupBy("hash").agg(F.min(text).alias("text"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import NAMESPACE_URL
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirestone.functions.text import is_blank, trim_ws
+from quirestone.functions.text import is_blank, trim_ws, uuid5
 from quirestone.session import written
 
 LEVELS = range(1, 7)
@@ -136,6 +138,54 @@ def reading_order(tree: DataFrame) -> DataFrame:
     return tree.withColumn("section_order", F.row_number().over(Window.partitionBy("doc_id").orderBy("order_key", "section_id")))
 
 
+def library_tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of read documents as the tables that validation and chunking take: elements, sections, documents.
+
+    ``blocks`` has ``doc_id``, ``pos``, ``level`` (of a heading, else null), ``kind`` (``paragraph`` or ``table``), ``text``, ``rows``,
+    ``page_number`` and ``source_path``. Ids of sections and elements are UUIDs made of the document and the place, the same on every
+    run. A heading that stands below none, however deep, is a top section. A document's title is its first heading.
+    """
+    placed = written(
+        outline(blocks.select("doc_id", "pos", "level", "text")).join(blocks.select("doc_id", "pos", "kind", "rows", "page_number", "source_path"), ["doc_id", "pos"]),
+        "outline",
+    )
+    made = lambda kind, pos: F.when(pos.isNotNull(), uuid5(NAMESPACE_URL, F.concat_ws(":", F.lit(kind), "doc_id", pos.cast("string"))))
+    file = F.element_at(F.split("source_path", "/"), -1)
+    stem = F.regexp_replace(file, r"\.[^.]+$", "")
+    none = lambda kind: F.lit(None).cast(kind)
+    section = made("section", F.col("section_pos"))
+    elements = placed.filter("level is null").select(
+        "doc_id",
+        made("element", F.col("pos")).alias("element_id"),
+        section.alias("section_id"),
+        section.alias("containing_section_id"),
+        F.col("order_index").cast("int").alias("order_index"),
+        F.col("kind").alias("element_type"),
+        F.when(F.col("kind") == "paragraph", F.col("text")).alias("content"),
+        "page_number",
+        "rows",
+        none("string").alias("caption"),
+        none("string").alias("alt_text"),
+        none("string").alias("list_type"),
+        none("array<struct<content:string,level:int>>").alias("items"),
+        file.alias("source_file"),
+        "source_path",
+        stem.alias("source_document"),
+    )
+    order = Window.partitionBy("doc_id", "parent_pos").orderBy("pos")
+    sections = placed.filter("level is not null").select(
+        "doc_id",
+        made("section", F.col("pos")).alias("section_id"),
+        made("section", F.col("parent_pos")).alias("parent_section_id"),
+        F.col("text").alias("heading"),
+        F.col("level").alias("section_level"),
+        (F.row_number().over(order) - 1).alias("sibling_ord"),
+    )
+    files = placed.groupBy("doc_id").agg(F.min(stem).alias("source_document"))
+    documents = files.join(titles(blocks), "doc_id").select("doc_id", "title", "source_document", none("string").alias("version"))
+    return elements, sections, documents
+
+
 _CONTAINER = "|".join(
     # Headings of sections that only hold others.
     [r"^form\s*\d+[a-z]?", r"^form\b", r"^appendi", r"^annex", r"^annexure", r"^table\s+of\s+contents", r"^contents?\b", r"^section.*(appendi|annex)", r"^section\s+[a-z0-9]+\b", r"^chapter\b", r"^part\b"]

@@ -22,11 +22,14 @@ from quirestone.operators.index import fingerprints, not_yet_indexed
 from quirestone.operators.qualify import processed, qualified, rejection
 from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
+from quirestone.operators.structure import library_tables
 from quirestone.operators.validate import ERROR, library_findings
 from quirestone.operators.transport import block_errors, document_errors, once
 from quirestone.plans import proposal_queries, sql
 from quirestone.plans.document_queries import LIBRARY_FINDINGS_SQL, POINTS_SQL
 from quirestone.session import written
+from quirestone.sources.docx import authorized, composed_documents, discover, docx_blocks, package_inventory, package_parts, read_docx
+from quirestone.sources.layout import layout_blocks, page_blocks, spans_of, unreadable
 from quirestone.sources.tables import table
 
 DIMENSIONS = 32
@@ -96,6 +99,30 @@ def index_run(
     return IndexRun(points, errors, run_statistics(prints.select("doc_id"), done, points, errors))
 
 
+def index_files(spark: SparkSession, folder: str, *, role: str, root: str | None = None, extractor: Callable[[bytes], list[dict]] | None = None, **more) -> IndexRun:
+    """``index_run`` over the Word files, and with an extractor the PDF files, of a folder; ``more`` is passed on.
+
+    All files are authorized before any is parsed: the role must be the allowed one and every path lie below ``root`` (default: the folder).
+    A file that can't be read, or has no text, is among the errors (stage ``parsing``), and doesn't stop the others.
+    """
+    files = discover(spark, folder)
+    authorized(files, root or folder, role=role)
+    word = F.lower("path").endswith(".docx")
+    read = written(read_docx(files.filter(word)), "read")
+    blocks, broken = docx_blocks(read), read.filter("error is not null").select(F.col("path").alias("doc_id"), F.lit("parsing").alias("stage"), F.col("error").alias("detail"))
+    others = files.filter(~word)
+    if extractor is not None:
+        spans = written(spans_of(others, extractor), "spans")
+        blocks = blocks.unionByName(layout_blocks(page_blocks(spans)))
+        broken = broken.unionByName(unreadable(spans, others).select(F.col("path").alias("doc_id"), F.lit("parsing").alias("stage"), F.lit("no text").alias("detail")))
+    else:
+        broken = broken.unionByName(others.select(F.col("path").alias("doc_id"), F.lit("parsing").alias("stage"), F.lit("no extractor").alias("detail")))
+    elements, sections, documents = library_tables(blocks)
+    run = index_run(elements, sections, documents=documents, **more)
+    errors = run.errors.unionByName(broken)
+    return IndexRun(run.points, errors, run_statistics(files.select(F.col("path").alias("doc_id")), run.points.select(F.col("document_id").alias("doc_id")), run.points, errors))
+
+
 def index(elements: DataFrame, sections: DataFrame, **more) -> DataFrame:
     """Only the points of ``index_run``."""
     return index_run(elements, sections, **more).points
@@ -210,7 +237,21 @@ def _index_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return index_run(elements, sections, indexed=before).statistics
 
 
-QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points, "index_errors": _index_errors, "index_run_statistics": _index_statistics}
+def _word_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of all proposals, written as Word documents and read again: the blocks of each, their levels and texts."""
+    printed = proposal_queries.printed(once(table(spark, folder, "transport_blocks")), table(spark, folder, "knowledge_refs"))
+    files = written(composed_documents(printed.filter("kind <> 'table_row'")), "word").select(F.col("proposal_id").alias("path"), F.sha2("content", 256).alias("fingerprint"), "content")
+    return docx_blocks(read_docx(files)).select(F.col("doc_id").alias("proposal_id"), F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "text")
+
+
+def _package_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the packages of all proposals, printed as Word documents."""
+    printed = proposal_queries.printed(once(table(spark, folder, "transport_blocks")), table(spark, folder, "knowledge_refs"))
+    parts = package_parts(composed_documents(printed).select(F.col("proposal_id").alias("path"), "content"))
+    return package_inventory(parts).select(F.col("path").alias("proposal_id"), "parts", "table_rows", "tables")
+
+
+QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points, "index_errors": _index_errors, "index_run_statistics": _index_statistics, "word_round_trip": _word_round_trip, "package_statistics": _package_statistics}
 _BROKEN = f"""SELECT proposal_id FROM transport_blocks JOIN ({proposal_queries.ORACLE_SQL['transport_errors']}) USING (block_id) UNION ALL SELECT proposal_id FROM ({proposal_queries.ORACLE_SQL['transport_document_errors']})"""
 _INDEX_ERRORS = f"""SELECT doc_id, 'validation' AS stage, string_agg(DISTINCT code, ',' ORDER BY code) AS detail FROM ({LIBRARY_FINDINGS_SQL}) WHERE severity = 'error' GROUP BY 1"""
 _VALID = f"(SELECT * FROM ({POINTS_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_INDEX_ERRORS})))"
@@ -219,6 +260,10 @@ ORACLE_SQL = {
     "published_lines": f"SELECT * FROM ({proposal_queries.ORACLE_SQL['render_ops']}) WHERE proposal_id NOT IN ({_BROKEN})",
     "indexed_points": f"SELECT chunk_id, doc_id AS document_id, chunk_index, {proposal_queries._uuid5_sql('chunk_id')} AS point_uuid, {DIMENSIONS} AS dimensions FROM {_VALID}",
     "index_errors": _INDEX_ERRORS,
+    "word_round_trip": f"""SELECT proposal_id, row_number() OVER (PARTITION BY proposal_id ORDER BY op_ord) - 1 AS pos, CASE WHEN kind = 'heading' THEN 1 END AS level, text
+FROM ({proposal_queries.ORACLE_SQL['render_ops']}) WHERE kind NOT IN ('table_row', 'page_break') AND NOT {sql.blank('text')}""",
+    "package_statistics": f"""SELECT proposal_id, 4 AS parts, CAST(count(*) FILTER (WHERE kind = 'table_row') AS BIGINT) AS table_rows, CAST(count(*) FILTER (WHERE kind = 'table_row' AND (style = 'table_header' OR last IS DISTINCT FROM 'table_row')) AS BIGINT) AS tables
+FROM (SELECT *, lag(kind) OVER (PARTITION BY proposal_id ORDER BY op_ord) AS last FROM ({proposal_queries.ORACLE_SQL['render_ops']})) GROUP BY 1""",
     "index_run_statistics": f"""WITH p AS (SELECT * FROM {_VALID} WHERE doc_id IN {_DUE}), e AS (SELECT doc_id FROM ({_INDEX_ERRORS}) WHERE doc_id IN {_DUE}), d AS (SELECT count(DISTINCT doc_id) AS discovered FROM elements)
 SELECT discovered, (SELECT count(DISTINCT doc_id) FROM p) AS indexed, (SELECT count(*) FROM p) AS chunks, (SELECT count(DISTINCT content_hash) FROM p) AS embedded_texts, (SELECT count(*) FROM e) AS failed,
 discovered - (SELECT count(DISTINCT doc_id) FROM p) - (SELECT count(*) FROM e) AS skipped FROM d""",
@@ -226,7 +271,7 @@ discovered - (SELECT count(DISTINCT doc_id) FROM p) - (SELECT count(*) FROM e) A
 
 
 _VECTOR = lambda text: f"list_transform(range(32), lambda i: CAST(('0x' || substr(sha256({text} || ':0'), CAST(i * 2 + 1 AS INTEGER), 2)) AS INTEGER) / 255.0::DOUBLE)"
-_PARAMETER = lambda name: sql.trim(f"nullif(regexp_extract(raw, '(?i)\\\\b{name}\\\\s*[:=]\\\\s*([^,;]+)', 1), '')").replace("\\\\\\\\", "\\\\")
+_PARAMETER = lambda name: sql.trim(rf"nullif(regexp_extract(raw, '(?i)\b{name}\s*[:=]\s*([^,;]+)', 1), '')")
 _EMBEDDED = f"""concat_ws(chr(10), CASE WHEN coalesce({sql.trim('title')}, '') <> '' THEN 'Document: ' || title END, CASE WHEN len(path) > 0 THEN 'Section Path: ' || array_to_string(path, ' > ') END, 'Element Type: ' || element_type) || chr(10) || chr(10)
 || CASE WHEN head <> '' AND starts_with(text, head) THEN {sql.trim('substr(text, length(head) + 1)')} ELSE text END"""
 ORACLE_SQL["ask_pipeline"] = f"""WITH RECURSIVE points AS MATERIALIZED (SELECT chunk_id, {proposal_queries._uuid5_sql('chunk_id')} AS point_id, doc_id, title, chunk_index, path, text, content_hash, {_VECTOR(sql.norm(f"({_EMBEDDED})"))} AS v FROM {_VALID}),

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirestone.operators.structure import heading_level
+
 # Fixed value: the namespace of WordprocessingML.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _CELL = "struct<content:string,cell_type:string,column_index:int>"
@@ -116,6 +118,20 @@ def read_docx(files: DataFrame) -> DataFrame:
     return files.select("path", "fingerprint", "content").mapInPandas(parse, BLOCKS)
 
 
+def docx_blocks(read: DataFrame) -> DataFrame:
+    """Blocks of ``read_docx`` without an error as ``structure.library_tables`` takes them; a paragraph with a heading's style is one."""
+    return read.filter("error is null").select(
+        F.col("path").alias("doc_id"),
+        "pos",
+        F.when(F.col("kind") == "paragraph", heading_level(F.col("style"))).alias("level"),
+        "kind",
+        "text",
+        "rows",
+        F.lit(None).cast("int").alias("page_number"),
+        F.col("path").alias("source_path"),
+    )
+
+
 def _xml(kind: str, text: str, style: str) -> str:
     run = f'<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
     if kind == "table_row":

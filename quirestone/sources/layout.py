@@ -51,6 +51,22 @@ def page_blocks(spans: DataFrame) -> DataFrame:
     return sized.select("doc_id", pos.alias("pos"), level.alias("level"), "text", "kind", "page_number")
 
 
+def layout_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of ``page_blocks`` as ``structure.library_tables`` takes them; a table's lines are its rows, its cells parted by tabs or ``|``."""
+    cell = lambda c, j, i: F.struct(trim_ws(c).alias("content"), F.when(i == 0, "header").otherwise("data").alias("cell_type"), j.alias("column_index"))
+    row = lambda line, i: F.struct(i.alias("row_index"), F.transform(F.split(line, r"\t|\|"), lambda c, j: cell(c, j, i)).alias("cells"))
+    return blocks.select(
+        "doc_id",
+        "pos",
+        F.when(F.col("kind") == "text", F.col("level")).alias("level"),
+        F.when(F.col("kind") == "table", "table").otherwise("paragraph").alias("kind"),
+        "text",
+        F.when(F.col("kind") == "table", F.transform(F.split("text", "\n"), row)).alias("rows"),
+        "page_number",
+        F.col("doc_id").alias("source_path"),
+    )
+
+
 def unreadable(spans: DataFrame, files: DataFrame) -> DataFrame:
     """``path`` of files from which no text came."""
     full = spans.filter(~is_blank(F.regexp_replace("text", WS_CLASS, " "))).select(F.col("doc_id").alias("path")).distinct()
