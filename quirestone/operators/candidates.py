@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirestone.functions.text import is_blank
+from quirestone.session import written
 
 
 def drop_reasons(candidates: DataFrame, *, score: str, text: str, threshold: float) -> DataFrame:
@@ -93,6 +94,34 @@ def merged_neighbours(candidates: DataFrame, *, group: list[str], rank: str, doc
     ).drop("__island")
 
 
+def refined(
+    candidates: DataFrame, *, group: str, rank: str, id: str, identities: list[str], document: str, path: str, index: str, text: str, score: str, threshold: float, budget: int, payload: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """What is left of the candidates of each query, and a row of counters on how that came.
+
+    In this order are left out those that contradict their ``payload`` (pairs of columns), are below the threshold, are blank, come again
+    in every column, or are like an accepted one by ``identities``; then neighbours are merged. The first ``budget`` distinct
+    ones of a query take part. Counters: ``total``, ``invalid_metadata``, ``below_threshold``, ``blank_text``, ``exact_duplicates``, ``near_duplicates``,
+    ``adjacent_merges``, ``kept``.
+    """
+    wrong = F.lit(False)
+    for column, of_payload in (payload or {}).items():
+        wrong = wrong | (F.col(of_payload).isNotNull() & ~F.col(of_payload).eqNullSafe(F.col(column)))
+    marked = drop_reasons(candidates, score=score, text=text, threshold=threshold).withColumn("drop_reason", F.when(wrong, "invalid_metadata").otherwise(F.col("drop_reason")))
+    same = [c for c in candidates.columns if c != group]
+    twice = F.row_number().over(Window.partitionBy(group, "drop_reason", *same).orderBy(rank)) > 1
+    marked = written(marked.withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & twice, "exact_duplicates").otherwise(F.col("drop_reason"))), "marked")
+    distinct = marked.filter("drop_reason is null").drop("drop_reason")
+    accepted = written(without_near_duplicates(distinct, group=[group], rank=rank, identities=identities, budget=budget), "accepted")
+    merged = written(merged_neighbours(accepted, group=[group], rank=rank, document=document, path=path, index=index, text=text, score=score, id=id), "merged")
+    reasons = ("invalid_metadata", "below_threshold", "blank_text", "exact_duplicates")
+    first = marked.groupBy(group).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.coalesce(F.col("drop_reason") == r, F.lit(False))).alias(r) for r in reasons], F.least(F.lit(budget), F.count_if(F.col("drop_reason").isNull())).alias("__before"))
+    second = merged.groupBy(group).agg(F.sum("merged").alias("__accepted"), F.count(F.lit(1)).alias("kept"))
+    joined = first.join(second, group, "left").na.fill(0, ["__accepted", "kept"])
+    counters = joined.select(group, "total", *reasons, (F.col("__before") - F.col("__accepted")).alias("near_duplicates"), (F.col("__accepted") - F.col("kept")).alias("adjacent_merges"), "kept")
+    return merged, counters
+
+
 def reranked(candidates: DataFrame, *, group: str, index: str, score: str, budget: int, top_k: int, place: str = "rank") -> DataFrame:
     """The ``top_k`` best of the first ``budget`` candidates of each query, by score, then index, as ``place``.
 

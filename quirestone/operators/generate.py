@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirestone.functions.text import token_count
+from quirestone.functions.text import is_blank, token_count
 
 
 class LanguageModel(Protocol):
@@ -64,3 +64,36 @@ def generated(prompts: DataFrame, *, key: str, models: list[Callable[[], Languag
     schema = T.StructType([*asked.schema.fields, *(T.StructField(n, T.IntegerType() if n == "attempts" else T.StringType()) for n in ("text", "model", "attempts", "error"))])
     out = asked.mapInArrow(run, schema)
     return out.select(F.col("key").alias(key), "text", "model", "attempts", "error", (token_count(F.col("system")) + token_count(F.col("prompt"))).alias("prompt_tokens"), token_count(F.col("text")).alias("completion_tokens"))
+
+
+def response_errors(responses: DataFrame, *, key: str) -> DataFrame:
+    """``key`` and ``error`` of responses that can't be accepted.
+
+    ``responses`` has ``text``, ``model``, ``finish_reason``, ``latency_ms``, ``prompt_tokens``, ``completion_tokens``, ``total_tokens`` and
+    ``generated_at``. Errors: ``blank_text``, ``blank_model``, ``blank_finish_reason``, ``invalid_latency`` (null, not finite or negative),
+    ``invalid_tokens`` (null, negative, or a total that isn't the sum), ``missing_time``.
+    """
+    tokens = [F.col(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    latency = F.col("latency_ms").cast("double")
+    fine = lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "blank_text": is_blank(F.col("text")),
+        "blank_model": is_blank(F.col("model")),
+        "blank_finish_reason": is_blank(F.col("finish_reason")),
+        "invalid_latency": ~fine(~F.isnan(latency) & (latency >= 0) & (latency < float("inf"))),
+        "invalid_tokens": ~fine((tokens[0] >= 0) & (tokens[1] >= 0) & (tokens[0] + tokens[1] == tokens[2])),
+        "missing_time": F.col("generated_at").isNull(),
+    }
+    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return responses.select(key, F.explode(broken).alias("error"))
+
+
+def model_registry(models: list[Callable[[], LanguageModel]]) -> dict[str, Callable[[], LanguageModel]]:
+    """Models by name; blank and repeated names are refused."""
+    known: dict[str, Callable[[], LanguageModel]] = {}
+    for model in models:
+        name = model().name
+        if not name.strip() or name in known:
+            raise ValueError(f"the model name {name!r} is blank or known already")
+        known[name] = model
+    return known

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirestone.functions.text import is_blank
@@ -88,6 +88,103 @@ def review_findings(plan: DataFrame, contents: DataFrame, references: DataFrame,
     return reduce(DataFrame.unionByName, [found, empty, unknown, moved, *more])
 
 
+# The blocks of a proposal's prompt.
+PROMPT_RULES = "\n".join(
+    (
+        "Generate only a JSON object conforming to the supplied ProposalResponse schema.",
+        "Do not generate Markdown, HTML, DOCX, styling, layout, or explanatory text outside the JSON object.",
+        "Use user-supplied project facts as the highest-priority source of truth.",
+        "Fact priority is: User Input > Technical References > Authoring References > Blueprint References.",
+        "Authoring and blueprint references may guide structure and tone only; never copy their client names, project names, budgets, dates, quantities, or specifications.",
+        "Never invent specifications. Omit unsupported content rather than guessing.",
+        "Use the required section identifiers exactly once and preserve their order.",
+    )
+)
+SECTION_RULES = "\n".join(
+    (
+        "Rules:",
+        "- section_id values are immutable identifiers. Copy each one exactly.",
+        "- Do not rename, add, omit, duplicate, nest, or reorder sections.",
+        "- Do not add child sections; the canonical plan contains only the sections listed above.",
+        "- Every planned section must appear exactly once.",
+        "- If factual information is limited, return a valid minimal section rather than omitting it.",
+        "- Do not fabricate unsupported project facts.",
+    )
+)
+REFERENCE_BLOCKS = (("technical", "TECHNICAL_REFERENCES"), ("authoring", "AUTHORING_REFERENCES"), ("blueprint", "BLUEPRINT_REFERENCES"))
+
+
+def response_schema(key: Column, sections: Column) -> Column:
+    """The JSON schema that a proposal's answer has to keep: its id, and exactly the planned sections, none below another."""
+    text = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    n = F.size(sections).cast("string")
+    ids = F.concat(F.lit("["), F.array_join(F.transform(sections, text), ","), F.lit("]"))
+    block = '{"properties":{"type":{"enum":["' + '","'.join(("paragraph", "callout", "requirement_matrix", "bullet_list", "table", "visual_placeholder")) + '"]}},"required":["type"],"type":"object"}'
+    return F.concat(
+        F.lit('{"properties":{"proposal_id":{"const":'), text(key), F.lit('},"sections":{"items":{"properties":{"blocks":{"items":' + block + ',"type":"array"},"children":{"maxItems":0,"type":"array"},"section_id":{"enum":'), ids,
+        F.lit('}},"required":["section_id","blocks"],"type":"object"},"maxItems":'), n, F.lit(',"minItems":'), n, F.lit(',"type":"array"}},"required":["proposal_id","sections"],"type":"object"}'),
+    )
+
+
+def proposal_prompts(projects: DataFrame, plan: DataFrame, references: DataFrame, *, key: str, limit: int = 3) -> DataFrame:
+    """The prompt of each proposal: ``system_prompt``, ``user_prompt``, ``schema``, ``strategy`` and the numbers of ``sections`` and ``references``.
+
+    ``projects`` has ``client``, ``title``, ``data`` (map of strings), ``requirements`` and ``constraints`` (arrays), ``plan`` ``ord``, ``section_id`` and
+    ``title``, ``references`` ``section_id``, ``reference_type``, ``reference_id``, ``source_document``, ``content`` and ``score``. Of each section and type the
+    ``limit`` best references are used (equal scores: the smaller id; a score that isn't a number counts least), so a prompt grows with its plan only.
+    Blocks stand in order of priority, keys of ``data`` sorted. References of sections that aren't planned, or of unknown type, are left out.
+    """
+    last = F.col("score").isNull() | F.isnan("score")
+    each = references.groupBy(key, "section_id", "reference_type", "reference_id").agg(F.max_by(F.struct("source_document", "content"), F.when(~last, F.col("score"))).alias("best"), F.min(F.struct("source_document", "content")).alias("any"), F.max(F.when(~last, F.col("score"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy(key, "section_id", "reference_type").orderBy(F.desc_nulls_last("score"), "reference_id"))
+    used = each.withColumn("place", place).filter(F.col("place") <= limit).join(plan.select(key, "section_id", "ord"), [key, "section_id"])
+    row = F.struct("ord", "section_id", "place", "reference_type", "reference_id", F.coalesce("best", "any").alias("r"))
+    grouped = used.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("refs"))
+    planned = plan.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "title"))).alias("plan"))
+    rows = projects.join(planned, key).join(grouped, key, "left")
+    of_type = lambda t: F.filter(F.coalesce("refs", F.array().cast(grouped.schema["refs"].dataType)), lambda r: r["reference_type"] == t)
+    lines = lambda r: F.concat_ws("\n", F.concat(F.lit("Section: "), r["section_id"]), F.concat(F.lit("Reference ID: "), r["reference_id"]), F.concat(F.lit("Source: "), F.coalesce(r["r"]["source_document"], F.lit("None"))), F.concat(F.lit("Content: "), F.coalesce(r["r"]["content"], F.lit("None"))))
+
+    def block(kind: str, name: str) -> Column:
+        mine = of_type(kind)
+        return F.concat(F.lit(f"[{name}]\nLower priority than user ground truth.\n"), F.when(F.size(mine) == 0, "None retrieved").otherwise(F.array_join(F.transform(mine, lines), "\n")))
+
+    bullets = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, "- None supplied").otherwise(F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    data = F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("data")))), F.lit("{}"))
+    truth = F.concat_ws(
+        "\n", F.lit("[USER_GROUND_TRUTH]"), F.lit("Highest priority. Project-specific facts supplied by the user."), F.concat(F.lit("Client: "), F.coalesce("client", F.lit(""))), F.concat(F.lit("Proposal Title: "), F.coalesce("title", F.lit(""))),
+        F.concat(F.lit("Project Data: "), data), F.lit("Requirements:"), bullets("requirements"), F.lit("Constraints:"), bullets("constraints"),
+    )
+    numbered = F.transform("plan", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". section_id: "), p["section_id"], F.lit("\n   title: "), p["title"]))
+    structure = F.concat(F.lit("[PLANNED_SECTION_CONTRACT]\nReturn exactly these top-level sections, exactly once, in exactly this order:\n"), F.array_join(numbered, "\n"), F.lit("\n" + SECTION_RULES))
+    schema = response_schema(F.col(key), F.transform("plan", lambda p: p["section_id"]))
+    contract = F.concat(F.lit("[OUTPUT_CONTRACT]\nReturn exactly one ProposalResponse JSON object.\n"), schema)
+    count = lambda t: F.size(of_type(t))
+    facts = [truth, *[block(*b) for b in REFERENCE_BLOCKS], structure]
+    return rows.select(
+        key,
+        F.lit(PROMPT_RULES).alias("system_prompt"),
+        F.concat_ws("\n\n", *facts, contract).alias("user_prompt"),
+        F.concat_ws("\n\n", *facts).alias("facts"),
+        schema.alias("schema"),
+        generation_strategy(count("authoring"), count("technical"), count("blueprint")).alias("strategy"),
+        F.size("plan").alias("sections"),
+        sum((count(t) for t, _ in REFERENCE_BLOCKS[1:]), count(REFERENCE_BLOCKS[0][0])).alias("references"),
+    )
+
+
+def context_errors(queries: DataFrame, references: DataFrame, *, key: str) -> DataFrame:
+    """Retrieved references that no search of their section and type asked for, and sections without a search: ``key``, ``section_id``, ``error``, ``reference_id``.
+
+    ``queries`` and ``references`` have ``section_id`` and ``reference_type``. Errors: ``no_queries``, ``incompatible_reference``.
+    """
+    asked = queries.select(key, "section_id", "reference_type").distinct()
+    other = references.select(key, "section_id", "reference_type", "reference_id").distinct().join(asked, [key, "section_id", "reference_type"], "left_anti")
+    known = asked.select(key, "section_id").distinct()
+    none = other.select(key, "section_id").distinct().join(known, [key, "section_id"], "left_anti").select(key, "section_id", F.lit("no_queries").alias("error"), F.lit(None).cast("string").alias("reference_id"))
+    return other.join(known, [key, "section_id"], "left_semi").select(key, "section_id", F.lit("incompatible_reference").alias("error"), "reference_id").unionByName(none)
+
+
 def answers(responses: DataFrame, context: DataFrame, *, query: str) -> DataFrame:
     """Answers with the documents they cite: ``citations`` (array of id, document, heading) and ``unsupported``.
 

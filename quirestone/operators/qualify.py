@@ -108,9 +108,37 @@ def clarifications(qualified_queries: DataFrame, key: str) -> DataFrame:
     return qualified_queries.select(key, F.posexplode(asked).alias("ord", "x")).select(key, "ord", "x.kind", "x.parameter")
 
 
-def retrieval_requests(qualified_queries: DataFrame, key: str, *, parameters: tuple[str, ...] = PARAMETERS, top_k: int = 5, budget: int = 20, threshold: float = 0.0) -> DataFrame:
-    """What is searched for: the question, the filters that were given, and the limits."""
-    if not 0 < top_k <= budget or not 0 <= threshold <= 1:
-        raise ValueError("0 < top_k <= budget and 0 <= threshold <= 1 are required")
+def with_defaults(qualified_queries: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Parameters that a question doesn't give have their default; ``given`` names those that it gives, in the order of ``defaults``."""
+    given = F.filter(F.array(*[F.when(F.col(p).isNotNull(), F.lit(p)) for p in defaults]), lambda p: p.isNotNull())
+    return qualified_queries.withColumn("given", given).withColumns({p: F.coalesce(F.col(p), F.lit(v)) for p, v in defaults.items()})
+
+
+def retrieval_requests(
+    qualified_queries: DataFrame, key: str, *, parameters: tuple[str, ...] = PARAMETERS, top_k: int = 5, budget: int = 20, threshold: float = 0.0, max_latency_ms: int = 1000, max_context_tokens: int = 4000, overrides: str | None = None
+) -> DataFrame:
+    """What is searched for: the question, the filters that were given, and the limits.
+
+    ``overrides`` is a column of maps from the name of a limit to its value as text; where ``top_k`` is raised above the candidate
+    budget, so is that. What a request may not be is for ``request_errors`` to say.
+    """
+    if not 0 < top_k <= budget or not 0 <= threshold <= 1 or max_latency_ms <= 0 or max_context_tokens <= 0:
+        raise ValueError("0 < top_k <= budget, 0 <= threshold <= 1 and positive budgets are required")
     given = F.map_filter(F.create_map(*[x for p in parameters for x in (F.lit(p), F.col(p))]), lambda _, v: v.isNotNull())
-    return qualified_queries.select(key, "question", given.alias("filters"), F.lit(top_k).alias("top_k"), F.lit(budget).alias("candidate_budget"), F.lit(threshold).alias("score_threshold"))
+    limits = {"top_k": ("int", top_k), "candidate_budget": ("int", budget), "score_threshold": ("double", threshold), "max_latency_ms": ("int", max_latency_ms), "max_context_tokens": ("int", max_context_tokens)}
+    limit = lambda name, kind, value: F.coalesce(F.try_element_at(overrides, F.lit(name)).try_cast(kind), F.lit(value)) if overrides else F.lit(value)
+    rows = qualified_queries.select(key, "question", given.alias("filters"), *[limit(n, k, v).alias(n) for n, (k, v) in limits.items()])
+    return rows.withColumn("candidate_budget", F.greatest("candidate_budget", "top_k"))
+
+
+def request_errors(requests: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``error`` of requests with impossible limits: ``top_k``, ``candidate_budget``, ``score_threshold``, ``max_latency_ms``, ``max_context_tokens``."""
+    rules = {
+        "top_k": F.col("top_k") < 1,
+        "candidate_budget": F.col("candidate_budget") < F.col("top_k"),
+        "score_threshold": F.isnan("score_threshold") | (F.col("score_threshold") < 0) | (F.col("score_threshold") > 1),
+        "max_latency_ms": F.col("max_latency_ms") < 1,
+        "max_context_tokens": F.col("max_context_tokens") < 1,
+    }
+    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return requests.select(key, F.explode(broken).alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestone.operators.planning import assembly_errors, generation_strategy, review_findings, section_queries
+from quirestone.operators.planning import SECTION_RULES, assembly_errors, generation_strategy, proposal_prompts, review_findings, section_queries
 from quirestone.operators.transport import (
     block_errors,
     component_ids,
@@ -234,6 +234,35 @@ def generation_strategies(spark, folder):
     return g.select("proposal_id", "section_id", generation_strategy(F.col("authoring"), F.col("technical"), F.col("blueprint")).alias("strategy"))
 
 
+_TITLE = "array_to_string(list_transform(string_split(section_id, '_'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+_REFERENCE_BLOCK = lambda kind, name: f"""'[{name}]' || chr(10) || 'Lower priority than user ground truth.' || chr(10) || coalesce(string_agg('Section: ' || section_id || chr(10) || 'Reference ID: ' || reference_id || chr(10) || 'Source: ' || coalesce(source_document, 'None') || chr(10)
+|| 'Content: ' || coalesce(content, 'None'), chr(10) ORDER BY ord, section_id, place) FILTER (WHERE reference_type = '{kind}'), 'None retrieved')"""
+
+
+@query(
+    f"""WITH {_NEEDS}, r AS (SELECT proposal_id, section_id, reference_type, reference_id, max(CASE WHEN NOT isnan(score) THEN score END) AS s, min({{'a': source_document, 'b': content}}) AS lowest,
+  max_by({{'a': source_document, 'b': content}}, CASE WHEN NOT isnan(score) THEN score END) AS best, count(DISTINCT source_document) AS sources FROM retrieved_refs GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, section_id, reference_type ORDER BY s DESC NULLS LAST, reference_id) AS place FROM r),
+v AS (SELECT u.proposal_id, u.section_id, reference_type, reference_id, coalesce(best, lowest).b AS content, '-' AS source_document, place, ord FROM u JOIN needs USING (proposal_id, section_id) WHERE place <= 3),
+b AS (SELECT proposal_id, {_REFERENCE_BLOCK('technical', 'TECHNICAL_REFERENCES')} AS t, {_REFERENCE_BLOCK('authoring', 'AUTHORING_REFERENCES')} AS a, {_REFERENCE_BLOCK('blueprint', 'BLUEPRINT_REFERENCES')} AS p, count(*) AS n,
+  count(*) FILTER (WHERE reference_type = 'technical') AS nt, count(*) FILTER (WHERE reference_type = 'authoring') AS na, count(*) FILTER (WHERE reference_type = 'blueprint') AS np FROM v GROUP BY 1),
+o AS (SELECT proposal_id, count(*) AS sections, string_agg(i || '. section_id: ' || section_id || chr(10) || '   title: ' || {_TITLE}, chr(10) ORDER BY i) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY ord, section_id) AS i FROM needs) GROUP BY 1)
+SELECT proposal_id, CAST(sections AS INTEGER) AS sections, CAST(coalesce(n, 0) AS INTEGER) AS "references", CASE WHEN na > 0 AND nt > 0 THEN 'combined' WHEN nt > 0 THEN 'technical' WHEN na > 0 OR np > 0 THEN 'reference_based' ELSE 'user_input_only' END AS strategy,
+sha256('[USER_GROUND_TRUTH]' || chr(10) || 'Highest priority. Project-specific facts supplied by the user.' || chr(10) || 'Client: ' || proposal_id || chr(10) || 'Proposal Title: Offer' || chr(10) || 'Project Data: {{"id":"' || proposal_id || '","kind":"general"}}' || chr(10)
+|| 'Requirements:' || chr(10) || '- Answer ' || proposal_id || chr(10) || 'Constraints:' || chr(10) || '- None supplied' || repeat(chr(10), 2) || t || repeat(chr(10), 2) || a || repeat(chr(10), 2) || p || repeat(chr(10), 2)
+|| '[PLANNED_SECTION_CONTRACT]' || chr(10) || 'Return exactly these top-level sections, exactly once, in exactly this order:' || chr(10) || listed || chr(10) || '{SECTION_RULES}') AS facts_hash FROM o JOIN b USING (proposal_id)"""
+)
+def section_prompts(spark, folder):
+    """The prompt of every proposal by its plan and the best references of each section; the schema is tested apart."""
+    refs = table(spark, folder, "retrieved_refs")
+    plan = _needs(spark, folder).select("proposal_id", "ord", "section_id", F.initcap(F.translate("section_id", "_", " ")).alias("title"))
+    data = F.create_map(F.lit("kind"), F.lit("general"), F.lit("id"), F.col("proposal_id"))
+    none = F.array().cast("array<string>")
+    projects = plan.select("proposal_id").distinct().select("proposal_id", F.col("proposal_id").alias("client"), F.lit("Offer").alias("title"), data.alias("data"), F.array(F.concat(F.lit("Answer "), "proposal_id")).alias("requirements"), none.alias("constraints"))
+    p = proposal_prompts(projects, plan, refs.withColumn("source_document", F.lit("-")), key="proposal_id")
+    return p.select("proposal_id", "sections", "references", "strategy", F.sha2("facts", 256).alias("facts_hash"))
+
+
 _PLAN_AND_PARTS = f"""{_ONCE}, {_NEEDS}, c AS (SELECT proposal_id, section_id, path, ord, coalesce(text, '') AS text, reference_ids FROM once WHERE type = 'paragraph'),
 p AS (SELECT proposal_id, section_id, count(*) AS planned FROM needs GROUP BY ALL), g AS (SELECT proposal_id, section_id, count(*) AS given FROM c GROUP BY ALL),
 e AS (SELECT coalesce(p.proposal_id, g.proposal_id) AS proposal_id, coalesce(p.section_id, g.section_id) AS section_id, coalesce(planned, 0) AS planned, coalesce(given, 0) AS given

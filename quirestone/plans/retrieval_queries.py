@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestone.operators.candidates import drop_reasons, drop_summary, exact_duplicates, merged_neighbours, reranked, score_gaps, without_near_duplicates
+from quirestone.operators.candidates import drop_reasons, drop_summary, exact_duplicates, merged_neighbours, refined, reranked, score_gaps, without_near_duplicates
 from quirestone.operators.context import SYSTEM_PROMPT, budgeted, citation_line, context_statistics, prompts, routed
-from quirestone.operators.elements import once, rendered
+from quirestone.operators.elements import rendered
+from quirestone.functions.text import token_count
+from quirestone.operators.generate import response_errors
 from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
 from quirestone.plans import sql
 from quirestone.plans.document_queries import _ONCE, _RENDERED
+from quirestone.session import written
 from quirestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -76,6 +79,19 @@ def knn_threshold(spark, folder):
     return _knn(spark, folder, "cosine", 20, threshold=0.2)
 
 
+@query(
+    f"""WITH b AS (SELECT *, CASE WHEN label = 0 THEN NULL ELSE embedding[1] >= 0 END AS wanted FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, {_SCORES['cosine']} AS score FROM b q JOIN embeddings r ON q.label = r.label AND (q.wanted IS NULL OR q.wanted = (r.embedding[1] >= 0)))
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+)
+def knn_payload_filter(spark, folder):
+    """The 5 most similar vectors with the same label and, unless the label is 0, the same sign of the first component."""
+    rows = table(spark, folder, "embeddings").withColumn("positive", F.col("embedding")[0] >= 0)
+    queries = rows.filter("vec_id % 20 = 0").withColumn("positive", F.when(F.col("label") != 0, F.col("positive")))
+    found = nearest(rows, queries, id="vec_id", vector="embedding", query_id="vec_id", query_vector="embedding", k=5, match=["label", "positive"])
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"""SELECT proposal_id, count(*) AS total, count(*) FILTER (WHERE r = 1) AS below_threshold, count(*) FILTER (WHERE r = 2) AS blank_text, count(*) FILTER (WHERE r = 0) AS kept
 FROM (SELECT proposal_id, CASE WHEN score IS NULL OR isnan(score) OR score < 0.5 THEN 1 WHEN {sql.blank('content')} THEN 2 ELSE 0 END AS r FROM retrieved_refs) GROUP BY 1"""
@@ -132,6 +148,29 @@ def adjacent_merge(spark, folder):
     return m.select("query_id", "first_rank", "merged", "first_index", "last_index", F.sha2("text", 256).alias("text_hash"))
 
 
+@query(
+    f"""WITH RECURSIVE e AS (SELECT element_id, min(content) AS text, min(doc_id) AS doc_id FROM elements GROUP BY 1), a AS (SELECT c.*, CAST(substr(citation_id, 2) AS INTEGER) AS rank, text, doc_id, 1.0 / (1 + CAST(substr(citation_id, 2) AS INTEGER)) AS score FROM citations c LEFT JOIN e ON chunk_id = element_id),
+m AS (SELECT *, CASE WHEN doc_id <> document_id THEN 'i' WHEN score < 0.1 THEN 't' WHEN {sql.blank('text')} THEN 'b' ELSE 'k' END AS r FROM a),
+x AS (SELECT *, CASE WHEN r = 'k' AND row_number() OVER (PARTITION BY query_id, r, citation_id, chunk_id, document_id, header_path, chunk_index, token_count, page, truncated) > 1 THEN 'x' ELSE r END AS s FROM m),
+n AS MATERIALIZED (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id, document_id || '/' || chunk_index, citation_id) AS n, chunk_id, document_id || '/' || chunk_index AS place, document_id, header_path, chunk_index, rank FROM x WHERE s = 'k'),
+f AS (SELECT DISTINCT query_id, 0::BIGINT AS n, FALSE AS kept, CAST([] AS VARCHAR[]) AS seen FROM n UNION ALL SELECT query_id, n, ok, CASE WHEN ok THEN list_concat(seen, mine) ELSE seen END
+  FROM (SELECT n.query_id, n.n, seen, ['k' || chunk_id, 'p' || place] AS mine, NOT list_has_any(seen, ['k' || chunk_id, 'p' || place]) AS ok FROM f JOIN n ON n.query_id = f.query_id AND n.n = f.n + 1 AND n.n <= 20)),
+g AS (SELECT n.* FROM n JOIN f ON n.query_id = f.query_id AND n.n = f.n WHERE kept),
+h AS (SELECT *, CASE WHEN lag(document_id) OVER w IS NOT DISTINCT FROM document_id AND lag(header_path) OVER w IS NOT DISTINCT FROM header_path AND chunk_index = lag(chunk_index) OVER w + 1 THEN 0 ELSE 1 END AS new FROM g WINDOW w AS (PARTITION BY query_id ORDER BY rank, chunk_index)),
+k AS (SELECT query_id, count(*) AS accepted, CAST(sum(new) AS BIGINT) AS kept FROM h GROUP BY 1)
+SELECT x.query_id, count(*) AS total, count(*) FILTER (WHERE s = 'i') AS invalid_metadata, count(*) FILTER (WHERE s = 't') AS below_threshold, count(*) FILTER (WHERE s = 'b') AS blank_text, count(*) FILTER (WHERE s = 'x') AS exact_duplicates,
+least(20, count(*) FILTER (WHERE s = 'k')) - coalesce(any_value(accepted), 0) AS near_duplicates, coalesce(any_value(accepted) - any_value(kept), 0) AS adjacent_merges, coalesce(any_value(kept), 0) AS kept FROM x LEFT JOIN k ON k.query_id = x.query_id GROUP BY 1"""
+)
+def processing_summary(spark, folder):
+    """What becomes of the citations of every query as candidates, step by step."""
+    texts = table(spark, folder, "elements").groupBy(F.col("element_id").alias("chunk_id")).agg(F.min("content").alias("text"), F.min("doc_id").alias("payload_document"))
+    c = table(spark, folder, "citations").withColumn("rank", F.substr("citation_id", F.lit(2)).cast("int"))
+    c = join_spread(written(c, "citations"), texts, ["chunk_id"], ["query_id"], "left")
+    c = c.withColumns({"score": 1.0 / (1 + F.col("rank")), "place": F.concat_ws("/", "document_id", "chunk_index")})
+    names = {"group": "query_id", "rank": "rank", "id": "citation_id", "document": "document_id", "path": "header_path", "index": "chunk_index", "text": "text", "score": "score"}
+    return refined(c, identities=["chunk_id", "place"], threshold=0.1, budget=20, payload={"document_id": "payload_document"}, **names)[1]
+
+
 @query(
     """WITH s AS (SELECT query_id, candidate_index, max(relevance_score) AS s FROM rerank_scores WHERE query_id IS NOT NULL AND isfinite(relevance_score) AND candidate_index < 20 GROUP BY ALL)
 SELECT query_id, candidate_index, s AS relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, candidate_index) AS rank FROM s) WHERE rank <= 5"""
@@ -160,8 +199,10 @@ context AS (SELECT query_id, rank, 'c' || rank AS citation_id, document_id, page
 
 
 def _context(spark: SparkSession, folder: str) -> DataFrame:
-    texts = once(table(spark, folder, "elements")).select(F.col("element_id").alias("chunk_id"), rendered().alias("text")).groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return budgeted(join_spread(_cited(spark, folder).drop("citation_id"), texts, ["chunk_id"], ["query_id"]), query="query_id", rank="rank", text="text", budget=400)
+    cited = written(_cited(spark, folder), "cited")
+    elements = table(spark, folder, "elements").withColumnRenamed("element_id", "chunk_id").join(cited.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    texts = elements.groupBy("chunk_id").agg(F.min(rendered()).alias("text"))
+    return budgeted(join_spread(cited.drop("citation_id"), texts, ["chunk_id"], ["query_id"]), query="query_id", rank="rank", text="text", budget=400)
 
 
 @query(f"{_CONTEXT} SELECT query_id, citation_id, tokens_before, tokens, truncated, text FROM context")
@@ -197,6 +238,22 @@ def prompt_statistics(spark, folder):
     return p.select("query_id", F.sha2("context_block", 256).alias("context_hash"), "context_tokens", "prompt_tokens")
 
 
+@query(
+    f"""WITH r AS (SELECT DISTINCT reference_id, content, source_document, score, chunk_id, retrieved_at, {sql.tokens('content')} AS n FROM retrieved_refs),
+e AS (SELECT reference_id, unnest([CASE WHEN {sql.blank('content')} THEN 'blank_text' END, CASE WHEN {sql.blank('source_document')} THEN 'blank_model' END, CASE WHEN NOT coalesce(isfinite(score) AND score >= 0, FALSE) THEN 'invalid_latency' END, CASE WHEN n % 10 = 0 THEN 'invalid_tokens' END]) AS error FROM r)
+SELECT reference_id, error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY ALL"""
+)
+def response_problems(spark, folder):
+    """What would be wrong with retrieved references, were they responses of a model: the score their latency, every tenth number of tokens a wrong sum."""
+    r = table(spark, folder, "retrieved_refs").select("reference_id", "content", "source_document", "score", "chunk_id", "retrieved_at").distinct()
+    n = token_count(F.col("content"))
+    responses = r.select(
+        "reference_id", F.col("content").alias("text"), F.col("source_document").alias("model"), F.lit("stop").alias("finish_reason"), F.col("score").alias("latency_ms"), n.alias("prompt_tokens"), F.lit(1).alias("completion_tokens"),
+        (n + F.when(n % 10 == 0, 2).otherwise(1)).alias("total_tokens"), F.col("retrieved_at").alias("generated_at"),
+    )
+    return response_errors(responses, key="reference_id").groupBy("reference_id", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """SELECT name, row_number() OVER (ORDER BY priority, cost, latency, name) AS attempt FROM (
 SELECT s_name AS name, CASE WHEN s_nationkey % 5 = 0 THEN 100 ELSE s_nationkey END AS priority, s_suppkey % 3 AS cost, s_suppkey % 2 AS latency FROM supplier WHERE s_acctbal > 0)"""

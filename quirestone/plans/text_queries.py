@@ -199,11 +199,12 @@ _FILTER = " , ".join(f"CASE WHEN {p} IS NOT NULL THEN '\"{p}\":' || to_json({p})
 
 @query(
     _QUALIFIED_SQL[: _QUALIFIED_SQL.rindex("SELECT *, round")]
-    + f"""SELECT doc_id, question, '{{' || concat_ws(',', {_FILTER}) || '}}' AS filters, 5 AS top_k, 20 AS candidate_budget, 0.0::DOUBLE AS score_threshold FROM z"""
+    + f"""SELECT doc_id, question, '{{' || concat_ws(',', {_FILTER}) || '}}' AS filters, CASE WHEN version IS NOT NULL THEN 30 ELSE 5 END AS top_k, CASE WHEN version IS NOT NULL THEN 30 ELSE 20 END AS candidate_budget, 0.0::DOUBLE AS score_threshold, 1000 AS max_latency_ms, 4000 AS max_context_tokens FROM z"""
 )
 def query_requests(spark, folder):
-    """The search request of every question, its filters as JSON."""
-    return retrieval_requests(qualified(_questions(spark, folder), text="q"), "doc_id").withColumn("filters", F.to_json("filters"))
+    """The search request of every question, its filters as JSON; those that name a version want 30 results."""
+    q = qualified(_questions(spark, folder), text="q").withColumn("overrides", F.when(F.col("version").isNotNull(), F.create_map(F.lit("top_k"), F.lit("30"))))
+    return retrieval_requests(q, "doc_id", overrides="overrides").withColumn("filters", F.to_json("filters"))
 
 
 @query(
