@@ -33,6 +33,8 @@ from quirestone.sources.layout import layout_blocks, page_blocks, spans_of, unre
 from quirestone.sources.tables import table
 
 DIMENSIONS = 32
+#: Fixed value: the role of documents that may be indexed and searched for proposals.
+REFERENCE_ROLE = "REFERENCE_KNOWLEDGE"
 #: Points that are broadcast by their ids at most.
 FEW_POINTS = 200_000
 
@@ -83,7 +85,7 @@ def index_run(
     rows = chunk_elements(elements.join(valid.select("doc_id"), "doc_id", "left_semi"), sections)
     flat = payload(enriched(chunks(rows, chunk_size=chunk_size, overlap_ratio=overlap_ratio), valid.select("doc_id", "title")))
     runtime = valid.select(F.col("doc_id").alias("document_id"), "source_document", "version", "document_fingerprint")
-    points = flat.join(runtime, "document_id").withColumns({"page_number": F.lit(None).cast("int"), "point_id": uuid5(NAMESPACE_URL, F.col("chunk_id"))})
+    points = flat.join(runtime, "document_id").withColumns({"page_number": F.lit(None).cast("int"), "point_id": uuid5(NAMESPACE_URL, F.col("chunk_id")), "document_role": F.lit(REFERENCE_ROLE)})
     if provider is None:
         points = points.withColumns({"vector": mock_embedding(F.col("embedding_text"), dimensions), "__error": F.lit(None).cast("string")})
     else:
@@ -144,6 +146,23 @@ def search(queries: DataFrame, points: DataFrame, *, k: int = 20, threshold: flo
     return join_spread(found, payloads, ["point_id"], ["query_id"])
 
 
+def retrieve_references(queries: DataFrame, points: DataFrame, *, key: str, limit: int = 3, provider: Callable[[], EmbeddingProvider] | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The references of each search of a section (``key``, ``section_id``, ``reference_type``, ``query``), by rank.
+
+    Only points of the role of reference knowledge are searched, whatever a search wants; one that has a ``document_role`` and wants another is
+    refused before anything is searched. ``reference_id`` is the point's id; ``chunk_id``, ``source_document``, ``score`` and ``content`` are its own.
+    """
+    if "document_role" in queries.columns and not queries.filter((F.col("document_role") != REFERENCE_ROLE)).isEmpty():
+        raise PermissionError(f"searches of proposals need documents of the role {REFERENCE_ROLE}")
+    id_ = F.sha2(F.concat_ws("\u0000", F.col(key).cast("string"), "section_id", "reference_type"), 256)
+    asked = written(queries.select(id_.alias("query_id"), key, "section_id", "reference_type", F.col("query").alias("text"), F.lit(REFERENCE_ROLE).alias("document_role")), "searches")
+    vectors = asked.withColumn("vector", mock_embedding(F.col("text"), dimensions)) if provider is None else embedded(asked, text="text", provider=provider)
+    found = search(vectors.select("query_id", "vector", "document_role"), points, k=limit, match=["document_role"]).select("query_id", "rank", "point_id", "chunk_id", "source_document", "score", "original_text")
+    return found.join(asked.select("query_id", key, "section_id", "reference_type"), "query_id").select(
+        key, "section_id", "reference_type", "rank", F.col("point_id").alias("reference_id"), "chunk_id", "source_document", "score", F.col("original_text").alias("content")
+    )
+
+
 #: Parameters of a question and the field of a point that each must equal.
 FILTERS = {"document": "source_document", "department": "department", "version": "version"}
 
@@ -251,7 +270,14 @@ def _package_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return package_inventory(parts).select(F.col("path").alias("proposal_id"), "parts", "table_rows", "tables")
 
 
-QUERIES = {"ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points, "index_errors": _index_errors, "index_run_statistics": _index_statistics, "word_round_trip": _word_round_trip, "package_statistics": _package_statistics}
+def _section_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The 3 best points for every search of every proposal's sections."""
+    points = index(table(spark, folder, "elements"), table(spark, folder, "sections"))
+    found = retrieve_references(proposal_queries.QUERIES["section_searches"](spark, folder), points, key="proposal_id")
+    return found.select("proposal_id", "section_id", "reference_type", F.col("rank").cast("long").alias("rank"), "reference_id", "chunk_id", F.round("score", 6).alias("score"), F.sha2("content", 256).alias("content_hash"))
+
+
+QUERIES = {"section_references": _section_references, "ask_pipeline": _ask_eval_items, "published_lines": _published_lines, "indexed_points": _index_points, "index_errors": _index_errors, "index_run_statistics": _index_statistics, "word_round_trip": _word_round_trip, "package_statistics": _package_statistics}
 _BROKEN = f"""SELECT proposal_id FROM transport_blocks JOIN ({proposal_queries.ORACLE_SQL['transport_errors']}) USING (block_id) UNION ALL SELECT proposal_id FROM ({proposal_queries.ORACLE_SQL['transport_document_errors']})"""
 _INDEX_ERRORS = f"""SELECT doc_id, 'validation' AS stage, string_agg(DISTINCT code, ',' ORDER BY code) AS detail FROM ({LIBRARY_FINDINGS_SQL}) WHERE severity = 'error' GROUP BY 1"""
 _VALID = f"(SELECT * FROM ({POINTS_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_INDEX_ERRORS})))"
@@ -274,6 +300,10 @@ _VECTOR = lambda text: f"list_transform(range(32), lambda i: CAST(('0x' || subst
 _PARAMETER = lambda name: sql.trim(rf"nullif(regexp_extract(raw, '(?i)\b{name}\s*[:=]\s*([^,;]+)', 1), '')")
 _EMBEDDED = f"""concat_ws(chr(10), CASE WHEN coalesce({sql.trim('title')}, '') <> '' THEN 'Document: ' || title END, CASE WHEN len(path) > 0 THEN 'Section Path: ' || array_to_string(path, ' > ') END, 'Element Type: ' || element_type) || chr(10) || chr(10)
 || CASE WHEN head <> '' AND starts_with(text, head) THEN {sql.trim('substr(text, length(head) + 1)')} ELSE text END"""
+ORACLE_SQL["section_references"] = f"""WITH points AS MATERIALIZED (SELECT chunk_id, {proposal_queries._uuid5_sql('chunk_id')} AS point_id, text, {_VECTOR(sql.norm(f"({_EMBEDDED})"))} AS v FROM {_VALID}),
+q AS (SELECT *, {_VECTOR(sql.norm('query'))} AS v FROM ({proposal_queries.ORACLE_SQL['section_searches']})), s AS (SELECT q.proposal_id, section_id, reference_type, point_id, chunk_id, text, round(list_cosine_similarity(p.v, q.v), 12) AS score FROM q, points p),
+r AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, section_id, reference_type ORDER BY score DESC, point_id) AS rank FROM s)
+SELECT proposal_id, section_id, reference_type, rank, point_id AS reference_id, chunk_id, round(score, 6) AS score, sha256(text) AS content_hash FROM r WHERE rank <= 3"""
 ORACLE_SQL["ask_pipeline"] = f"""WITH RECURSIVE points AS MATERIALIZED (SELECT chunk_id, {proposal_queries._uuid5_sql('chunk_id')} AS point_id, doc_id, title, chunk_index, path, text, content_hash, {_VECTOR(sql.norm(f"({_EMBEDDED})"))} AS v FROM {_VALID}),
 asked AS (SELECT item_id AS query_id, text AS raw, {sql.norm('nfc_normalize(text)')} AS question, CASE WHEN {sql.blank('text')} THEN 'empty' WHEN length(text) > 10000 THEN 'too_long'
   WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]') THEN 'control_character' END AS rejection FROM eval_items),
