@@ -30,6 +30,8 @@ from quirestone.session import bucketed, written
 
 #: Bytes of text in a block of sets, about, and with it what one task holds of the shingles.
 BLOCK_BYTES = 16_000_000
+#: No smaller blocks are made so as to have as many as there are shuffle partitions.
+LEAST_BLOCK_BYTES = 1_000_000
 #: Bits of a shingle's hash by which it is counted; the counts of shingles that share them are added up.
 CODE_BITS = 48
 #: Sets with one shingle in their prefixes beyond which that shingle's pairs are spread over tasks.
@@ -42,15 +44,18 @@ LEAST_CELLS = 256
 _PAIRS = 1 << 20
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
 def _pack(values: np.ndarray, kind: type) -> bytes:
     """Numbers as bytes, the first bytes of all, the second bytes, and so on, compressed."""
     planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T
-    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+    return _CODEC.compress(planes.tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * size, asbytes=True), np.uint8).reshape(size, n)
+    planes = np.frombuffer(_CODEC.decompress(data, n * size, asbytes=True), np.uint8).reshape(size, n)
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
@@ -133,9 +138,9 @@ def _counted(sets: DataFrame, k: int, parts: int) -> DataFrame:
         begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         total = np.empty(len(code), np.int64)
         total[order] = np.repeat(np.add.reduceat(own[order], begins), np.diff(np.append(begins, len(code))))
-        for r, end in zip(rows, ends.tolist()):
-            counts = _pack(np.minimum(total[end - r["n"] : end], 2**32 - 1), np.uint32)
-            yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": r["part"], "n": r["n"], "counts": counts}], pa.schema({"block": pa.int32(), "part": pa.int32(), "n": pa.int32(), "counts": pa.binary()}))
+        counts = [_pack(np.minimum(total[end - r["n"] : end], 2**32 - 1), np.uint32) for r, end in zip(rows, ends.tolist())]
+        whole = lambda c: pa.array([r[c] for r in rows], pa.int32())
+        yield pa.RecordBatch.from_arrays([whole("block"), whole("part"), whole("n"), pa.array(counts, pa.binary())], ["block", "part", "n", "counts"])
 
     asked = sets.groupBy("block").applyInArrow(ask, "part int, block int, n int, codes binary, counts binary")
     return asked.repartitionById(parts, F.col("part")).mapInArrow(add, "block int, part int, n int, counts binary")
@@ -419,7 +424,7 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     rows = records.select((F.col(space) if space else F.lit("")).cast("string").alias("space"), F.col(key).alias("key"), F.col(text).alias("text")).dropna()
     rows = rows.filter(_has_words(F.col("text"), max(min_words or k, k))).withColumn("mark", F.md5("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / BLOCK_BYTES))
+    parts = max(1, math.ceil(volume / BLOCK_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / LEAST_BLOCK_BYTES)))
     block = F.pmod(F.xxhash64("mark", "space"), F.lit(parts)).cast("int").alias("block")
     once = rows.select(block, "space", "mark", "text").repartition(parts, "block").groupBy("block", "space", "mark").agg(F.first("text").alias("text"))
     sets = bucketed(once.withColumn("rid", F.monotonically_increasing_id()), "sets", "block", parts)
