@@ -1,16 +1,19 @@
-"""Collections of points as tables: created or checked before writing, and written as a whole."""
+"""Collections of points as partitioned tables: a contract that every write has to keep, and upserts that write the parts they touch."""
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirestone.operators.index import invalid_points, upsert_counts, upserted
+from quirestone.session import written
 
 DISTANCES = ("cosine", "euclid", "dot")
+#: Parts of a collection, by the hash of the id; an upsert writes those again that it has points of.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -28,62 +31,63 @@ class Collection:
             raise ValueError("a collection needs a name, positive dimensions and a known distance")
 
 
-class CollectionStore:
-    """Collections in one folder. A write makes a new version of the table and then points to it, so that readers see whole versions only."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, name: str, *rest: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, name, *rest]))
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _state(self, name: str) -> dict | None:
-        path, files = self._path(name, "collection.json")
-        if not files.exists(path):
-            return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(path.toString()).collect()))
-
-    def _save(self, name: str, state: dict) -> None:
-        path, files = self._path(name, "collection.json")
-        stream = files.create(path, True)
-        stream.write(bytearray(json.dumps(state, sort_keys=True).encode()))
-        stream.close()
-
-    def exists(self, name: str) -> bool:
-        """Whether the collection was created."""
-        return self._state(name) is not None
-
-    def ensure(self, wanted: Collection, *, recreate: bool = False) -> None:
-        """Create the collection, or check that it was made for the same; with ``recreate`` begin it anew."""
-        state = self._state(wanted.name)
-        if state is None or recreate:
-            self._save(wanted.name, {"made_for": asdict(wanted), "version": 0 if state is None else state["version"], "empty": True})
-        elif state["made_for"] != asdict(wanted):
-            differs = [k for k, v in asdict(wanted).items() if state["made_for"][k] != v]
-            raise ValueError(f"collection {wanted.name} was made with another {', '.join(differs)}")
-
-    def read(self, name: str) -> DataFrame | None:
-        """The points of a collection; None if it has none yet."""
-        state = self._state(name)
-        if state is None:
-            raise ValueError(f"no collection {name}")
-        return None if state["empty"] else self.spark.read.parquet(f"{self.folder}/{name}/v{state['version']}")
-
-    def upsert(self, name: str, points: DataFrame, *, id: str = "point_id", vector: str = "vector") -> dict[str, int]:
-        """Write points over those with the same id; returns ``inserted`` and ``updated``.
-
-        Refused as a whole if an id comes twice or a vector doesn't fit.
-        """
-        state, before = self._state(name), self.read(name)
-        if wrong := invalid_points(points, id=id, vector=vector, dimensions=state["made_for"]["dimensions"]).limit(3).collect():
-            raise ValueError(f"invalid points, such as {[tuple(r) for r in wrong]}")
-        counts = {"inserted": points.count(), "updated": 0} if before is None else upsert_counts(before, points, id=id).first().asDict()
-        version = state["version"] + 1
-        whole = points if before is None else upserted(before, points.select(before.columns), id=id)
-        whole.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
-        self._save(name, state | {"version": version, "empty": False})
-        return counts
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def contract(spark: SparkSession, folder: str) -> dict | None:
+    """What the collection in ``folder`` was made for; None if there is none."""
+    made = _read(spark, f"{folder}/contract")
+    return None if made is None else made.first().asDict()
+
+
+def ensure(spark: SparkSession, folder: str, wanted: Collection, *, recreate: bool = False) -> None:
+    """Make a collection, or check that it was made for the same; with ``recreate`` begin it anew."""
+    made = contract(spark, folder)
+    if made is None or recreate:
+        if made is not None and (old := points_of(spark, folder)) is not None:
+            old.limit(0).write.mode("overwrite").parquet(f"{folder}/points")
+        spark.createDataFrame([asdict(wanted)]).coalesce(1).write.mode("overwrite").parquet(f"{folder}/contract")
+    elif made != asdict(wanted):
+        differs = [k for k, v in asdict(wanted).items() if made[k] != v]
+        raise ValueError(f"the collection in {folder} was made with another {', '.join(differs)}")
+
+
+def points_of(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The points of a collection; None if it has none yet."""
+    if contract(spark, folder) is None:
+        raise ValueError(f"no collection in {folder}")
+    points = _read(spark, f"{folder}/points")
+    return points if points is None or "part" not in points.columns else points.drop("part")
+
+
+def upsert(spark: SparkSession, folder: str, points: DataFrame, *, id: str = "point_id", vector: str = "vector") -> dict[str, int]:
+    """Write points over those with the same id; returns ``inserted`` and ``updated``.
+
+    Refused as a whole if an id comes twice or a vector doesn't fit. The points are computed once; of the collection, the
+    parts that they fall into are read and written. One writer at a time.
+    """
+    made = contract(spark, folder)
+    if made is None:
+        raise ValueError(f"no collection in {folder}")
+    part = F.pmod(F.xxhash64(id), F.lit(PARTS)).cast("int").alias("part")
+    new = written(points.select("*", part), "upserted")
+    if wrong := invalid_points(new, id=id, vector=vector, dimensions=made["dimensions"]).limit(3).collect():
+        raise ValueError(f"invalid points, such as {[tuple(r) for r in wrong]}")
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most PARTS
+    before = _read(spark, f"{folder}/points")
+    whole, counts = new, {"inserted": new.count(), "updated": 0}
+    if before is not None and "part" in before.columns:
+        old = before.filter(F.col("part").isin(touched)).select(new.columns)
+        counts = upsert_counts(old, new, id=id).first().asDict()
+        whole = written(upserted(old, new, id=id), "parts")
+    whole.repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/points")
+    return counts
 
 
 def run_statistics(discovered: DataFrame, indexed: DataFrame, points: DataFrame, errors: DataFrame | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirestone.operators.collections import Collection, CollectionStore, run_statistics
+from quirestone.operators.collections import Collection, contract, ensure, points_of, run_statistics, upsert
 from quirestone.operators.planning import answers, assembled, assembly_errors, generation_strategy, review_findings, section_queries
 
 
@@ -41,25 +41,28 @@ def test_answers(spark):
 
 
 def test_collections(spark, tmp_path):
-    store, made = CollectionStore(spark, str(tmp_path)), Collection("points", 2, "mock")
-    assert not store.exists("points")
-    store.ensure(made)
-    store.ensure(made)
-    assert store.read("points") is None
+    made, folder = Collection("points", 2, "mock"), str(tmp_path / "points")
+    assert contract(spark, folder) is None
+    ensure(spark, folder, made)
+    ensure(spark, folder, made)
+    assert points_of(spark, folder) is None and contract(spark, folder)["dimensions"] == 2
     points = lambda *r: spark.createDataFrame(list(r), "point_id string, vector array<double>")
+    put = lambda p: upsert(spark, folder, p)
     one = points(("a", [1.0, 2.0]))
-    assert store.upsert("points", one) == {"inserted": 1, "updated": 0} and store.upsert("points", one) == {"inserted": 0, "updated": 1}
-    assert store.upsert("points", points(("a", [3.0, 4.0]), ("b", [5.0, 6.0]))) == {"inserted": 1, "updated": 1}
-    assert sorted(map(tuple, store.read("points").collect())) == [("a", [3.0, 4.0]), ("b", [5.0, 6.0])]
+    assert put(one) == {"inserted": 1, "updated": 0} and put(one) == {"inserted": 0, "updated": 1}
+    assert put(points(("a", [3.0, 4.0]), ("b", [5.0, 6.0]))) == {"inserted": 1, "updated": 1}
+    many = [(f"p{i}", [float(i), 0.0]) for i in range(200)]
+    assert put(points(*many)) == {"inserted": 200, "updated": 0} and put(points(("p7", [0.0, 1.0]))) == {"inserted": 0, "updated": 1}
+    assert sorted(map(tuple, points_of(spark, folder).collect())) == sorted([("a", [3.0, 4.0]), ("b", [5.0, 6.0]), *many[:7], ("p7", [0.0, 1.0]), *many[8:]])
     for bad in (points(("a", [1.0, 2.0]), ("a", [1.0, 2.0])), points(("c", [1.0]))):
         with pytest.raises(ValueError):
-            store.upsert("points", bad)
+            put(bad)
     with pytest.raises(ValueError):
-        store.ensure(Collection("points", 3, "mock"))
-    store.ensure(Collection("points", 3, "mock"), recreate=True)
-    assert store.read("points") is None
+        ensure(spark, folder, Collection("points", 3, "mock"))
+    ensure(spark, folder, Collection("points", 3, "mock"), recreate=True)
+    assert points_of(spark, folder) is None or points_of(spark, folder).count() == 0
     with pytest.raises(ValueError):
-        store.read("none")
+        points_of(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         Collection("x", 0, "mock")
 
