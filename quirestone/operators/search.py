@@ -48,46 +48,69 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((more | (equal & (np.cumsum(equal, axis=1) <= room))) & np.isfinite(scores))
 
 
-def _searched(shared, metric: str, k: int, threshold: float | None, match: Sequence[str]):
-    kept_schema = {"query": np.int64, "score": np.float64}
+class _Kept:
+    """The ``k`` best rows of each query so far; of equal scores those with the smaller ids."""
+
+    def __init__(self, k: int):
+        self.k, self.ids = k, None
+        self.query, self.score = np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        self.ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        rows = pa.table([pa.array(self.query), pa.array(-self.score), self.ids], ["q", "s", "i"])
+        order = pc.sort_indices(rows, [("q", "ascending"), ("s", "ascending"), ("i", "ascending")]).to_numpy()
+        q = self.query[order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
+        self.query, self.score, self.ids = self.query[order], self.score[order], self.ids.take(pa.array(order))
+
+    def rows(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(self.query)), self.ids, pa.array(self.score)], ["query_id", "id", "score"])
+
 
+def matrix(vectors: pa.Array, rows: int) -> np.ndarray:
+    """The vectors of a batch as a matrix."""
+    return vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()].reshape(rows, -1)
+
+
+def _searched(shared, metric: str, k: int, threshold: float | None, match: Sequence[str]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
-        queries, wanted = asked["vectors"], asked["filters"]
-        kept, ids = {c: np.zeros(0, t) for c, t in kept_schema.items()}, None
+        queries, wanted, probes = asked["vectors"], asked["filters"], asked.get("probes")
+        kept = _Kept(k)
         for batch in batches:
             if not batch.num_rows or not len(queries):
                 continue
             # rows by id, so that of equal scores the smaller id comes first
             batch = batch.take(pc.sort_indices(batch.column("id")))
-            vectors = batch.column("vector")
-            matrix = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()].reshape(batch.num_rows, -1)
+            vectors = matrix(batch.column("vector"), batch.num_rows)
             codes = []
             for c in match:
                 coded = batch.column(f"filter_{c}").dictionary_encode()
                 place = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
                 given = np.array([-2 if v is None else place.get(v, -1) for v in wanted[c]], np.int64)
                 codes.append((given, pc.fill_null(coded.indices, -3).to_numpy(zero_copy_only=False)))
+            if probes is None:
+                meetings = [(np.arange(len(queries)), np.arange(batch.num_rows))]
+            else:  # a row meets the queries that look into its cell
+                cells = batch.column("cell").to_numpy()
+                meetings = [(probes[c], np.flatnonzero(cells == c)) for c in np.unique(cells).tolist() if c in probes]
             found = []
-            for at in range(0, len(queries), _QUERIES_A_STEP):
-                some = slice(at, at + _QUERIES_A_STEP)
-                scores = np.round(_scores(matrix, queries[some], metric), 12)
-                for given, has in codes:
-                    scores[(given[some, None] != -2) & (given[some, None] != has[None, :])] = -np.inf
-                if threshold is not None:
-                    scores[scores < threshold] = -np.inf
-                q, r = _best(scores, k)
-                found.append((q + at, scores[q, r], r))
-            query, score, row = (np.concatenate(x) for x in zip(*found))
-            new = batch.column("id").take(pa.array(row))
-            ids = new if ids is None else pa.concat_arrays([ids, new])
-            kept = {"query": np.concatenate([kept["query"], query]), "score": np.concatenate([kept["score"], score])}
-            order = pc.sort_indices(pa.table([pa.array(kept["query"]), pa.array(-kept["score"]), ids], ["q", "s", "i"]), [("q", "ascending"), ("s", "ascending"), ("i", "ascending")]).to_numpy()
-            q = kept["query"][order]
-            order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
-            kept, ids = {c: v[order] for c, v in kept.items()}, ids.take(pa.array(order))
-        if ids is not None:
-            yield pa.RecordBatch.from_arrays([asked["ids"].take(pa.array(kept["query"])), ids, pa.array(kept["score"])], ["query_id", "id", "score"])
+            for who, rows in meetings:
+                for at in range(0, len(who), _QUERIES_A_STEP):
+                    some = who[at : at + _QUERIES_A_STEP]
+                    scores = np.round(_scores(vectors[rows], queries[some], metric), 12)
+                    for given, has in codes:
+                        scores[(given[some, None] != -2) & (given[some, None] != has[None, rows])] = -np.inf
+                    if threshold is not None:
+                        scores[scores < threshold] = -np.inf
+                    q, r = _best(scores, k)
+                    found.append((some[q], scores[q, r], rows[r]))
+            if found:
+                query, score, row = (np.concatenate(x) for x in zip(*found))
+                kept.add(query, score, batch.column("id").take(pa.array(row)))
+        yield from kept.rows(asked["ids"])
 
     return search
 
@@ -108,10 +131,15 @@ def nearest(
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     match = [match] if isinstance(match, str) else list(match or ())
-    spark = rows.sparkSession
     extra = [F.col(c).cast("string").alias(f"filter_{c}") for c in match]
     taken = rows.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"), *extra).dropna(subset=["id", "vector"])
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vector"), *extra).dropna(subset=["id", "vector"])
+    return in_passes(taken, asked, k, metric, threshold if metric != "euclid" else None, match)
+
+
+def in_passes(taken: DataFrame, asked: DataFrame, k: int, metric: str, threshold: float | None = None, match: Sequence[str] = ()) -> DataFrame:
+    """The search of ``nearest`` on its own columns; with ``cells`` in ``asked``, only rows whose ``cell`` is among them are compared."""
+    spark, probing = taken.sparkSession, "cells" in asked.columns
     schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("id", taken.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     passes = max(1, -(-asked.count() // QUERIES_A_PASS))
     found = None
@@ -120,10 +148,20 @@ def nearest(
         if not block.num_rows and found is not None:
             continue
         vectors = block.column("vector").to_pylist()
-        shared = spark.sparkContext.broadcast(
-            {"ids": block.column("id").combine_chunks(), "vectors": np.array(vectors, np.float64).reshape(len(vectors), len(vectors[0]) if vectors else 0), "filters": {c: block.column(f"filter_{c}").to_pylist() for c in match}}
-        )
-        one = taken.mapInArrow(_searched(shared, metric, k, threshold if metric != "euclid" else None, match), schema)
+        message = {
+            "ids": block.column("id").combine_chunks(),
+            "vectors": np.array(vectors, np.float64).reshape(len(vectors), len(vectors[0]) if vectors else 0),
+            "filters": {c: block.column(f"filter_{c}").to_pylist() for c in match},
+        }
+        some = taken
+        if probing:
+            by_cell: dict[int, list[int]] = {}
+            for q, cells in enumerate(block.column("cells").to_pylist()):
+                for c in cells:
+                    by_cell.setdefault(c, []).append(q)
+            message["probes"] = {c: np.array(q) for c, q in by_cell.items()}
+            some = taken.filter(F.col("cell").isin(sorted(by_cell)))  # the other cells aren't read
+        one = some.mapInArrow(_searched(spark.sparkContext.broadcast(message), metric, k, threshold, match), schema)
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)

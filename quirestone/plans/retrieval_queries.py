@@ -12,6 +12,7 @@ from quirestone.functions.text import token_count
 from quirestone.operators.generate import response_errors
 from quirestone.operators.search import nearest
 from quirestone.operators.skew import join_spread
+from quirestone.operators.vector_index import centroids, indexed, nearest_by_index, recall
 from quirestone.plans import sql
 from quirestone.plans.document_queries import _ONCE, _RENDERED
 from quirestone.session import written
@@ -92,6 +93,18 @@ def knn_payload_filter(spark, folder):
     return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS queries, TRUE AS enough, count(*) AS indexed FROM embeddings")
+def knn_index_recall(spark, folder):
+    """Whether an index over all vectors finds 0.9 or more of the 10 nearest rows of every twentieth one."""
+    rows = table(spark, folder, "embeddings")
+    queries = rows.filter("vec_id % 20 = 0")
+    centers = centroids(rows, vector="embedding")
+    index = indexed(rows, centers, id="vec_id", vector="embedding")
+    found = nearest_by_index(index, centers, queries, query_id="vec_id", query_vector="embedding", k=10, probes=max(16, len(centers) * 3 // 4))
+    exact = nearest(rows, queries, id="vec_id", vector="embedding", query_id="vec_id", query_vector="embedding", k=10)
+    return recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("enough"), F.lit(index.count()).alias("indexed"))
+
+
 @query(
     f"""SELECT proposal_id, count(*) AS total, count(*) FILTER (WHERE r = 1) AS below_threshold, count(*) FILTER (WHERE r = 2) AS blank_text, count(*) FILTER (WHERE r = 0) AS kept
 FROM (SELECT proposal_id, CASE WHEN score IS NULL OR isnan(score) OR score < 0.5 THEN 1 WHEN {sql.blank('content')} THEN 2 ELSE 0 END AS r FROM retrieved_refs) GROUP BY 1"""

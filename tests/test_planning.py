@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirestone.operators.collections import Collection, contract, ensure, points_of, run_statistics, upsert
-from quirestone.operators.planning import answers, assembled, assembly_errors, generation_strategy, review_findings, section_queries
+from quirestone.operators.planning import answers, assembled, assembly_errors, context_errors, generation_strategy, proposal_prompts, reference_findings, review_findings, section_queries
 
 
 def test_section_queries(spark):
@@ -73,3 +73,34 @@ def test_run_statistics(spark):
     errors = spark.createDataFrame([("/x",)], "doc_id string")
     r = run_statistics(ids("a", "b", "c", "d"), ids("a", "b"), points, errors).first()
     assert (r.discovered, r.indexed, r.skipped, r.failed, r.chunks, r.embedded_texts) == (4, 2, 1, 1, 3, 2)
+
+
+def test_prompts_of_proposals(spark):
+    import json
+
+    projects = spark.createDataFrame([("p", "ACME", "Offer", {"b": "2", "a": "1"}, ["do it"], None), ("q", "B", "T", None, [], [])], "k string, client string, title string, data map<string,string>, requirements array<string>, constraints array<string>")
+    plan = spark.createDataFrame([("p", 2, "end", "The end"), ("p", 1, "start", "The \"start\""), ("q", 1, "only", "Only")], "k string, ord int, section_id string, title string")
+    refs = [("p", "start", "technical", f"t{i}", "doc", f"text {i}", s) for i, s in enumerate([0.1, 0.9, None, 0.9, float("nan")])] + [("p", "end", "authoring", "a", None, "style", 0.5), ("p", "lost", "technical", "x", "d", "no section", 1.0), ("p", "start", "other", "x", "d", "no type", 1.0)]
+    refs = spark.createDataFrame(refs, "k string, section_id string, reference_type string, reference_id string, source_document string, content string, score double")
+    got = {r.k: r for r in proposal_prompts(projects, plan, refs, key="k").collect()}
+    p = got["p"].user_prompt
+    assert [p.index(x) for x in ("Client: ACME", 'Project Data: {"a":"1","b":"2"}', "- do it", "Constraints:\n- None supplied", "[TECHNICAL_REFERENCES]", "text 1", "text 3", "text 0", "[AUTHORING_REFERENCES]", "style", "[BLUEPRINT_REFERENCES]\nLower priority than user ground truth.\nNone retrieved", "1. section_id: start", "2. section_id: end", "[OUTPUT_CONTRACT]")] == sorted(p.index(x) for x in ("Client: ACME", 'Project Data: {"a":"1","b":"2"}', "- do it", "Constraints:\n- None supplied", "[TECHNICAL_REFERENCES]", "text 1", "text 3", "text 0", "[AUTHORING_REFERENCES]", "style", "[BLUEPRINT_REFERENCES]\nLower priority than user ground truth.\nNone retrieved", "1. section_id: start", "2. section_id: end", "[OUTPUT_CONTRACT]"))
+    assert "text 2" not in p and "no section" not in p and "no type" not in p and (got["p"].sections, got["p"].references, got["p"].strategy) == (2, 4, "combined")
+    schema = json.loads(got["p"].schema)
+    assert schema["properties"]["proposal_id"]["const"] == "p" and schema["properties"]["sections"]["minItems"] == 2 and schema["properties"]["sections"]["items"]["properties"]["section_id"]["enum"] == ["start", "end"]
+    assert json.dumps(schema, sort_keys=True, separators=(",", ":")) == got["p"].schema
+    assert got["q"].references == 0 and "- None supplied" in got["q"].user_prompt and got["q"].strategy == "user_input_only"
+
+
+def test_context_groups(spark):
+    queries = spark.createDataFrame([("p", "s", "technical")], "k string, section_id string, reference_type string")
+    refs = spark.createDataFrame([("p", "s", "technical", "a"), ("p", "s", "blueprint", "b"), ("p", "t", "technical", "c")], "k string, section_id string, reference_type string, reference_id string")
+    assert sorted(tuple(r) for r in context_errors(queries, refs, key="k").collect() if r.error == "no_queries") == [("p", "t", "no_queries", None)]
+    assert [r.reference_id for r in context_errors(queries, refs, key="k").filter("error = 'incompatible_reference'").collect()] == ["b"]
+
+
+def test_findings_on_references(spark):
+    rows = [("p", "s", "r1", "technical", "c", "d", "t", 0.5, {"a": 1.0}), ("p", "s", "r1", "technical", "c", "d", "t", 0.5, {"a": 1.0}), ("p", "s", "r2", " ", None, "d", "t", -1.0, {" ": 1.0, "x": float("inf")}), ("p", "s", None, "technical", "c", "d", "", None, None)]
+    df = spark.createDataFrame(rows, "k string, part string, reference_id string, reference_type string, chunk_id string, source_document string, content string, score double, m map<string,double>")
+    got = sorted((r.finding, r.detail) for r in reference_findings(df, key="k", part="part", metadata="m").collect())
+    assert got == [("invalid_metadata", "key"), ("invalid_metadata", "x")] + [("invalid_reference", x) for x in ("chunk_id", "content", "reference_id", "reference_type", "score", "score")]

@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quirestone.operators.qualify import clarifications, language, processed, qualified, rejection, retrieval_requests
+from quirestone.operators.qualify import clarifications, language, processed, qualified, rejection, request_errors, retrieval_requests, with_defaults
 
 
 def one(spark, text):
@@ -58,3 +58,13 @@ def test_requests(spark):
     assert r.filters == {"document": "proposal"} and (r.top_k, r.candidate_budget, r.score_threshold) == (5, 20, 0.0)
     with pytest.raises(ValueError):
         retrieval_requests(q, "k", top_k=30)
+
+
+def test_limits_defaults_and_their_errors(spark):
+    df = spark.createDataFrame([(1, "a", None, {"top_k": "30"}), (2, "b", "v2", {"top_k": "0", "score_threshold": "1.5"}), (3, "c", None, {"max_latency_ms": "-1", "top_k": "x"}), (4, "d", None, None)], "k int, question string, version string, o map<string,string>")
+    df = df.withColumns({"document": F.lit(None).cast("string"), "department": F.lit(None).cast("string")})
+    requests = retrieval_requests(df, "k", overrides="o")
+    assert [(r.k, r.top_k, r.candidate_budget, r.max_context_tokens) for r in requests.orderBy("k").collect()] == [(1, 30, 30, 4000), (2, 0, 20, 4000), (3, 5, 20, 4000), (4, 5, 20, 4000)]
+    assert sorted(map(tuple, request_errors(requests, "k").collect())) == [(2, "score_threshold"), (2, "top_k"), (3, "max_latency_ms")]
+    got = {r.k: (r.version, r.department, r.given) for r in with_defaults(df, {"version": "v1", "department": "sales"}).collect()}
+    assert got[1] == ("v1", "sales", []) and got[2] == ("v2", "sales", ["version"])

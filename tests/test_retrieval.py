@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirestone.operators import search
-from quirestone.operators.candidates import drop_reasons, drop_summary, exact_duplicates, merged_neighbours, reranked, score_gaps, without_near_duplicates
+from quirestone.operators.candidates import drop_reasons, drop_summary, exact_duplicates, merged_neighbours, refined, reranked, score_gaps, without_near_duplicates
 from quirestone.operators.context import budgeted, citation_line, context_statistics, history_line, prompts, routed
 from quirestone.operators.embed import embedded, is_valid_vector, mock_embedding
 from quirestone.operators.index import invalid_points, not_yet_indexed, package_diff, upsert_counts, upserted
+from quirestone.operators import vector_index
 from quirestone.operators.search import nearest, similarity
 
 
@@ -160,3 +161,39 @@ def test_index_operators(spark):
     assert sorted(map(tuple, invalid_points(points, id="id", vector="v", dimensions=1).collect())) == [("p", "duplicate_id"), ("q", "invalid_vector")]
     parts = lambda *r: spark.createDataFrame(r, "part string, content string")
     assert sorted(map(tuple, package_diff(parts(("a", "1"), ("b", "1"), ("c", None)), parts(("b", "2"), ("c", None), ("d", "1")), part="part", content="content").collect())) == [("a", "removed"), ("b", "changed"), ("d", "added")]
+
+
+def test_index_of_vectors(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 8))
+    vectors = np.concatenate([c + rng.normal(scale=0.1, size=(50, 8)) for c in centers])
+    df = spark.createDataFrame([(f"v{i:04}", v.tolist(), "x") for i, v in enumerate(vectors)] + [(None, [1.0] * 8, "x"), ("null", None, "x")], "id string, v array<double>, cell string")
+    queries = df.filter("id like '%0'")
+    found = vector_index.centroids(df, vector="v", cells=12)
+    index = vector_index.indexed(df, found, id="id", vector="v")
+    assert index.count() == 600 and found.shape == (12, 8)
+    ask = lambda **m: vector_index.nearest_by_index(index, found, queries, query_id="id", query_vector="v", k=10, **m)
+    exact = nearest(df, queries, id="id", vector="v", query_id="id", query_vector="v", k=10)
+    some, r = vector_index.recall(ask(probes=2), exact).first(), vector_index.recall(ask(probes=12), exact).first()
+    assert some.queries == 60 and some.recall >= 0.9 and r.recall == 1.0
+    assert sorted(map(tuple, ask(probes=99).collect())) == sorted(map(tuple, exact.collect()))
+    assert vector_index.nearest_by_index(index, found, queries.limit(0), query_id="id", query_vector="v").count() == 0
+    with pytest.raises(ValueError):
+        vector_index.centroids(df.limit(0), vector="v")
+
+
+def test_filters_all_hold_and_null_filters_nothing(spark):
+    df = spark.createDataFrame([(i, [1.0, i * 0.1], i % 2, "ab"[i % 4 // 2]) for i in range(8)] + [(8, [1.0, 0.0], None, "a")], "id long, v array<double>, n int, s string")
+    q = spark.createDataFrame([(100, [1.0, 0.0], 1, "a"), (101, [1.0, 0.0], None, "b"), (102, [1.0, 0.0], None, None), (103, [1.0, 0.0], 7, None)], "id long, v array<double>, n int, s string")
+    got = {}
+    for r in nearest(df, q, id="id", vector="v", query_id="id", query_vector="v", k=9, match=["n", "s"]).collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {100: [1, 5], 101: [2, 3, 6, 7], 102: list(range(9))}
+
+
+def test_refinement_counts(spark):
+    rows = [("q", 1, "a", "d", 0, "x", 0.9, "d"), ("q", 1, "a", "d", 0, "x", 0.9, "d"), ("q", 2, "b", "d", 1, "y", 0.8, None), ("q", 3, "a", "e", 7, "z", 0.7, "e"), ("q", 4, "c", "d", 5, " ", 0.6, "d"), ("q", 5, "e", "d", 6, "u", 0.1, "d"), ("q", 6, "f", "d", 9, "v", 0.6, "other"), ("n", 1, "g", "d", 0, None, None, None)]
+    df = spark.createDataFrame(rows, "q string, rank int, id string, doc string, at int, text string, score double, has string").withColumn("path", F.array(F.lit("p")))
+    kept, counts = refined(df, group="q", rank="rank", id="id", identities=["id"], document="doc", path="path", index="at", text="text", score="score", threshold=0.5, budget=20, payload={"doc": "has"})
+    assert [(r.q, r.first_rank, r.merged, r.text, r.merged_ids) for r in kept.collect()] == [("q", 1, 2, "x\n\ny", ["a", "b"])]
+    assert {r.q: tuple(r)[1:] for r in counts.collect()} == {"q": (8 - 1, 1, 1, 1, 1, 1, 1, 1), "n": (1, 0, 1, 0, 0, 0, 0, 0)}
