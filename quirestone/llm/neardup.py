@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,7 +251,7 @@ def _met(run, place, rids, sizes, sketches, sim: Fraction) -> Iterator[tuple[np.
     yield seen["a"], seen["b"]
 
 
-#: What comes of that. kind 0: a and b are sets that may be alike; 1: a is a shingle and b a set; 2: a is a set.
+#: What comes of that. kind 0: a and b are sets that may be alike; 1: a is a shingle and b a set; 2: a is a set and b its block.
 _FOUND = "kind int, a long, b long, size int, place int, sketch binary"
 
 
@@ -273,7 +274,7 @@ def _meeting(sim: Fraction):
         for r in (r for batch in batches for r in batch.to_pylist()):
             rids, sizes = _risen(r["rids"], r["sets"]).astype(np.int64), _unpack(r["sizes"], np.uint32, r["sets"]).astype(np.int64)
             if r["kind"] == 2:
-                yield rows(2, rids, size=sizes, sketch=_words(_unpack(r["sketches"], np.uint64, r["n"]), _cells(sizes) // 64))
+                yield rows(2, rids, np.full(len(rids), r["part"]), size=sizes, sketch=_words(_unpack(r["sketches"], np.uint64, r["n"]), _cells(sizes) // 64))
                 continue
             owner, sketches = _unpack(r["owners"], np.uint32, r["n"]).astype(np.int64), _unpack(r["sketches"], np.uint64, r["sets"] * NARROW).reshape(-1, NARROW)
             one = (_risen(r["codes"], r["n"]), _unpack(r["places"], np.uint32, r["n"]).astype(np.int64), rids[owner], sizes[owner], sketches[owner])
@@ -370,25 +371,43 @@ def _near_enough(sim: Fraction):
             sketches = np.frombuffer(b"".join(x for c in ("sketch_x", "sketch_y") for x in batch.column(c).to_pylist()), np.uint64)
             apart = _Sketches(sketches, _cells(size)).apart(np.arange(n), np.arange(n, 2 * n))
             ok = apart <= size[:n] + size[n:] - 2 * _least_overlap(sim.numerator, sim.denominator, size[:n], size[n:])
-            yield batch.select(["x", "y"]).filter(pa.array(ok))
+            yield batch.select(["x", "y", "block_x", "block_y"]).filter(pa.array(ok))
 
     return test
 
 
-def _verified(k: int, sim: Fraction):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(texts: list[str]) -> list[set]:
-            flat, owner = words(texts)
-            flat, ends = flat.to_pylist(), np.searchsorted(owner, np.arange(len(texts)), side="right").tolist()
-            return [set(zip(*(flat[b + i : e - k + 1 + i] for i in range(k)))) if e - b >= k else set() for b, e in zip([0, *ends], ends)]
+def _with_text(pairs: pa.Table, sets: pa.Table, side: str) -> tuple[pa.Array, pa.Array]:
+    """Class and text of the set named in ``side`` of each pair, from the block that has it."""
+    row = pc.index_in(pairs.column(side), value_set=sets.column("rid").combine_chunks())
+    return sets.column("class_id").take(row), sets.column("text").take(row)
 
-        for batch in batches:
+
+_FIRST = "y long, block_y int, a string, text_a string"
+
+
+def _attached(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    a, text = _with_text(pairs, sets, "x")
+    return pa.table([pairs.column("y"), pairs.column("block_y"), a, text], ["y", "block_y", "a", "text_a"])
+
+
+def _verified(k: int, sim: Fraction):
+    def sets_of(texts: list[str]) -> list[set]:
+        flat, owner = words(texts)
+        flat, ends = flat.to_pylist(), np.searchsorted(owner, np.arange(len(texts)), side="right").tolist()
+        return [set(zip(*(flat[b + i : e - k + 1 + i] for i in range(k)))) if e - b >= k else set() for b, e in zip([0, *ends], ends)]
+
+    def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        b, text = _with_text(pairs, sets, "y")
+        out = [pa.table([pa.array([], pa.string())] * 2 + [pa.array([], pa.int32())] * 2, ["a", "b", "common", "all"])]
+        both = pa.table([pairs.column("a"), b, pairs.column("text_a"), text], ["a", "b", "text_a", "text_b"])
+        for batch in chain.from_iterable(slices(x, "text_b") for x in both.to_batches(max_chunksize=10_000)):
             common, all_ = [], []
-            for x, y in zip(sets(batch.column("text_a").to_pylist()), sets(batch.column("text_b").to_pylist())):
+            for x, y in zip(sets_of(batch.column("text_a").to_pylist()), sets_of(batch.column("text_b").to_pylist())):
                 common.append(n := len(x & y))
                 all_.append(len(x) + len(y) - n)
             ok = pa.array([n * sim.denominator >= sim.numerator * m for n, m in zip(common, all_)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(all_, pa.int32())], ["a", "b", "common", "all"]).filter(ok)
+            out.append(pa.table([batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(all_, pa.int32())], ["a", "b", "common", "all"]).filter(ok))
+        return pa.concat_tables(out)
 
     return verify
 
@@ -433,12 +452,13 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     found = written(sent.repartitionById(parts, F.col("part")).mapInArrow(_meeting(sim), _FOUND), "found")
     met = found.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(_of_hot(found.filter("kind = 1"), sim))
     pairs = written(met.distinct(), "pairs")
-    sketch = lambda c: found.filter("kind = 2").select(F.col("a").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    sketch = lambda c: found.filter("kind = 2").select(F.col("a").alias(c), F.col("b").cast("int").alias(f"block_{c}"), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     tested = join_spread(join_spread(pairs, sketch("x"), ["x"], ["y"]), sketch("y"), ["y"], ["x"], hot=hot_keys(pairs, ["y"]))
-    near = written(tested.mapInArrow(_near_enough(sim), "x long, y long"), "near")
-    side = lambda c, v: sets.select(F.col("rid").alias(c), F.concat_ws(":", "mark", "space").alias(v), F.col("text").alias(f"text_{v}"))
-    both = join_spread(join_spread(near, side("x", "a"), ["x"], ["y"]), side("y", "b"), ["y"], ["x"], hot=hot_keys(near, ["y"]))
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, sim), "a string, b string, common int, all int")
+    near = written(tested.mapInArrow(_near_enough(sim), "x long, y long, block_x int, block_y int"), "near")
+    # pairs go to the block of the one set and then of the other; the texts stay where they are
+    texts = sets.select("block", "rid", F.concat_ws(":", "mark", "space").alias("class_id"), "text").groupBy("block")
+    first = near.groupBy("block_x").cogroup(texts).applyInArrow(_attached, _FIRST)
+    links = first.groupBy("block_y").cogroup(texts).applyInArrow(_verified(k, sim), "a string, b string, common int, all int")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "all")
     classes = rows.select("space", "key", F.concat_ws(":", "mark", "space").alias("class_id")).distinct()
     return written(classes, "classes"), links
