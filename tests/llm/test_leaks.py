@@ -67,3 +67,15 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b c d", 1)]) == [] and found(spark, [(1, "a b c d", None, None)], []) == []
+
+
+def test_boilerplate_of_many_items_at_many_places(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEMS_A_STEP", 64)
+    rng = random.Random(6)
+    common = "terms and conditions apply to all of the offers"
+    docs = [(d, " ".join(f"{rng.choice('abc')}{i} {common}" if rng.random() < 0.7 else f"w{rng.randrange(9)}" for i in range(rng.randrange(40))), "", "") for d in range(25)]
+    items = [(n, f"item {n} {common} end", 0) for n in range(50)] + [(n, " ".join(docs[n % 25][1].split()[3:11]) or "x", 0) for n in range(50, 60)]
+    got = found(spark, docs, items)
+    assert {(d, i) for d, *_, ids in got for i in ids} == brute(docs, items, 4)
+    spans = sorted((d, a, b) for d, a, b, _ in got)
+    assert all(d != e or b < x for (d, _, b), (e, x, _) in zip(spans, spans[1:]))

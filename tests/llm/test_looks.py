@@ -3,7 +3,7 @@ import unicodedata
 
 import pytest
 
-from quirestone.llm.looks import LOOK_ALIKES, Transducer, consistent, look_alike_pairs, transducer
+from quirestone.llm.looks import LOOK_ALIKES, Transducer, consistent, look_alike_groups, look_alike_pairs, transducer
 
 LOOK = dict(zip(LOOK_ALIKES.split()[::2], LOOK_ALIKES.split()[1::2]))
 
@@ -79,3 +79,29 @@ def test_tables(spark):
     assert texts[2] == "radar" and texts[5] is None and texts[6] == ""
     empty = df.limit(0)
     assert look_alike_pairs(empty, key="id", text="t").count() == 0 and consistent(empty, key="id", text="t").count() == 0
+
+
+def test_every_entry_of_the_table_by_the_definition():
+    t = transducer()
+    for cluster, out in t.plain.items():
+        if cluster[0].isspace():
+            continue  # a run of white space is read before clusters are
+        assert by_definition("-" + cluster) == "-" + out, ascii(cluster)
+    for cluster, out in t.latin.items():
+        if unicodedata.category(cluster[0])[0] == "L" and not cluster[0].isspace():
+            assert by_definition("a" + cluster) == by_definition("a" + out), ascii(cluster)
+
+
+def test_marks_in_any_order():
+    rng = random.Random(3)
+    marks = [chr(c) for c in range(0x300, 0x345)] + ["゙", "゚", "‍", "ְ"]
+    letters = [chr(c) for c in range(0x41, 0x3100) if chr(c).isalpha()]
+    for _ in range(20_000):
+        text = rng.choice(letters) + "".join(rng.choice(marks) for _ in range(rng.randrange(5)))
+        assert transducer()(text) == by_definition(text), ascii(text)
+
+
+def test_groups(spark):
+    rows = [(1, "radar"), (2, "rаdar"), (3, "radar "), (4, "radar"), (5, None), (6, " "), (8, "Radar"), (2, "rаdar")]
+    got = look_alike_groups(spark.createDataFrame(rows, "id long, t string"), key="id", text="t").collect()
+    assert sorted((r.id, r.texts, r.members) for r in got) == [(1, 3, 4), (2, 3, 4), (3, 3, 4), (4, 3, 4)] and len({r.form for r in got}) == 1 and len({r.raw for r in got}) == 3

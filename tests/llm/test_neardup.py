@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quirestone.llm import neardup
 from quirestone.llm.neardup import groups_of_records, near_duplicates, pairs_of_records
 
@@ -82,3 +84,51 @@ def test_groups_are_components(spark):
 def test_empty_table(spark):
     classes, links = run(spark, [])
     assert classes.count() == 0 and links.count() == 0 and pairs_of_records(classes, links).count() == 0 and groups_of_records(classes, links).count() == 0
+
+
+def test_a_text_of_half_a_million_words(spark):
+    rng = random.Random(9)
+    w = [f"v{rng.randrange(200_000)}" for _ in range(500_000)]
+    other = list(w)
+    for _ in range(5000):
+        other[rng.randrange(len(other))] = "edited"
+    rows = [("a", "long", " ".join(w)), ("a", "edited", " ".join(other)), ("a", "copy", " ".join(w)), ("a", "half", " ".join(w[:250_000])), ("a", "short", " ".join(w[:50]))]
+    pairs = sorted(map(tuple, pairs_of_records(*run(spark, rows, k=3, similarity="0.6")).collect()))
+    assert pairs == [("a", "copy", "edited"), ("a", "copy", "long"), ("a", "edited", "long")]
+
+
+def test_counts_are_true(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(neardup, "LEAST_BLOCK_BYTES", 1)
+    rows = data(random.Random(11), 60)
+    df = spark.createDataFrame([(i % 7, i, s, b) for i, (s, _, b) in enumerate(rows)], "block int, rid long, space string, text string").repartition(3)
+    for parts in (1, 5):
+        got = neardup._counted(df, 3, parts).collect()
+        total = {}
+        for s, _, b in rows:
+            for x in shingles(b, 3)[0]:
+                total[(s, x)] = total.get((s, x), 0) + 1
+        for block in range(7):
+            mine = {(s, x) for i, (s, _, b) in enumerate(rows) if i % 7 == block for x in shingles(b, 3)[0]}
+            counts = [int(c) for r in got if r.block == block for c in neardup._unpack(r.counts, np.uint32, r.n)]
+            assert sorted(counts) == sorted(total[m] for m in mine)
+
+
+def test_a_shingle_of_very_many_sets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_SETS", 5)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(40)] = f"x{i}"
+        rows.append(("a", f"id{i:02}", " ".join(w)))
+    assert sorted(map(tuple, pairs_of_records(*run(spark, rows, k=3, similarity="0.6")).collect())) == brute(rows, 3, 3, 5, 3)
+
+
+def test_shares_of_a_hash_add_up():
+    codes = np.sort(np.random.default_rng(1).integers(0, 1 << neardup.CODE_BITS, 1000, dtype=np.uint64))
+    for parts in (1, 7, 100_000):
+        part = neardup._part(codes, parts)
+        assert (np.diff(part) >= 0).all() and part.min() >= 0 and part.max() < parts
+    assert (neardup._risen(neardup._rising(codes), 1000) == codes).all()

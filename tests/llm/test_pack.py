@@ -62,3 +62,13 @@ def test_sizes(spark):
     encode = pack.tokenizer(RANKS)
     assert sizes[2] == sizes[3] == 0 and sizes[1] == len(encode.encode_ordinary("Hello world")) and sizes[4] > 100
     assert encode.decode(encode.encode_ordinary("Hé 我 <|endoftext|>")) == "Hé 我 <|endoftext|>"
+
+
+def test_many_empty_items(spark, monkeypatch):
+    monkeypatch.setattr(pack, "MOST_EMPTY", 50)
+    items = [(i, 0, "x", "y") for i in range(500)]
+    rows = run(spark, items, 100)
+    check(items, rows, 100)
+    some = [(i, 0 if i % 10 else 60, "x", "y") for i in range(900)]
+    used = check(some, run(spark, some, 100), 100)
+    assert len([u for u in used.values() if u]) == 90

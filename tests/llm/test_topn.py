@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from quirestone.llm import topn
 from quirestone.llm.topn import score_code, top_n
@@ -48,3 +49,17 @@ def test_hot_group_with_equal_scores(spark):
 
 def test_empty(spark):
     assert run(spark, [], 3, "int") == []
+
+
+def test_numbers_with_fractions_and_other_types(spark):
+    rows = [("g", 1.2, 1.0), ("g", 1.7, 1.0), ("g", -3.5, 1.0), ("g", 1.2, 0.5), ("h", 0.0, 2.0)]
+    assert run(spark, rows, 2, "double") == [("g", -3.5, 1.0), ("g", 1.2, 1.0), ("h", 0.0, 2.0)]
+    df = spark.createDataFrame([("g", "1", 1.0)], "q string, i string, s double").selectExpr("q", "cast(i as decimal(10,2)) as i", "s")
+    with pytest.raises(ValueError):
+        top_n(df, groups=["q"], score="s", item="i", n=1)
+
+
+def test_one_very_long_identifier(spark):
+    rows = [("g", "x" * 2_000_000, 1.0)] + [("g", f"i{n:05}", 1.0) for n in range(20_000)]
+    assert [i[:6] for _, i, _ in run(spark, rows, 2, "string")] == ["i00000", "i00001"]
+    assert [len(i) for _, i, _ in run(spark, [("g", "x" * 2_000_000, 2.0), *rows[1:]], 1, "string")] == [2_000_000]
