@@ -86,7 +86,7 @@ def _sets_of(block: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for batch in chain.from_iterable(slices(b, "text") for b in block.to_batches()):
         run, owner, _ = shingles(batch.column("text").to_pylist(), k)
         run, owner = _salted(run, owner, batch.column("space")), owner.astype(np.int64)
-        order = np.lexsort((owner, run))
+        order = np.argsort(run, kind="stable")  # owners are in order already
         run, owner = run[order], owner[order]
         new = np.ones(len(run), bool)
         new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
@@ -95,7 +95,7 @@ def _sets_of(block: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         before += batch.num_rows
     run, owner = np.concatenate(runs), np.concatenate(owners)
     if len(runs) > 2:
-        order = np.lexsort((owner, run))
+        order = np.argsort(run, kind="stable")
         run, owner = run[order], owner[order]
     return run, owner, np.bincount(owner, minlength=block.num_rows)
 
@@ -189,14 +189,16 @@ def _prefixes(k: int, sim: Fraction, parts: int):
         often = np.repeat(counts, np.diff(np.append(begins, len(run)))).astype(np.int64)
         wide = _cells(size) // 64
         whole, narrow = _sketched(run, owner, wide), _sketched(run, owner, np.full(len(size), NARROW)).reshape(-1, NARROW)
-        order = np.lexsort((often, owner))  # shingles are in order already
+        order = np.argsort((owner << 32) | often, kind="stable")  # shingles are in order already
         run, owner, often = run[order], owner[order], often[order]
         place = np.arange(len(run)) - (np.cumsum(size) - size)[owner]
         # a shingle that no other set has can't lead to a pair
         used = (place <= size[owner] - -(-p * size[owner] // q)) & (often > 1)
         code, owner, place, often = run[used] >> np.uint64(64 - CODE_BITS), owner[used], place[used], often[used]
         part = np.where(often > HOT_SETS, parts, _part(code, parts))
-        order = np.lexsort((owner, code, part))
+        order = np.argsort(code, kind="stable")  # owners are in order already, and parts are ranges of codes
+        if (part == parts).any():
+            order = np.concatenate([order[part[order] < parts], order[part[order] == parts]])
         code, owner, place, part = code[order], owner[order], place[order], part[order]
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(part))
