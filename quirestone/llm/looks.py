@@ -15,7 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import product
+from itertools import chain, product
 
 import pyarrow as pa
 import regex
@@ -91,7 +91,7 @@ class Transducer:
         self.pair: dict[tuple[str, str], str] = {}
         self.widths: dict[str, list[str]] = {}
         direct: dict[str, str] = {}
-        for code in range(0x110000):
+        for code in chain(range(0x33000), range(0xE0000, 0xE1000)):  # the planes with letters and tags
             c = chr(code)
             if unicodedata.category(c) == "Cf":
                 direct[c] = ""
@@ -179,9 +179,11 @@ class Transducer:
             if table.setdefault(cluster, out) != out:
                 raise ValueError(f"{cluster!r} has two outputs")
 
+        syllable = lambda c: "\uac00" <= c <= "\ud7a3"
         for c in [*self.apart, *(self.look if latin else ())]:
-            enter(c, self.ordered(c, latin))
-        composed = {v for v in self.pair.values()}
+            if not syllable(c):
+                enter(c, self.ordered(c, latin))
+        composed = {c for c in self.pair.values() if not syllable(c)}
         for c in composed:
             if latin and self.apart[c][0] in self.look:
                 continue  # it isn't an output in a word with Latin letters; its spellings come with the one it becomes
@@ -196,6 +198,11 @@ class Transducer:
         for cluster, out in table.items():
             if self.ordered(cluster, latin) != out or self.ordered(out, latin) != out:
                 raise ValueError(f"the output for {cluster!r} isn't settled")
+        for (x, y), c in self.pair.items():
+            if syllable(c):
+                enter(x + y, c)
+                if syllable(x):
+                    enter(self.apart[x] + y, c)
         return table
 
     def token(self, token: str) -> str:
