@@ -32,7 +32,7 @@ from quirestone.session import bucketed, written
 #: Bytes of text in a block of sets, about, and with it what one task holds of the shingles.
 BLOCK_BYTES = 16_000_000
 #: No smaller blocks are made so as to have as many as there are shuffle partitions.
-LEAST_BLOCK_BYTES = 1_000_000
+LEAST_BLOCK_BYTES = 4_000_000
 #: Bits of a shingle's hash by which it is counted; the counts of shingles that share them are added up.
 CODE_BITS = 48
 #: Sets with one shingle in their prefixes beyond which that shingle's pairs are spread over tasks.
