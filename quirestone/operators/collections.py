@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
@@ -66,11 +67,11 @@ def points_of(spark: SparkSession, folder: str) -> DataFrame | None:
     return points if points is None or "part" not in points.columns else points.drop("part")
 
 
-def upsert(spark: SparkSession, folder: str, points: DataFrame, *, id: str = "point_id", vector: str = "vector") -> dict[str, int]:
+def upsert(spark: SparkSession, folder: str, points: DataFrame, *, id: str = "point_id", vector: str = "vector", attempts: int = 3) -> dict[str, int]:
     """Write points over those with the same id; returns ``inserted`` and ``updated``.
 
     Refused as a whole if an id comes twice or a vector doesn't fit. The points are computed once; of the collection, the
-    parts that they fall into are read and written. One writer at a time.
+    parts that they fall into are read and written; a write that fails is tried ``attempts`` times in all. One writer at a time.
     """
     made = contract(spark, folder)
     if made is None:
@@ -86,7 +87,14 @@ def upsert(spark: SparkSession, folder: str, points: DataFrame, *, id: str = "po
         old = before.filter(F.col("part").isin(touched)).select(new.columns)
         counts = upsert_counts(old, new, id=id).first().asDict()
         whole = written(upserted(old, new, id=id), "parts")
-    whole.repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/points")
+    for attempt in range(1, attempts + 1):
+        try:
+            whole.repartition("part").write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/points")
+            break
+        except Exception:
+            if attempt == attempts:
+                raise
+            time.sleep(0.1 * attempt)
     return counts
 
 

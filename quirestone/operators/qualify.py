@@ -25,6 +25,12 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def received(questions: DataFrame, *, text: str) -> DataFrame:
+    """Questions that came in: stripped, with ``query_id`` (a random UUID), ``received_at`` and ``rejection``; write them before use, as ids differ at each evaluation."""
+    stripped = questions.withColumn(text, trim_ws(F.col(text)))
+    return stripped.withColumns({"query_id": F.uuid(), "received_at": F.current_timestamp(), "rejection": rejection(F.col(text))})
+
+
 def rejection(text: Column) -> Column:
     """Why a question is refused: ``empty``, ``too_long``, ``control_character``; else null."""
     return (

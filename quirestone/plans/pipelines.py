@@ -67,6 +67,8 @@ def index_run(
     ``doc_id``, ``title``, ``source_document`` and ``version``; without it the title is the source document. ``cache`` has known vectors
     (``hash``, ``vector``). Without a provider vectors are made of hashes, the same on every run.
     """
+    if dimensions < 1 or chunk_size < 1 or not 0 <= overlap_ratio < 1:
+        raise ValueError("dimensions and chunk_size must be positive, overlap_ratio at least 0 and below 1")
     elements = unique(elements)
     known = elements.groupBy("doc_id").agg(F.min("source_document").alias("source_document"))
     if documents is None:
@@ -85,7 +87,7 @@ def index_run(
     rows = chunk_elements(elements.join(valid.select("doc_id"), "doc_id", "left_semi"), sections)
     flat = payload(enriched(chunks(rows, chunk_size=chunk_size, overlap_ratio=overlap_ratio), valid.select("doc_id", "title")))
     runtime = valid.select(F.col("doc_id").alias("document_id"), "source_document", "version", "document_fingerprint")
-    points = flat.join(runtime, "document_id").withColumns({"page_number": F.lit(None).cast("int"), "point_id": uuid5(NAMESPACE_URL, F.col("chunk_id")), "document_role": F.lit(REFERENCE_ROLE)})
+    points = flat.join(runtime, "document_id").withColumns({"page_number": F.lit(None).cast("int"), "point_id": uuid5(NAMESPACE_URL, F.col("chunk_id")), "document_role": F.lit(REFERENCE_ROLE), "indexed_at": F.current_timestamp()})
     if provider is None:
         points = points.withColumns({"vector": mock_embedding(F.col("embedding_text"), dimensions), "__error": F.lit(None).cast("string")})
     else:

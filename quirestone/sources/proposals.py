@@ -17,14 +17,15 @@ _FIELDS = [f.split(":")[0] for f in ("block_id", "type", "text", "items", "heade
 def as_json(blocks: DataFrame) -> DataFrame:
     """``proposal_id`` and ``json``: a document of each proposal, its sections and blocks in order.
 
-    A document is one string, so its blocks come together; keys are in the order of the schema.
+    A document is one string, so its blocks come together; keys are in alphabetical order.
     """
     at = F.regexp_extract("path", r"^sections\[(\d+)\]", 1).cast("int")
-    block = F.struct(*_FIELDS)
+    entries = F.transform("entries", lambda e: F.struct(*[e[k].alias(k) for k in ("evidence_reference_ids", "requirement", "requirement_id", "response")])).alias("entries")
+    block = F.struct(*[entries if c == "entries" else F.col(c) for c in sorted(_FIELDS)])
     rows = blocks.select("proposal_id", "section_id", at.alias("at"), F.struct(F.col("ord"), F.col("block_id").alias("id"), block.alias("block")).alias("row"))
     sections = rows.groupBy("proposal_id", "at", "section_id").agg(F.transform(F.array_sort(F.collect_list("row"), lambda a, b: _before(a, b, "ord", "id")), lambda r: r["block"]).alias("blocks"))
     whole = sections.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("at", "section_id", "blocks")), lambda a, b: _before(a, b, "at", "section_id")).alias("sections"))
-    document = F.struct("proposal_id", F.transform("sections", lambda s: F.struct(s["section_id"].alias("section_id"), s["blocks"].alias("blocks"))).alias("sections"))
+    document = F.struct("proposal_id", F.transform("sections", lambda s: F.struct(s["blocks"].alias("blocks"), s["section_id"].alias("section_id"))).alias("sections"))
     return whole.select("proposal_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quirestone.operators.qualify import clarifications, language, processed, qualified, rejection, request_errors, retrieval_requests, with_defaults
+from quirestone.operators.qualify import clarifications, language, processed, qualified, received, rejection, request_errors, retrieval_requests, with_defaults
 
 
 def one(spark, text):
@@ -68,3 +68,8 @@ def test_limits_defaults_and_their_errors(spark):
     assert sorted(map(tuple, request_errors(requests, "k").collect())) == [(2, "score_threshold"), (2, "top_k"), (3, "max_latency_ms")]
     got = {r.k: (r.version, r.department, r.given) for r in with_defaults(df, {"version": "v1", "department": "sales"}).collect()}
     assert got[1] == ("v1", "sales", []) and got[2] == ("v2", "sales", ["version"])
+
+
+def test_received(spark):
+    rows = received(spark.createDataFrame([(" what? ",), (" ",), (None,)], "q string"), text="q").collect()
+    assert [(r.q, r.rejection) for r in rows] == [("what?", None), ("", "empty"), (None, "empty")] and len({r.query_id for r in rows}) == 3 and all(r.received_at for r in rows)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from quirestone.operators.candidates import contradictory
@@ -56,6 +58,8 @@ def test_json_documents(spark):
         block(2, "table", "sections[3].blocks[1]", "late", headers=["a", None], rows=[["1", None], None]), block(1, "paragraph", "sections[3].blocks[0]", "late", text='say "é"', reference_ids=["r", None]),
         block(3, "requirement_matrix", "sections[0].blocks[0]", "early", entries=[entry("1", "x")]),
     )
+    written = json.loads(as_json(df).first().json)
+    assert json.dumps(written, sort_keys=True) == json.dumps(written)
     blocks, bad = parse_json(as_json(df), key="proposal_id", json="json")
     rows = {r.block_id: r for r in blocks.collect()}
     assert {i: r.path for i, r in rows.items()} == {3: "sections[0].blocks[0]", 1: "sections[1].blocks[0]", 2: "sections[1].blocks[1]"}
