@@ -444,7 +444,7 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
         raise ValueError("similarity must be above 0 and at most 1")
     rows = records.select((F.col(space) if space else F.lit("")).cast("string").alias("space"), F.col(key).alias("key"), F.col(text).alias("text")).dropna()
     rows = rows.filter(_has_words(F.col("text"), max(min_words or k, k))).withColumn("mark", F.md5("text"))
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    volume = records.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(1, math.ceil(volume / BLOCK_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / LEAST_BLOCK_BYTES)))
     block = F.pmod(F.xxhash64("mark", "space"), F.lit(parts)).cast("int").alias("block")
     once = rows.select(block, "space", "mark", "text").repartition(parts, "block").groupBy("block", "space", "mark").agg(F.first("text").alias("text"))
@@ -452,7 +452,9 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
     numbers = _counted(sets.select("block", "rid", "space", "text"), k, parts)
     sent = sets.select("block", "rid", "space", "text").groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_prefixes(k, sim, parts), _SENT)
     found = written(sent.repartitionById(parts, F.col("part")).mapInArrow(_meeting(sim), _FOUND), "found")
-    met = found.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(_of_hot(found.filter("kind = 1"), sim))
+    met, hot = found.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("y")), found.filter("kind = 1")
+    if not hot.isEmpty():
+        met = met.unionByName(_of_hot(hot, sim))
     pairs = written(met.distinct(), "pairs")
     sketch = lambda c: found.filter("kind = 2").select(F.col("a").alias(c), F.col("b").cast("int").alias(f"block_{c}"), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     tested = join_spread(join_spread(pairs, sketch("x"), ["x"], ["y"]), sketch("y"), ["y"], ["x"], hot=hot_keys(pairs, ["y"]))
