@@ -224,6 +224,8 @@ class Transducer:
         return "".join(parts)
 
     def __call__(self, text: str) -> str:
+        if text.isascii():  # nothing but white space can change
+            return " ".join(text.split())
         runs = self.runs
         out = [runs[r] for r in _SCAN.findall(text)]
         if "" in out:  # what is dropped doesn't part white space
