@@ -37,12 +37,16 @@ LEAST_BLOCK_BYTES = 4_000_000
 CODE_BITS = 48
 #: Sets with one shingle in their prefixes beyond which that shingle's pairs are spread over tasks.
 HOT_SETS = 20_000
-#: 64-bit words of the parity sketch that goes with every place of a prefix.
-NARROW = 2
+#: 64-bit words of the parity sketch that goes with every place of a prefix; with 3 at most a distance fits a byte.
+NARROW = 3
+#: Shingles from which a set is cut into 4 parts by hash, and from 4 times as many into 16, and so on, so that such a sketch tells parts apart.
+WHOLE = 128
 #: Fewest cells of the sketch of a whole set, by which pairs are tested again.
 LEAST_CELLS = 256
 #: Pairs looked at in one numpy step, and rows of hot shingles.
 _PAIRS = 1 << 20
+#: Sets that one set meets in one shingle from which all pairs of several such sets are looked at as a matrix, and its cells.
+_DENSE, _MATRIX = 48, 1 << 16
 
 
 _CODEC = pa.Codec("zstd", 1)
@@ -166,13 +170,54 @@ def _sketched(run: np.ndarray, owner: np.ndarray, wide: np.ndarray) -> np.ndarra
     return sketch
 
 
+def _level(size: np.ndarray) -> np.ndarray:
+    """Sets of these sizes are cut into 4 to that power parts."""
+    level, bound = np.zeros(len(size), np.int64), WHOLE
+    while (over := size >= bound).any():
+        level[over] += 1
+        bound *= 4
+    return level
+
+
+def _cut(run: np.ndarray, owner: np.ndarray, often: np.ndarray, size: np.ndarray, sim: Fraction):
+    """Places in the prefixes of the parts of sets: code, number of the part, place and count; and of each part its set, size and sketch.
+
+    If two sets are alike, so are the parts of both that some share of all hashes has, for at least one share: else no share of their
+    union had as much in common as it takes. Two sets meet in as many parts as the smaller one has; the larger one is
+    cut in that way too. Shingles come by set, rare ones first.
+    """
+    p, q = sim.numerator, sim.denominator
+    least, most = _level(-(-p * size // q)), _level(size)
+    places, parts, before = [], [], 0
+    for level in range(int(most.max(initial=0)) + 1):
+        mine = ((least <= level) & (level <= most))[owner]
+        r, who, n = run[mine], owner[mine], often[mine]
+        code = r
+        if level:
+            share = (mix(r) & np.uint64(4**level - 1)).astype(np.int64)
+            order = np.argsort((who << (2 * level)) | share, kind="stable")
+            r, who, n, share = r[order], who[order], n[order], share[order]
+            new = np.concatenate([[True], (who[1:] != who[:-1]) | (share[1:] != share[:-1])]) if len(r) else np.zeros(0, bool)
+            code = mix(r ^ mix(np.array([level], np.uint64)))
+        else:
+            new = np.concatenate([[True], who[1:] != who[:-1]]) if len(r) else np.zeros(0, bool)
+        begins, part = np.flatnonzero(new), np.cumsum(new) - 1
+        length = np.diff(np.append(begins, len(r)))
+        place = np.arange(len(r)) - begins[part]
+        # a shingle that no other set has can't lead to a pair
+        used = (place <= length[part] - -(-p * length[part] // q)) & (n > 1)
+        places.append((code[used] >> np.uint64(64 - CODE_BITS), part[used] + before, place[used], n[used]))
+        parts.append((who[begins], length, _sketched(r, part, np.full(len(length), NARROW)).reshape(-1, NARROW)))
+        before += len(length)
+    return *(np.concatenate(c) for c in zip(*places)), *(np.concatenate(c) for c in zip(*parts))
+
+
 #: What a block sends on. kind 0: places of prefixes by the range of their shingles, to meet there; 1: the same of shingles
 #: that may be hot; 2: sketches of whole sets.
 _SENT = "kind int, part int, sets int, n int, rids binary, sizes binary, sketches binary, codes binary, owners binary, places binary"
 
 
 def _prefixes(k: int, sim: Fraction, parts: int):
-    p, q = sim.numerator, sim.denominator
     schema = pa.schema([(c.split()[0], {"int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _SENT.split(", ")])
 
     def send(block: pa.Table, replies: pa.Table) -> pa.Table:
@@ -188,15 +233,11 @@ def _prefixes(k: int, sim: Fraction, parts: int):
         counts = np.concatenate([np.zeros(0, np.uint32), *[_unpack(r["counts"], np.uint32, r["n"]) for r in answers]])
         often = np.repeat(counts, np.diff(np.append(begins, len(run)))).astype(np.int64)
         wide = _cells(size) // 64
-        whole, narrow = _sketched(run, owner, wide), _sketched(run, owner, np.full(len(size), NARROW)).reshape(-1, NARROW)
+        whole = _sketched(run, owner, wide)
         order = np.argsort((owner << 32) | often, kind="stable")  # shingles are in order already
-        run, owner, often = run[order], owner[order], often[order]
-        place = np.arange(len(run)) - (np.cumsum(size) - size)[owner]
-        # a shingle that no other set has can't lead to a pair
-        used = (place <= size[owner] - -(-p * size[owner] // q)) & (often > 1)
-        code, owner, place, often = run[used] >> np.uint64(64 - CODE_BITS), owner[used], place[used], often[used]
+        code, owner, place, often, of, length, narrow = _cut(run[order], owner[order], often[order], size, sim)
         part = np.where(often > HOT_SETS, parts, _part(code, parts))
-        order = np.argsort(code, kind="stable")  # owners are in order already, and parts are ranges of codes
+        order = np.argsort(code, kind="stable")  # parts are ranges of codes
         if (part == parts).any():
             order = np.concatenate([order[part[order] < parts], order[part[order] == parts]])
         code, owner, place, part = code[order], owner[order], place[order], part[order]
@@ -206,7 +247,7 @@ def _prefixes(k: int, sim: Fraction, parts: int):
         for b, e in zip(at.tolist(), ends.tolist()):
             who, index = np.unique(owner[b:e], return_inverse=True)
             hot = part[b] == parts
-            rows.append((int(hot), number % parts if hot else int(part[b]), len(who), e - b, _rising(rids[who]), _pack(size[who], np.uint32), _pack(narrow[who].reshape(-1), np.uint64), _rising(code[b:e]), _pack(index, np.uint32), _pack(place[b:e], np.uint32)))
+            rows.append((int(hot), number % parts if hot else int(part[b]), len(who), e - b, _rising(rids[of[who]]), _pack(length[who], np.uint32), _pack(narrow[who].reshape(-1), np.uint64), _rising(code[b:e]), _pack(index, np.uint32), _pack(place[b:e], np.uint32)))
         some = np.flatnonzero(size)
         sent = np.repeat(size > 0, wide)
         rows.append((2, number % parts, len(some), int(sent.sum()), _rising(rids[some]), _pack(size[some], np.uint32), _pack(whole[sent], np.uint64), b"", b"", b""))
@@ -219,38 +260,75 @@ def _met(run, place, rids, sizes, sketches, sim: Fraction) -> Iterator[tuple[np.
     """Pairs of sets that share one of ``run`` and pass the filters, distinct in each result; rows are places of prefixes."""
     p, q = sim.numerator, sim.denominator
     # within a shingle by size, so that a set meets only those before it, which are no larger
-    order = np.lexsort((rids, sizes, run))
-    run, place, rids, size, sketches = run[order], place[order], rids[order], sizes[order], sketches[order]
+    order = np.lexsort((sizes, run))
+    run, place, size, sketches = run[order], place[order], sizes[order], sketches[order]
+    names, who = np.unique(rids[order], return_inverse=True)
     group = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]])) if len(run) else run.astype(np.int64)
     del run, order
     # of the smaller of two sets, only a shorter prefix can hold the first shared shingle
     indexed = np.flatnonzero(place <= size - _least_overlap(p, q, size, size))
     key = (group[indexed] << 32) | size[indexed]
     low = np.searchsorted(key, (group << 32) | (-(-p * size // q)))
-    high = np.searchsorted(indexed, np.arange(len(group)))
+    # and the rest of the larger one must be long enough for both
+    most = np.clip((p + q) * (size - place) // p - size, 0, size)
+    high = np.minimum(np.searchsorted(indexed, np.arange(len(group))), np.searchsorted(key, (group << 32) | most, side="right"))
     many = np.maximum(high - low, 0)
-    ends = np.cumsum(many)
-    seen = np.zeros(0, dtype=[("a", np.int64), ("b", np.int64)])
-    at = 0
-    while at < len(group):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
-        n = many[at:to]
-        left = np.repeat(np.arange(at, to), n)
-        right = indexed[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:to], n)]
-        need = _least_overlap(p, q, size[left], size[right])
-        ok = np.minimum(size[left] - place[left], size[right] - place[right]) >= need
-        left, right, need = left[ok], right[ok], need[ok]
-        apart = np.bitwise_count(sketches[left] ^ sketches[right]).sum(axis=1, dtype=np.int64)
-        ok = apart <= size[left] + size[right] - 2 * need
-        a, b = rids[left[ok]], rids[right[ok]]
-        found = np.empty(len(a), seen.dtype)
-        found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
-        seen = np.unique(np.concatenate([seen, found[found["a"] != found["b"]]]))
-        if len(seen) > _PAIRS:
-            yield seen["a"], seen["b"]
-            seen = seen[:0]
-        at = to
-    yield seen["a"], seen["b"]
+    size_i, place_i, who_i, sketches_i = size[indexed], place[indexed], who[indexed], sketches[indexed]
+    words_i = np.ascontiguousarray(sketches_i.T)
+    # a bound of the distance as a sum of one number of each set
+    share = np.minimum(-((p - q) * size // (p + q)), 64 * NARROW).astype(np.int16)
+    share_i = share[indexed]
+
+    def fit(left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        need = _least_overlap(p, q, size[left], size_i[right])
+        ok = (size_i[right] - place_i[right] >= need) & (apart <= size[left] + size_i[right] - 2 * need)
+        a, b = who[left[ok]], who_i[right[ok]]
+        return (np.minimum(a, b) * len(names) + np.maximum(a, b))[a != b]
+
+    def sparse() -> Iterator[np.ndarray]:
+        rows = np.flatnonzero((many > 0) & (many < _DENSE))
+        ends = np.cumsum(many[rows])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+            n = many[rows[at:to]]
+            left = np.repeat(rows[at:to], n)
+            right = np.arange(len(left)) + np.repeat(low[rows[at:to]] - np.cumsum(n) + n, n)
+            apart = np.bitwise_count(sketches[left] ^ sketches_i[right]).sum(axis=1, dtype=np.int64)
+            yield fit(left, right, apart)
+            at = to
+
+    def dense() -> Iterator[np.ndarray]:
+        rows = np.flatnonzero(many >= _DENSE)
+        ends = np.append(np.flatnonzero(np.diff(group[rows])) + 1, len(rows)) if len(rows) else rows
+        at = 0
+        for end in ends.tolist():
+            while at < end:
+                first = int(low[rows[at]])  # bounds below rise with the size
+                own = rows[at : min(end, at + max(1, _MATRIX // int(many[rows[at]])))]
+                for begin in range(first, stop := int(high[own].max()), _MATRIX):
+                    some = slice(begin, min(begin + _MATRIX, stop))
+                    apart = np.bitwise_count(sketches[own, 0][:, None] ^ words_i[0, some])
+                    for i in range(1, NARROW):
+                        apart += np.bitwise_count(sketches[own, i][:, None] ^ words_i[i, some])
+                    near = np.flatnonzero(apart <= share[own][:, None] + share_i[some])
+                    left, right = own[near // apart.shape[1]], near % apart.shape[1] + begin
+                    ok = (right >= low[left]) & (right < high[left])
+                    yield fit(left[ok], right[ok], apart.reshape(-1)[near[ok]].astype(np.int64))
+                at += len(own)
+
+    seen, new, n = np.zeros(0, np.int64), [], 0
+    for found in chain(sparse(), dense()):
+        new.append(found)
+        n += len(found)
+        if n > _PAIRS:
+            seen, new, n = np.unique(np.concatenate([seen, *new])), [], 0
+            if len(seen) > _PAIRS:
+                yield names[seen // len(names)], names[seen % len(names)]
+                seen = seen[:0]
+    seen = np.unique(np.concatenate([seen, *new]))
+    if len(seen):
+        yield names[seen // len(names)], names[seen % len(names)]
 
 
 #: What comes of that. kind 0: a and b are sets that may be alike; 1: a is a shingle and b a set; 2: a is a set and b its block.
@@ -471,14 +549,25 @@ def near_duplicates(records: DataFrame, *, key: str, text: str, space: str | Non
 def pairs_of_records(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``space``, ``key_a`` < ``key_b`` of every pair of records that are alike, equal texts included.
 
-    As many rows as there are pairs; ``classes`` and ``links`` say the same in fewer.
+    As many rows as there are pairs; ``classes`` and ``links`` say the same in fewer. Only a key with several texts can
+    be in a pair twice, so only the pairs of such keys are compared with each other.
     """
+    several = classes.groupBy("space", "key").agg(F.count(F.lit(1)).alias("several")).filter("several > 1")
+    named = written(join_spread(classes, several, ["space", "key"], ["class_id"], "left").select("space", "key", "class_id", F.col("several").isNotNull().alias("several")), "named")
     copied = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     linked = links.select("a", "b").unionByName(copied)
-    side = lambda c: classes.select(F.col("class_id").alias(c), F.col("key").alias(f"_{c}"), *["space"][: c == "a"])
-    some = written(join_spread(side("a"), linked, ["a"], ["_a"]), "some")
-    both = join_spread(some, side("b"), ["b"], ["_a", "a"]).filter((F.col("a") != F.col("b")) & (F.col("_a") != F.col("_b")) | (F.col("_a") < F.col("_b")))
-    return both.select("space", F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
+    side = lambda c: named.select(F.col("class_id").alias(c), F.col("key").alias(f"_{c}"), F.col("several").alias(f"several_{c}"), *["space"][: c == "a"])
+    some, other = written(join_spread(side("a"), linked, ["a"], ["_a"]), "some"), side("b")
+
+    def pairs(some: DataFrame, other: DataFrame) -> DataFrame:
+        both = join_spread(some, other, ["b"], ["_a", "a"]).filter((F.col("a") != F.col("b")) & (F.col("_a") != F.col("_b")) | (F.col("_a") < F.col("_b")))
+        return both.select("space", F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b"))
+
+    once = pairs(some.filter("not several_a"), other.filter("not several_b"))
+    if several.isEmpty():
+        return once
+    again = pairs(some.filter("several_a"), other).unionByName(pairs(some.filter("not several_a"), other.filter("several_b")))
+    return once.unionByName(again.distinct())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
